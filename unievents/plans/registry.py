@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import tables as T
+from .oracle import key as key_sql
 from .oracle import with_ctes
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -69,10 +70,196 @@ _R1_SQL = with_ctes(
 
 @register("r1_recommend_top10", _R1_SQL)
 def r1_recommend_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.shaping import event_rows
-    from .recommend import recommend_events
+    from .recommend import recommend_events_detailed
     d = Domain(spark, sf_dir)
-    rec = recommend_events(d.ss, d.sub, d.cat, d.ec, d.ev, top_k=TOP_K)
-    rows = event_rows(d.ev, d.ec).select("event_id", "name", "date", "time", "place", "price", "categories")
-    return rec.join(rows, "event_id").select(
+    return recommend_events_detailed(d.ss, d.sub, d.cat, d.ec, d.ev, top_k=TOP_K).select(
         "student_id", "rank", "event_id", "score", "name", "date", "time", "place", "price", "categories")
+
+
+# ---------------------------------------------------------------------------------------
+# Listing, filters, lookups (R4-R7, F*, S*, D8, D9)
+# ---------------------------------------------------------------------------------------
+EVENT_COLS = ["event_id", "name", "date", "time", "place", "price", "categories",
+              "short_description", "source_url"]
+# Fixed parameters of the registered R5 filter and F7/W13 "now".
+R5_ARGS = dict(min_price="50", max_price="250", start_date="1995-01-01", end_date="1996-12-31",
+               city="Tion_1", start_time="08:00", end_time="18:30")
+NOW = "1996-06-15 12:00:00"
+DEFAULT_STUDENT = 1
+INTEREST_LABEL_SQL = ("CASE {x} WHEN 1 THEN '1 - Not Interested' WHEN 2 THEN '2 - Slightly Interested' "
+                      "WHEN 3 THEN '3 - Moderately Interested' WHEN 4 THEN '4 - Very Interested' "
+                      "WHEN 5 THEN '5 - Extremely Interested' END")
+
+
+@register("d8_event_rows", with_ctes("SELECT * FROM event_row", "event_row"))
+def d8_event_rows(spark, sf_dir):
+    from ..operators.shaping import event_rows
+    d = Domain(spark, sf_dir)
+    return event_rows(d.ev, d.ec)
+
+
+@register("r4_list_events", with_ctes(
+    "SELECT er.*, (SELECT count(*) FROM event) AS total FROM event_row er ORDER BY er.date DESC, er.time DESC, er.event_id",
+    "event_row"))
+def r4_list_events(spark, sf_dir):
+    from .listing import list_events
+    d = Domain(spark, sf_dir)
+    return list_events(d.ev, d.ec)
+
+
+@register("r5_filter_events", with_ctes(
+    f"""SELECT er.*, count(*) OVER () AS total FROM event_row er JOIN event e ON er.event_id = e.event_id
+    WHERE e.price >= {R5_ARGS['min_price']} AND e.price <= {R5_ARGS['max_price']}
+      AND e.date >= DATE '{R5_ARGS['start_date']}' AND e.date <= DATE '{R5_ARGS['end_date']}'
+      AND contains(lower(e.place), '{R5_ARGS['city'].lower()}')
+      AND e.time >= '{R5_ARGS['start_time']}:00' AND e.time <= '{R5_ARGS['end_time']}:00'""",
+    "event", "event_row"))
+def r5_filter_events(spark, sf_dir):
+    from .listing import filtered_events
+    d = Domain(spark, sf_dir)
+    return filtered_events(d.ev, d.ec, **R5_ARGS)
+
+
+@register("f7_ended_events", with_ctes(
+    f"""SELECT event_id, name, CAST(date AS VARCHAR) AS date, substr(time, 1, 5) AS time FROM event
+    WHERE date < DATE '{NOW[:10]}' OR (date = DATE '{NOW[:10]}' AND time < '{NOW[11:]}')""", "event"))
+def f7_ended_events(spark, sf_dir):
+    import datetime as dt
+
+    from ..functions.standardize import time_hhmm
+    from ..operators.filters import ended_events
+    d = Domain(spark, sf_dir)
+    now = dt.datetime.fromisoformat(NOW)
+    return ended_events(d.ev, now).select("event_id", "name", F.col("date").cast("string").alias("date"),
+                                         time_hhmm(F.col("time")).alias("time"))
+
+
+@register("d9_display_events", with_ctes(
+    """SELECT event_id, CASE WHEN name IS NULL OR trim(name) = '' THEN '-' ELSE name END AS name,
+              date, time, CASE WHEN place IS NULL OR trim(place) = '' THEN '-' ELSE place END AS place,
+              CASE WHEN price IS NULL THEN '-' ELSE replace(price, '.', ',') || ' €' END AS price,
+              CASE WHEN categories = '' THEN '-' ELSE categories END AS categories
+       FROM event_row""", "event_row"))
+def d9_display_events(spark, sf_dir):
+    from ..operators.filters import listable
+    from ..operators.shaping import display_events, event_rows
+    d = Domain(spark, sf_dir)
+    return display_events(listable(event_rows(d.ev, d.ec, categories_as_text=False)))
+
+
+@register("f13_keyword_search", with_ctes(
+    """SELECT event_id, name, place FROM event
+    WHERE (contains(lower(name), 'event') OR contains(lower(place), 'event') OR contains(lower(short_description), 'event'))
+      AND (contains(lower(name), '12') OR contains(lower(place), '12') OR contains(lower(short_description), '12'))
+      AND (contains(lower(name), 'urgent') OR contains(lower(place), 'urgent') OR contains(lower(short_description), 'urgent'))""",
+    "event"))
+def f13_keyword_search(spark, sf_dir):
+    from ..operators.filters import keyword_search
+    d = Domain(spark, sf_dir)
+    return keyword_search(d.ev, "Event 12 URGENT", ["name", "place", "short_description"]) \
+        .select("event_id", "name", "place")
+
+
+@register("r7_student_subjects", with_ctes(
+    f"""SELECT s.subject_id, s.name, s.category_id, c.name AS category_name, m.interest,
+           {INTEREST_LABEL_SQL.format(x='m.interest')} AS interest_description,
+           (SELECT count(*) FROM subject) AS total_subjects
+    FROM subject s LEFT JOIN category c ON s.category_id = c.category_id
+    LEFT JOIN (SELECT subject_id, interest FROM student_subject WHERE student_id = {DEFAULT_STUDENT}) m
+      ON s.subject_id = m.subject_id""", "subject", "category", "student_subject"))
+def r7_student_subjects(spark, sf_dir):
+    from .listing import student_subjects
+    d = Domain(spark, sf_dir)
+    return student_subjects(d.sub, d.cat, d.ss, DEFAULT_STUDENT)
+
+
+R3_LOOKUPS = [("subject_id", 3), ("subject_name", "  RED WIDGET 1 "), ("subject_name", "small ring 0")]
+_R3_LOOKUP_SQL = """
+    SELECT CAST(3 AS VARCHAR) AS lookup, subject_id FROM subject WHERE subject_id = 3
+    UNION ALL SELECT '  RED WIDGET 1 ', min(subject_id) FROM subject
+        WHERE lower(name) = 'red widget 1' HAVING count(*) > 0
+    UNION ALL SELECT 'small ring 0', min(subject_id) FROM subject
+        WHERE lower(name) = 'small ring 0' HAVING count(*) > 0"""
+
+
+@register("r3_events_for_subject", with_ctes(
+    """SELECT h.lookup, h.event_id, CAST(row_number() OVER (PARTITION BY h.lookup
+               ORDER BY e.date DESC, e.time DESC, e.event_id) AS INTEGER) AS rank
+       FROM hits h JOIN event e ON h.event_id = e.event_id""",
+    "subject", "category", "ec_key", "event",
+    extra=[("lookups", _R3_LOOKUP_SQL),
+           ("skey", f"""SELECT l.lookup, {key_sql('c.name')} AS category_key FROM lookups l
+                       JOIN subject s ON l.subject_id = s.subject_id
+                       JOIN category c ON s.category_id = c.category_id"""),
+           ("hits", """SELECT DISTINCT sk.lookup, k.event_id FROM skey sk
+                       JOIN ec_key k ON sk.category_key = k.category_key
+                       WHERE sk.category_key IS NOT NULL""")]))
+def r3_events_for_subject(spark, sf_dir):
+    from .recommend import events_for_subject
+    d = Domain(spark, sf_dir)
+    keys = spark.createDataFrame(
+        [(v if k == "subject_id" else None, v if k == "subject_name" else None) for k, v in R3_LOOKUPS],
+        "subject_id bigint, subject_name string")
+    return events_for_subject(d.ev, d.ec, d.sub, d.cat, keys).select("lookup", "event_id", "rank")
+
+
+@register("r2_recommend_summary", with_ctes(
+    """SELECT st.student_id,
+              CASE WHEN f.has_rated THEN 'matched-only' ELSE 'default' END AS mode,
+              CASE WHEN f.has_rated THEN coalesce(u.used, '') ELSE '' END AS categories_used,
+              CAST(CASE WHEN f.has_rated THEN coalesce(t.n, 0) ELSE (SELECT count(*) FROM event) END AS BIGINT) AS total,
+              CASE WHEN f.student_id IS NULL THEN 'No subjects were found, so default events are displayed.'
+                   WHEN NOT f.has_rated THEN 'All ratings are 0/null, so default events are displayed.' END AS message
+       FROM student st LEFT JOIN flags f ON st.student_id = f.student_id
+       LEFT JOIN used u ON st.student_id = u.student_id
+       LEFT JOIN totals t ON st.student_id = t.student_id""",
+    "student", "interest", "ec_key", "event",
+    extra=[("flags", """SELECT student_id, bool_or(coalesce(interest > 0, false)) AS has_rated
+                        FROM student_subject GROUP BY student_id"""),
+           ("used", """SELECT student_id, array_to_string(list_sort(list(category_key)), ', ') AS used
+                       FROM interest GROUP BY student_id"""),
+           ("totals", """SELECT i.student_id, count(DISTINCT k.event_id) AS n FROM interest i
+                         JOIN ec_key k ON i.category_key = k.category_key GROUP BY i.student_id""")]))
+def r2_recommend_summary(spark, sf_dir):
+    from .recommend import recommend_or_default
+    d = Domain(spark, sf_dir)
+    return recommend_or_default(d.stu, d.ss, d.sub, d.cat, d.ec, d.ev)
+
+
+@register("g2_interest_by_category", with_ctes("SELECT * FROM interest", "interest"))
+def g2_interest_by_category(spark, sf_dir):
+    from .recommend import student_category_interest
+    d = Domain(spark, sf_dir)
+    return student_category_interest(d.ss, d.sub, d.cat)
+
+
+@register("g7_student_flags", with_ctes(
+    """SELECT st.student_id, f.student_id IS NOT NULL AS has_subjects, coalesce(f.has_rated, false) AS has_rated
+       FROM student st LEFT JOIN (SELECT student_id, bool_or(coalesce(interest > 0, false)) AS has_rated
+                                  FROM student_subject GROUP BY student_id) f ON st.student_id = f.student_id""",
+    "student", "student_subject"))
+def g7_student_flags(spark, sf_dir):
+    from ..operators.aggregates import student_flags
+    d = Domain(spark, sf_dir)
+    return student_flags(d.stu, d.ss)
+
+
+@register("j1_subjects_with_category", with_ctes(
+    """SELECT s.subject_id, s.name, s.category_id, c.name AS category_name
+       FROM subject s LEFT JOIN category c ON s.category_id = c.category_id""", "subject", "category"))
+def j1_subjects_with_category(spark, sf_dir):
+    from ..operators.joins import subjects_with_category
+    d = Domain(spark, sf_dir)
+    return subjects_with_category(d.sub, d.cat).select("subject_id", "name", "category_id", "category_name")
+
+
+@register("j9_student_profile", with_ctes(
+    """SELECT st.student_id, st.username, coalesce(array_to_string(list_sort(list(s.name)), ', '), '') AS subject_names
+       FROM student st LEFT JOIN student_subject ss ON st.student_id = ss.student_id
+       LEFT JOIN subject s ON ss.subject_id = s.subject_id
+       GROUP BY st.student_id, st.username""", "student", "student_subject", "subject"))
+def j9_student_profile(spark, sf_dir):
+    from ..operators.joins import student_profile
+    d = Domain(spark, sf_dir)
+    return student_profile(d.stu, d.ss, d.sub).select(
+        "student_id", "username", F.array_join("subject_names", ", ").alias("subject_names"))
