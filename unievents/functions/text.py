@@ -52,14 +52,15 @@ def strip_dropped_elements(html: Column) -> Column:
     return out
 
 
-def page_text(html: Column, cap: int = PAGE_TEXT_CAP) -> Column:
+def page_text(html: Column, cap: int | None = PAGE_TEXT_CAP) -> Column:
     """Visible text of a page. Text nodes are the pieces between tags; each is
     entity-decoded and trimmed, blanks dropped, the rest joined by one space, then cut
-    to ``cap`` characters. Inner whitespace of a node is kept."""
+    to ``cap`` characters (``None``: the whole text). Inner whitespace of a node is kept."""
     nodes = F.split(strip_dropped_elements(html), r"<[^>]*>")
     cleaned = F.transform(nodes, lambda x: trim_ws(decode_entities(x)))
     kept = F.filter(cleaned, lambda x: x != "")
-    return F.left(F.array_join(kept, " "), F.lit(cap))
+    text = F.array_join(kept, " ")
+    return text if cap is None else F.left(text, F.lit(cap))
 
 
 def normalize_url(url: Column) -> Column:

@@ -93,3 +93,53 @@ def with_ctes(body: str, *names: str, extra: list[tuple[str, str]] | None = None
     parts = [f"{n} AS ({BINDINGS.get(n) or DERIVED[n]})" for n in order if n in need]
     parts += [f"{n} AS ({q})" for n, q in (extra or [])]
     return ("WITH " + ",\n".join(parts) + "\n" + body) if parts else body
+
+
+# ---- page-text helpers in SQL (same patterns as functions/text.py) ----------------------
+ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
+            ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+
+
+def decode_sql(expr: str) -> str:
+    for ent, ch in ENTITIES:
+        expr = f"replace({expr}, '{ent}', '{ch.replace(chr(39), chr(39) * 2)}')"
+    return expr
+
+
+def strip_html_sql(expr: str) -> str:
+    out = f"regexp_replace({expr}, '(?s)<!--.*?-->', ' ', 'g')"
+    for tag in ("script", "style", "noscript"):
+        out = f"regexp_replace({out}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', ' ', 'g')"
+    return out
+
+
+def page_text_sql(expr: str, cap: int | None = 60000) -> str:
+    nodes = f"regexp_split_to_array({strip_html_sql(expr)}, '<[^>]*>')"
+    kept = f"list_filter(list_transform({nodes}, lambda x: {trim_ws(decode_sql('x'))}), lambda x: x <> '')"
+    text = f"array_to_string({kept}, ' ')"
+    return text if cap is None else f"left({text}, {cap})"
+
+
+HOST_RE = "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
+PATH_RE = "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
+QUERY_RE = "^[^?#]*\\?([^#]*)"
+
+
+def resolve_sql(base: str, href: str) -> str:
+    scheme = f"regexp_extract({base}, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)"
+    origin = f"regexp_extract({base}, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
+    no_frag = f"regexp_replace({base}, '#.*$', '')"
+    no_query = f"regexp_replace({no_frag}, '\\?.*$', '')"
+    base_dir = (f"CASE WHEN regexp_extract({base}, '{PATH_RE}', 1) = '' THEN concat({origin}, '/') "
+                f"ELSE regexp_replace({no_query}, '[^/]*$', '') END")
+    return (f"CASE WHEN regexp_matches({href}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {href} "
+            f"WHEN starts_with({href}, '//') THEN concat({scheme}, ':', {href}) "
+            f"WHEN starts_with({href}, '/') THEN concat({origin}, {href}) "
+            f"WHEN {href} = '' THEN {base} "
+            f"WHEN starts_with({href}, '?') THEN concat({no_query}, {href}) "
+            f"WHEN starts_with({href}, '#') THEN concat({no_frag}, {href}) "
+            f"ELSE concat({base_dir}, {href}) END")
+
+
+def normalize_sql(url: str) -> str:
+    return f"concat(regexp_replace(regexp_replace({url}, '[?#].*$', ''), '/+$', ''), '/')"

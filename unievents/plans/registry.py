@@ -263,3 +263,143 @@ def j9_student_profile(spark, sf_dir):
     d = Domain(spark, sf_dir)
     return student_profile(d.stu, d.ss, d.sub).select(
         "student_id", "username", F.array_join("subject_names", ", ").alias("subject_names"))
+
+
+# ---------------------------------------------------------------------------------------
+# Page jobs
+# ---------------------------------------------------------------------------------------
+from . import oracle as O  # noqa: E402
+
+_HREF_SQL = """(?i)<a\\s[^>]*?href\\s*=\\s*"([^"]*)\""""
+_LINKS_SQL = f"""
+    SELECT page_id, url, CAST(s.pos AS INTEGER) AS pos, {O.trim_ws(O.decode_sql('s.href'))} AS href
+    FROM (SELECT page_id, url, unnest(list_transform(
+              regexp_extract_all({O.strip_html_sql('html')}, '{_HREF_SQL}', 1),
+              lambda x, i: struct_pack(pos := i - 1, href := x))) AS s
+          FROM pages) t"""
+_RESOLVED_SQL = f"""
+    SELECT page_id, url, pos, href, full_url,
+           regexp_extract(full_url, '{O.HOST_RE}', 1) AS link_host,
+           regexp_extract(full_url, '{O.PATH_RE}', 1) AS link_path,
+           {O.normalize_sql('full_url')} AS link
+    FROM (SELECT *, {O.resolve_sql('url', 'href')} AS full_url FROM links) r"""
+
+
+@register("p1_page_text", f"""
+    SELECT page_id, url, t AS text, CAST(length(t) AS INTEGER) AS characters
+    FROM (SELECT page_id, url, {O.page_text_sql('html')} AS t FROM pages) x""")
+def p1_page_text(spark, sf_dir):
+    from ..operators.pages import page_texts
+    return page_texts(T.load_table(spark, sf_dir, "pages"))
+
+
+@register("p3_page_links", _LINKS_SQL)
+def p3_page_links(spark, sf_dir):
+    from ..operators.pages import page_links
+    return page_links(T.load_table(spark, sf_dir, "pages"))
+
+
+@register("p5_resolved_links", "WITH links AS (" + _LINKS_SQL + ")\n"
+          "SELECT page_id, pos, full_url, link_host, link_path, link FROM (" + _RESOLVED_SQL + ") z")
+def p5_resolved_links(spark, sf_dir):
+    from ..operators.pages import page_links, resolve_links
+    return resolve_links(page_links(T.load_table(spark, sf_dir, "pages"))).select(
+        "page_id", "pos", "full_url", "link_host", "link_path", "link")
+
+
+@register("p11_route_pages", f"""
+    SELECT page_id, url, source,
+           CASE WHEN source = 'meetup' THEN
+                CASE WHEN contains(q, 'location=') THEN coalesce(split_part(regexp_replace(
+                          list_filter(string_split(q, '&'), lambda x: starts_with(x, 'location='))[1],
+                          '^location=', ''), '--', -1), '')
+                     WHEN contains(lower(q), 'vilnius') OR contains(txt, 'vilnius') THEN 'Vilnius'
+                     ELSE '' END
+           ELSE '' END AS city
+    FROM (SELECT page_id, url, q, txt,
+            CASE WHEN contains(h, 'litexpo.lt') AND contains(p, '/en/events') THEN 'litexpo'
+                 WHEN contains(h, 'meetup.com') AND (contains(p, '/find/') OR contains(p, '/events/')
+                      OR contains(lower(q), 'vilnius') OR contains(txt, 'vilnius') OR contains(txt, 'events'))
+                      THEN 'meetup'
+                 WHEN contains(h, 'kaveikti.lt') AND contains(p, '/renginiai') THEN 'kaveikti'
+                 ELSE 'other' END AS source
+          FROM (SELECT page_id, url, lower(regexp_extract(url, '{O.HOST_RE}', 1)) AS h,
+                       lower(regexp_extract(url, '{O.PATH_RE}', 1)) AS p,
+                       regexp_extract(url, '{O.QUERY_RE}', 1) AS q,
+                       lower({O.page_text_sql('html', None)}) AS txt
+                FROM pages
+                WHERE starts_with(url, 'http://') OR starts_with(url, 'https://')) a) b""")
+def p11_route_pages(spark, sf_dir):
+    from .scrape import route_pages
+    return route_pages(T.load_table(spark, sf_dir, "pages")).select("page_id", "url", "source", "city")
+
+
+@register("p15_event_list_prompts", f"""
+    SELECT page_id, url, {__import__('unievents.operators.prompts', fromlist=['x']).prompt_sql(
+        __import__('unievents.operators.prompts', fromlist=['x']).EVENT_LIST_TEMPLATE,
+        text=O.page_text_sql('html'))} AS prompt FROM pages""")
+def p15_event_list_prompts(spark, sf_dir):
+    from .scrape import event_list_prompts
+    return event_list_prompts(T.load_table(spark, sf_dir, "pages"))
+
+
+@register("p15_event_page_prompts", f"""
+    SELECT page_id, url, 'other' AS source, '' AS city, {__import__('unievents.operators.prompts', fromlist=['x']).prompt_sql(
+        __import__('unievents.operators.prompts', fromlist=['x']).EVENT_TEMPLATES['other'],
+        detail_url='url', detail_text=O.page_text_sql('html'))} AS prompt FROM pages""")
+def p15_event_page_prompts(spark, sf_dir):
+    from .scrape import event_prompts
+    pages = T.load_table(spark, sf_dir, "pages")
+    routed = pages.withColumn("source", F.lit("other")).withColumn("city", F.lit(""))
+    return event_prompts(routed)
+
+
+# Local link rules for the registered frontier: the three site rules never match the
+# driver's hosts, so listing pages are routed by top-level domain to rules of the same
+# shape (host suffix, path must / must-not contain, lower-case path must contain).
+def _local_rules():
+    from ..operators.pages import LinkRule
+    return (LinkRule("local-com", host_suffix=".example.com", path_not_has=(",",)),
+            LinkRule("local-net", lower_path_has=("e",), not_suffix="/the/"),
+            LinkRule("local-org", path_has=("/",), path_not_has=(".",), hosts=None))
+
+
+R8_N = 5
+_R8_SQL = "WITH links AS (" + _LINKS_SQL + "),\nresolved AS (" + _RESOLVED_SQL + ")" + f""",
+    routed AS (SELECT page_id, 'local-' || regexp_extract(regexp_extract(url, '{O.HOST_RE}', 1), '([^.]*)$', 1) AS source
+               FROM pages),
+    kept AS (SELECT r.page_id, t.source, r.pos, r.link FROM resolved r JOIN routed t ON r.page_id = t.page_id
+             WHERE (t.source = 'local-com' AND ends_with(r.link_host, '.example.com') AND NOT contains(r.link_path, ','))
+                OR (t.source = 'local-net' AND contains(lower(r.link_path), 'e') AND NOT ends_with(r.link, '/the/'))
+                OR (t.source = 'local-org' AND contains(r.link_path, '/') AND NOT contains(r.link_path, '.'))),
+    firsts AS (SELECT page_id, source, link, min(pos) AS pos FROM kept GROUP BY 1, 2, 3),
+    ranked AS (SELECT page_id, source, link,
+                      CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) AS INTEGER) AS link_rank FROM firsts)
+    SELECT page_id, source, link, link_rank, 'found' AS origin, CAST(NULL AS VARCHAR) AS error
+    FROM ranked WHERE link_rank <= {R8_N}
+    UNION ALL
+    SELECT page_id, source, NULL, NULL, NULL,
+           'No event links found for source ''' || source || ''' and no saved links are available.'
+    FROM routed WHERE source IN ('local-com', 'local-net', 'local-org')
+      AND page_id NOT IN (SELECT page_id FROM firsts)"""
+
+
+@register("r8_link_frontier", _R8_SQL)
+def r8_link_frontier(spark, sf_dir):
+    import datetime as dt
+
+    from ..operators.pages import rules_frame
+    from ..operators.writes import URL_COLS
+    from .scrape import link_frontier
+    pages = T.load_table(spark, sf_dir, "pages")
+    routed = pages.withColumn("source", F.concat(F.lit("local-"), F.regexp_extract(
+        F.regexp_extract("url", O.HOST_RE, 1), r"([^.]*)$", 1))).withColumn("city", F.lit(""))
+    urls = spark.createDataFrame([], "url string, source string, city string, last_seen timestamp, "
+                                     "last_scraped timestamp, is_active boolean").select(*URL_COLS)
+    frontier, _, rejected = link_frontier(routed, urls, rules_frame(spark, _local_rules()), R8_N,
+                                          dt.datetime(2026, 1, 1))
+    return frontier.select("page_id", "source", "link", "link_rank", "origin",
+                           F.lit(None).cast("string").alias("error")).unionByName(
+        rejected.select("page_id", "source", F.lit(None).cast("string").alias("link"),
+                        F.lit(None).cast("int").alias("link_rank"), F.lit(None).cast("string").alias("origin"),
+                        "error"))
