@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.standardize import (DEFAULT_TIME, LITEXPO_PLACE, standardize_date,
-                                     standardize_price, standardize_time)
+                                     standardize_price, standardize_time, with_standard_date)
 from ..functions.text import trim_ws
 
 # ---- fixed values -------------------------------------------------------------------
@@ -47,10 +47,10 @@ def standardize_event_items(items: DataFrame, as_of_year: int, scrape_path: bool
     desc = _s("raw_short_description")
     if scrape_path:
         desc = F.when(desc == "", F.concat(F.lit("Event: "), name)).otherwise(desc)
-    return items.select(
+    dated = with_standard_date(items, "raw_date", "date", as_of_year)
+    return dated.select(
         "*",
         name.alias("name"),
-        standardize_date(F.col("raw_date"), as_of_year).alias("date"),
         F.coalesce(standardize_time(F.col("raw_time")), F.lit(DEFAULT_TIME)).alias("time"),
         F.when(place == "", place_default).otherwise(place).alias("place"),
         standardize_price(F.col("raw_price")).alias("price"),
@@ -81,7 +81,7 @@ def validate_events(batch: DataFrame, strict: bool = False) -> DataFrame:
         m = STRICT_MESSAGES
         err = (F.when(name == "", F.lit(m["name"]))
                 .when(~F.regexp_like(date_raw, F.lit(r"^\d{4}-\d{2}-\d{2}$"))
-                      | F.try_to_date(date_raw, F.lit("yyyy-MM-dd")).isNull(), F.lit(m["date"]))
+                      | F.try_to_date(date_raw, "yyyy-MM-dd").isNull(), F.lit(m["date"]))
                 .when(~F.regexp_like(time_raw, F.lit(r"^([01]\d|2[0-3]):[0-5]\d$")), F.lit(m["time"]))
                 .when(cats < 1, F.lit(m["categories"]))
                 .when(F.length(desc) < 10, F.lit(m["description"]))

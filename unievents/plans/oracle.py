@@ -143,3 +143,76 @@ def resolve_sql(base: str, href: str) -> str:
 
 def normalize_sql(url: str) -> str:
     return f"concat(regexp_replace(regexp_replace({url}, '[?#].*$', ''), '/+$', ''), '/')"
+
+
+# ---- D1-D3 and M1 in SQL ----------------------------------------------------------------
+def _month_case(w: str) -> str:
+    from ..functions.standardize import MONTHS
+    return "CASE " + w + " " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in MONTHS.items()) + " END"
+
+
+def date_sql(x: str, as_of_year: int) -> str:
+    norm = trim_ws(f"regexp_replace(replace(replace({trim_ws(f'CAST({x} AS VARCHAR)')}, '–', '-'), ',', ' '), '\\s+', ' ', 'g')")
+    low = f"lower(regexp_replace(strip_accents({norm}), '[^\\x00-\\x7F]', '', 'g'))"
+
+    def word(p: str, mi: int, di: int, yi: int | None) -> str:
+        w = f"regexp_extract({low}, '{p}', {mi})"
+        y = f"CAST(regexp_extract({low}, '{p}', {yi}) AS INTEGER)" if yi else str(as_of_year)
+        d = f"CAST(regexp_extract({low}, '{p}', {di}) AS INTEGER)"
+        return (f"CASE WHEN regexp_matches({low}, '{p}') AND {_month_case(w)} IS NOT NULL "
+                f"THEN try(make_date({y}, {_month_case(w)}, {d})) END")
+
+    def num(p: str, yi: int, mi: int, di: int) -> str:
+        g = lambda i: f"CAST(regexp_extract({norm}, '{p}', {i}) AS INTEGER)"
+        return f"CASE WHEN regexp_matches({norm}, '{p}') THEN try(make_date({g(yi)}, {g(mi)}, {g(di)})) END"
+
+    cands = [
+        word(r"^([a-z]+)\s+(\d{1,2})\s*-\s*\d{1,2}\s+(\d{4})$", 1, 2, 3),
+        word(r"^(\d{4})\s+([a-z]+)\s+(\d{1,2})\s*-\s*\d{1,2}$", 2, 3, 1),
+        word(r"^(\d{1,2})\s*-\s*\d{1,2}\s+([a-z]+)\s+(\d{4})$", 2, 1, 3),
+        word(r"^(\d{1,2})\s+([a-z]+)\s+(\d{4})$", 2, 1, 3),
+        word(r"^([a-z]+)\s+(\d{1,2})$", 1, 2, None),
+        num(r"^(\d{4})-(\d{1,2})-(\d{1,2})$", 1, 2, 3),
+        num(r"^(\d{4})/(\d{1,2})/(\d{1,2})$", 1, 2, 3),
+        num(r"^(\d{1,2})-(\d{1,2})-(\d{4})$", 3, 2, 1),
+        num(r"^(\d{1,2})/(\d{1,2})/(\d{4})$", 3, 2, 1),
+        num(r"^(\d{4})\.(\d{1,2})\.(\d{1,2})$", 1, 2, 3),
+    ]
+    return "coalesce(" + ", ".join(cands) + ")"
+
+
+def time_sql(x: str) -> str:
+    s = trim_ws(f"CAST({x} AS VARCHAR)")
+    p = r"^(\d{1,2}):(\d{1,2})(:(\d{1,2}))?$"
+    h = f"TRY_CAST(regexp_extract({s}, '{p}', 1) AS INTEGER)"
+    m = f"TRY_CAST(regexp_extract({s}, '{p}', 2) AS INTEGER)"
+    sec = f"coalesce(TRY_CAST(NULLIF(regexp_extract({s}, '{p}', 4), '') AS INTEGER), 0)"
+    return (f"CASE WHEN regexp_matches({s}, '{p}') AND {h} BETWEEN 0 AND 23 AND {m} BETWEEN 0 AND 59 "
+            f"AND {sec} BETWEEN 0 AND 59 THEN printf('%02d:%02d:%02d', {h}, {m}, {sec}) END")
+
+
+def price_sql(x: str) -> str:
+    s = f"replace(replace(replace(replace({trim_ws(f'CAST({x} AS VARCHAR)')}, 'EUR', ''), '€', ''), ' ', ''), ',', '.')"
+    return (f"CASE WHEN {x} IS NULL THEN CAST(0 AS DECIMAL(10,2)) "
+            f"WHEN {s} = '' OR lower({s}) = 'free' THEN CAST(0 AS DECIMAL(10,2)) "
+            f"ELSE TRY_CAST(round_even(TRY_CAST({s} AS DECIMAL(38,10)), 2) AS DECIMAL(10,2)) END")
+
+
+def fence_sql(x: str) -> str:
+    t = trim_ws(x)
+    bare = f"regexp_replace({t}, '^`+|`+$', '', 'g')"
+    untag = f"CASE WHEN starts_with(lower({bare}), 'json') THEN {trim_ws(f'substr({bare}, 5)')} ELSE {bare} END"
+    return f"CASE WHEN starts_with({t}, '```') THEN {untag} ELSE {t} END"
+
+
+def brace_sql(s: str) -> str:
+    start = f"strpos({s}, '{{')"
+    end = f"(length({s}) - strpos(reverse({s}), '}}') + 1)"
+    return (f"CASE WHEN {start} > 0 AND strpos({s}, '}}') > 0 AND {end} > {start} "
+            f"THEN substr({s}, {start}, {end} - {start} + 1) END")
+
+
+def recover_sql(s: str) -> str:
+    """M1 on an already fence-stripped text ``s``."""
+    return (f"CASE WHEN json_valid({s}) THEN {s} "
+            f"WHEN json_valid({brace_sql(s)}) THEN {brace_sql(s)} END")

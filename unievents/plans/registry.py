@@ -403,3 +403,180 @@ def r8_link_frontier(spark, sf_dir):
         rejected.select("page_id", "source", F.lit(None).cast("string").alias("link"),
                         F.lit(None).cast("int").alias("link_rank"), F.lit(None).cast("string").alias("origin"),
                         "error"))
+
+
+# ---------------------------------------------------------------------------------------
+# Model responses
+# ---------------------------------------------------------------------------------------
+from ..operators.responses import LINE_BREAKS, SUBJECT_SKIP_PREFIXES, SUBJECT_SKIP_TOKENS  # noqa: E402
+from ..sources import responses as RS  # noqa: E402
+
+AS_OF_YEAR = 2026
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+_M2_SQL = f"""
+WITH resp AS ({RS.SUBJECT_RESPONSES_SQL}),
+f AS (SELECT prompt_id, url, {O.fence_sql('response')} AS s FROM resp),
+v AS (SELECT prompt_id, url, s, {O.recover_sql('s')} AS j FROM f),
+items AS (SELECT prompt_id, url,
+  CASE WHEN j IS NOT NULL AND json_type(j) = 'OBJECT' AND json_type(j, '$.study_subjects') = 'ARRAY'
+       THEN list_transform(json_extract(j, '$.study_subjects[*]'),
+                           lambda x: CASE WHEN json_type(x) = 'VARCHAR' THEN json_extract_string(x, '$') END)
+       ELSE list_filter(list_transform(regexp_split_to_array(s, '{LINE_BREAKS}'),
+                                       lambda x: regexp_replace(x, '^[-• \\t]+|[-• \\t]+$', '', 'g')),
+                        lambda x: x <> '') END AS arr
+  FROM v),
+ex AS (SELECT prompt_id, CAST(e.pos AS INTEGER) AS pos, {O.trim_ws('e.raw')} AS name
+       FROM (SELECT prompt_id, unnest(list_transform(arr, lambda x, i: struct_pack(pos := i - 1, raw := x))) AS e
+             FROM items) q),
+kept AS (SELECT * FROM ex WHERE name IS NOT NULL AND name <> ''
+           AND name NOT IN ({', '.join(_lit(t) for t in SUBJECT_SKIP_TOKENS)})
+           AND NOT ({' OR '.join(f"starts_with(replace(name, ' ', ''), {_lit(p)})" for p in SUBJECT_SKIP_PREFIXES)})),
+names AS (SELECT prompt_id, pos, name FROM (
+            SELECT *, row_number() OVER (PARTITION BY prompt_id, replace(lower(name), 'ß', 'ss') ORDER BY pos) AS rn
+            FROM kept) z WHERE rn = 1)
+"""
+
+
+@register("m2_response_subjects", _M2_SQL + "SELECT prompt_id, pos, name FROM names")
+def m2_response_subjects(spark, sf_dir):
+    from ..operators.responses import response_subjects
+    return response_subjects(RS.subject_responses(spark, sf_dir))
+
+
+@register("r10_subject_lists", _M2_SQL + """
+SELECT r.prompt_id, r.url, coalesce(array_to_string(list(n.name ORDER BY n.pos), ' | '), '') AS study_subjects,
+       CAST(count(n.name) AS INTEGER) AS subjects_count
+FROM resp r LEFT JOIN names n ON r.prompt_id = n.prompt_id GROUP BY r.prompt_id, r.url""")
+def r10_subject_lists(spark, sf_dir):
+    from .scrape import load_subject_responses
+    out = load_subject_responses(RS.subject_responses(spark, sf_dir))
+    return out.select("prompt_id", "url", F.array_join("study_subjects", " | ").alias("study_subjects"),
+                      "subjects_count")
+
+
+_M5_CTE = f"""
+resp AS ({RS.CATEGORY_RESPONSES_SQL}),
+f AS (SELECT prompt_id, subject, {O.fence_sql('response')} AS s FROM resp),
+b0 AS (SELECT prompt_id, subject, coalesce({O.brace_sql('s')}, s) AS body FROM f),
+b AS (SELECT prompt_id, subject, CASE WHEN json_valid(body) THEN body END AS jb FROM b0),
+c AS (SELECT prompt_id, subject, coalesce(json_type(jb) = 'OBJECT', false) AS obj,
+             {O.trim_ws("coalesce(CASE WHEN json_type(jb) = 'OBJECT' THEN json_extract_string(jb, '$.category') END, '')")} AS category
+      FROM b),
+m5 AS (SELECT prompt_id, subject, CASE WHEN obj AND category <> '' THEN category END AS category,
+              CASE WHEN NOT obj THEN 'Could not parse model JSON output.'
+                   WHEN category = '' THEN 'Model returned an empty category' END AS error FROM c)"""
+
+
+@register("m5_response_category", "WITH " + _M5_CTE + "\nSELECT * FROM m5")
+def m5_response_category(spark, sf_dir):
+    from ..operators.responses import response_category
+    ok, failed = response_category(RS.category_responses(spark, sf_dir))
+    return ok.select("prompt_id", "subject", "category", F.lit(None).cast("string").alias("error")) \
+             .unionByName(failed.select("prompt_id", "subject", F.lit(None).cast("string").alias("category"), "error"))
+
+
+@register("r11_import_subjects", with_ctes("""
+SELECT o.prompt_id AS batch_pos, o.subject, cn.name AS category_name,
+       coalesce(sf.subject_id, ns.subject_id) AS subject_id,
+       CASE WHEN sf.subject_id IS NULL THEN 'created'
+            WHEN s.category_id IS NOT DISTINCT FROM ci.category_id THEN 'unchanged' ELSE 'updated' END AS action
+FROM ok o JOIN cids ci ON lower(o.category) = ci.ck
+LEFT JOIN subf sf ON lower(o.subject) = sf.sk
+LEFT JOIN subject s ON sf.subject_id = s.subject_id
+LEFT JOIN new_sub ns ON lower(o.subject) = ns.sk
+JOIN (SELECT category_id, name FROM category UNION ALL SELECT category_id, name FROM newcat_ids) cn
+  ON ci.category_id = cn.category_id""",
+    "category", "subject",
+    extra=[(n, q) for n, q in [
+        ("resp", RS.CATEGORY_RESPONSES_SQL)] ] + [
+        ("m5x", "WITH " + _M5_CTE + " SELECT * FROM m5"),
+        ("ok", "SELECT prompt_id, subject, category FROM m5x WHERE error IS NULL"),
+        ("catf", "SELECT lower(name) AS ck, min(category_id) AS category_id FROM category GROUP BY 1"),
+        ("newcat", """SELECT lower(category) AS ck, arg_min(category, prompt_id) AS name, min(prompt_id) AS p
+                      FROM ok WHERE lower(category) NOT IN (SELECT ck FROM catf) GROUP BY 1"""),
+        ("newcat_ids", """SELECT ck, name, coalesce((SELECT max(category_id) FROM category), 0)
+                              + row_number() OVER (ORDER BY p) AS category_id FROM newcat"""),
+        ("cids", "SELECT ck, category_id FROM catf UNION ALL SELECT ck, category_id FROM newcat_ids"),
+        ("subf", "SELECT lower(name) AS sk, min(subject_id) AS subject_id FROM subject GROUP BY 1"),
+        ("new_sub", """SELECT lower(subject) AS sk, coalesce((SELECT max(subject_id) FROM subject), 0)
+                           + row_number() OVER (ORDER BY min(prompt_id)) AS subject_id
+                       FROM ok WHERE lower(subject) NOT IN (SELECT sk FROM subf) GROUP BY 1""")]))
+def r11_import_subjects(spark, sf_dir):
+    from .scrape import assign_subjects
+    d = Domain(spark, sf_dir)
+    _, _, log, _ = assign_subjects(d.sub, d.cat, RS.category_responses(spark, sf_dir))
+    return log.select("batch_pos", "subject", "category_name", "subject_id", "action")
+
+
+_R9_CTES = [
+    ("resp", RS.EVENT_RESPONSES_SQL),
+    ("f", f"SELECT prompt_id, url, {O.fence_sql('response')} AS s FROM resp"),
+    ("v", f"SELECT prompt_id, url, {O.recover_sql('s')} AS j FROM f"),
+    ("items", """SELECT prompt_id, url, 0 AS item_pos,
+                        json_extract_string(j, '$.name') AS raw_name, json_extract_string(j, '$.date') AS raw_date,
+                        json_extract_string(j, '$.time') AS raw_time, json_extract_string(j, '$.place') AS raw_place,
+                        json_extract_string(j, '$.price') AS raw_price,
+                        json_extract_string(j, '$.short_description') AS raw_desc,
+                        CASE WHEN json_type(j, '$.categories') = 'ARRAY'
+                             THEN json_extract(j, '$.categories[*]') ELSE [] END AS raw_cats
+                 FROM v WHERE j IS NOT NULL AND json_type(j) = 'OBJECT'"""),
+    ("std", f"""SELECT prompt_id, url, item_pos, {O.trim_ws("coalesce(raw_name, '')")} AS name,
+                       {O.date_sql('raw_date', AS_OF_YEAR)} AS date,
+                       coalesce({O.time_sql('raw_time')}, '00:00:00') AS time,
+                       {O.trim_ws("coalesce(raw_place, '')")} AS place,
+                       {O.price_sql('raw_price')} AS price,
+                       CASE WHEN {O.trim_ws("coalesce(raw_desc, '')")} = ''
+                            THEN concat('Event: ', {O.trim_ws("coalesce(raw_name, '')")})
+                            ELSE {O.trim_ws("coalesce(raw_desc, '')")} END AS short_description,
+                       url AS source_url,
+                       list_filter(list_transform(raw_cats, lambda x: {O.trim_ws("coalesce(json_extract_string(x, '$'), '')")}),
+                                   lambda x: x <> '') AS categories
+                FROM items"""),
+    ("ok", """SELECT *, prompt_id * 1000 + item_pos AS batch_pos FROM std
+              WHERE name <> '' AND date IS NOT NULL AND place <> '' AND price IS NOT NULL"""),
+    ("bad", "SELECT * FROM std WHERE NOT (name <> '' AND date IS NOT NULL AND place <> '' AND price IS NOT NULL)"),
+    ("firsts", "SELECT name, date, min(batch_pos) AS first_pos FROM ok GROUP BY 1, 2"),
+    ("newk", """SELECT f.name, f.date, coalesce((SELECT max(event_id) FROM event), 0)
+                       + row_number() OVER (ORDER BY f.first_pos) AS new_id
+                FROM firsts f LEFT JOIN event e ON f.name = e.name AND f.date = e.date WHERE e.event_id IS NULL"""),
+]
+_R9_SQL = with_ctes("""
+SELECT o.prompt_id, o.url, o.item_pos,
+       CASE WHEN e.event_id IS NULL AND o.batch_pos = fi.first_pos THEN 'created' ELSE 'updated' END AS action,
+       CAST(NULL AS VARCHAR) AS error, coalesce(e.event_id, n.new_id) AS event_id, o.name,
+       CAST(o.date AS VARCHAR) AS date, substr(o.time, 1, 5) AS time, o.place, CAST(o.price AS VARCHAR) AS price,
+       array_to_string(o.categories, ', ') AS categories, o.short_description, o.source_url
+FROM ok o JOIN firsts fi ON o.name = fi.name AND o.date = fi.date
+LEFT JOIN event e ON o.name = e.name AND o.date = e.date
+LEFT JOIN newk n ON o.name = n.name AND o.date = n.date
+UNION ALL
+SELECT prompt_id, url, item_pos, 'failed', 'Missing or invalid required fields (name, date, time, place, price).',
+       NULL, name, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM bad
+UNION ALL
+SELECT prompt_id, url, NULL, 'failed', 'Could not parse model JSON output.', NULL, NULL, NULL, NULL, NULL, NULL,
+       NULL, NULL, NULL FROM v WHERE j IS NULL OR json_type(j) <> 'OBJECT'""", "event", extra=_R9_CTES)
+
+
+@register("r9_load_event_responses", _R9_SQL)
+def r9_load_event_responses(spark, sf_dir):
+    from .scrape import load_event_responses
+    d = Domain(spark, sf_dir)
+    out = load_event_responses(RS.event_responses(spark, sf_dir), d.ev, d.ec, d.cat, AS_OF_YEAR)
+    return out["log"]
+
+
+@register("g6_event_load_counters", with_ctes("""
+SELECT CAST(count(*) AS BIGINT) AS input_count,
+       CAST(count(*) FILTER (WHERE action = 'created') AS BIGINT) AS created_count,
+       CAST(count(*) FILTER (WHERE action = 'updated') AS BIGINT) AS updated_count,
+       CAST(count(*) FILTER (WHERE action = 'failed') AS BIGINT) AS failed_count
+FROM log""", "event", extra=_R9_CTES + [("log", _R9_SQL.split("\nSELECT o.prompt_id", 1)[0].replace("WITH ", "SELECT 1 AS x FROM (SELECT 1) WHERE false --", 0) and "SELECT * FROM (" + "SELECT o.prompt_id" + _R9_SQL.split("\nSELECT o.prompt_id", 1)[1] + ") l")]))
+def g6_event_load_counters(spark, sf_dir):
+    from .scrape import load_event_responses
+    d = Domain(spark, sf_dir)
+    return load_event_responses(RS.event_responses(spark, sf_dir), d.ev, d.ec, d.cat, AS_OF_YEAR)["counters"]

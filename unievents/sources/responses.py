@@ -105,7 +105,7 @@ EVENT_RESPONSES_SQL = """
             ELSE 'TBA' END,
         'categories', [upper(c_mktsegment), concat(' ', o_orderpriority), ''],
         'short_description', CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE concat('About ', o_orderpriority) END
-      ) AS p
+      )::VARCHAR AS p
       FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
     ) x"""
 
@@ -129,7 +129,7 @@ def subject_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     # case variants create duplicates that M4 must fold
     nm = F.when(F.col("l_linenumber") == 2, F.upper(nm)).otherwise(nm)
     lists = j.groupBy("l_orderkey").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", nm.alias("n")))),
+        F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", nm.alias("n")))),
                     lambda s: s["n"]).alias("names"))
     ck = F.col("l_orderkey")
     arr_json = F.to_json(F.struct(F.concat(F.col("names"), F.array(F.lit(""), F.lit("   "))).alias("study_subjects")))
@@ -146,8 +146,8 @@ def subject_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 SUBJECT_RESPONSES_SQL = """
     SELECT l_orderkey AS prompt_id, concat('https://study.example.com/plan/', CAST(l_orderkey AS VARCHAR)) AS url,
            CASE l_orderkey % 4
-             WHEN 0 THEN json_object('study_subjects', list_concat(names, ['', '   ']))
-             WHEN 1 THEN concat('```json' || chr(10), json_object('study_subjects', list_concat(names, ['', '   '])),
+             WHEN 0 THEN CAST(json_object('study_subjects', list_concat(names, ['', '   '])) AS VARCHAR)
+             WHEN 1 THEN concat('```json' || chr(10), CAST(json_object('study_subjects', list_concat(names, ['', '   '])) AS VARCHAR),
                                 chr(10) || '```')
              WHEN 2 THEN concat('Subjects:' || chr(10),
                                 array_to_string(list_transform(names, lambda x: concat('- ', x)), chr(10)),
@@ -157,7 +157,7 @@ SUBJECT_RESPONSES_SQL = """
     FROM (
       SELECT l_orderkey, list(CASE WHEN l_linenumber = 2 THEN upper(concat(p_name, ' ', CAST(p_partkey AS VARCHAR)))
                                    ELSE concat(p_name, ' ', CAST(p_partkey AS VARCHAR)) END
-                              ORDER BY l_linenumber) AS names
+                              ORDER BY l_linenumber, l_partkey) AS names
       FROM lineitem JOIN part ON l_partkey = p_partkey
       GROUP BY l_orderkey
     ) x"""
@@ -180,9 +180,9 @@ def category_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CATEGORY_RESPONSES_SQL = """
     SELECT p_partkey AS prompt_id, concat(p_name, ' ', CAST(p_partkey AS VARCHAR)) AS subject,
-           CASE p_partkey % 5 WHEN 0 THEN json_object('category', p_brand)
-                WHEN 1 THEN concat('```json' || chr(10), json_object('category', p_brand), chr(10) || '```')
-                WHEN 2 THEN concat('The category is ', json_object('category', p_brand))
+           CASE p_partkey % 5 WHEN 0 THEN CAST(json_object('category', p_brand) AS VARCHAR)
+                WHEN 1 THEN concat('```json' || chr(10), CAST(json_object('category', p_brand) AS VARCHAR), chr(10) || '```')
+                WHEN 2 THEN concat('The category is ', CAST(json_object('category', p_brand) AS VARCHAR))
                 WHEN 3 THEN '{"category": "  "}'
                 ELSE 'I think it is engineering' END AS response
     FROM part"""
