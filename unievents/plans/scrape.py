@@ -19,6 +19,7 @@ from ..operators.events import split_events, standardize_event_items
 from ..operators.prompts import (EVENT_LIST_TEMPLATE, SUBJECTS_TEMPLATE, event_prompt,
                                  prompt_column)
 from ..operators.responses import response_category, response_events, response_subjects
+from ..session import ensure_checkpoint_dir
 from ..operators.writes import (import_subjects, set_event_categories, touch_urls, upsert_events,
                                 upsert_urls)
 
@@ -95,7 +96,10 @@ def load_event_responses(responses: DataFrame, ev: DataFrame, ec: DataFrame, cat
     and per unparsable response: prompt_id, url, action created/updated/failed, error,
     event_id and the standardised fields) and counters (G6)."""
     items, bad = response_events(responses, per_link=per_link)
-    std = standardize_event_items(items, as_of_year)
+    # parse + standardise once: the upsert, id assignment, bridge update and log all read
+    # it, so the lineage is cut with a reliable checkpoint in the shared checkpoint dir
+    ensure_checkpoint_dir(responses.sparkSession)
+    std = standardize_event_items(items, as_of_year).checkpoint()
     ok, failed = split_events(std)
     pos = ok.withColumn("batch_pos", F.col("prompt_id") * 1000 + F.col("item_pos"))
     next_ev, log = upsert_events(ev, pos)
@@ -157,7 +161,8 @@ def load_subject_responses(responses: DataFrame) -> DataFrame:
 def assign_subjects(sub: DataFrame, cat: DataFrame, category_responses: DataFrame):
     """Category replies (prompt_id, subject, response) -> M5 -> W7 import.
     Returns (next_sub, next_cat, log, failed)."""
-    ok, failed = response_category(category_responses)
+    ensure_checkpoint_dir(category_responses.sparkSession)
+    ok, failed = response_category(category_responses.checkpoint())
     batch = ok.select(F.col("prompt_id").alias("batch_pos"), "subject", "category")
     next_sub, next_cat, log = import_subjects(sub, cat, batch)
     return next_sub, next_cat, log, failed.select("prompt_id", "subject", "error")
