@@ -580,3 +580,151 @@ def g6_event_load_counters(spark, sf_dir):
     from .scrape import load_event_responses
     d = Domain(spark, sf_dir)
     return load_event_responses(RS.event_responses(spark, sf_dir), d.ev, d.ec, d.cat, AS_OF_YEAR)["counters"]
+
+
+# ---------------------------------------------------------------------------------------
+# Writes (W1, W6, W9, W12, W13): request batches derived from the `events` table
+# ---------------------------------------------------------------------------------------
+_W1_BATCH_SQL = """SELECT event_id AS batch_pos, event_type AS name, CAST(ts AS DATE) AS date,
+                          strftime(ts, '%H:%M:%S') AS time, concat('User ', CAST(user_id AS VARCHAR)) AS place,
+                          props AS short_description FROM events"""
+_W1_CTES = [("batch", _W1_BATCH_SQL),
+            ("firsts", "SELECT name, date, min(batch_pos) AS first_pos FROM batch GROUP BY 1, 2"),
+            ("newk", """SELECT f.name, f.date, coalesce((SELECT max(event_id) FROM event), 0)
+                               + row_number() OVER (ORDER BY f.first_pos) AS new_id
+                        FROM firsts f LEFT JOIN event e ON f.name = e.name AND f.date = e.date
+                        WHERE e.event_id IS NULL"""),
+            ("last", """SELECT * FROM (SELECT b.*, row_number() OVER (PARTITION BY name, date ORDER BY batch_pos DESC) AS rn
+                                       FROM batch b) z WHERE rn = 1""")]
+
+
+def _w1_batch(spark, sf_dir):
+    e = T.load_table(spark, sf_dir, "events")
+    return e.select(F.col("event_id").alias("batch_pos"), F.col("event_type").alias("name"),
+                    F.col("ts").cast("date").alias("date"), F.date_format("ts", "HH:mm:ss").alias("time"),
+                    F.concat(F.lit("User "), F.col("user_id").cast("string")).alias("place"),
+                    F.lit(None).cast("decimal(10,2)").alias("price"),
+                    F.col("props").alias("short_description"), F.lit("").alias("source_url"))
+
+
+@register("w1_upsert_events_log", with_ctes("""
+SELECT b.batch_pos, b.name, CAST(b.date AS VARCHAR) AS date, coalesce(e.event_id, n.new_id) AS event_id,
+       CASE WHEN e.event_id IS NULL AND b.batch_pos = f.first_pos THEN 'created' ELSE 'updated' END AS action
+FROM batch b JOIN firsts f ON b.name = f.name AND b.date = f.date
+LEFT JOIN event e ON b.name = e.name AND b.date = e.date
+LEFT JOIN newk n ON b.name = n.name AND b.date = n.date""", "event", extra=_W1_CTES))
+def w1_upsert_events_log(spark, sf_dir):
+    from ..operators.writes import upsert_events
+    d = Domain(spark, sf_dir)
+    _, log = upsert_events(d.ev, _w1_batch(spark, sf_dir))
+    return log.select("batch_pos", "name", F.col("date").cast("string").alias("date"), "event_id", "action")
+
+
+@register("w1_upsert_events_next", with_ctes("""
+SELECT event_id, name, CAST(date AS VARCHAR) AS date, time, place, short_description FROM event e
+WHERE NOT EXISTS (SELECT 1 FROM last l WHERE l.name = e.name AND l.date = e.date)
+UNION ALL
+SELECT coalesce(e.event_id, n.new_id), l.name, CAST(l.date AS VARCHAR), l.time, l.place, l.short_description
+FROM last l LEFT JOIN event e ON l.name = e.name AND l.date = e.date
+LEFT JOIN newk n ON l.name = n.name AND l.date = n.date""", "event", extra=_W1_CTES))
+def w1_upsert_events_next(spark, sf_dir):
+    from ..operators.writes import upsert_events
+    d = Domain(spark, sf_dir)
+    nxt, _ = upsert_events(d.ev, _w1_batch(spark, sf_dir))
+    return nxt.select("event_id", "name", F.col("date").cast("string").alias("date"), "time", "place",
+                      "short_description")
+
+
+@register("w3_reject_duplicates_log", with_ctes("""
+SELECT b.batch_pos, b.name, CAST(b.date AS VARCHAR) AS date,
+       CASE WHEN e.event_id IS NULL AND b.batch_pos = f.first_pos THEN 'created' ELSE 'rejected' END AS action
+FROM batch b JOIN firsts f ON b.name = f.name AND b.date = f.date
+LEFT JOIN event e ON b.name = e.name AND b.date = e.date""", "event", extra=_W1_CTES))
+def w3_reject_duplicates_log(spark, sf_dir):
+    from ..operators.writes import upsert_events
+    d = Domain(spark, sf_dir)
+    _, log = upsert_events(d.ev, _w1_batch(spark, sf_dir), on_duplicate="reject")
+    return log.select("batch_pos", "name", F.col("date").cast("string").alias("date"), "action")
+
+
+@register("w6_update_interest_log", with_ctes(f"""
+SELECT b.batch_pos, TRY_CAST(b.subject_id AS BIGINT) AS subject_id, s.name AS subject_name,
+       TRY_CAST(b.interest AS INTEGER) AS interest,
+       CASE WHEN err IS NULL THEN 'updated' ELSE 'failed' END AS action, err AS error
+FROM (SELECT b.*, CASE
+        WHEN b.subject_id IS NULL OR b.interest IS NULL THEN 'subject_id and interest are required'
+        WHEN TRY_CAST(b.interest AS INTEGER) IS NULL THEN 'Interest must be a number'
+        WHEN TRY_CAST(b.interest AS INTEGER) NOT BETWEEN 1 AND 5 THEN 'Interest must be between 1 and 5'
+        WHEN s.subject_id IS NULL THEN 'Subject not found'
+        WHEN m.subject_id IS NULL THEN 'Student-subject relation not found' END AS err
+      FROM batch b LEFT JOIN subject s ON TRY_CAST(b.subject_id AS BIGINT) = s.subject_id
+      LEFT JOIN (SELECT subject_id FROM student_subject WHERE student_id = {DEFAULT_STUDENT}) m
+        ON TRY_CAST(b.subject_id AS BIGINT) = m.subject_id) b
+LEFT JOIN subject s ON TRY_CAST(b.subject_id AS BIGINT) = s.subject_id""",
+    "subject", "student_subject",
+    extra=[("batch", """SELECT event_id AS batch_pos, CAST(user_id * 13 AS VARCHAR) AS subject_id,
+                               json_extract_string(props, '$.k') AS interest FROM events""")]))
+def w6_update_interest_log(spark, sf_dir):
+    from ..operators.writes import update_interest
+    d = Domain(spark, sf_dir)
+    e = T.load_table(spark, sf_dir, "events")
+    batch = e.select(F.col("event_id").alias("batch_pos"), F.lit(True).alias("is_object"),
+                     (F.col("user_id") * 13).cast("string").alias("subject_id"),
+                     F.get_json_object("props", "$.k").alias("interest"))
+    _, log = update_interest(d.ss, d.sub, batch, DEFAULT_STUDENT)
+    return log
+
+
+@register("w9_insert_categories_log", with_ctes("""
+SELECT b.batch_pos, b.name, coalesce(n.category_id, c.category_id) AS category_id,
+       CASE WHEN c.category_id IS NULL AND b.batch_pos = f.first_pos THEN 'created' ELSE 'rejected' END AS action,
+       CASE WHEN c.category_id IS NULL AND b.batch_pos = f.first_pos THEN NULL ELSE 'Category already exists' END AS reason
+FROM batch b JOIN firsts f ON b.name = f.name
+LEFT JOIN category c ON b.name = c.name
+LEFT JOIN newc n ON b.name = n.name""", "category",
+    extra=[("batch", """SELECT event_id AS batch_pos, CASE WHEN event_id % 2 = 0 THEN event_type
+                                ELSE concat('Brand#', CAST(user_id AS VARCHAR)) END AS name FROM events"""),
+           ("firsts", "SELECT name, min(batch_pos) AS first_pos FROM batch GROUP BY name"),
+           ("newc", """SELECT f.name, coalesce((SELECT max(category_id) FROM category), 0)
+                              + row_number() OVER (ORDER BY f.first_pos) AS category_id
+                       FROM firsts f WHERE f.name NOT IN (SELECT name FROM category)""")]))
+def w9_insert_categories_log(spark, sf_dir):
+    from ..operators.writes import insert_new
+    d = Domain(spark, sf_dir)
+    e = T.load_table(spark, sf_dir, "events")
+    batch = e.select(F.col("event_id").alias("batch_pos"),
+                     F.when(F.col("event_id") % 2 == 0, F.col("event_type"))
+                      .otherwise(F.concat(F.lit("Brand#"), F.col("user_id").cast("string"))).alias("name"))
+    _, log = insert_new(d.cat, batch, "name", "category_id", "Category already exists")
+    return log
+
+
+@register("w12_delete_events_log", with_ctes("""
+SELECT r.event_id, e.name, CAST(e.date AS VARCHAR) AS date,
+       CASE WHEN e.event_id IS NULL THEN 'not_found' ELSE 'deleted' END AS action
+FROM (SELECT DISTINCT user_id * 211 AS event_id FROM events) r LEFT JOIN event e ON r.event_id = e.event_id""",
+    "event"))
+def w12_delete_events_log(spark, sf_dir):
+    from ..operators.writes import delete_events
+    d = Domain(spark, sf_dir)
+    ids = T.load_table(spark, sf_dir, "events").select((F.col("user_id") * 211).alias("event_id"))
+    _, _, log = delete_events(d.ev, d.ec, ids)
+    return log.select("event_id", "name", "date", "action")
+
+
+@register("w13_purge_ended_summary", with_ctes(f"""
+SELECT (SELECT count(*) FROM ended) AS deleted_count,
+       (SELECT count(*) FROM event) - (SELECT count(*) FROM ended) AS kept_count,
+       (SELECT count(*) FROM event_category WHERE event_id NOT IN (SELECT event_id FROM ended)) AS bridge_kept""",
+    "event", "event_category",
+    extra=[("ended", f"""SELECT event_id FROM event WHERE date < DATE '{NOW[:10]}'
+                          OR (date = DATE '{NOW[:10]}' AND time < '{NOW[11:]}')""")]))
+def w13_purge_ended_summary(spark, sf_dir):
+    import datetime as dt
+
+    from ..operators.writes import purge_ended
+    d = Domain(spark, sf_dir)
+    kept, next_ec, deleted = purge_ended(d.ev, d.ec, dt.datetime.fromisoformat(NOW))
+    return deleted.agg(F.count(F.lit(1)).alias("deleted_count")) \
+        .withColumn("kept_count", kept.agg(F.count(F.lit(1))).scalar()) \
+        .withColumn("bridge_kept", next_ec.agg(F.count(F.lit(1))).scalar())
