@@ -57,3 +57,16 @@ def test_category_responses(spark):
     assert {r.prompt_id: r.category for r in ok.collect()} == {1: "IT", 4: "Law"}
     assert {r.prompt_id: r.error for r in failed.select("prompt_id", F.col("error")).collect()} == {
         2: "Could not parse model JSON output.", 3: "Model returned an empty category"}
+
+
+def test_resolve_matches_urljoin(spark):
+    from urllib.parse import urljoin
+
+    from unievents.operators.pages import resolve_href
+    bases = ["https://ex.com/base/page.html?q=1#x", "http://h.org", "http://h.org/a/b/", "https://h:8080/a/b/c",
+             "http://h.org/a//b/c"]
+    hrefs = ["/a/b?x=1#f", "../c/./d", "//cdn.x/y/../z", "g", "./g/", "..", "../..", "../../../g", "/./a/../b",
+             "?z", "#f", "", "a//b/../c", "http://o.com/a/../b", "/a//b/c/..", "g;x?y#s", ".", "../g?q", "x/", "/"]
+    rows = [(b, h) for b in bases for h in hrefs]
+    got = spark.createDataFrame(rows, "b string, h string").select(resolve_href(F.col("b"), F.col("h"))).collect()
+    assert [g[0] for g in got] == [urljoin(b, h) for b, h in rows]

@@ -1,12 +1,10 @@
-"""Page jobs over a page table (page_id, url, html). All text work is built-in
-Spark expressions; only relative links with dot segments go through a pandas UDF
-(``urljoin``), and only those rows carry data to it."""
+"""Page jobs over a page table (page_id, url, html). All text and URL work is
+built-in Spark expressions (regex, split, higher-order functions); no Python UDF."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,36 +36,47 @@ def page_links(pages: DataFrame) -> DataFrame:
                  .withColumn("href", trim_ws(decode_entities(F.col("href")))))
 
 
-@F.pandas_udf("string")
-def _urljoin_udf(base: pd.Series, href: pd.Series) -> pd.Series:
-    from urllib.parse import urljoin
-    return pd.Series([urljoin(b, h) if b is not None and h is not None else None
-                      for b, h in zip(base, href)])
+def remove_dot_segments(path: Column, drop_empty: Column | bool = False) -> Column:
+    """RFC 3986 §5.2.4 as a fold over the path's segments (the way ``urljoin`` does it):
+    '.' is skipped, '..' pops the last kept segment (never above the root), and a
+    trailing '.' or '..' leaves a trailing '/'. With ``drop_empty`` (relative
+    references) empty inner segments are dropped first."""
+    segs = F.split(path, "/")
+    n = F.size(segs)
+    drop = F.lit(drop_empty) if isinstance(drop_empty, bool) else drop_empty
+    segs = F.filter(segs, lambda x, i: ~drop | (i == 0) | (i == n - 1) | (x != ""))
+    empty = F.array().cast("array<string>")
+    kept = F.aggregate(segs, empty, lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+                       .when(x == ".", acc).otherwise(F.concat(acc, F.array(x))))
+    last = F.element_at(segs, -1)
+    kept = F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    joined = F.array_join(kept, "/")
+    joined = F.when(joined == "", F.lit("/")).otherwise(joined)
+    return F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
 
 
 def resolve_href(base: Column, href: Column) -> Column:
-    """Resolve ``href`` against the page URL (RFC 3986 reference resolution).
-    Absolute, network-path, absolute-path, query- and fragment-only references are
-    resolved with string expressions; relative paths merge with the base directory.
-    References whose merged path holds '.' or '..' segments are finished by ``urljoin``
-    in a pandas UDF that receives NULL for every other row."""
+    """Resolve ``href`` against the page URL like ``urljoin``: absolute and
+    network-path references are kept; query- and fragment-only references replace
+    those parts of the base; absolute-path and relative references take the base's
+    origin, the relative ones merged with the base directory, and their path has its
+    dot segments removed (``remove_dot_segments``). All JVM-side."""
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
     origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     no_frag = F.regexp_replace(base, r"#.*$", "")
     no_query = F.regexp_replace(no_frag, r"\?.*$", "")
-    base_dir = F.regexp_replace(no_query, r"[^/]*$", "")
-    base_dir = F.when(url_path(base) == "", F.concat(origin, F.lit("/"))).otherwise(base_dir)
-    simple = (F.when(F.regexp_like(href, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:")), href)
-               .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-               .when(href.startswith("/"), F.concat(origin, href))
-               .when(href == "", base)
-               .when(href.startswith("?"), F.concat(no_query, href))
-               .when(href.startswith("#"), F.concat(no_frag, href))
-               .otherwise(F.concat(base_dir, href)))
-    path = url_path(simple)
-    dotted = F.regexp_like(path, F.lit(r"(^|/)\.\.?(/|$)"))
-    fixed = _urljoin_udf(F.when(dotted, base), F.when(dotted, href))
-    return F.when(dotted, fixed).otherwise(simple)
+    base_path = url_path(base)
+    base_dir = F.regexp_replace(F.when(base_path == "", F.lit("/")).otherwise(base_path), r"[^/]*$", "")
+    ref_path = F.regexp_extract(href, r"^([^?#]*)", 1)
+    ref_tail = F.regexp_extract(href, r"^[^?#]*(.*)$", 1)
+    merged = F.when(href.startswith("/"), ref_path).otherwise(F.concat(base_dir, ref_path))
+    pathy = F.concat(origin, remove_dot_segments(merged, ~href.startswith("/")), ref_tail)
+    return (F.when(F.regexp_like(href, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:")), href)
+             .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
+             .when(href == "", base)
+             .when(href.startswith("?"), F.concat(no_query, href))
+             .when(href.startswith("#"), F.concat(no_frag, href))
+             .otherwise(pathy))
 
 
 def resolve_links(links: DataFrame) -> DataFrame:
