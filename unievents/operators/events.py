@@ -38,13 +38,15 @@ def standardize_event_items(items: DataFrame, as_of_year: int, scrape_path: bool
     """D1-D5 over raw string columns ``raw_name, raw_date, raw_time, raw_place,
     raw_price, raw_short_description, raw_source_url`` plus ``source`` and ``city``.
     Adds typed ``name, date, time, place, price, short_description, source_url``."""
-    name = _s("raw_name")
-    place = _s("raw_place")
+    # trimmed fields are materialised once; later expressions read the columns
+    items = items.select("*", *[_s(c).alias(f"_{c}") for c in ("raw_name", "raw_place", "raw_short_description")])
+    name = F.col("_raw_name")
+    place = F.col("_raw_place")
     source = F.coalesce(F.col("source"), F.lit("other")) if "source" in items.columns else F.lit("other")
     city = F.coalesce(F.col("city"), F.lit("")) if "city" in items.columns else F.lit("")
     place_default = (F.when(source == "litexpo", F.lit(LITEXPO_PLACE))
                       .when((source == "meetup") & (city != ""), city).otherwise(F.lit("")))
-    desc = _s("raw_short_description")
+    desc = F.col("_raw_short_description")
     if scrape_path:
         desc = F.when(desc == "", F.concat(F.lit("Event: "), name)).otherwise(desc)
     dated = with_standard_date(items, "raw_date", "date", as_of_year)
@@ -56,7 +58,7 @@ def standardize_event_items(items: DataFrame, as_of_year: int, scrape_path: bool
         standardize_price(F.col("raw_price")).alias("price"),
         desc.alias("short_description"),
         F.coalesce(F.col("raw_source_url"), F.lit("")).alias("source_url"),
-    )
+    ).drop("_raw_name", "_raw_place", "_raw_short_description")
 
 
 def split_events(std: DataFrame) -> tuple[DataFrame, DataFrame]:

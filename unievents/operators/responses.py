@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import casefold_key, trim_ws
+from ..session import ensure_checkpoint_dir
 
 # ---- fixed values -------------------------------------------------------------------
 # Lines/items that are fragments of the JSON envelope, not subject names.
@@ -32,6 +33,21 @@ def strip_fence(raw: Column) -> Column:
     return F.when(s.startswith("```"), untagged).otherwise(s)
 
 
+def with_recovered_json(df: DataFrame, text_col: str, text_out: str = "_s", json_out: str = "_v") -> DataFrame:
+    """M1 as DataFrame steps: the trimmed text, the fence-stripped text and the parsed
+    VARIANT are materialised one after another, so each regex runs once per row
+    (inlined into one expression they would be re-evaluated in every branch)."""
+    t = df.withColumn("_t", trim_ws(F.col(text_col)))
+    t = t.withColumn("_bare", F.when(F.col("_t").startswith("```"), F.regexp_replace("_t", r"^`+|`+$", "")))
+    t = t.withColumn(text_out, F.when(F.col("_bare").isNull(), F.col("_t"))
+                     .when(F.lower("_bare").startswith("json"), trim_ws(F.substring("_bare", 5, 1 << 30)))
+                     .otherwise(F.col("_bare")))
+    t = t.withColumn("_p1", F.try_parse_json(F.col(text_out)))
+    t = t.withColumn(json_out, F.when(F.col("_p1").isNotNull(), F.col("_p1"))
+                     .otherwise(F.try_parse_json(brace_slice(F.col(text_out)))))
+    return t.drop("_t", "_bare", "_p1")
+
+
 def brace_slice(s: Column) -> Column:
     """Text from the first '{' to the last '}' (NULL unless both exist in that order)."""
     start = F.instr(s, "{")
@@ -56,8 +72,8 @@ def response_subjects(df: DataFrame, text_col: str = "response", id_col: str = "
     object holding one, else every non-blank line stripped of '-', '•', space and tab;
     then strings only, trimmed, blanks and envelope fragments dropped, and duplicates
     removed case-insensitively keeping the first spelling."""
-    s = strip_fence(F.col(text_col))
-    v = recover_json(F.col(text_col))
+    rec = with_recovered_json(df, text_col)
+    s, v = F.col("_s"), F.col("_v")
     arr = F.when(is_object(v), F.try_variant_get(v, "$.study_subjects", "array<variant>"))
     from_json = F.transform(arr, lambda x: F.when(F.schema_of_variant(x) == "STRING",
                                                   F.variant_get(x, "$", "string")))
@@ -65,7 +81,7 @@ def response_subjects(df: DataFrame, text_col: str = "response", id_col: str = "
                         lambda x: F.regexp_replace(x, r"^[-• \t]+|[-• \t]+$", ""))
     from_lines = F.filter(lines, lambda x: x != "")
     items = F.when(arr.isNotNull(), from_json).otherwise(from_lines)
-    exploded = df.select(F.col(id_col), F.posexplode(items).alias("pos", "raw_name"))
+    exploded = rec.select(F.col(id_col), F.posexplode(items).alias("pos", "raw_name"))
     return normalize_subjects(exploded, id_col)
 
 
@@ -85,13 +101,15 @@ def response_category(df: DataFrame, text_col: str = "response") -> tuple[DataFr
     """M5: category name from a classification reply: fence-stripped, cut to the brace
     slice when there is one, parsed; ``category`` trimmed. Unparsable or empty replies
     are failure rows with a reason."""
-    s = strip_fence(F.col(text_col))
-    body = F.coalesce(brace_slice(s), s)
-    v = F.try_parse_json(body)
-    raw_cat = F.when(is_object(v), F.try_variant_get(v, "$.category", "string"))
-    cat = trim_ws(F.coalesce(raw_cat, F.lit("")))
-    tagged = df.withColumn("category", cat).withColumn(
-        "error", F.when(~is_object(v), F.lit(PARSE_ERROR)).when(cat == "", F.lit(EMPTY_CATEGORY)))
+    t = df.withColumn("_s", strip_fence(F.col(text_col)))
+    t = t.withColumn("_v", F.try_parse_json(F.coalesce(brace_slice(F.col("_s")), F.col("_s"))))
+    t = t.withColumn("_obj", is_object(F.col("_v")))
+    t = t.withColumn("category", trim_ws(F.coalesce(
+        F.when(F.col("_obj"), F.try_variant_get(F.col("_v"), "$.category", "string")), F.lit(""))))
+    ensure_checkpoint_dir(df.sparkSession)
+    tagged = t.withColumn("error", F.when(~F.col("_obj"), F.lit(PARSE_ERROR))
+                          .when(F.col("category") == "", F.lit(EMPTY_CATEGORY))) \
+              .drop("_s", "_v", "_obj").checkpoint()
     ok = tagged.where(F.col("error").isNull()).drop("error")
     failed = tagged.where(F.col("error").isNotNull()).drop("category")
     return ok, failed
@@ -113,8 +131,11 @@ def response_events(df: DataFrame, per_link: bool = True, text_col: str = "respo
     with an ``events`` array whose non-object items are skipped.
     Returns (items, failed): items carry the raw fields as strings plus ``categories``
     (strings of a list, else empty) and ``item_pos``; failed rows carry the reason."""
-    v = recover_json(F.col(text_col))
-    base = df.withColumn("_v", v)
+    # The parsed table is checkpointed (shared checkpoint dir): splitting it into good
+    # and failed rows filters on the VARIANT, and without the cut the optimizer pushes
+    # those filters through the parsing steps, re-inlining the whole parse per branch.
+    ensure_checkpoint_dir(df.sparkSession)
+    base = with_recovered_json(df, text_col).drop("_s").checkpoint()
     if per_link:
         good = base.where(is_object(F.col("_v"))).withColumn("item_pos", F.lit(0)) \
                    .withColumn("_item", F.col("_v"))
