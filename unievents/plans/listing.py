@@ -41,3 +41,21 @@ def student_subjects(sub: DataFrame, cat: DataFrame, ss: DataFrame, student_id:
     out = rows.select("subject_id", "name", "category_id", "category_name", "interest",
                       interest_label(F.col("interest")).alias("interest_description"))
     return by_name(_with_total(out).withColumnRenamed("total", "total_subjects"))
+
+
+def event_detail(ev: DataFrame, ec: DataFrame, ss: DataFrame, sub: DataFrame, student_id: int) -> DataFrame:
+    """Events with their topics (D10), the student's subject names (J9) and the
+    explanation prompt (P15). The student's names are one scalar subquery, attached to
+    every event row without a join."""
+    from ..functions.standardize import event_topics
+    from ..operators.prompts import EXPLAIN_TEMPLATE, NO_SUBJECTS_TEXT, prompt_column
+    mine = ss.where(F.col("student_id") == F.lit(student_id)).join(sub.select("subject_id", "name"), "subject_id")
+    names = mine.agg(F.array_join(F.array_sort(F.collect_list("name")), ", ")).scalar()
+    subj = F.coalesce(F.when(F.col("student_subjects") != "", F.col("student_subjects")), F.lit(NO_SUBJECTS_TEXT))
+    rows = event_rows(ev, ec, categories_as_text=False)
+    out = rows.withColumn("topics", event_topics(F.col("short_description"), F.col("categories"))) \
+              .withColumn("student_subjects", names)
+    out = out.withColumn("student_subjects", subj)
+    return out.select("event_id", "name", "date", "time", "topics", "student_subjects",
+                      prompt_column(EXPLAIN_TEMPLATE, name=F.col("name"), topics=F.col("topics"),
+                                    subjects=F.col("student_subjects")).alias("prompt"))

@@ -728,3 +728,182 @@ def w13_purge_ended_summary(spark, sf_dir):
     return deleted.agg(F.count(F.lit(1)).alias("deleted_count")) \
         .withColumn("kept_count", kept.agg(F.count(F.lit(1))).scalar()) \
         .withColumn("bridge_kept", next_ec.agg(F.count(F.lit(1))).scalar())
+
+
+# ---------------------------------------------------------------------------------------
+# More lookups and writes: R6, G5, J8, P14, W2, W4, W5, W8, W10, W14
+# ---------------------------------------------------------------------------------------
+from ..operators import prompts as PR  # noqa: E402
+
+
+@register("r6_event_detail", with_ctes(f"""
+SELECT e.event_id, e.name, CAST(e.date AS VARCHAR) AS date, substr(e.time, 1, 5) AS time,
+       array_to_string(list_filter(list_concat([e.short_description], coalesce(c.cats, [])),
+                                   lambda x: x IS NOT NULL AND x <> ''), ', ') AS topics,
+       (SELECT s FROM subj) AS student_subjects,
+       {PR.prompt_sql(PR.EXPLAIN_TEMPLATE, name='e.name',
+                      topics="array_to_string(list_filter(list_concat([e.short_description], coalesce(c.cats, [])), lambda x: x IS NOT NULL AND x <> ''), ', ')",
+                      subjects='(SELECT s FROM subj)')} AS prompt
+FROM event e LEFT JOIN cats c ON e.event_id = c.event_id""", "event", "event_category", "student_subject", "subject",
+    extra=[("cats", "SELECT event_id, list_sort(list(DISTINCT category_name)) AS cats FROM event_category GROUP BY 1"),
+           ("subj", f"""SELECT coalesce(array_to_string(list_sort(list(s.name)), ', '), {_lit(PR.NO_SUBJECTS_TEXT)}) AS s
+                       FROM student_subject ss JOIN subject s ON ss.subject_id = s.subject_id
+                       WHERE ss.student_id = {DEFAULT_STUDENT}""")]))
+def r6_event_detail(spark, sf_dir):
+    from .listing import event_detail
+    d = Domain(spark, sf_dir)
+    return event_detail(d.ev, d.ec, d.ss, d.sub, DEFAULT_STUDENT)
+
+
+@register("g5_categories_used", with_ctes(
+    "SELECT student_id, array_to_string(list_sort(list(category_key)), ', ') AS categories_used FROM interest GROUP BY 1",
+    "interest"))
+def g5_categories_used(spark, sf_dir):
+    from ..operators.aggregates import categories_used
+    from .recommend import student_category_interest
+    d = Domain(spark, sf_dir)
+    return categories_used(student_category_interest(d.ss, d.sub, d.cat)).select(
+        "student_id", F.array_join("categories_used", ", ").alias("categories_used"))
+
+
+@register("j8_resolve_names", _M2_SQL + f""",
+subj AS (SELECT lower({O.trim_ws('name')}) AS k, min(subject_id) AS subject_id FROM (
+           SELECT p_partkey AS subject_id, concat(p_name, ' ', CAST(p_partkey AS VARCHAR)) AS name FROM part) z GROUP BY 1)
+SELECT n.prompt_id, n.pos, n.name, s.subject_id FROM names n LEFT JOIN subj s ON lower({O.trim_ws('n.name')}) = s.k""")
+def j8_resolve_names(spark, sf_dir):
+    from ..operators.joins import resolve_names
+    from ..operators.responses import response_subjects
+    d = Domain(spark, sf_dir)
+    return resolve_names(response_subjects(RS.subject_responses(spark, sf_dir)), d.sub) \
+        .select("prompt_id", "pos", "name", "subject_id")
+
+
+@register("p14_validate_requests", f"""
+SELECT request_id, url,
+       CASE WHEN fs IS NULL OR ts IS NULL THEN 'Fields ''fromSemester'' and ''toSemester'' are required.'
+            WHEN TRY_CAST(fs AS INTEGER) IS NULL OR TRY_CAST(ts AS INTEGER) IS NULL THEN 'fromSemester and toSemester must be numbers.'
+            WHEN TRY_CAST(fs AS INTEGER) < 1 OR TRY_CAST(ts AS INTEGER) < 1 THEN 'fromSemester and toSemester must be at least 1.'
+            WHEN TRY_CAST(fs AS INTEGER) > 8 OR TRY_CAST(ts AS INTEGER) > 8 THEN 'fromSemester and toSemester must be at most 8.'
+            WHEN TRY_CAST(fs AS INTEGER) > TRY_CAST(ts AS INTEGER) THEN 'fromSemester cannot be greater than toSemester.'
+            WHEN url = '' THEN 'Field ''url'' is required.'
+            WHEN NOT (starts_with(url, 'http://') OR starts_with(url, 'https://')) THEN 'URL must start with http:// or https://.'
+       END AS reason
+FROM (SELECT page_id AS request_id,
+             CASE WHEN page_id % 7 = 3 THEN replace(url, 'http', 'ftp') ELSE url END AS url,
+             CASE WHEN page_id % 13 = 5 THEN NULL WHEN page_id % 17 = 2 THEN 'one'
+                  ELSE CAST(page_id % 10 - 1 AS VARCHAR) END AS fs,
+             CAST((page_id * 7) % 10 AS VARCHAR) AS ts FROM pages) r""")
+def p14_validate_requests(spark, sf_dir):
+    from ..operators.pages import validate_semesters, validate_urls
+    pg = T.load_table(spark, sf_dir, "pages")
+    k = F.col("page_id")
+    req = pg.select(k.alias("request_id"),
+                    F.when(k % 7 == 3, F.replace("url", F.lit("http"), F.lit("ftp"))).otherwise(F.col("url")).alias("url"),
+                    F.when(k % 13 == 5, F.lit(None).cast("string")).when(k % 17 == 2, F.lit("one"))
+                     .otherwise((k % 10 - 1).cast("string")).alias("from_semester"),
+                    ((k * 7) % 10).cast("string").alias("to_semester"))
+    ok, bad_sem = validate_semesters(req)
+    ok2, bad_url = validate_urls(ok)
+    return ok2.select("request_id", "url", F.lit(None).cast("string").alias("reason")) \
+        .unionByName(bad_sem.select("request_id", "url", "reason")) \
+        .unionByName(bad_url.select("request_id", "url", "reason"))
+
+
+_W2_ITEMS = _R9_CTES[:4]
+
+
+@register("w2_validate_events_strict", with_ctes(f"""
+SELECT prompt_id,
+  CASE WHEN {O.trim_ws("coalesce(raw_name, '')")} = '' THEN 'Event title must not be empty'
+       WHEN NOT regexp_matches({O.trim_ws("coalesce(raw_date, '')")}, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$')
+            OR try_strptime({O.trim_ws("coalesce(raw_date, '')")}, '%Y-%m-%d') IS NULL THEN 'Event date must be in YYYY-MM-DD format'
+       WHEN NOT regexp_matches({O.trim_ws("coalesce(raw_time, '')")}, '^([01]\\d|2[0-3]):[0-5]\\d$') THEN 'Event time must be in HH:mm format'
+       WHEN len(list_filter(list_transform(raw_cats, lambda x: {O.trim_ws("coalesce(json_extract_string(x, '$'), '')")}), lambda x: x <> '')) < 1
+            THEN 'Event must have at least one category'
+       WHEN length({O.trim_ws("coalesce(raw_desc, '')")}) < 10 THEN 'Event description must be at least 10 characters long'
+       WHEN NOT regexp_matches({O.trim_ws("coalesce(raw_price, '')")}, '^\\d+(\\.\\d{{1,2}})?$')
+            THEN 'Event price must be a decimal number with up to 2 decimal places'
+  END AS error
+FROM items""", extra=_W2_ITEMS))
+def w2_validate_events_strict(spark, sf_dir):
+    from ..operators.events import validate_events
+    from ..operators.responses import response_events
+    items, _ = response_events(RS.event_responses(spark, sf_dir))
+    return validate_events(items, strict=True).select("prompt_id", "error")
+
+
+_W4_CTES = [("asg", """SELECT event_id AS batch_pos, user_id * 211 AS target,
+                              CASE WHEN value > 50 THEN [event_type, concat(' ', event_type, ' ')] ELSE [] END AS cats
+                       FROM events"""),
+            ("clean", f"""SELECT batch_pos, target, list_filter(list_transform(cats, lambda x: {O.trim_ws('x')}),
+                                                              lambda x: x <> '') AS cats FROM asg"""),
+            ("lastne", """SELECT * FROM (SELECT c.*, row_number() OVER (PARTITION BY target ORDER BY batch_pos DESC) AS rn
+                                         FROM clean c WHERE len(cats) > 0) z WHERE rn = 1""")]
+
+
+@register("w4_set_event_categories", with_ctes("""
+SELECT event_id, category_name FROM event_category WHERE event_id NOT IN (SELECT target FROM lastne)
+UNION
+SELECT target, unnest(cats) FROM lastne""", "event_category", extra=_W4_CTES))
+def w4_set_event_categories(spark, sf_dir):
+    from ..operators.writes import set_event_categories
+    d = Domain(spark, sf_dir)
+    e = T.load_table(spark, sf_dir, "events")
+    asg = e.select(F.col("event_id").alias("batch_pos"), (F.col("user_id") * 211).alias("event_id"),
+                   F.when(F.col("value") > 50, F.array("event_type", F.concat(F.lit(" "), "event_type", F.lit(" "))))
+                    .otherwise(F.array().cast("array<string>")).alias("categories"))
+    nxt, _ = set_event_categories(d.ec, d.cat, asg)
+    return nxt
+
+
+@register("w5_upsert_interest_log", with_ctes("""
+SELECT b.batch_pos, b.student_id, b.subject_id, TRY_CAST(b.interest AS INTEGER) AS interest,
+       CASE WHEN b.reason IS NOT NULL THEN 'rejected'
+            WHEN x.student_id IS NULL AND b.batch_pos = f.first_pos THEN 'created' ELSE 'updated' END AS action,
+       b.reason
+FROM (SELECT b.*, CASE WHEN b.subject_id IS NULL OR b.interest IS NULL OR b.interest IN ('0', '')
+                           THEN 'subject_id and interest are required'
+                       WHEN TRY_CAST(b.interest AS INTEGER) IS NULL THEN 'Interest must be a number'
+                       WHEN TRY_CAST(b.interest AS INTEGER) NOT BETWEEN 1 AND 5 THEN 'Interest must be between 1 and 5'
+                       WHEN s.subject_id IS NULL THEN 'Subject not found' END AS reason
+      FROM batch b LEFT JOIN subject s ON b.subject_id = s.subject_id) b
+LEFT JOIN student_subject x ON b.student_id = x.student_id AND b.subject_id = x.subject_id
+LEFT JOIN (SELECT student_id, subject_id, min(batch_pos) AS first_pos FROM batch b2
+           WHERE TRY_CAST(interest AS INTEGER) BETWEEN 1 AND 5 AND subject_id IN (SELECT subject_id FROM subject)
+           GROUP BY 1, 2) f ON b.student_id = f.student_id AND b.subject_id = f.subject_id""",
+    "subject", "student_subject",
+    extra=[("batch", """SELECT event_id AS batch_pos, user_id AS student_id, (event_id % 3000) AS subject_id,
+                               json_extract_string(props, '$.k') AS interest FROM events""")]))
+def w5_upsert_interest_log(spark, sf_dir):
+    from ..operators.writes import upsert_interest
+    d = Domain(spark, sf_dir)
+    e = T.load_table(spark, sf_dir, "events")
+    batch = e.select(F.col("event_id").alias("batch_pos"), F.col("user_id").alias("student_id"),
+                     (F.col("event_id") % 3000).alias("subject_id"),
+                     F.get_json_object("props", "$.k").alias("interest"))
+    _, log = upsert_interest(d.ss, d.sub, batch)
+    return log
+
+
+@register("w14_delete_cascade_counts", with_ctes("""
+SELECT (SELECT count(*) FROM category WHERE category_id NOT IN (SELECT id FROM del)) AS categories,
+       (SELECT count(*) FROM subject WHERE category_id IS NULL OR category_id NOT IN (SELECT id FROM del)) AS subjects,
+       (SELECT count(*) FROM student_subject WHERE subject_id NOT IN (
+            SELECT subject_id FROM subject WHERE category_id IN (SELECT id FROM del))
+          AND student_id NOT IN (SELECT sid FROM dels)) AS ratings,
+       (SELECT count(*) FROM student WHERE student_id NOT IN (SELECT sid FROM dels)) AS students""",
+    "category", "subject", "student_subject", "student",
+    extra=[("del", "SELECT DISTINCT user_id AS id FROM events WHERE event_type = 'error'"),
+           ("dels", "SELECT DISTINCT user_id * 3 AS sid FROM events WHERE event_type = 'purchase'")]))
+def w14_delete_cascade_counts(spark, sf_dir):
+    from ..operators.writes import delete_cascade
+    d = Domain(spark, sf_dir)
+    e = T.load_table(spark, sf_dir, "events")
+    cids = e.where(F.col("event_type") == "error").select(F.col("user_id").alias("category_id"))
+    sids = e.where(F.col("event_type") == "purchase").select((F.col("user_id") * 3).alias("student_id"))
+    out = delete_cascade({"category": d.cat, "subject": d.sub, "student_subject": d.ss, "student": d.stu},
+                         category_ids=cids, student_ids=sids)
+    cnt = {k: v.agg(F.count(F.lit(1))).scalar() for k, v in out.items()}
+    return out["category"].agg(F.count(F.lit(1)).alias("categories")) \
+        .withColumn("subjects", cnt["subject"]).withColumn("ratings", cnt["student_subject"]) \
+        .withColumn("students", cnt["student"])
