@@ -19,9 +19,10 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
     "r1_recommend_top10",      # R1 flagship
-    # "r2_recommend_summary" is timed separately while its total is reworked
+    "r2_recommend_summary",    # R2
     "r4_list_events",          # R4
     "r5_filter_events",        # R5
+    "r6_event_detail",         # R6
     "p1_page_text",            # P1
     "r8_link_frontier",        # R8
     "r9_load_event_responses", # R9
