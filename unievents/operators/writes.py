@@ -97,7 +97,9 @@ def set_event_categories(ec: DataFrame, cat: DataFrame, assignments: DataFrame
     last = nonempty.withColumn("_r", F.row_number().over(w)).where("_r = 1")
     new_links = last.select("event_id", F.explode("categories").alias("category_name")).distinct()
     next_ec = ec.join(last.select("event_id"), "event_id", "left_anti").unionByName(new_links)
-    names = new_links.select(F.col("category_name").alias("name")).distinct()
+    # every name of every applied row is get-or-created, even if a later row replaces
+    # that event's set (rows apply one by one)
+    names = nonempty.select(F.explode("categories").alias("name")).distinct()
     missing = names.join(cat.select("name"), "name", "left_anti")
     created = assign_ids(missing, ["name"], "category_id", _max_id(cat, "category_id"))
     next_cat = cat.select("category_id", "name").unionByName(created.select("category_id", "name"))
