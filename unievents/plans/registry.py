@@ -907,3 +907,96 @@ def w14_delete_cascade_counts(spark, sf_dir):
     return out["category"].agg(F.count(F.lit(1)).alias("categories")) \
         .withColumn("subjects", cnt["subject"]).withColumn("ratings", cnt["student_subject"]) \
         .withColumn("students", cnt["student"])
+
+
+# ---------------------------------------------------------------------------------------
+# M6 single-page form, J7, J10, F9 + S4
+# ---------------------------------------------------------------------------------------
+@register("m6_page_event_items", f"""
+WITH resp AS ({RS.PAGE_EVENT_RESPONSES_SQL}),
+f AS (SELECT prompt_id, url, {O.fence_sql('response')} AS s FROM resp),
+v AS (SELECT prompt_id, url, {O.recover_sql('s')} AS j FROM f),
+arr AS (SELECT prompt_id, url, json_extract(j, '$.events[*]') AS items FROM v
+        WHERE j IS NOT NULL AND json_type(j) = 'OBJECT' AND json_type(j, '$.events') = 'ARRAY'),
+ex AS (SELECT prompt_id, url, CAST(e.pos AS INTEGER) AS item_pos, e.it AS it FROM (
+         SELECT prompt_id, url, unnest(list_transform(items, lambda x, i: struct_pack(pos := i - 1, it := x))) AS e
+         FROM arr) q)
+SELECT prompt_id, url, item_pos, json_extract_string(it, '$.name') AS name,
+       CAST({O.date_sql("json_extract_string(it, '$.date')", AS_OF_YEAR)} AS VARCHAR) AS date,
+       substr(coalesce({O.time_sql("json_extract_string(it, '$.time')")}, '00:00:00'), 1, 5) AS time,
+       CAST({O.price_sql("json_extract_string(it, '$.price')")} AS VARCHAR) AS price,
+       CAST(NULL AS VARCHAR) AS error
+FROM ex WHERE json_type(it) = 'OBJECT'
+UNION ALL
+SELECT prompt_id, url, NULL, NULL, NULL, NULL, NULL, 'Could not parse events JSON from model output.'
+FROM v WHERE j IS NULL OR json_type(j) <> 'OBJECT' OR coalesce(json_type(j, '$.events'), '') <> 'ARRAY'""")
+def m6_page_event_items(spark, sf_dir):
+    from ..functions.standardize import (price_text, standardize_price, standardize_time, time_hhmm,
+                                         with_standard_date)
+    from ..operators.responses import response_events
+    items, bad = response_events(RS.page_event_responses(spark, sf_dir), per_link=False)
+    std = with_standard_date(items, "raw_date", "date", AS_OF_YEAR)
+    ok = std.select("prompt_id", "url", "item_pos", F.col("raw_name").alias("name"),
+                    F.col("date").cast("string").alias("date"),
+                    time_hhmm(F.coalesce(standardize_time(F.col("raw_time")), F.lit("00:00:00"))).alias("time"),
+                    price_text(standardize_price(F.col("raw_price"))).alias("price"),
+                    F.lit(None).cast("string").alias("error"))
+    fail = bad.select("prompt_id", "url", F.lit(None).cast("int").alias("item_pos"),
+                      *[F.lit(None).cast("string").alias(c) for c in ("name", "date", "time", "price")], "error")
+    return ok.unionByName(fail)
+
+
+@register("j7_attach_ratings", _M2_SQL + f""",
+ratings AS (SELECT concat(p.p_name, ' ', CAST(p.p_partkey AS VARCHAR)) AS name, ss.interest
+            FROM (SELECT o_custkey AS student_id, l_partkey AS subject_id,
+                         CAST(CASE WHEN max(l_linenumber) <= 5 THEN max(l_linenumber) END AS INTEGER) AS interest
+                  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2) ss
+            JOIN part p ON ss.subject_id = p.p_partkey WHERE ss.student_id = {DEFAULT_STUDENT})
+SELECT n.prompt_id, n.pos, n.name, coalesce(r.interest, 0) AS interest
+FROM names n LEFT JOIN ratings r ON n.name = r.name""")
+def j7_attach_ratings(spark, sf_dir):
+    from ..operators.joins import attach_ratings
+    from ..operators.responses import response_subjects
+    d = Domain(spark, sf_dir)
+    mine = d.ss.where(F.col("student_id") == DEFAULT_STUDENT).join(d.sub.select("subject_id", "name"), "subject_id") \
+        .select("name", "interest", F.col("subject_id").alias("pos"))
+    return attach_ratings(response_subjects(RS.subject_responses(spark, sf_dir)), mine) \
+        .select("prompt_id", "pos", "name", F.col("interest").cast("int").alias("interest"))
+
+
+@register("j10_check_refs", with_ctes("""
+SELECT event_id AS batch_pos, user_id * 13 AS subject_id,
+       CASE WHEN user_id * 13 IN (SELECT subject_id FROM subject) THEN 'ok' ELSE 'Subject not found' END AS status
+FROM events""", "subject"))
+def j10_check_refs(spark, sf_dir):
+    from ..operators.joins import check_refs
+    d = Domain(spark, sf_dir)
+    batch = T.load_table(spark, sf_dir, "events").select(F.col("event_id").alias("batch_pos"),
+                                                        (F.col("user_id") * 13).alias("subject_id"))
+    ok, failed = check_refs(batch, d.sub, "subject_id", reason="Subject not found")
+    return ok.withColumn("status", F.lit("ok")).unionByName(failed.withColumnRenamed("reason", "status"))
+
+
+_REG_SQL = """SELECT concat('https://', event_type, '.example.com/e/', CAST(user_id AS VARCHAR), '/') AS url,
+                     event_type AS source, CASE WHEN user_id % 2 = 0 THEN 'Vilnius' ELSE 'Kaunas' END AS city,
+                     max(ts) AS last_seen, bool_or(value < 90) AS is_active
+              FROM events GROUP BY 1, 2, 3"""
+
+
+@register("s4_saved_urls_top", f"""
+WITH reg AS ({_REG_SQL})
+SELECT source, city, url, CAST(rn AS INTEGER) AS url_rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY source, lower(city) ORDER BY last_seen DESC, url) AS rn
+  FROM reg WHERE is_active) z WHERE rn <= 5""")
+def s4_saved_urls_top(spark, sf_dir):
+    from .scrape import saved_urls_top
+    e = T.load_table(spark, sf_dir, "events")
+    reg = e.groupBy(F.concat(F.lit("https://"), "event_type", F.lit(".example.com/e/"),
+                             F.col("user_id").cast("string"), F.lit("/")).alias("url"),
+                    F.col("event_type").alias("source"),
+                    F.when(F.col("user_id") % 2 == 0, F.lit("Vilnius")).otherwise(F.lit("Kaunas")).alias("city")) \
+        .agg(F.max("ts").alias("last_seen"), F.bool_or(F.col("value") < 90).alias("is_active"))
+    w = saved_urls_top(reg, 5)
+    from pyspark.sql import Window
+    r = Window.partitionBy("source", F.lower("city")).orderBy(F.col("last_seen").desc(), F.col("url"))
+    return w.withColumn("url_rank", F.row_number().over(r)).select("source", "city", "url", "url_rank")

@@ -186,3 +186,46 @@ CATEGORY_RESPONSES_SQL = """
                 WHEN 3 THEN '{"category": "  "}'
                 ELSE 'I think it is engineering' END AS response
     FROM part"""
+
+
+def page_event_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single-page form (M6): one reply per order page holding an ``events`` array with
+    one object per line item, plus a stray non-object item on some pages; a few
+    replies are not JSON at all. A list is bounded by the lines of one order."""
+    li = load_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber",
+                                                      "l_shipdate", "l_extendedprice", "l_returnflag")
+    item = F.to_json(F.struct(
+        F.concat(F.lit("Line "), F.col("l_partkey").cast("string")).alias("name"),
+        F.col("l_shipdate").cast("date").cast("string").alias("date"),
+        F.lit("18:30").alias("time"),
+        F.concat(F.lit("Dock "), F.col("l_returnflag")).alias("place"),
+        F.concat(F.col("l_partkey").cast("string"), F.lit("."),
+                 F.lpad((F.col("l_linenumber") * 7).cast("string"), 2, "0")).alias("price"),
+        F.array(F.col("l_returnflag")).alias("categories")))
+    g = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(
+        F.struct("l_linenumber", "l_partkey", item.alias("j")))).alias("items"))  # j breaks ties
+    k = F.col("l_orderkey")
+    objs = F.array_join(F.transform("items", lambda s: s["j"]), ",")
+    body = F.when(k % 3 == 0, F.concat(objs, F.lit(",7"))).otherwise(objs)
+    resp = (F.when(k % 5 == 4, F.lit("No events on this page."))
+             .otherwise(F.concat(F.lit('{"events": ['), body, F.lit("]}"))))
+    return g.select(k.alias("prompt_id"),
+                    F.concat(F.lit("https://events.example.com/list/"), k.cast("string")).alias("url"),
+                    resp.alias("response"))
+
+
+PAGE_EVENT_RESPONSES_SQL = """
+    SELECT l_orderkey AS prompt_id, concat('https://events.example.com/list/', CAST(l_orderkey AS VARCHAR)) AS url,
+           CASE WHEN l_orderkey % 5 = 4 THEN 'No events on this page.'
+                ELSE concat('{"events": [', CASE WHEN l_orderkey % 3 = 0 THEN concat(objs, ',7') ELSE objs END, ']}') END
+             AS response
+    FROM (SELECT l_orderkey, string_agg(j, ',' ORDER BY l_linenumber, l_partkey, j) AS objs
+          FROM (SELECT l_orderkey, l_linenumber, l_partkey, CAST(json_object(
+                    'name', concat('Line ', CAST(l_partkey AS VARCHAR)),
+                    'date', CAST(CAST(l_shipdate AS DATE) AS VARCHAR),
+                    'time', '18:30',
+                    'place', concat('Dock ', l_returnflag),
+                    'price', concat(CAST(l_partkey AS VARCHAR), '.', lpad(CAST(l_linenumber * 7 AS VARCHAR), 2, '0')),
+                    'categories', [l_returnflag]) AS VARCHAR) AS j
+                FROM lineitem) a
+          GROUP BY l_orderkey) b"""
