@@ -103,11 +103,16 @@ def resolve_names(names: DataFrame, sub: DataFrame) -> DataFrame:
 
 
 def student_profile(stu: DataFrame, ss: DataFrame, sub: DataFrame) -> DataFrame:
-    """Student with the sorted list of its subject names."""
-    names = ss.select("student_id", "subject_id").join(sub.select("subject_id", "name"), "subject_id") \
-        .groupBy("student_id").agg(F.array_sort(F.collect_list("name")).alias("subject_names"))
-    return stu.join(names, "student_id", "left").withColumn(
-        "subject_names", F.coalesce("subject_names", F.array().cast("array<string>")))
+    """One row per (student, subject name) with the student's username and subject
+    count; students without subjects keep one row with a NULL name. Rows, not a
+    collected list: a student holding a large share of all links never becomes one
+    in-memory group (the count comes from a partially aggregated groupBy)."""
+    links = ss.select("student_id", "subject_id").join(sub.select("subject_id", F.col("name").alias("subject_name")),
+                                                       "subject_id")
+    counts = ss.groupBy("student_id").agg(F.count(F.lit(1)).alias("n_subjects"))
+    return (stu.select("student_id", "username").join(links.select("student_id", "subject_name"), "student_id", "left")
+               .join(counts, "student_id", "left")
+               .withColumn("n_subjects", F.coalesce("n_subjects", F.lit(0)).cast("bigint")))
 
 
 def check_refs(batch: DataFrame, dim: DataFrame, batch_key: str, dim_key: str | None = None,

@@ -254,15 +254,15 @@ def j1_subjects_with_category(spark, sf_dir):
 
 
 @register("j9_student_profile", with_ctes(
-    """SELECT st.student_id, st.username, coalesce(array_to_string(list_sort(list(s.name)), ', '), '') AS subject_names
+    """SELECT st.student_id, st.username, s.name AS subject_name, CAST(coalesce(c.n, 0) AS BIGINT) AS n_subjects
        FROM student st LEFT JOIN student_subject ss ON st.student_id = ss.student_id
        LEFT JOIN subject s ON ss.subject_id = s.subject_id
-       GROUP BY st.student_id, st.username""", "student", "student_subject", "subject"))
+       LEFT JOIN (SELECT student_id, count(*) AS n FROM student_subject GROUP BY 1) c ON st.student_id = c.student_id""",
+    "student", "student_subject", "subject"))
 def j9_student_profile(spark, sf_dir):
     from ..operators.joins import student_profile
     d = Domain(spark, sf_dir)
-    return student_profile(d.stu, d.ss, d.sub).select(
-        "student_id", "username", F.array_join("subject_names", ", ").alias("subject_names"))
+    return student_profile(d.stu, d.ss, d.sub).select("student_id", "username", "subject_name", "n_subjects")
 
 
 # ---------------------------------------------------------------------------------------
