@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import (decode_entities, normalize_url, page_text, strip_dropped_elements,
                               trim_ws, url_host, url_path, url_query)
-from ..session import bounded_broadcast
+from ..session import bounded_broadcast, spread_for_cpu
 
 # ---- fixed values -------------------------------------------------------------------
 SOURCES = ("litexpo", "meetup", "kaveikti", "other")
@@ -24,7 +24,7 @@ _HREF_RE = r'(?i)<a\s[^>]*?href\s*=\s*"([^"]*)"'
 
 def page_texts(pages: DataFrame, cap: int = 60000) -> DataFrame:
     """P1 + P2: (page_id, url, text, characters)."""
-    return (pages.select("page_id", "url", page_text(F.col("html"), cap).alias("text"))
+    return (spread_for_cpu(pages).select("page_id", "url", page_text(F.col("html"), cap).alias("text"))
                  .withColumn("characters", F.length("text")))
 
 
@@ -32,7 +32,7 @@ def page_links(pages: DataFrame) -> DataFrame:
     """Every ``a[href]`` in document order: (page_id, url, pos, href) with the href
     entity-decoded and trimmed. Comments and script/style bodies hold no tags."""
     hrefs = F.regexp_extract_all(strip_dropped_elements(F.col("html")), F.lit(_HREF_RE), 1)
-    return (pages.select("page_id", "url", F.posexplode(hrefs).alias("pos", "href"))
+    return (spread_for_cpu(pages).select("page_id", "url", F.posexplode(hrefs).alias("pos", "href"))
                  .withColumn("href", trim_ws(decode_entities(F.col("href")))))
 
 

@@ -18,6 +18,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.standardize import standardize_interest
 from ..functions.text import trim_ws
+from ..session import ensure_checkpoint_dir
 from .filters import ended_predicate
 
 
@@ -27,7 +28,10 @@ def assign_ids(new_keys: DataFrame, order_cols: list[str], id_col: str, start_af
     ordered = new_keys.orderBy(*order_cols)
     schema = StructType(ordered.schema.fields + [StructField("_idx", LongType(), False)])
     idx = ordered.rdd.zipWithIndex().map(lambda p: tuple(p[0]) + (p[1],))
-    with_idx = ordered.sparkSession.createDataFrame(idx, schema)
+    # materialised once (reliable checkpoint): otherwise every consumer of the ids would
+    # re-run the sort and the zipWithIndex jobs over the whole upstream plan
+    ensure_checkpoint_dir(ordered.sparkSession)
+    with_idx = ordered.sparkSession.createDataFrame(idx, schema).checkpoint()
     base = start_after if not isinstance(start_after, int) else F.lit(start_after)
     return with_idx.withColumn(id_col, (F.coalesce(base, F.lit(0)) + F.col("_idx") + 1).cast("bigint")).drop("_idx")
 

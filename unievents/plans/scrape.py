@@ -19,7 +19,7 @@ from ..operators.events import split_events, standardize_event_items
 from ..operators.prompts import (EVENT_LIST_TEMPLATE, SUBJECTS_TEMPLATE, event_prompt,
                                  prompt_column)
 from ..operators.responses import response_category, response_events, response_subjects
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, spread_for_cpu
 from ..operators.writes import (import_subjects, set_event_categories, touch_urls, upsert_events,
                                 upsert_urls)
 
@@ -28,7 +28,7 @@ KNOWN_SOURCES = ("litexpo", "meetup", "kaveikti")
 
 def route_pages(pages: DataFrame) -> DataFrame:
     """P13 + P1 + P11 + P12: valid pages with text, source and city."""
-    ok, _ = P.validate_urls(pages)
+    ok, _ = P.validate_urls(spread_for_cpu(pages))
     texts = ok.withColumn("text", P.page_text(F.col("html"), cap=None))
     routed = P.infer_city(P.classify_source(texts, text_col="text"), text_col="text")
     return routed

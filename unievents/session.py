@@ -70,3 +70,12 @@ def broadcast_if_bounded(df: DataFrame, row_bound: int,
     """Broadcast ``df`` when a bound proven by construction (e.g. ``k x #categories``
     for a per-category top-k) is within ``max_rows``; otherwise leave it to the planner."""
     return F.broadcast(df) if row_bound <= max_rows else df
+
+
+def spread_for_cpu(df: DataFrame) -> DataFrame:
+    """Per-row text work (regex, JSON) needs at least one partition per core. An input
+    that arrives as fewer splits than the default parallelism (a small file) is
+    round-robin repartitioned up to it; any input that already has that many partitions
+    (every real-scale input) passes through untouched, without a shuffle."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
