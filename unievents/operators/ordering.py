@@ -51,3 +51,22 @@ def with_rank(df: DataFrame, partition: str, keys: list[Column], name: str = "ra
     if top_k is not None:
         out = out.where(F.col(name) <= top_k)
     return out
+
+
+def rank_two_level(df: DataFrame, partition: list[str], coarse: list[tuple[str, bool]],
+                   fine: list[Column], name: str = "rank") -> DataFrame:
+    """Dense rank per ``partition`` in the order ``coarse`` then ``fine`` without a
+    window over a whole partition group: rows are counted per (partition, coarse key),
+    those counts are prefix-summed per partition (a window over distinct coarse keys
+    only, e.g. calendar days), and a row_number inside each (partition, coarse key)
+    group is added. ``coarse`` is [(column, descending)]; ``fine`` must end in a unique
+    key. A hot partition (one student, one category) is spread over its coarse groups."""
+    ckeys = [c for c, _ in coarse]
+    grp = df.groupBy(*partition, *ckeys).agg(F.count(F.lit(1)).alias("_n"))
+    order = [F.col(c).desc() if desc else F.col(c).asc() for c, desc in coarse]
+    w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = grp.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    w2 = Window.partitionBy(*partition, *ckeys).orderBy(*fine)
+    inner = df.withColumn("_rn", F.row_number().over(w2))
+    return inner.join(offsets, [*partition, *ckeys]) \
+        .withColumn(name, (F.col("_before") + F.col("_rn")).cast("int")).drop("_before", "_rn")
