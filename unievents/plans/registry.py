@@ -1000,3 +1000,56 @@ def s4_saved_urls_top(spark, sf_dir):
     from pyspark.sql import Window
     r = Window.partitionBy("source", F.lower("city")).orderBy(F.col("last_seen").desc(), F.col("url"))
     return w.withColumn("url_rank", F.row_number().over(r)).select("source", "city", "url", "url_rank")
+
+
+# ---------------------------------------------------------------------------------------
+# W8 (import then assign to a student) and W10 (URL registry from the frontier)
+# ---------------------------------------------------------------------------------------
+
+
+def _r11_ctes():
+    return [("resp", RS.CATEGORY_RESPONSES_SQL),
+            ("m5x", "WITH " + _M5_CTE + " SELECT * FROM m5"),
+            ("ok", "SELECT prompt_id, subject, category FROM m5x WHERE error IS NULL"),
+            ("subf", "SELECT lower(name) AS sk, min(subject_id) AS subject_id FROM subject GROUP BY 1"),
+            ("new_sub", """SELECT lower(subject) AS sk, coalesce((SELECT max(subject_id) FROM subject), 0)
+                               + row_number() OVER (ORDER BY min(prompt_id)) AS subject_id
+                           FROM ok WHERE lower(subject) NOT IN (SELECT sk FROM subf) GROUP BY 1"""),
+            ("ids", """SELECT DISTINCT coalesce(sf.subject_id, ns.subject_id) AS subject_id FROM ok o
+                       LEFT JOIN subf sf ON lower(o.subject) = sf.sk LEFT JOIN new_sub ns ON lower(o.subject) = ns.sk""")]
+
+
+@register("w8_assign_subjects", with_ctes(f"""
+SELECT i.subject_id, CASE WHEN m.subject_id IS NULL THEN 'created' ELSE 'existing' END AS assignment_action
+FROM ids i LEFT JOIN (SELECT subject_id FROM student_subject WHERE student_id = {DEFAULT_STUDENT}) m
+  ON i.subject_id = m.subject_id""", "subject", "student_subject", extra=_r11_ctes()))
+def w8_assign_subjects(spark, sf_dir):
+    from ..operators.writes import assign_to_student
+    from .scrape import assign_subjects
+    d = Domain(spark, sf_dir)
+    _, _, log, _ = assign_subjects(d.sub, d.cat, RS.category_responses(spark, sf_dir))
+    _, alog = assign_to_student(d.ss, log.select("subject_id"), DEFAULT_STUDENT)
+    return alog.select("subject_id", "assignment_action")
+
+
+@register("w10_upsert_urls", _R8_SQL.split("\n    SELECT page_id, source, link, link_rank, 'found'")[0] + f"""
+    SELECT link AS url, arg_min(source, page_id) AS source, '' AS city,
+           '2026-01-01 00:00:00' AS last_seen, CAST(NULL AS VARCHAR) AS last_scraped, true AS is_active
+    FROM ranked WHERE link_rank <= {R8_N} GROUP BY link""")
+def w10_upsert_urls(spark, sf_dir):
+    import datetime as dt
+
+    from ..operators.pages import rules_frame
+    from ..operators.writes import URL_COLS, upsert_urls
+    from .scrape import link_frontier
+    pages = T.load_table(spark, sf_dir, "pages")
+    routed = pages.withColumn("source", F.concat(F.lit("local-"), F.regexp_extract(
+        F.regexp_extract("url", O.HOST_RE, 1), r"([^.]*)$", 1))).withColumn("city", F.lit(""))
+    urls = spark.createDataFrame([], "url string, source string, city string, last_seen timestamp, "
+                                     "last_scraped timestamp, is_active boolean").select(*URL_COLS)
+    frontier, _, _ = link_frontier(routed, urls, rules_frame(spark, _local_rules()), R8_N, dt.datetime(2026, 1, 1))
+    first = frontier.groupBy(F.col("link").alias("url")).agg(F.min_by("source", "page_id").alias("source"))
+    nxt = upsert_urls(urls, first.withColumn("city", F.lit("")), dt.datetime(2026, 1, 1))
+    # timestamps as text so the comparison does not depend on the session time zone
+    return nxt.withColumn("last_seen", F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss")) \
+              .withColumn("last_scraped", F.date_format("last_scraped", "yyyy-MM-dd HH:mm:ss"))
