@@ -1053,3 +1053,20 @@ def w10_upsert_urls(spark, sf_dir):
     # timestamps as text so the comparison does not depend on the session time zone
     return nxt.withColumn("last_seen", F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss")) \
               .withColumn("last_scraped", F.date_format("last_scraped", "yyyy-MM-dd HH:mm:ss"))
+
+
+@register("w2_validate_events_basic", with_ctes(f"""
+SELECT prompt_id,
+  CASE WHEN {O.trim_ws("coalesce(raw_name, '')")} = '' THEN '''name'' is required.'
+       WHEN {O.trim_ws("coalesce(raw_date, '')")} = '' THEN '''date'' is required (YYYY-MM-DD).'
+       WHEN {O.trim_ws("coalesce(raw_place, '')")} = '' THEN '''place'' is required.'
+       WHEN {O.date_sql(O.trim_ws("coalesce(raw_date, '')"), 2000)} IS NULL THEN 'Invalid ''date'' format. Use YYYY-MM-DD.'
+       WHEN {O.price_sql(f"CASE WHEN {O.trim_ws(chr(39) * 0 + 'coalesce(raw_price, ' + chr(39) * 2 + ')')} <> '' THEN {O.trim_ws('coalesce(raw_price, ' + chr(39) * 2 + ')')} ELSE '0' END")} IS NULL
+            THEN 'Invalid ''price'' value.'
+  END AS error
+FROM items""", extra=_W2_ITEMS))
+def w2_validate_events_basic(spark, sf_dir):
+    from ..operators.events import validate_events
+    from ..operators.responses import response_events
+    items, _ = response_events(RS.event_responses(spark, sf_dir))
+    return validate_events(items, strict=False).select("prompt_id", "error")
