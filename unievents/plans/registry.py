@@ -1055,16 +1055,20 @@ def w10_upsert_urls(spark, sf_dir):
               .withColumn("last_scraped", F.date_format("last_scraped", "yyyy-MM-dd HH:mm:ss"))
 
 
-@register("w2_validate_events_basic", with_ctes(f"""
+_RAW = {f: O.trim_ws(f"coalesce(raw_{f}, '')") for f in ("name", "date", "place", "price")}
+_PRICE_OR_ZERO = f"CASE WHEN {_RAW['price']} <> '' THEN {_RAW['price']} ELSE '0' END"
+_W2_BASIC_SQL = with_ctes(f"""
 SELECT prompt_id,
-  CASE WHEN {O.trim_ws("coalesce(raw_name, '')")} = '' THEN '''name'' is required.'
-       WHEN {O.trim_ws("coalesce(raw_date, '')")} = '' THEN '''date'' is required (YYYY-MM-DD).'
-       WHEN {O.trim_ws("coalesce(raw_place, '')")} = '' THEN '''place'' is required.'
-       WHEN {O.date_sql(O.trim_ws("coalesce(raw_date, '')"), 2000)} IS NULL THEN 'Invalid ''date'' format. Use YYYY-MM-DD.'
-       WHEN {O.price_sql(f"CASE WHEN {O.trim_ws(chr(39) * 0 + 'coalesce(raw_price, ' + chr(39) * 2 + ')')} <> '' THEN {O.trim_ws('coalesce(raw_price, ' + chr(39) * 2 + ')')} ELSE '0' END")} IS NULL
-            THEN 'Invalid ''price'' value.'
+  CASE WHEN {_RAW['name']} = '' THEN '''name'' is required.'
+       WHEN {_RAW['date']} = '' THEN '''date'' is required (YYYY-MM-DD).'
+       WHEN {_RAW['place']} = '' THEN '''place'' is required.'
+       WHEN {O.date_sql(_RAW['date'], 2000)} IS NULL THEN 'Invalid ''date'' format. Use YYYY-MM-DD.'
+       WHEN {O.price_sql(_PRICE_OR_ZERO)} IS NULL THEN 'Invalid ''price'' value.'
   END AS error
-FROM items""", extra=_W2_ITEMS))
+FROM items""", extra=_W2_ITEMS)
+
+
+@register("w2_validate_events_basic", _W2_BASIC_SQL)
 def w2_validate_events_basic(spark, sf_dir):
     from ..operators.events import validate_events
     from ..operators.responses import response_events
