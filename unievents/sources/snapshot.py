@@ -7,7 +7,6 @@ Tables live under a root the caller gives, by default ``<spark.checkpoint.dir>/t
 
 from __future__ import annotations
 
-import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,8 +51,3 @@ def write_version(df: DataFrame, root: str, name: str) -> str:
     path = f"{root}/{name}/v={(vs[-1] + 1) if vs else 1}"
     df.write.mode("errorifexists").parquet(path)
     return path
-
-
-def local_root(path: str) -> str:
-    os.makedirs(path, exist_ok=True)
-    return path
