@@ -32,3 +32,13 @@ def test_subjects_and_events_files(spark):
 def test_missing_file_is_an_error(spark):
     with pytest.raises(Exception):
         load_subjects_json(spark, "/nonexistent/unievents/latest_subjects.json").collect()
+
+
+def test_single_pretty_document(spark):
+    root = tempfile.mkdtemp(prefix="unievents-io-")
+    path = os.path.join(root, "latest_subjects.json")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write('{\n  "url": "https://u",\n  "from_semester": 1,\n  "to_semester": 4,\n'
+                '  "study_subjects": [\n    "Programavimas",\n    "Duomenų bazės"\n  ]\n}\n')
+    r = load_subjects_json(spark, path, multi_line=True).collect()
+    assert r[0].study_subjects == ["Programavimas", "Duomenų bazės"]

@@ -22,24 +22,27 @@ def load_pages(spark: SparkSession, path: str, streaming: bool = False) -> DataF
     return spark.read.schema(PAGE_SCHEMA).parquet(path)
 
 
-def _read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return (spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST")
+def _read_json(spark: SparkSession, path: str, schema: str, multi_line: bool) -> DataFrame:
+    """JSON Lines by default (splittable: one document per line, as the writers below
+    produce); ``multi_line=True`` for single pretty-printed documents (not splittable,
+    one task per file)."""
+    return (spark.read.schema(schema).option("multiLine", multi_line).option("mode", "FAILFAST")
                  .json(path))
 
 
-def load_subjects_json(spark: SparkSession, path: str) -> DataFrame:
+def load_subjects_json(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """IO3: subjects result documents (url, from_semester, to_semester,
     study_subjects)."""
-    return _read_json(spark, path, SUBJECTS_FILE_SCHEMA)
+    return _read_json(spark, path, SUBJECTS_FILE_SCHEMA, multi_line)
 
 
-def load_events_json(spark: SparkSession, path: str) -> DataFrame:
+def load_events_json(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """IO4: events result documents, one row per saved event (``explode(events)``)."""
     schema = ("url string, source string, city string, events array<struct<event_id:bigint, name:string, "
               "date:string, time:string, place:string, price:string, categories:array<string>, "
               "short_description:string, source_url:string>>, "
               "failed array<struct<source_url:string, name:string, error:string>>")
-    doc = _read_json(spark, path, schema)
+    doc = _read_json(spark, path, schema, multi_line)
     return doc.select("url", "source", "city", F.explode("events").alias("e")).select("url", "source", "city", "e.*")
 
 
