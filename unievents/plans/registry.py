@@ -1074,3 +1074,37 @@ def w2_validate_events_basic(spark, sf_dir):
     from ..operators.responses import response_events
     items, _ = response_events(RS.event_responses(spark, sf_dir))
     return validate_events(items, strict=False).select("prompt_id", "error")
+
+
+_REQ_SQL = """SELECT page_id AS request_id,
+                     CASE WHEN page_id % 7 = 3 THEN replace(url, 'http', 'ftp') ELSE url END AS url,
+                     CASE WHEN page_id % 13 = 5 THEN NULL WHEN page_id % 17 = 2 THEN 'one'
+                          ELSE CAST(page_id % 10 - 1 AS VARCHAR) END AS fs,
+                     CAST((page_id * 7) % 10 AS VARCHAR) AS ts FROM pages"""
+
+
+def _requests(spark, sf_dir):
+    pg = T.load_table(spark, sf_dir, "pages")
+    k = F.col("page_id")
+    return pg.select(k.alias("request_id"),
+                     F.when(k % 7 == 3, F.replace("url", F.lit("http"), F.lit("ftp"))).otherwise(F.col("url")).alias("url"),
+                     F.when(k % 13 == 5, F.lit(None).cast("string")).when(k % 17 == 2, F.lit("one"))
+                      .otherwise((k % 10 - 1).cast("string")).alias("from_semester"),
+                     ((k * 7) % 10).cast("string").alias("to_semester"))
+
+
+@register("r10_subject_prompts", f"""
+WITH req AS ({_REQ_SQL}),
+ok AS (SELECT request_id, url, CAST(fs AS INTEGER) AS from_semester, CAST(ts AS INTEGER) AS to_semester FROM req
+       WHERE fs IS NOT NULL AND ts IS NOT NULL AND TRY_CAST(fs AS INTEGER) BETWEEN 1 AND 8
+         AND TRY_CAST(ts AS INTEGER) BETWEEN 1 AND 8 AND TRY_CAST(fs AS INTEGER) <= TRY_CAST(ts AS INTEGER)
+         AND (starts_with(url, 'http://') OR starts_with(url, 'https://'))),
+txt AS (SELECT o.request_id, o.url, o.from_semester, o.to_semester, {O.page_text_sql('p.html')} AS text
+        FROM ok o JOIN pages p ON o.url = p.url)
+SELECT request_id, url, from_semester, to_semester, CAST(length(text) AS INTEGER) AS characters,
+       {PR.prompt_sql(PR.SUBJECTS_TEMPLATE, from_semester='from_semester', to_semester='to_semester', text='text')} AS prompt
+FROM txt""")
+def r10_subject_prompts(spark, sf_dir):
+    from .scrape import subject_prompts
+    prompts, _ = subject_prompts(_requests(spark, sf_dir), T.load_table(spark, sf_dir, "pages"))
+    return prompts.select("request_id", "url", "from_semester", "to_semester", "characters", "prompt")
