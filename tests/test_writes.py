@@ -82,3 +82,20 @@ def test_snapshot_versions(spark):
     assert read_latest(spark, root, "t").count() == 5
     assert read_latest(spark, root, "missing") is None
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_import_subjects_case_rules(spark):
+    from unievents.operators.writes import import_subjects
+    sub = spark.createDataFrame([(1, "Databases", 1), (2, "Law basics", None)], "subject_id long, name string, category_id long")
+    cat = spark.createDataFrame([(1, "IT"), (2, "Law")], "category_id long, name string")
+    batch = spark.createDataFrame([(1, "databases", "it"), (2, "DATABASES", "Law"), (3, "Law basics", "law"),
+                                   (4, "Robotics", "Engineering"), (5, "Ethics", "ENGINEERING")],
+                                  "batch_pos long, subject string, category string")
+    nsub, ncat, log = import_subjects(sub, cat, batch)
+    got = {r.batch_pos: (r.subject_id, r.category_name, r.action) for r in log.collect()}
+    # batch rows 1 and 2 name the same subject (case-insensitive): only the first is imported
+    assert got == {1: (1, "IT", "unchanged"), 3: (2, "Law", "updated"),
+                   4: (3, "Engineering", "created"), 5: (4, "Engineering", "created")}
+    assert sorted(r.name for r in ncat.collect()) == ["Engineering", "IT", "Law"]
+    assert {r.name: r.category_id for r in nsub.collect()} == {"Databases": 1, "Law basics": 2, "Robotics": 3,
+                                                               "Ethics": 3}

@@ -182,12 +182,17 @@ def update_interest(ss: DataFrame, sub: DataFrame, batch: DataFrame, student_id:
 
 def import_subjects(sub: DataFrame, cat: DataFrame, batch: DataFrame
                     ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Batch (batch_pos, subject, category) of classified names. Category and subject
-    are matched case-insensitively (lowest id wins), created when absent (first spelling
-    in the batch); an existing subject is re-pointed when its category differs.
-    Returns (next_sub, next_cat, log(batch_pos, subject, category, action, subject_id))."""
-    b = batch.withColumn("_ck", F.lower(F.col("category"))).withColumn("_sk", F.lower(F.col("subject")))
-    cat_first = cat.groupBy(F.lower("name").alias("_ck")).agg(F.min_by("category_id", "category_id").alias("category_id"))
+    """Batch (batch_pos, subject, category) of classified names. Names are first
+    de-duplicated case-insensitively keeping the first row (as the reference normalises
+    its list before importing). Category and subject are matched case-insensitively
+    (lowest id wins) and created when absent (first spelling in the batch); an existing
+    subject is re-pointed when its category differs.
+    Returns (next_sub, next_cat, log(batch_pos, subject, category_name, subject_id, action))."""
+    keyed = batch.withColumn("_sk", F.lower(F.col("subject")))
+    w = Window.partitionBy("_sk").orderBy("batch_pos")
+    b = keyed.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r") \
+             .withColumn("_ck", F.lower(F.col("category")))
+    cat_first = cat.groupBy(F.lower("name").alias("_ck")).agg(F.min("category_id").alias("category_id"))
     new_cat = b.join(cat_first, "_ck", "left_anti").groupBy("_ck").agg(
         F.min_by("category", "batch_pos").alias("name"), F.min("batch_pos").alias("_p"))
     new_cat = assign_ids(new_cat, ["_p"], "category_id", _max_id(cat, "category_id"))
@@ -197,13 +202,10 @@ def import_subjects(sub: DataFrame, cat: DataFrame, batch: DataFrame
 
     sub_first = sub.groupBy(F.lower("name").alias("_sk")).agg(F.min("subject_id").alias("subject_id"))
     bb = b.join(cat_ids, "_ck").join(sub_first, "_sk", "left")
-    # the batch row applied last decides the category of each subject
-    w = Window.partitionBy("_sk").orderBy(F.col("batch_pos").desc())
-    last = bb.withColumn("_r", F.row_number().over(w)).where("_r = 1")
-    firsts = bb.groupBy("_sk").agg(F.min_by("subject", "batch_pos").alias("_name"), F.min("batch_pos").alias("_p"))
-    new_sub = last.where(F.col("subject_id").isNull()).select("_sk", "category_id").join(firsts, "_sk")
+    new_sub = bb.where(F.col("subject_id").isNull()).select("_sk", "category_id", F.col("subject").alias("_name"),
+                                                           F.col("batch_pos").alias("_p"))
     new_sub = assign_ids(new_sub, ["_p"], "subject_id", _max_id(sub, "subject_id"))
-    repoint = last.where(F.col("subject_id").isNotNull()).select("subject_id", F.col("category_id").alias("_nc"))
+    repoint = bb.where(F.col("subject_id").isNotNull()).select("subject_id", F.col("category_id").alias("_nc"))
     cur = sub.join(repoint, "subject_id", "left").withColumn(
         "category_id", F.coalesce(F.col("_nc"), F.col("category_id"))).drop("_nc")
     next_sub = cur.select(*sub.columns).unionByName(
@@ -211,15 +213,12 @@ def import_subjects(sub: DataFrame, cat: DataFrame, batch: DataFrame
 
     old_cat = sub.select("subject_id", F.col("category_id").alias("_old"))
     ids = new_sub.select("_sk", F.col("subject_id").alias("_new_id"))
-    prev = Window.partitionBy("_sk").orderBy("batch_pos")
     log = (bb.join(ids, "_sk", "left").join(old_cat, "subject_id", "left")
-             .withColumn("_prev_cat", F.lag("category_id").over(prev))
              .join(cat_names, "category_id")
              .select("batch_pos", "subject", "category_name",
                      F.coalesce("subject_id", "_new_id").alias("subject_id"),
-                     F.when(F.col("subject_id").isNull() & F.col("_prev_cat").isNull(), F.lit("created"))
-                      .when(F.coalesce(F.col("_prev_cat"), F.col("_old")).eqNullSafe(F.col("category_id")),
-                            F.lit("unchanged"))
+                     F.when(F.col("subject_id").isNull(), F.lit("created"))
+                      .when(F.col("_old").eqNullSafe(F.col("category_id")), F.lit("unchanged"))
                       .otherwise(F.lit("updated")).alias("action")))
     return next_sub, next_cat, log
 
