@@ -66,3 +66,29 @@ def test_place_defaults_and_split(spark):
                    "Meet": ("Vilnius", "18:00:00", "0.00", "About")}
     assert sorted(r.raw_name for r in failed.collect()) == ["", "Bad price", "Meet2"]
     assert ok.collect()[0].date == dt.date(2026, 5, 1)
+
+
+def test_frontier_fallback_and_rejection(spark):
+    from unievents.plans.scrape import link_frontier
+    t = [dt.datetime(2026, 1, d) for d in (1, 2, 3)]
+    urls = spark.createDataFrame([
+        ("https://www.meetup.com/a/events/1/", "meetup", "Vilnius", t[0], None, True),
+        ("https://www.meetup.com/a/events/2/", "meetup", "vilnius", t[2], None, True),
+        ("https://www.meetup.com/a/events/3/", "meetup", "Kaunas", t[1], None, True),
+        ("https://www.meetup.com/a/events/4/", "meetup", "Vilnius", t[1], None, False),
+    ], "url string, source string, city string, last_seen timestamp, last_scraped timestamp, is_active boolean")
+    pages = spark.createDataFrame([
+        (1, "https://www.meetup.com/find/", _page(["/find/x/"]), "meetup", "Vilnius"),          # no links -> saved
+        (2, "https://kaveikti.lt/renginiai/", _page(["/apie/"]), "kaveikti", ""),              # nothing -> rejected
+        (3, "https://www.meetup.com/find/", _page(["/g/events/7/"]), "meetup", "Vilnius"),     # found
+    ], "page_id long, url string, html string, source string, city string")
+    frontier, next_urls, rejected = link_frontier(pages, urls, rules_frame(spark, SITE_RULES), 20,
+                                                  dt.datetime(2026, 2, 1))
+    got = {}
+    for r in frontier.orderBy("page_id", "link_rank").collect():
+        got.setdefault(r.page_id, []).append((r.link, r.origin))
+    assert got[1] == [("https://www.meetup.com/a/events/2/", "saved"), ("https://www.meetup.com/a/events/1/", "saved")]
+    assert got[3] == [("https://www.meetup.com/g/events/7/", "found")]
+    assert [(r.page_id, r.error) for r in rejected.collect()] == [
+        (2, "No event links found for source 'kaveikti' and no saved links are available.")]
+    assert "https://www.meetup.com/g/events/7/" in {r.url for r in next_urls.collect()}
