@@ -26,7 +26,7 @@ BINDINGS = {
                CAST(o_orderdate AS DATE) AS date,
                concat(lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0'), ':',
                       lpad(CAST((o_orderkey * 7) % 60 AS VARCHAR), 2, '0'), ':00') AS time,
-               CAST(o_totalprice / 1000 AS DECIMAL(10,2)) AS price, n_name AS place,
+               CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 0.001 AS DECIMAL(10,2)) AS price, n_name AS place,
                concat('Priority ', o_orderpriority) AS short_description,
                concat('https://events.example.com/e/', CAST(o_orderkey AS VARCHAR)) AS source_url
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",

@@ -17,6 +17,8 @@ derived from real rows, so their volume grows with the data:
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,7 +54,7 @@ def event_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
                  .when(k % 3 == 1, F.concat(F.lpad((k % 24).cast("string"), 2, "0"), F.lit(":"),
                                             F.lpad(((k * 7) % 60).cast("string"), 2, "0"), F.lit(":00")))
                  .otherwise(F.lit("")))
-    price = (F.col("o_totalprice") / 1000).cast("decimal(10,3)").cast("string")
+    price = (F.col("o_totalprice").cast("decimal(18,2)") * F.lit(Decimal("0.001"))).cast("decimal(10,3)").cast("string")
     price_raw = (F.when(k % 4 == 0, F.concat(F.replace(price, F.lit("."), F.lit(",")), F.lit(" EUR")))
                   .when(k % 4 == 1, F.lit("Free"))
                   .when(k % 4 == 2, F.concat(F.lit("€"), price))
@@ -99,9 +101,9 @@ EVENT_RESPONSES_SQL = """
             ELSE '' END,
         'place', CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE n_name END,
         'price', CASE o_orderkey % 4
-            WHEN 0 THEN concat(replace(CAST(CAST(o_totalprice / 1000 AS DECIMAL(10,3)) AS VARCHAR), '.', ','), ' EUR')
+            WHEN 0 THEN concat(replace(CAST(CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 0.001 AS DECIMAL(10,3)) AS VARCHAR), '.', ','), ' EUR')
             WHEN 1 THEN 'Free'
-            WHEN 2 THEN concat('€', CAST(CAST(o_totalprice / 1000 AS DECIMAL(10,3)) AS VARCHAR))
+            WHEN 2 THEN concat('€', CAST(CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 0.001 AS DECIMAL(10,3)) AS VARCHAR))
             ELSE 'TBA' END,
         'categories', [upper(c_mktsegment), concat(' ', o_orderpriority), ''],
         'short_description', CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE concat('About ', o_orderpriority) END

@@ -8,6 +8,8 @@ DuckDB CTEs in ``plans/oracle.py``; keep the two in step.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,7 +76,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderdate").cast("date").alias("date"),
         F.concat(F.lpad((key % 24).cast("string"), 2, "0"), F.lit(":"),
                  F.lpad(((key * 7) % 60).cast("string"), 2, "0"), F.lit(":00")).alias("time"),
-        (F.col("o_totalprice") / 1000).cast("decimal(10,2)").alias("price"),
+        # exact decimal arithmetic: a double division would round ties differently per engine
+        (F.col("o_totalprice").cast("decimal(18,2)") * F.lit(Decimal("0.001"))).cast("decimal(10,2)").alias("price"),
         F.col("n_name").alias("place"),
         F.concat(F.lit("Priority "), F.col("o_orderpriority")).alias("short_description"),
         F.concat(F.lit("https://events.example.com/e/"), key.cast("string")).alias("source_url"),
