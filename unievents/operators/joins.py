@@ -64,7 +64,10 @@ def events_like_subject(ev: DataFrame, ec: DataFrame, sub: DataFrame, cat: DataF
     one job answers many lookups: (lookup, event columns...)."""
     resolved = resolve_subjects(sub, subject_keys)
     sk = resolved.join(subject_category_keys(sub, cat), "subject_id").select("lookup", "category_key")
-    hits = event_category_keys(ec).join(sk, "category_key").select("lookup", "event_id").distinct()
+    # one key per lookup: broadcast after a bounded count, so the bridge is never
+    # shuffled on the (possibly hot) category key
+    hits = event_category_keys(ec).join(bounded_broadcast(sk), "category_key") \
+        .select("lookup", "event_id").distinct()
     return hits.join(ev, "event_id")
 
 
