@@ -545,7 +545,7 @@ _R9_CTES = [
                        + row_number() OVER (ORDER BY f.first_pos) AS new_id
                 FROM firsts f LEFT JOIN event e ON f.name = e.name AND f.date = e.date WHERE e.event_id IS NULL"""),
 ]
-_R9_SQL = with_ctes("""
+_R9_LOG = """
 SELECT o.prompt_id, o.url, o.item_pos,
        CASE WHEN e.event_id IS NULL AND o.batch_pos = fi.first_pos THEN 'created' ELSE 'updated' END AS action,
        CAST(NULL AS VARCHAR) AS error, coalesce(e.event_id, n.new_id) AS event_id, o.name,
@@ -559,7 +559,8 @@ SELECT prompt_id, url, item_pos, 'failed', 'Missing or invalid required fields (
        NULL, name, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM bad
 UNION ALL
 SELECT prompt_id, url, NULL, 'failed', 'Could not parse model JSON output.', NULL, NULL, NULL, NULL, NULL, NULL,
-       NULL, NULL, NULL FROM v WHERE j IS NULL OR json_type(j) <> 'OBJECT'""", "event", extra=_R9_CTES)
+       NULL, NULL, NULL FROM v WHERE j IS NULL OR json_type(j) <> 'OBJECT'"""
+_R9_SQL = with_ctes(_R9_LOG, "event", extra=_R9_CTES)
 
 
 @register("r9_load_event_responses", _R9_SQL)
@@ -575,7 +576,7 @@ SELECT CAST(count(*) AS BIGINT) AS input_count,
        CAST(count(*) FILTER (WHERE action = 'created') AS BIGINT) AS created_count,
        CAST(count(*) FILTER (WHERE action = 'updated') AS BIGINT) AS updated_count,
        CAST(count(*) FILTER (WHERE action = 'failed') AS BIGINT) AS failed_count
-FROM log""", "event", extra=_R9_CTES + [("log", _R9_SQL.split("\nSELECT o.prompt_id", 1)[0].replace("WITH ", "SELECT 1 AS x FROM (SELECT 1) WHERE false --", 0) and "SELECT * FROM (" + "SELECT o.prompt_id" + _R9_SQL.split("\nSELECT o.prompt_id", 1)[1] + ") l")]))
+FROM log""", "event", extra=_R9_CTES + [("log", _R9_LOG)]))
 def g6_event_load_counters(spark, sf_dir):
     from .scrape import load_event_responses
     d = Domain(spark, sf_dir)
