@@ -99,3 +99,30 @@ def test_import_subjects_case_rules(spark):
     assert sorted(r.name for r in ncat.collect()) == ["Engineering", "IT", "Law"]
     assert {r.name: r.category_id for r in nsub.collect()} == {"Databases": 1, "Law basics": 2, "Robotics": 3,
                                                                "Ethics": 3}
+
+
+def test_interest_upsert_and_bulk_update(spark):
+    from unievents.operators.writes import update_interest, upsert_interest
+    sub = spark.createDataFrame([(i, f"S{i}", None) for i in range(1, 6)], "subject_id long, name string, category_id long")
+    ss = spark.createDataFrame([], "student_id long, subject_id long, interest int")
+    batch = spark.createDataFrame([(1, 1, 1, "4"), (2, 1, 2, "3"), (3, 1, 3, "5"), (4, 1, 4, "1"), (5, 1, 1, "2"),
+                                   (6, 1, 2, "0"), (7, 1, 3, "6"), (8, 1, 99, "3"), (9, 1, 4, "x")],
+                                  "batch_pos long, student_id long, subject_id long, interest string")
+    nss, log = upsert_interest(ss, sub, batch)
+    assert sorted(map(tuple, nss.collect())) == [(1, 1, 2), (1, 2, 3), (1, 3, 5), (1, 4, 1)]
+    acts = {r.batch_pos: (r.action, r.reason) for r in log.collect()}
+    assert [acts[i][0] for i in range(1, 6)] == ["created"] * 4 + ["updated"]
+    assert acts[6] == ("rejected", "subject_id and interest are required")
+    assert acts[7] == ("rejected", "Interest must be between 1 and 5")
+    assert acts[8] == ("rejected", "Subject not found")
+    assert acts[9] == ("rejected", "Interest must be a number")
+
+    bulk = spark.createDataFrame([(0, True, "1", "5"), (1, True, "99", "3"), (2, True, "2", "9"), (3, True, "5", "3"),
+                                  (4, False, None, None), (5, True, None, "3")],
+                                 "batch_pos long, is_object boolean, subject_id string, interest string")
+    nss2, log2 = update_interest(nss, sub, bulk, 1)
+    errs = {r.batch_pos: r.error for r in log2.collect()}
+    assert errs == {0: None, 1: "Subject not found", 2: "Interest must be between 1 and 5",
+                    3: "Student-subject relation not found", 4: "Each subjects item must be an object.",
+                    5: "subject_id and interest are required"}
+    assert {r.subject_id: r.interest for r in nss2.collect()}[1] == 5
