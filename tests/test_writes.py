@@ -126,3 +126,22 @@ def test_interest_upsert_and_bulk_update(spark):
                     3: "Student-subject relation not found", 4: "Each subjects item must be an object.",
                     5: "subject_id and interest are required"}
     assert {r.subject_id: r.interest for r in nss2.collect()}[1] == 5
+
+
+def test_insert_new_and_delete(spark):
+    from unievents.operators.writes import delete_events, insert_new
+    cat = spark.createDataFrame([(1, "IT")], "category_id long, name string")
+    batch = spark.createDataFrame([(1, "IT"), (2, "Law"), (3, "Law"), (4, " "), (5, "it")], "batch_pos long, name string")
+    nxt, log = insert_new(cat, batch, "name", "category_id", "Category already exists")
+    assert sorted(map(tuple, nxt.collect())) == [(1, "IT"), (2, "Law"), (3, "it")]  # exact names: 'it' is new
+    got = {r.batch_pos: (r.action, r.reason, r.category_id) for r in log.collect()}
+    assert got[1] == ("rejected", "Category already exists", 1)
+    assert got[2] == ("created", None, 2) and got[3] == ("rejected", "Category already exists", 2)
+    assert got[4][:2] == ("rejected", "name is required") and got[5] == ("created", None, 3)
+
+    ev = spark.createDataFrame([(1, "A", dt.date(2026, 1, 1)), (2, "B", dt.date(2026, 1, 2))],
+                               "event_id long, name string, date date")
+    ec = spark.createDataFrame([(1, "IT"), (2, "Law")], "event_id long, category_name string")
+    nev, nec, dlog = delete_events(ev, ec, spark.createDataFrame([(2,), (999,)], "event_id long"))
+    assert [r.event_id for r in nev.collect()] == [1] and [r.event_id for r in nec.collect()] == [1]
+    assert {r.event_id: r.action for r in dlog.collect()} == {2: "deleted", 999: "not_found"}
