@@ -43,3 +43,21 @@ def test_session_helpers(spark):
     narrow = spark.range(0, 100, 1, 1)
     assert spread_for_cpu(narrow).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert spread_for_cpu(narrow).agg(F.sum("id")).collect()[0][0] == sum(range(100))
+
+
+def test_event_detail_prompt(spark):
+    import datetime as dt
+
+    from unievents.operators.prompts import EXPLAIN_TEMPLATE, NO_SUBJECTS_TEXT
+    from unievents.plans.listing import event_detail
+    ev = spark.createDataFrame([(1, "Hackathon", dt.date(2026, 3, 1), "10:00:00", "Vilnius", None, "Coding day", "")],
+                               "event_id long, name string, date date, time string, place string, "
+                               "price decimal(10,2), short_description string, source_url string")
+    ec = spark.createDataFrame([(1, "IT"), (1, "")], "event_id long, category_name string")
+    sub = spark.createDataFrame([(1, "Databases"), (2, "Algebra")], "subject_id long, name string")
+    ss = spark.createDataFrame([(7, 1, 5), (7, 2, None)], "student_id long, subject_id long, interest int")
+    r = event_detail(ev, ec, ss, sub, 7).collect()[0]
+    assert r.topics == "Coding day, IT" and r.student_subjects == "Algebra, Databases"
+    assert r.prompt == EXPLAIN_TEMPLATE.format(name="Hackathon", topics="Coding day, IT", subjects="Algebra, Databases")
+    none = event_detail(ev, ec, ss, sub, 8).collect()[0]
+    assert none.student_subjects == NO_SUBJECTS_TEXT
