@@ -66,3 +66,13 @@ def test_display(spark):
     assert sorted(out) == [1, 2]
     assert (out[1].place, out[1].price, out[1].categories) == ("-", "-", "-")
     assert (out[2].price, out[2].categories) == ("0,00 €", "IT, Art")
+
+
+def test_keyword_search(spark):
+    from unievents.operators.filters import keyword_search
+    ev = spark.createDataFrame([(1, "Jazz Night", "Vilnius", "Live music"), (2, "Tech Talk", "Kaunas", "AI and jazz"),
+                                (3, "Jazz", "Kaunas", None)], "event_id long, name string, place string, descr string")
+    f = ["name", "place", "descr"]
+    assert sorted(r.event_id for r in keyword_search(ev, "JAZZ kaunas", f).collect()) == [2, 3]
+    assert [r.event_id for r in keyword_search(ev, "jazz", f, {"place": "Vilnius"}).collect()] == [1]
+    assert keyword_search(ev, "", f).count() == 3
