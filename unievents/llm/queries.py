@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unievents.llm.common import load
+from unievents.llm.decontaminate import find_leaks
 from unievents.llm.line_dedup import dedup_lines
+from unievents.llm.packing import pack_documents
 from unievents.llm.simhash_dedup import simhash_dedup
+from unievents.llm.token_counts import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,14 +23,32 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents by the piece model."""
+    return count_tokens(load(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens."""
+    return pack_documents(load(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash classes of all documents: 3-word shingles, 3 bits."""
     return simhash_dedup(load(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold at least 0.8 of a benchmark item's five-word shingles."""
+    return find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Query] = {
     "op2_line_dedup": op2_line_dedup,
+    "op4_token_counts": op4_token_counts,
+    "op5_packing": op5_packing,
     "op7_simhash_dedup": op7_simhash_dedup,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -48,4 +69,25 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM marked GROUP BY doc_id""",
+    "op9_benchmark_decontamination": f"""
+        WITH both_words AS (
+            SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+        words AS (
+            SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+                                                '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+            FROM both_words),
+        sized AS (SELECT * FROM (SELECT id, w, least(5, len(w)) AS k FROM words WHERE side = 'i') WHERE k > 0),
+        wanted AS (
+            SELECT DISTINCT id, k, array_to_string(w[u.p:u.p + k - 1], ' ') AS s
+            FROM sized, LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS p) u),
+        held AS (
+            SELECT DISTINCT d.id, n.k, array_to_string(d.w[u.p:u.p + n.k - 1], ' ') AS s
+            FROM (SELECT * FROM words WHERE side = 'd') d CROSS JOIN (SELECT DISTINCT k FROM sized) n,
+                 LATERAL (SELECT unnest(range(1, len(d.w) - n.k + 2)) AS p) u),
+        sizes AS (SELECT id, count(*) AS n FROM wanted GROUP BY id),
+        found AS (
+            SELECT held.id AS doc_id, wanted.id AS item_id, count(*) AS n_found
+            FROM held JOIN wanted ON held.k = wanted.k AND held.s = wanted.s GROUP BY ALL)
+        SELECT doc_id, item_id, n AS n_shingles, n_found, n_found / n AS containment
+        FROM found JOIN sizes ON found.item_id = sizes.id WHERE n_found >= 0.8 * n""",
 }
