@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,3 +54,21 @@ def utf8(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow column as UTF-8 bytes; null is empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return [x or b"" for x in column.cast(kind).to_pylist()]
+
+
+def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """One table per run of equal ``keys`` (integers) of batches that are sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        columns = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in keys])
+        cuts = np.flatnonzero((columns[1:] != columns[:-1]).any(axis=1)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(columns)]):
+            if hi > lo:
+                if held and tuple(columns[lo]) != last:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+                last = tuple(columns[lo])
+    if held:
+        yield pa.Table.from_batches(held)

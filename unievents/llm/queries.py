@@ -9,20 +9,36 @@ from pyspark.sql import functions as F
 
 from unievents.llm.common import load
 from unievents.llm.decontaminate import find_leaks
+from unievents.llm.embedding_dedup import embedding_dedup
+from unievents.llm.licenses import scan_licenses
 from unievents.llm.line_dedup import dedup_lines
 from unievents.llm.packing import pack_documents
 from unievents.llm.simhash_dedup import simhash_dedup
 from unievents.llm.token_counts import count_tokens
+from unievents.llm.toxicity import score_toxicity
+from unievents.llm.url_filter import judge_urls
+from unievents.llm.warc_audit import archive, audit
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and passages in all documents."""
+    return scan_licenses(load(spark, sf_dir, "documents"))[1].withColumnRenamed("id", "doc_id")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines kept of every document (keys of 10 code points or more)."""
     return dedup_lines(load(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url against the block and allow rules."""
+    return judge_urls(load(spark, sf_dir, "pages"), block=["net/", "example.com/de/"], allow=["example.net/en/", "org/fr/"]
+                      ).withColumnRenamed("id", "page_id")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents by the piece model."""
     return count_tokens(load(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
@@ -33,22 +49,52 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(load(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at a cosine of 0.95 or more."""
+    return embedding_dedup(load(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash classes of all documents: 3-word shingles, 3 bits."""
     return simhash_dedup(load(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from the labels of those not held out."""
+    return score_toxicity(load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "labels")).select(
+        "doc_id", "held_out", "score", "predicted")
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold at least 0.8 of a benchmark item's five-word shingles."""
     return find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
 
 
+def damaged_copy(page_id: int | None, url: str, body: bytes) -> bytes | None:
+    """What the second replica holds of a page: every 97th id has its body's first byte
+    overwritten (one byte more where it is empty), every 89th has a hole."""
+    if page_id is None or page_id % 97 and page_id % 89:
+        return body
+    return None if page_id % 89 == 0 else b"#" + body[1:]
+
+
+def op10_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records on which a damaged replica of the archive of all pages differs."""
+    found = audit(archive(load(spark, sf_dir, "pages"), damaged_copy))
+    return found.select(F.col("record_id").alias("page_id"), "status", "length", "digest", "copy_length", "copy_digest")
+
+
 QUERIES: dict[str, Query] = {
+    "op1_license_scans": op1_license_scans,
     "op2_line_dedup": op2_line_dedup,
+    "op3_url_filters": op3_url_filters,
     "op4_token_counts": op4_token_counts,
     "op5_packing": op5_packing,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_simhash_dedup": op7_simhash_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_warc_audit": op10_warc_audit,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -90,4 +136,37 @@ ORACLE: dict[str, str] = {
             FROM held JOIN wanted ON held.k = wanted.k AND held.s = wanted.s GROUP BY ALL)
         SELECT doc_id, item_id, n AS n_shingles, n_found, n_found / n AS containment
         FROM found JOIN sizes ON found.item_id = sizes.id WHERE n_found >= 0.8 * n""",
+    "op3_url_filters": f"""
+        WITH parts AS (
+            SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
+                   regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2) AS path
+            FROM pages),
+        rules(host, path, verdict) AS (
+            VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+        fits AS (
+            SELECT p.page_id, p.host, p.path, r.host || r.path AS rule, r.verdict
+            FROM parts p LEFT JOIN rules r
+              ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
+        SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule,
+               coalesce(arg_max(verdict, length(rule)), 'allow') AS verdict
+        FROM fits GROUP BY page_id, host, path""",
+    "op10_warc_audit": """
+        WITH bodies AS (
+            SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages
+            WHERE page_id % 97 = 0 OR page_id % 89 = 0),
+        copies AS (
+            SELECT *, '#' || substr(html, 2) AS copy FROM bodies),
+        records AS (
+            SELECT page_id,
+                   'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10)
+                       || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' AS head,
+                   chr(13) || chr(10) || chr(13) || chr(10) AS gap, html, copy
+            FROM copies),
+        whole AS (
+            SELECT page_id, head || strlen(html) || gap || html || gap AS record,
+                   CASE WHEN page_id % 89 <> 0 THEN head || strlen(copy) || gap || copy || gap END AS damaged
+            FROM records)
+        SELECT page_id, CASE WHEN damaged IS NULL THEN 'missing' ELSE 'changed' END AS status,
+               strlen(record) AS length, sha256(record) AS digest, strlen(damaged) AS copy_length, sha256(damaged) AS copy_digest
+        FROM whole WHERE damaged IS NULL OR damaged <> record""",
 }
