@@ -56,13 +56,13 @@ def _template_pairs(df: DataFrame, base: dict[str, str], passages: dict[str, str
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: dict[str, str] | None = None,
-                  passages: dict[str, str] | None = None, shift: int = 2, least: float = 0.9) -> tuple[DataFrame, DataFrame]:
+                  passages: dict[str, str] | None = None, shift: int = 2, least: float = 0.8, whole_below: int = 10) -> tuple[DataFrame, DataFrame]:
     """(spans, summary).
 
     spans: (id, text_hash, label, is_base, template, start, end, coverage), one row per
     verified span: the words from ``start`` up to ``end`` (from 0) on diagonals at most
-    ``shift`` apart, with ``least`` of the template's word pairs; of a base phrase its words
-    must stand consecutively. Template words are in lower case with one space between; a
+    ``shift`` apart, with ``least`` of the template's word pairs, or all of them where there
+    are fewer than ``whole_below``; of a base phrase its words must stand consecutively. Template words are in lower case with one space between; a
     template has two words at least.
 
     summary: (id, n_words, n_base, first_word, last_word, base_labels, labels, score), one
@@ -89,12 +89,13 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # neighbours merge if they are near in the text as well; a base phrase is one diagonal
     along = Window.partitionBy(*place).orderBy("diagonal")
     apart = F.col("is_base") | (F.col("diagonal") - F.lag("diagonal").over(along) > shift)
+    needed = F.when(F.col("size") - 1 < whole_below, F.col("size") - 1).otherwise(least * (F.col("size") - 1))
     spans = (diagonals.withColumn("span", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(along))
              .groupBy(*place, "span").agg(F.sum("votes").alias("votes"), F.max("votes").alias("most"), F.min("start").alias("start"), F.max("end").alias("end"))
              .withColumn("coverage", F.least(F.lit(1.0), F.col("votes") / (F.col("size") - 1)))
              .where(F.when(F.col("is_base"), F.col("votes") == F.col("size") - 1)
-                    .otherwise((F.col("most") >= least * (F.col("size") - 1))
-                               | (F.col("coverage") >= least) & (F.col("end") - F.col("start") <= F.col("size") + 2 * shift))))
+                    .otherwise((F.col("most") >= needed)
+                               | (F.col("votes") >= needed) & (F.col("end") - F.col("start") <= F.col("size") + 2 * shift))))
     found = spans.groupBy(F.col("id").alias("i"), F.col("text_hash").alias("h")).agg(
         F.count(F.when(F.col("is_base"), 1)).alias("n_base"),
         F.min(F.when(F.col("is_base"), F.col("start"))).alias("first_word"), F.max(F.when(F.col("is_base"), F.col("start"))).alias("last_word"),

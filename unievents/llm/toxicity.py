@@ -104,7 +104,7 @@ class Classifier:
 
     def pooled(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray, where: bool = False):
         """Greatest value of every filter over each text, and its places. ``words``: vectors
-        of all texts in a row, each followed by max(WIDTHS) zero vectors."""
+        of all texts in a row, each followed by max(WIDTHS) + 1 zero vectors."""
         tops, places = [], []
         for w, f, b in zip(WIDTHS, self.filters, self.bias):
             n = len(words) - w + 1
@@ -133,7 +133,7 @@ class Classifier:
 
 
 def _in_a_row(texts: list[np.ndarray], zero: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    gap = np.full(max(WIDTHS), zero, np.int64)
+    gap = np.full(max(WIDTHS) + 1, zero, np.int64)  # an empty text has windows of zeros
     lengths = np.array([len(t) for t in texts])
     starts = np.cumsum(lengths + len(gap)) - lengths - len(gap)
     return np.concatenate([x for t in texts for x in (t, gap)]), starts, starts + lengths
