@@ -14,7 +14,7 @@ def test_subjects_and_events_files(spark):
     lists = spark.createDataFrame([("https://u/1", 1, 2, ["Algebra", "Fizika ą"])],
                                   "url string, from_semester int, to_semester int, study_subjects array<string>")
     write_subjects_json(lists, os.path.join(root, "subjects"))
-    back = load_subjects_json(spark, os.path.join(root, "subjects")).collect()
+    back = load_subjects_json(spark, os.path.join(root, "subjects"), multi_line=False).collect()
     assert back[0].study_subjects == ["Algebra", "Fizika ą"] and back[0].to_semester == 2
 
     saved = spark.createDataFrame(
@@ -25,7 +25,7 @@ def test_subjects_and_events_files(spark):
                                    "url string, source_url string, name string, error string")
     saved = saved.withColumn("source", saved.url.substr(1, 0)).withColumn("city", saved.url.substr(1, 0))
     write_events_json(saved.drop("source", "city"), failed, os.path.join(root, "events"))
-    ev = load_events_json(spark, os.path.join(root, "events")).collect()
+    ev = load_events_json(spark, os.path.join(root, "events"), multi_line=False).collect()
     assert [(r.url, r.name, r.categories) for r in ev] == [("https://l/1", "A", ["IT"])]
 
 
@@ -40,5 +40,5 @@ def test_single_pretty_document(spark):
     with open(path, "w", encoding="utf-8") as f:
         f.write('{\n  "url": "https://u",\n  "from_semester": 1,\n  "to_semester": 4,\n'
                 '  "study_subjects": [\n    "Programavimas",\n    "Duomenų bazės"\n  ]\n}\n')
-    r = load_subjects_json(spark, path, multi_line=True).collect()
+    r = load_subjects_json(spark, path).collect()
     assert r[0].study_subjects == ["Programavimas", "Duomenų bazės"]

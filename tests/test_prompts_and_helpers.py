@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from unievents.operators.prompts import EVENT_TEMPLATES, SUBJECTS_TEMPLATE
 from unievents.plans.scrape import event_prompts, subject_prompts
-from unievents.session import bounded_broadcast, spread_for_cpu
+from unievents.session import ensure_checkpoint_dir
 
 
 def test_subject_prompts(spark):
@@ -31,18 +31,8 @@ def test_event_prompts_by_source(spark):
     assert got[3] == EVENT_TEMPLATES["litexpo"].format(detail_url="https://www.litexpo.lt/en/events/x/", detail_text="Expo")
 
 
-def test_session_helpers(spark):
-    small = spark.range(5)
-    plan = spark.range(100).join(bounded_broadcast(small, 10), "id")._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan
-    big = spark.range(50)
-    out = spark.range(100).join(bounded_broadcast(big, 10), "id")
-    assert out.count() == 50
-    wide = spark.range(0, 100, 1, 16)
-    assert spread_for_cpu(wide).rdd.getNumPartitions() == 16  # already wide enough: untouched
-    narrow = spark.range(0, 100, 1, 1)
-    assert spread_for_cpu(narrow).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert spread_for_cpu(narrow).agg(F.sum("id")).collect()[0][0] == sum(range(100))
+def test_checkpoint_dir_is_read_from_the_session(spark):
+    assert ensure_checkpoint_dir(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
 def test_event_detail_prompt(spark):

@@ -82,7 +82,7 @@ def test_frontier_fallback_and_rejection(spark):
         (2, "https://kaveikti.lt/renginiai/", _page(["/apie/"]), "kaveikti", ""),              # nothing -> rejected
         (3, "https://www.meetup.com/find/", _page(["/g/events/7/"]), "meetup", "Vilnius"),     # found
     ], "page_id long, url string, html string, source string, city string")
-    frontier, next_urls, rejected = link_frontier(pages, urls, rules_frame(spark, SITE_RULES), 20,
+    frontier, next_urls, rejected = link_frontier(pages, urls, rules_frame(spark, SITE_RULES),
                                                   dt.datetime(2026, 2, 1))
     got = {}
     for r in frontier.orderBy("page_id", "link_rank").collect():

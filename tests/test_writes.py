@@ -65,8 +65,8 @@ def test_assign_and_url_registry(spark):
     urls = spark.createDataFrame([("https://m/e/1/", "meetup", "", t0, None, True)],
                                  "url string, source string, city string, last_seen timestamp, "
                                  "last_scraped timestamp, is_active boolean")
-    links = spark.createDataFrame([("https://m/e/1/", "meetup", "Vilnius"), ("https://m/e/2/", "meetup", "Vilnius")],
-                                  "url string, source string, city string")
+    links = spark.createDataFrame([(1, "https://m/e/1/", "meetup", "Vilnius"), (2, "https://m/e/2/", "meetup", "Vilnius")],
+                                  "pos int, url string, source string, city string")
     nxt = upsert_urls(urls, links, t1)
     assert sorted((r.url, r.city, r.last_seen) for r in nxt.collect()) == [
         ("https://m/e/1/", "Vilnius", t1), ("https://m/e/2/", "Vilnius", t1)]

@@ -6,6 +6,9 @@ the very same patterns: no look-around, no back-references.
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,14 +16,8 @@ from pyspark.sql import functions as F
 # Characters Python's str.strip() treats as whitespace (the reference trims with it).
 WS_CLASS = (r"[\t\n\x{000B}\f\r\x{001C}-\x{001F} \x{0085}\x{00A0}\x{1680}"
             r"\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
-# HTML entities decoded in page text; '&amp;' must come last.
-HTML_ENTITIES = [
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-    ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
-]
 # Elements whose content is not page text.
 DROPPED_ELEMENTS = ("script", "style", "noscript")
-PAGE_TEXT_CAP = 60000
 # -------------------------------------------------------------------------------------
 
 _TRIM_RE = f"^{WS_CLASS}+|{WS_CLASS}+$"
@@ -38,24 +35,46 @@ def category_key(c: Column) -> Column:
     return F.when(k != "", k)
 
 
+# Names come from the standard library's table.
+_ENTITY_RE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+
+
+def _entity_names() -> Column:
+    names = {f"&{k}": v for k, v in html5.items() if k.endswith(";")}
+    return F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+
+
 def decode_entities(c: Column) -> Column:
-    for ent, ch in HTML_ENTITIES:
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
+    """Named and numeric character references, each decoded once: those that give '&' come
+    last, so that what they leave behind is not read as another reference."""
+    def decoded(m: Column) -> Column:
+        number = F.when(F.regexp_like(m, F.lit("^&#[xX]")), F.conv(F.regexp_extract(m, "([0-9a-fA-F]+);$", 1), 16, 10)) \
+                  .otherwise(F.regexp_extract(m, "^&#([0-9]+);$", 1)).try_cast("int")
+        code = F.when((number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF), number)
+        # code points by their UTF-32 bytes
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(m.startswith("&#"), F.coalesce(char, m)) \
+                .otherwise(F.coalesce(F.try_element_at(_entity_names(), m), m))
+
+    found = F.array_distinct(F.regexp_extract_all(c, F.lit(_ENTITY_RE), 0))
+    pairs = F.transform(found, lambda m: F.struct((decoded(m) == "&").alias("last"), m.alias("ref"), decoded(m).alias("char")))
+    each = F.aggregate(F.array_sort(pairs), c, lambda text, p: F.replace(text, p["ref"], p["char"]))
+    return F.when(F.contains(c, F.lit("&")), each).otherwise(c)
 
 
 def strip_dropped_elements(html: Column) -> Column:
     """Remove comments and ``script``/``style``/``noscript`` elements with their content."""
-    out = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
+    # an empty tag takes their place, so that the text nodes around stay apart
+    out = F.regexp_replace(html, r"(?s)<!--.*?-->", "<>")
     for tag in DROPPED_ELEMENTS:
-        out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
+        out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "<>")
     return out
 
 
-def page_text(html: Column, cap: int | None = PAGE_TEXT_CAP) -> Column:
+def page_text(html: Column, cap: int | None = None) -> Column:
     """Visible text of a page. Text nodes are the pieces between tags; each is
-    entity-decoded and trimmed, blanks dropped, the rest joined by one space, then cut
-    to ``cap`` characters (``None``: the whole text). Inner whitespace of a node is kept."""
+    entity-decoded and trimmed, blanks dropped, the rest joined by one space. The text is
+    whole unless the caller gives a ``cap`` in characters. Inner whitespace of a node is kept."""
     nodes = F.split(strip_dropped_elements(html), r"<[^>]*>")
     cleaned = F.transform(nodes, lambda x: trim_ws(decode_entities(x)))
     kept = F.filter(cleaned, lambda x: x != "")

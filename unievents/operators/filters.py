@@ -4,6 +4,7 @@ price/date/time bounds into the Parquet scan when the events table is a file sou
 from __future__ import annotations
 
 import datetime as dt
+import re
 from decimal import Decimal
 from functools import reduce
 
@@ -14,11 +15,15 @@ from ..functions.text import trim_ws
 
 
 def _pad_time(t: str | None) -> str | None:
-    """Bounds are compared as 'HH:mm:ss' text; whole-minute bounds get ':00'."""
+    """A bound as 'HH:mm:ss' text, by the D2 rule (one or two digits each, seconds
+    optional); an unreadable bound is an error."""
     if t is None:
         return None
-    t = str(t).strip()
-    return t + ":00" if len(t) == 5 else t
+    parts = re.fullmatch(r"(\d{1,2}):(\d{1,2})(?::(\d{1,2}))?", str(t).strip())
+    h, m, s = (int(x or 0) for x in parts.groups()) if parts else (24, 0, 0)
+    if h > 23 or m > 59 or s > 59:
+        raise ValueError(f"unreadable time: {t}")
+    return f"{h:02d}:{m:02d}:{s:02d}"
 
 
 def validate_filter_args(min_price=None, max_price=None, start_date=None, end_date=None,

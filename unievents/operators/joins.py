@@ -1,7 +1,7 @@
 """The equi-joins of the domain model.
 
-Physical strategy is left to Catalyst + AQE except where a side is a dimension with a
-checked size (``bounded_broadcast``): categories, rule tables, key batches.
+Physical strategy is left to Catalyst + AQE: a side that turns out small at run time is
+broadcast, and skewed partitions are split, without a probe at plan time.
 """
 
 from __future__ import annotations
@@ -10,14 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import category_key, trim_ws
-from ..session import bounded_broadcast
 from .filters import rated
 
 
 def subjects_with_category(sub: DataFrame, cat: DataFrame) -> DataFrame:
     """Subject LEFT JOIN category (nullable FK)."""
     c = cat.select(F.col("category_id"), F.col("name").alias("category_name"))
-    return sub.join(bounded_broadcast(c), "category_id", "left")
+    return sub.join(c, "category_id", "left")
 
 
 def subject_interests(sub: DataFrame, ss: DataFrame, student_id: int) -> DataFrame:
@@ -33,7 +32,7 @@ def subject_category_keys(sub: DataFrame, cat: DataFrame) -> DataFrame:
     """subject_id -> D7 category key (subjects without a usable category dropped)."""
     c = cat.select("category_id", category_key(F.col("name")).alias("category_key"))
     return (sub.select("subject_id", "category_id")
-               .join(bounded_broadcast(c), "category_id")
+               .join(c, "category_id")
                .where(F.col("category_key").isNotNull())
                .select("subject_id", "category_key"))
 
@@ -45,9 +44,10 @@ def rated_categories(ss: DataFrame, sub: DataFrame, cat: DataFrame) -> DataFrame
 
 
 def event_category_keys(ec: DataFrame) -> DataFrame:
-    """J4 key form: (event_id, category_key) from the bridge's category names."""
+    """J4 key form: distinct (event_id, category_key) from the bridge's category names;
+    names that differ in case or spaces only are one key of an event."""
     return (ec.select("event_id", category_key(F.col("category_name")).alias("category_key"))
-              .where(F.col("category_key").isNotNull()))
+              .where(F.col("category_key").isNotNull()).distinct())
 
 
 def match_interests(ec_keys: DataFrame, interests: DataFrame) -> DataFrame:
@@ -64,9 +64,7 @@ def events_like_subject(ev: DataFrame, ec: DataFrame, sub: DataFrame, cat: DataF
     one job answers many lookups: (lookup, event columns...)."""
     resolved = resolve_subjects(sub, subject_keys)
     sk = resolved.join(subject_category_keys(sub, cat), "subject_id").select("lookup", "category_key")
-    # one key per lookup: broadcast after a bounded count, so the bridge is never
-    # shuffled on the (possibly hot) category key
-    hits = event_category_keys(ec).join(bounded_broadcast(sk), "category_key") \
+    hits = event_category_keys(ec).join(sk, "category_key") \
         .select("lookup", "event_id").distinct()
     return hits.join(ev, "event_id")
 

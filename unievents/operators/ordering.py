@@ -69,4 +69,4 @@ def rank_two_level(df: DataFrame, partition: list[str], coarse: list[tuple[str,
     w2 = Window.partitionBy(*partition, *ckeys).orderBy(*fine)
     inner = df.withColumn("_rn", F.row_number().over(w2))
     return inner.join(offsets, [*partition, *ckeys]) \
-        .withColumn(name, (F.col("_before") + F.col("_rn")).cast("int")).drop("_before", "_rn")
+        .withColumn(name, (F.col("_before") + F.col("_rn")).cast("bigint")).drop("_before", "_rn")

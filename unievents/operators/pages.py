@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import (decode_entities, normalize_url, page_text, strip_dropped_elements,
                               trim_ws, url_host, url_path, url_query)
-from ..session import bounded_broadcast, spread_for_cpu
 
 # ---- fixed values -------------------------------------------------------------------
 SOURCES = ("litexpo", "meetup", "kaveikti", "other")
@@ -19,20 +18,32 @@ MAX_LINKS_DEFAULT = 20
 NO_LINKS_ERROR = "No event links found for source '{source}' and no saved links are available."
 # -------------------------------------------------------------------------------------
 
-_HREF_RE = r'(?i)<a\s[^>]*?href\s*=\s*"([^"]*)"'
+# An anchor's attributes up to its end, and each of them: name, then the value in double,
+# single or no quotes.
+_ANCHOR_RE = r"""(?i)<a\s((?:[^>"']|"[^"]*"|'[^']*')*)>"""
+_ATTRIBUTE_RE = r"""([^\s=/>"']+)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
 
 
-def page_texts(pages: DataFrame, cap: int = 60000) -> DataFrame:
+def page_texts(pages: DataFrame, cap: int | None = None) -> DataFrame:
     """P1 + P2: (page_id, url, text, characters)."""
-    return (spread_for_cpu(pages).select("page_id", "url", page_text(F.col("html"), cap).alias("text"))
+    return (pages.select("page_id", "url", page_text(F.col("html"), cap).alias("text"))
                  .withColumn("characters", F.length("text")))
 
 
 def page_links(pages: DataFrame) -> DataFrame:
     """Every ``a[href]`` in document order: (page_id, url, pos, href) with the href
     entity-decoded and trimmed. Comments and script/style bodies hold no tags."""
-    hrefs = F.regexp_extract_all(strip_dropped_elements(F.col("html")), F.lit(_HREF_RE), 1)
-    return (spread_for_cpu(pages).select("page_id", "url", F.posexplode(hrefs).alias("pos", "href"))
+    anchors = F.regexp_extract_all(strip_dropped_elements(F.col("html")), F.lit(_ANCHOR_RE), 1)
+
+    def value(attributes: Column) -> Column:
+        """The first attribute named href, by whole name; null without one."""
+        names = F.transform(F.regexp_extract_all(attributes, F.lit(_ATTRIBUTE_RE), 1), lambda n: F.lower(n))
+        values = F.regexp_extract_all(attributes, F.lit(_ATTRIBUTE_RE), 2)
+        return F.get(values, F.array_position(names, F.lit("href")).cast("int") - 1)
+
+    hrefs = F.filter(F.transform(anchors, value), lambda v: v.isNotNull())
+    return (pages.select("page_id", "url", F.posexplode(hrefs).alias("pos", "href"))
+                 .withColumn("href", F.regexp_replace("href", r"""^["']|["']$""", ""))
                  .withColumn("href", trim_ws(decode_entities(F.col("href")))))
 
 
@@ -122,10 +133,9 @@ def rules_frame(spark, rules) -> DataFrame:
 
 
 def filter_links(links: DataFrame, rules: DataFrame) -> DataFrame:
-    """Keep links matching their page's source rule (rules table broadcast after
-    a size check), then de-duplicate normalised links keeping the first in document
+    """Keep links matching their page's source rule, then de-duplicate normalised links keeping the first in document
     order."""
-    j = links.join(bounded_broadcast(rules), "source")
+    j = links.join(rules, "source")
     path, lpath = F.col("link_path"), F.lower(F.col("link_path"))
     ok = ((F.col("hosts").isNull() | F.array_contains(F.col("hosts"), F.col("link_host")))
           & (F.col("host_suffix").isNull() | F.col("link_host").endswith(F.col("host_suffix")))
@@ -186,13 +196,15 @@ def infer_city(pages: DataFrame, text_col: str | None = None) -> DataFrame:
 
 
 def validate_urls(df: DataFrame, col: str = "url") -> tuple[DataFrame, DataFrame]:
-    """URL present and starting with http:// or https:// (case-sensitive)."""
+    """URL present and starting with http:// or https:// (case-sensitive); accepted
+    rows go on with the trimmed URL that was checked."""
     u = trim_ws(F.coalesce(F.col(col), F.lit("")))
     reason = (F.when(u == "", F.lit("Field 'url' is required."))
                .when(~(u.startswith("http://") | u.startswith("https://")),
                      F.lit("URL must start with http:// or https://.")))
     tagged = df.withColumn("reason", reason)
-    return tagged.where(F.col("reason").isNull()).drop("reason"), tagged.where(F.col("reason").isNotNull())
+    return (tagged.where(F.col("reason").isNull()).drop("reason").withColumn(col, trim_ws(F.col(col))),
+            tagged.where(F.col("reason").isNotNull()))
 
 
 def validate_semesters(df: DataFrame, strict: bool = True) -> tuple[DataFrame, DataFrame]:

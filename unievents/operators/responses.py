@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import casefold_key, trim_ws
-from ..session import ensure_checkpoint_dir, spread_for_cpu
+from ..session import ensure_checkpoint_dir
 
 # ---- fixed values -------------------------------------------------------------------
 # Lines/items that are fragments of the JSON envelope, not subject names.
@@ -37,6 +37,8 @@ def with_recovered_json(df: DataFrame, text_col: str, text_out: str = "_s", json
     """M1 as DataFrame steps: the trimmed text, the fence-stripped text and the parsed
     VARIANT are materialised one after another, so each regex runs once per row
     (inlined into one expression they would be re-evaluated in every branch)."""
+    # of a repeated key in one object the last value counts
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     t = df.withColumn("_t", trim_ws(F.col(text_col)))
     t = t.withColumn("_bare", F.when(F.col("_t").startswith("```"), F.regexp_replace("_t", r"^`+|`+$", "")))
     t = t.withColumn(text_out, F.when(F.col("_bare").isNull(), F.col("_t"))
@@ -72,7 +74,7 @@ def response_subjects(df: DataFrame, text_col: str = "response", id_col: str = "
     object holding one, else every non-blank line stripped of '-', '•', space and tab;
     then strings only, trimmed, blanks and envelope fragments dropped, and duplicates
     removed case-insensitively keeping the first spelling."""
-    rec = with_recovered_json(spread_for_cpu(df), text_col)
+    rec = with_recovered_json(df, text_col)
     s, v = F.col("_s"), F.col("_v")
     arr = F.when(is_object(v), F.try_variant_get(v, "$.study_subjects", "array<variant>"))
     from_json = F.transform(arr, lambda x: F.when(F.schema_of_variant(x) == "STRING",
@@ -101,7 +103,7 @@ def response_category(df: DataFrame, text_col: str = "response") -> tuple[DataFr
     """M5: category name from a classification reply: fence-stripped, cut to the brace
     slice when there is one, parsed; ``category`` trimmed. Unparsable or empty replies
     are failure rows with a reason."""
-    t = spread_for_cpu(df).withColumn("_s", strip_fence(F.col(text_col)))
+    t = df.withColumn("_s", strip_fence(F.col(text_col)))
     t = t.withColumn("_v", F.try_parse_json(F.coalesce(brace_slice(F.col("_s")), F.col("_s"))))
     t = t.withColumn("_obj", is_object(F.col("_v")))
     t = t.withColumn("category", trim_ws(F.coalesce(
@@ -135,7 +137,7 @@ def response_events(df: DataFrame, per_link: bool = True, text_col: str = "respo
     # and failed rows filters on the VARIANT, and without the cut the optimizer pushes
     # those filters through the parsing steps, re-inlining the whole parse per branch.
     ensure_checkpoint_dir(df.sparkSession)
-    base = with_recovered_json(spread_for_cpu(df), text_col).drop("_s").checkpoint()
+    base = with_recovered_json(df, text_col).drop("_s").checkpoint()
     if per_link:
         good = base.where(is_object(F.col("_v"))).withColumn("item_pos", F.lit(0)) \
                    .withColumn("_item", F.col("_v"))

@@ -5,8 +5,8 @@ table(s) plus an action log ``(…, action, reason)``. Batches carry an explicit
 ``batch_pos`` because the reference applies rows one by one: the last row of a key
 wins, and its first row decides "created". Persisting the result is the caller's
 choice (``sources/snapshot.write_version``). New ids are ``max(id) + rank`` over the
-new keys only, computed with a distributed sort + ``zipWithIndex`` (no single-task
-window)."""
+new keys only: a distributed sort, a count per partition and the sums before each (no
+single-task window over the keys)."""
 
 from __future__ import annotations
 
@@ -14,10 +14,9 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.standardize import standardize_interest
-from ..functions.text import trim_ws
+from ..functions.text import casefold_key, trim_ws
 from ..session import ensure_checkpoint_dir
 from .filters import ended_predicate
 
@@ -25,15 +24,18 @@ from .filters import ended_predicate
 def assign_ids(new_keys: DataFrame, order_cols: list[str], id_col: str, start_after) -> DataFrame:
     """Dense ids ``start_after + 1 ..`` for ``new_keys`` in ``order_cols`` order.
     ``start_after`` is a Column (scalar subquery) or int."""
-    ordered = new_keys.orderBy(*order_cols)
-    schema = StructType(ordered.schema.fields + [StructField("_idx", LongType(), False)])
-    idx = ordered.rdd.zipWithIndex().map(lambda p: tuple(p[0]) + (p[1],))
-    # materialised once (reliable checkpoint): otherwise every consumer of the ids would
-    # re-run the sort and the zipWithIndex jobs over the whole upstream plan
-    ensure_checkpoint_dir(ordered.sparkSession)
-    with_idx = ordered.sparkSession.createDataFrame(idx, schema).checkpoint()
+    # a sampled sort may cut its partitions elsewhere when it runs again: the sorted keys are
+    # written once (reliable checkpoint), with partition and place in one number
+    ensure_checkpoint_dir(new_keys.sparkSession)
+    placed = new_keys.orderBy(*order_cols).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    placed = placed.withColumn("_part", F.shiftright("_at", 33)).withColumn("_nth", F.col("_at").bitwiseAND((1 << 33) - 1))
+    # one row per sort partition
+    before = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     base = start_after if not isinstance(start_after, int) else F.lit(start_after)
-    return with_idx.withColumn(id_col, (F.coalesce(base, F.lit(0)) + F.col("_idx") + 1).cast("bigint")).drop("_idx")
+    return (placed.join(before.select("_part", "_before"), "_part")
+            .withColumn(id_col, (F.coalesce(base, F.lit(0)) + F.col("_before") + F.col("_nth") + 1).cast("bigint"))
+            .drop("_at", "_part", "_nth", "_before"))
 
 
 def _max_id(table: DataFrame, col: str):
@@ -57,18 +59,16 @@ def upsert_events(ev: DataFrame, batch: DataFrame, on_duplicate: str = "update"
     key = ["name", "date"]
     b = batch.select("batch_pos", *key, *EVENT_FIELDS)
     existing = ev.select("event_id", *key)
-    first = b.groupBy(*key).agg(F.min("batch_pos").alias("_first"))
-    tagged = b.join(first, key).join(existing, key, "left")
-    is_dup = F.col("event_id").isNotNull() | (F.col("batch_pos") > F.col("_first"))
-    if on_duplicate == "reject":
-        applied = tagged.where(~is_dup)
-    elif on_duplicate == "update":
-        applied = tagged
-    else:
+    if on_duplicate not in ("update", "reject"):
         raise ValueError("on_duplicate must be 'update' or 'reject'")
-
-    w = Window.partitionBy(*key).orderBy(F.col("batch_pos").desc())
-    last = applied.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    # first and last row of a key as partial aggregates: a hot key is one row per task
+    row = F.struct(*EVENT_FIELDS)
+    pick = F.min_by(row, "batch_pos") if on_duplicate == "reject" else F.max_by(row, "batch_pos")
+    per_key = b.groupBy(*key).agg(F.min("batch_pos").alias("_first"), pick.alias("_row")).join(existing, key, "left")
+    is_dup = F.col("event_id").isNotNull() | (F.col("batch_pos") > F.col("_first"))
+    tagged = b.select("batch_pos", *key).join(per_key.select(*key, "_first", "event_id"), key)
+    last = per_key.where(F.col("event_id").isNull()) if on_duplicate == "reject" else per_key
+    last = last.select(*key, "_first", "event_id", "_row.*")
     new_keys = last.where(F.col("event_id").isNull()).select(*key, "_first")
     new_ids = assign_ids(new_keys, ["_first"], "new_id", _max_id(ev, "event_id")).drop("_first")
     final = last.join(new_ids, key, "left").withColumn("event_id", F.coalesce("event_id", "new_id")).drop("new_id")
@@ -182,16 +182,14 @@ def update_interest(ss: DataFrame, sub: DataFrame, batch: DataFrame, student_id:
 
 def import_subjects(sub: DataFrame, cat: DataFrame, batch: DataFrame
                     ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Batch (batch_pos, subject, category) of classified names. Names are first
-    de-duplicated case-insensitively keeping the first row (as the reference normalises
-    its list before importing). Category and subject are matched case-insensitively
+    """Batch (batch_pos, subject, category) of classified names. Names are
+    de-duplicated case-insensitively (M4's key) keeping the first row. Category and subject are matched case-insensitively
     (lowest id wins) and created when absent (first spelling in the batch); an existing
     subject is re-pointed when its category differs.
     Returns (next_sub, next_cat, log(batch_pos, subject, category_name, subject_id, action))."""
-    keyed = batch.withColumn("_sk", F.lower(F.col("subject")))
-    w = Window.partitionBy("_sk").orderBy("batch_pos")
-    b = keyed.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r") \
-             .withColumn("_ck", F.lower(F.col("category")))
+    first = batch.groupBy(casefold_key(F.col("subject")).alias("_fold")).agg(
+        F.min_by(F.struct("batch_pos", "subject", "category"), "batch_pos").alias("_f"))
+    b = first.select("_f.*").withColumn("_sk", F.lower("subject")).withColumn("_ck", F.lower("category"))
     cat_first = cat.groupBy(F.lower("name").alias("_ck")).agg(F.min("category_id").alias("category_id"))
     new_cat = b.join(cat_first, "_ck", "left_anti").groupBy("_ck").agg(
         F.min_by("category", "batch_pos").alias("name"), F.min("batch_pos").alias("_p"))
@@ -266,10 +264,11 @@ URL_COLS = ["url", "source", "city", "last_seen", "last_scraped", "is_active"]
 
 
 def upsert_urls(urls: DataFrame, links: DataFrame, now: dt.datetime) -> DataFrame:
-    """Discovered links (url, source, city) set source and city, active, last_seen
-    = now; other registry rows are unchanged."""
-    found = links.select("url", "source", F.coalesce("city", F.lit("")).alias("city")) \
-                 .dropDuplicates(["url"])
+    """Discovered links (pos, url, source, city) set source and city, active,
+    last_seen = now; of several links to one URL the last one (greatest ``pos``) counts.
+    Other registry rows are unchanged."""
+    found = links.groupBy("url").agg(F.max_by(F.struct("source", "city"), "pos").alias("_l")).select(
+        "url", "_l.source", F.coalesce("_l.city", F.lit("")).alias("city"))
     touched = urls.select("url", "last_scraped").join(found, "url", "right")
     upd = touched.select("url", "source", "city", F.lit(now).cast("timestamp").alias("last_seen"),
                          "last_scraped", F.lit(True).alias("is_active"))
@@ -299,9 +298,8 @@ def delete_events(ev: DataFrame, ec: DataFrame, ids: DataFrame) -> tuple[DataFra
 
 def purge_ended(ev: DataFrame, ec: DataFrame, now: dt.datetime) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Remove ended events (F7) and their bridge rows; returns (kept, next_ec,
-    deleted). The ended predicate is evaluated once per row; both sides come from the
-    same scan."""
-    flagged = ev.withColumn("_ended", ended_predicate(now))
+    deleted). An event without a date, or without a time today, has not ended."""
+    flagged = ev.withColumn("_ended", F.coalesce(ended_predicate(now), F.lit(False)))
     deleted = flagged.where("_ended").drop("_ended")
     kept = flagged.where(~F.col("_ended")).drop("_ended")
     next_ec = ec.join(deleted.select("event_id"), "event_id", "left_anti")
@@ -319,10 +317,11 @@ def delete_cascade(tables: dict[str, DataFrame], category_ids: DataFrame | None
         out["category"] = out["category"].join(cids, "category_id", "left_anti")
         out["subject"] = out["subject"].join(gone_sub, "subject_id", "left_anti")
         out["student_subject"] = out["student_subject"].join(gone_sub, "subject_id", "left_anti")
-        if "event_category" in out and "category_id" in out["event_category"].columns:
-            out["event_category"] = out["event_category"].join(cids, "category_id", "left_anti")
+        if "event_category" in out:  # the bridge holds category names
+            gone_names = tables["category"].join(cids, "category_id", "left_semi").select(F.col("name").alias("category_name"))
+            out["event_category"] = out["event_category"].join(gone_names, "category_name", "left_anti")
     if student_ids is not None:
         sids = student_ids.select("student_id").distinct()
         out["student"] = out["student"].join(sids, "student_id", "left_anti")
         out["student_subject"] = out["student_subject"].join(sids, "student_id", "left_anti")
-    return out
+    return {name: df.select(*tables[name].columns) for name, df in out.items()}

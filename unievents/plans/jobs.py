@@ -38,11 +38,14 @@ def run_event_load(spark: SparkSession, responses: DataFrame, as_of_year: int,
     }
     if result_path:
         log = spark.read.parquet(written["event_load_log"])
+        listing = tuple(c for c in ("url", "source", "city") if c in responses.columns)
+        if len(listing) > 1:  # one row per response, so the listing's columns come back by its id
+            log = log.drop(*listing[1:]).join(responses.select("prompt_id", *listing[1:]), "prompt_id", "left")
         saved = log.where(F.col("action") != "failed").select(
-            "url", "event_id", "name", "date", "time", "place", "price",
-            F.split("categories", ", ").alias("categories"), "short_description", "source_url")
+            *listing, "event_id", "name", "date", "time", "place", "price",
+            F.col("category_list").alias("categories"), "short_description", "source_url")
         failed = log.where(F.col("action") == "failed").select(
-            "url", F.col("url").alias("source_url"), "name", "error")
-        write_events_json(saved, failed, result_path)
+            *listing, F.col("url").alias("source_url"), "name", "error", F.col("raw_item").alias("raw"))
+        write_events_json(saved, failed, result_path, keys=listing)
         written["result"] = result_path
     return written

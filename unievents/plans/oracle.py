@@ -33,7 +33,7 @@ BINDINGS = {
     "event_category": """
         SELECT DISTINCT l_orderkey AS event_id,
                CASE WHEN l_orderkey % 2 = 0 THEN upper(p_brand) ELSE concat(' ', p_brand) END AS category_name
-        FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber <= 3""",
+        FROM lineitem JOIN part ON l_partkey = p_partkey""",
 }
 
 # Same character class as functions/text.py (Python str.strip() whitespace).
@@ -107,13 +107,13 @@ def decode_sql(expr: str) -> str:
 
 
 def strip_html_sql(expr: str) -> str:
-    out = f"regexp_replace({expr}, '(?s)<!--.*?-->', ' ', 'g')"
+    out = f"regexp_replace({expr}, '(?s)<!--.*?-->', '<>', 'g')"
     for tag in ("script", "style", "noscript"):
-        out = f"regexp_replace({out}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', ' ', 'g')"
+        out = f"regexp_replace({out}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', '<>', 'g')"
     return out
 
 
-def page_text_sql(expr: str, cap: int | None = 60000) -> str:
+def page_text_sql(expr: str, cap: int | None = None) -> str:
     nodes = f"regexp_split_to_array({strip_html_sql(expr)}, '<[^>]*>')"
     kept = f"list_filter(list_transform({nodes}, lambda x: {trim_ws(decode_sql('x'))}), lambda x: x <> '')"
     text = f"array_to_string({kept}, ' ')"
@@ -146,39 +146,22 @@ def normalize_sql(url: str) -> str:
 
 
 # ---- D1-D3 and M1 in SQL ----------------------------------------------------------------
-def _month_case(w: str) -> str:
-    from ..functions.standardize import MONTHS
-    return "CASE " + w + " " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in MONTHS.items()) + " END"
-
-
 def date_sql(x: str, as_of_year: int) -> str:
-    norm = trim_ws(f"regexp_replace(replace(replace({trim_ws(f'CAST({x} AS VARCHAR)')}, '–', '-'), ',', ' '), '\\s+', ' ', 'g')")
+    """Tokens are marked by what they are, and one list of formats reads them."""
+    from ..functions.standardize import MONTHS
+    space = "[\\s\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x0B\\x1C-\\x1F]+"
+    norm = trim_ws(f"regexp_replace(replace(replace({trim_ws(f'CAST({x} AS VARCHAR)')}, '–', '-'), ',', ' '), '{space}', ' ', 'g')")
     low = f"lower(regexp_replace(strip_accents({norm}), '[^\\x00-\\x7F]', '', 'g'))"
-
-    def word(p: str, mi: int, di: int, yi: int | None) -> str:
-        w = f"regexp_extract({low}, '{p}', {mi})"
-        y = f"CAST(regexp_extract({low}, '{p}', {yi}) AS INTEGER)" if yi else str(as_of_year)
-        d = f"CAST(regexp_extract({low}, '{p}', {di}) AS INTEGER)"
-        return (f"CASE WHEN regexp_matches({low}, '{p}') AND {_month_case(w)} IS NOT NULL "
-                f"THEN try(make_date({y}, {_month_case(w)}, {d})) END")
-
-    def num(p: str, yi: int, mi: int, di: int) -> str:
-        g = lambda i: f"CAST(regexp_extract({norm}, '{p}', {i}) AS INTEGER)"
-        return f"CASE WHEN regexp_matches({norm}, '{p}') THEN try(make_date({g(yi)}, {g(mi)}, {g(di)})) END"
-
-    cands = [
-        word(r"^([a-z]+)\s+(\d{1,2})\s*-\s*\d{1,2}\s+(\d{4})$", 1, 2, 3),
-        word(r"^(\d{4})\s+([a-z]+)\s+(\d{1,2})\s*-\s*\d{1,2}$", 2, 3, 1),
-        word(r"^(\d{1,2})\s*-\s*\d{1,2}\s+([a-z]+)\s+(\d{4})$", 2, 1, 3),
-        word(r"^(\d{1,2})\s+([a-z]+)\s+(\d{4})$", 2, 1, 3),
-        word(r"^([a-z]+)\s+(\d{1,2})$", 1, 2, None),
-        num(r"^(\d{4})-(\d{1,2})-(\d{1,2})$", 1, 2, 3),
-        num(r"^(\d{4})/(\d{1,2})/(\d{1,2})$", 1, 2, 3),
-        num(r"^(\d{1,2})-(\d{1,2})-(\d{4})$", 3, 2, 1),
-        num(r"^(\d{1,2})/(\d{1,2})/(\d{4})$", 3, 2, 1),
-        num(r"^(\d{4})\.(\d{1,2})\.(\d{1,2})$", 1, 2, 3),
-    ]
-    return "coalesce(" + ", ".join(cands) + ")"
+    months = " ".join(f"WHEN '{k}' THEN 'M{v}'" for k, v in MONTHS.items())
+    marked = (f"array_to_string(list_transform(string_split(regexp_replace({low}, ' *- *', '-', 'g'), ' '), lambda t: "
+              f"CASE t {months} ELSE CASE WHEN regexp_full_match(t, '[0-9]{{4}}') THEN 'Y' || t "
+              f"WHEN regexp_full_match(t, '[0-9]{{1,2}}') THEN 'D' || t "
+              f"WHEN regexp_full_match(t, '[0-9]{{1,2}}-[0-9]{{1,2}}') THEN 'R' || split_part(t, '-', 1) ELSE '?' END END), ' ')")
+    with_year = f"CASE WHEN regexp_full_match({marked}, 'M[0-9]+ D[0-9]+') THEN {marked} || ' @{as_of_year}' ELSE {marked} END"
+    formats = "['M%m R%d Y%Y', 'Y%Y M%m R%d', 'R%d M%m Y%Y', 'D%d M%m Y%Y', 'M%m D%d @%Y']"
+    plain = "[0-9]{4}([-][0-9]{1,2}[-]|[/][0-9]{1,2}[/]|[.][0-9]{1,2}[.])[0-9]{1,2}|[0-9]{1,2}([-][0-9]{1,2}[-]|[/][0-9]{1,2}[/])[0-9]{4}"
+    return (f"CAST(coalesce(try_strptime({with_year}, {formats}), CASE WHEN regexp_full_match({norm}, '{plain}') THEN "
+            f"try_strptime({norm}, ['%Y-%m-%d', '%Y/%m/%d', '%Y.%m.%d', '%d-%m-%Y', '%d/%m/%Y']) END) AS DATE)")
 
 
 def time_sql(x: str) -> str:

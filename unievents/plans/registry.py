@@ -184,7 +184,7 @@ _R3_LOOKUP_SQL = """
 
 @register("r3_events_for_subject", with_ctes(
     """SELECT h.lookup, h.event_id, CAST(row_number() OVER (PARTITION BY h.lookup
-               ORDER BY e.date DESC, e.time DESC, e.event_id) AS INTEGER) AS rank
+               ORDER BY e.date DESC, e.time DESC, e.event_id) AS BIGINT) AS rank
        FROM hits h JOIN event e ON h.event_id = e.event_id""",
     "subject", "category", "ec_key", "event",
     extra=[("lookups", _R3_LOOKUP_SQL),
@@ -364,7 +364,7 @@ def _local_rules():
             LinkRule("local-org", path_has=("/",), path_not_has=(".",), hosts=None))
 
 
-R8_N = 5
+R8_N = 20  # the default number of links
 _R8_SQL = "WITH links AS (" + _LINKS_SQL + "),\nresolved AS (" + _RESOLVED_SQL + ")" + f""",
     routed AS (SELECT page_id, 'local-' || regexp_extract(regexp_extract(url, '{O.HOST_RE}', 1), '([^.]*)$', 1) AS source
                FROM pages),
@@ -396,8 +396,8 @@ def r8_link_frontier(spark, sf_dir):
         F.regexp_extract("url", O.HOST_RE, 1), r"([^.]*)$", 1))).withColumn("city", F.lit(""))
     urls = spark.createDataFrame([], "url string, source string, city string, last_seen timestamp, "
                                      "last_scraped timestamp, is_active boolean").select(*URL_COLS)
-    frontier, _, rejected = link_frontier(routed, urls, rules_frame(spark, _local_rules()), R8_N,
-                                          dt.datetime(2026, 1, 1))
+    frontier, _, rejected = link_frontier(routed, urls, rules_frame(spark, _local_rules()),
+                                          dt.datetime(2026, 1, 1), R8_N)
     return frontier.select("page_id", "source", "link", "link_rank", "origin",
                            F.lit(None).cast("string").alias("error")).unionByName(
         rejected.select("page_id", "source", F.lit(None).cast("string").alias("link"),
@@ -537,7 +537,7 @@ _R9_CTES = [
                        list_filter(list_transform(raw_cats, lambda x: {O.trim_ws("coalesce(json_extract_string(x, '$'), '')")}),
                                    lambda x: x <> '') AS categories
                 FROM items"""),
-    ("ok", """SELECT *, prompt_id * 1000 + item_pos AS batch_pos FROM std
+    ("ok", """SELECT *, row(prompt_id, item_pos) AS batch_pos FROM std
               WHERE name <> '' AND date IS NOT NULL AND place <> '' AND price IS NOT NULL"""),
     ("bad", "SELECT * FROM std WHERE NOT (name <> '' AND date IS NOT NULL AND place <> '' AND price IS NOT NULL)"),
     ("firsts", "SELECT name, date, min(batch_pos) AS first_pos FROM ok GROUP BY 1, 2"),
@@ -568,7 +568,7 @@ def r9_load_event_responses(spark, sf_dir):
     from .scrape import load_event_responses
     d = Domain(spark, sf_dir)
     out = load_event_responses(RS.event_responses(spark, sf_dir), d.ev, d.ec, d.cat, AS_OF_YEAR)
-    return out["log"]
+    return out["log"].drop("category_list", "raw_item")
 
 
 @register("g6_event_load_counters", with_ctes("""
@@ -892,22 +892,27 @@ SELECT (SELECT count(*) FROM category WHERE category_id NOT IN (SELECT id FROM d
        (SELECT count(*) FROM student_subject WHERE subject_id NOT IN (
             SELECT subject_id FROM subject WHERE category_id IN (SELECT id FROM del))
           AND student_id NOT IN (SELECT sid FROM dels)) AS ratings,
-       (SELECT count(*) FROM student WHERE student_id NOT IN (SELECT sid FROM dels)) AS students""",
-    "category", "subject", "student_subject", "student",
+       (SELECT count(*) FROM student WHERE student_id NOT IN (SELECT sid FROM dels)) AS students,
+       (SELECT count(*) FROM bridge WHERE category_name NOT IN (
+            SELECT name FROM category WHERE category_id IN (SELECT id FROM del))) AS bridge_rows""",
+    "category", "subject", "student_subject", "student", "event_category",
     extra=[("del", "SELECT DISTINCT user_id AS id FROM events WHERE event_type = 'error'"),
-           ("dels", "SELECT DISTINCT user_id * 3 AS sid FROM events WHERE event_type = 'purchase'")]))
+           ("dels", "SELECT DISTINCT user_id * 3 AS sid FROM events WHERE event_type = 'purchase'"),
+           ("bridge", "SELECT event_id, upper(trim(category_name)) AS category_name FROM event_category")]))
 def w14_delete_cascade_counts(spark, sf_dir):
     from ..operators.writes import delete_cascade
     d = Domain(spark, sf_dir)
     e = T.load_table(spark, sf_dir, "events")
     cids = e.where(F.col("event_type") == "error").select(F.col("user_id").alias("category_id"))
     sids = e.where(F.col("event_type") == "purchase").select((F.col("user_id") * 3).alias("student_id"))
-    out = delete_cascade({"category": d.cat, "subject": d.sub, "student_subject": d.ss, "student": d.stu},
+    bridge = d.ec.withColumn("category_name", F.upper(F.trim("category_name")))
+    out = delete_cascade({"category": d.cat, "subject": d.sub, "student_subject": d.ss, "student": d.stu,
+                          "event_category": bridge},
                          category_ids=cids, student_ids=sids)
     cnt = {k: v.agg(F.count(F.lit(1))).scalar() for k, v in out.items()}
     return out["category"].agg(F.count(F.lit(1)).alias("categories")) \
         .withColumn("subjects", cnt["subject"]).withColumn("ratings", cnt["student_subject"]) \
-        .withColumn("students", cnt["student"])
+        .withColumn("students", cnt["student"]).withColumn("bridge_rows", cnt["event_category"])
 
 
 # ---------------------------------------------------------------------------------------
@@ -1034,23 +1039,21 @@ def w8_assign_subjects(spark, sf_dir):
 
 
 @register("w10_upsert_urls", _R8_SQL.split("\n    SELECT page_id, source, link, link_rank, 'found'")[0] + f"""
-    SELECT link AS url, arg_min(source, page_id) AS source, '' AS city,
+    SELECT link AS url, arg_max(source, page_id) AS source, '' AS city,
            '2026-01-01 00:00:00' AS last_seen, CAST(NULL AS VARCHAR) AS last_scraped, true AS is_active
     FROM ranked WHERE link_rank <= {R8_N} GROUP BY link""")
 def w10_upsert_urls(spark, sf_dir):
     import datetime as dt
 
     from ..operators.pages import rules_frame
-    from ..operators.writes import URL_COLS, upsert_urls
+    from ..operators.writes import URL_COLS
     from .scrape import link_frontier
     pages = T.load_table(spark, sf_dir, "pages")
     routed = pages.withColumn("source", F.concat(F.lit("local-"), F.regexp_extract(
         F.regexp_extract("url", O.HOST_RE, 1), r"([^.]*)$", 1))).withColumn("city", F.lit(""))
     urls = spark.createDataFrame([], "url string, source string, city string, last_seen timestamp, "
                                      "last_scraped timestamp, is_active boolean").select(*URL_COLS)
-    frontier, _, _ = link_frontier(routed, urls, rules_frame(spark, _local_rules()), R8_N, dt.datetime(2026, 1, 1))
-    first = frontier.groupBy(F.col("link").alias("url")).agg(F.min_by("source", "page_id").alias("source"))
-    nxt = upsert_urls(urls, first.withColumn("city", F.lit("")), dt.datetime(2026, 1, 1))
+    _, nxt, _ = link_frontier(routed, urls, rules_frame(spark, _local_rules()), dt.datetime(2026, 1, 1), R8_N)
     # timestamps as text so the comparison does not depend on the session time zone
     return nxt.withColumn("last_seen", F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss")) \
               .withColumn("last_scraped", F.date_format("last_scraped", "yyyy-MM-dd HH:mm:ss"))

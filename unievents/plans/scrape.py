@@ -19,16 +19,17 @@ from ..operators.events import split_events, standardize_event_items
 from ..operators.prompts import (EVENT_LIST_TEMPLATE, SUBJECTS_TEMPLATE, event_prompt,
                                  prompt_column)
 from ..operators.responses import response_category, response_events, response_subjects
-from ..session import ensure_checkpoint_dir, spread_for_cpu
+from ..session import ensure_checkpoint_dir
 from ..operators.writes import (import_subjects, set_event_categories, touch_urls, upsert_events,
                                 upsert_urls)
 
+NO_PAGE_ERROR = "The page could not be fetched."
 KNOWN_SOURCES = ("litexpo", "meetup", "kaveikti")
 
 
 def route_pages(pages: DataFrame) -> DataFrame:
     """P13 + P1 + P11 + P12: valid pages with text, source and city."""
-    ok, _ = P.validate_urls(spread_for_cpu(pages))
+    ok, _ = P.validate_urls(pages)
     texts = ok.withColumn("text", P.page_text(F.col("html"), cap=None))
     routed = P.infer_city(P.classify_source(texts, text_col="text"), text_col="text")
     return routed
@@ -41,21 +42,21 @@ def saved_urls_top(urls: DataFrame, n: int) -> DataFrame:
     return act.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
-def link_frontier(pages: DataFrame, urls: DataFrame, rules: DataFrame, n: int = 20,
-                  now: dt.datetime | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def link_frontier(pages: DataFrame, urls: DataFrame, rules: DataFrame, now: dt.datetime,
+                  n: int = P.MAX_LINKS_DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """For every listing page of a known source: its event links (P3-P10); when it
     has none, the saved active URLs of its source (and city, when given), newest
     first; when neither exists the page is rejected with the reference's message.
 
     ``pages`` needs (page_id, url, html, source, city). Returns (frontier(page_id,
     source, city, link, link_rank, origin found/saved), next_urls (W10), rejected)."""
-    now = now or dt.datetime(1970, 1, 1)
     known = pages.join(rules.select("source").distinct(), "source", "left_semi")
     links = P.resolve_links(P.page_links(known.select("page_id", "url", "html")))
     links = links.join(known.select("page_id", "source", "city"), "page_id")
     found = P.top_links(P.filter_links(links, rules), n) \
         .select("page_id", "source", "city", "link", "link_rank").withColumn("origin", F.lit("found"))
-    next_urls = upsert_urls(urls, found.select(F.col("link").alias("url"), "source", "city"), now)
+    next_urls = upsert_urls(urls, found.select(F.struct("page_id", "link_rank").alias("pos"),
+                                               F.col("link").alias("url"), "source", "city"), now)
 
     no_links = known.join(found.select("page_id").distinct(), "page_id", "left_anti") \
                     .select("page_id", "source", "city")
@@ -76,7 +77,7 @@ def link_frontier(pages: DataFrame, urls: DataFrame, rules: DataFrame, n: int =
 
 def event_prompts(detail_pages: DataFrame) -> DataFrame:
     """R9 job 1, per-link form: one prompt per fetched detail page (page_id, url, source,
-    city, html) using the source's template and the page text (P1, 60,000 chars)."""
+    city, html) using the source's template and the whole page text (P1)."""
     text = P.page_text(F.col("html"))
     return detail_pages.select("page_id", "url", "source", "city",
                                event_prompt(F.col("source"), F.col("url"), text, F.col("city")).alias("prompt"))
@@ -94,14 +95,16 @@ def load_event_responses(responses: DataFrame, ev: DataFrame, ec: DataFrame, cat
 
     Returns dict with next_events, next_bridge, next_categories, log (one row per item
     and per unparsable response: prompt_id, url, action created/updated/failed, error,
-    event_id and the standardised fields) and counters (G6)."""
+    event_id the standardised fields, the categories as a list and the raw item of a failed
+    row) and counters (G6)."""
     items, bad = response_events(responses, per_link=per_link)
     # parse + standardise once: the upsert, id assignment, bridge update and log all read
     # it, so the lineage is cut with a reliable checkpoint in the shared checkpoint dir
     ensure_checkpoint_dir(responses.sparkSession)
     std = standardize_event_items(items, as_of_year).checkpoint()
     ok, failed = split_events(std)
-    pos = ok.withColumn("batch_pos", F.col("prompt_id") * 1000 + F.col("item_pos"))
+    # rows apply in the order of their prompts, and of the items within one
+    pos = ok.withColumn("batch_pos", F.struct("prompt_id", "item_pos"))
     next_ev, log = upsert_events(ev, pos)
     assign = pos.join(log.select("batch_pos", "event_id"), "batch_pos").select("batch_pos", "event_id", "categories")
     next_ec, next_cat = set_event_categories(ec, cat, assign)
@@ -109,20 +112,23 @@ def load_event_responses(responses: DataFrame, ev: DataFrame, ec: DataFrame, cat
         "prompt_id", "url", "item_pos", "action", F.lit(None).cast("string").alias("error"), "event_id",
         "name", F.col("date").cast("string").alias("date"), time_hhmm(F.col("time")).alias("time"), "place",
         price_text(F.col("price")).alias("price"), F.array_join("categories", ", ").alias("categories"),
-        "short_description", "source_url")
+        "short_description", "source_url", F.col("categories").alias("category_list"),
+        F.lit(None).cast("string").alias("raw_item"))
     fail_items = failed.select(
         "prompt_id", "url", "item_pos", F.lit("failed").alias("action"), "error",
         F.lit(None).cast("bigint").alias("event_id"), "name", F.lit(None).cast("string").alias("date"),
         F.lit(None).cast("string").alias("time"), F.lit(None).cast("string").alias("place"),
         F.lit(None).cast("string").alias("price"), F.lit(None).cast("string").alias("categories"),
-        F.lit(None).cast("string").alias("short_description"), F.lit(None).cast("string").alias("source_url"))
+        F.lit(None).cast("string").alias("short_description"), F.lit(None).cast("string").alias("source_url"),
+        F.lit(None).cast("array<string>").alias("category_list"), "raw_item")
     fail_resp = bad.select("prompt_id", "url", F.lit(None).cast("int").alias("item_pos"),
                            F.lit("failed").alias("action"), "error", *[
                                F.lit(None).cast(t).alias(c) for c, t in
                                [("event_id", "bigint"), ("name", "string"), ("date", "string"),
                                 ("time", "string"), ("place", "string"), ("price", "string"),
                                 ("categories", "string"), ("short_description", "string"),
-                                ("source_url", "string")]])
+                                ("source_url", "string"), ("category_list", "array<string>")]],
+                           F.col("response").alias("raw_item"))
     full_log = saved.unionByName(fail_items).unionByName(fail_resp)
     return {"next_events": next_ev, "next_bridge": next_ec, "next_categories": next_cat,
             "log": full_log, "counters": run_counters(full_log, actions=("created", "updated", "failed"))}
@@ -136,16 +142,21 @@ def mark_scraped(urls: DataFrame, responses: DataFrame, now: dt.datetime) -> Dat
 
 def subject_prompts(requests: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """R10 job 1: requests (request_id, url, from_semester, to_semester) validated (P14,
-    P13) and joined with the fetched pages (url, html) -> prompt table and rejected."""
+    P13) and joined with the fetched pages (url, html) -> prompt table and rejected. Of
+    several pages of one URL the last (greatest page_id, where there is one) counts; a
+    request whose page was not fetched is rejected, too."""
     ok, bad_sem = P.validate_semesters(requests)
     ok, bad_url = P.validate_urls(ok)
-    j = ok.join(pages.select("url", "html"), "url")
-    prompts = j.select("request_id", "url", "from_semester", "to_semester",
+    order = F.struct(*[c for c in ("page_id", "html") if c in pages.columns])
+    fetched = pages.groupBy("url").agg(F.max_by("html", order).alias("html"))
+    j = ok.join(fetched, "url", "left")
+    bad_page = j.where(F.col("html").isNull()).drop("html").withColumn("reason", F.lit(NO_PAGE_ERROR))
+    prompts = j.where(F.col("html").isNotNull()).select("request_id", "url", "from_semester", "to_semester",
                        P.page_text(F.col("html")).alias("text"))
     prompts = prompts.withColumn("characters", F.length("text")).withColumn(
         "prompt", prompt_column(SUBJECTS_TEMPLATE, from_semester=F.col("from_semester"),
                                 to_semester=F.col("to_semester"), text=F.col("text")))
-    return prompts, bad_sem.unionByName(bad_url, allowMissingColumns=True)
+    return prompts, bad_sem.unionByName(bad_url, allowMissingColumns=True).unionByName(bad_page, allowMissingColumns=True)
 
 
 def load_subject_responses(responses: DataFrame) -> DataFrame:

@@ -5,12 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Rows a side may hold before we stop hinting a broadcast and leave the join to the
-# planner (sort-merge, or AQE's runtime switch when the measured size turns out small).
-DEFAULT_BROADCAST_ROWS = 200_000
+from pyspark.sql import SparkSession
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
@@ -19,12 +14,12 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    parts = shuffle_partitions or int(os.environ.get("UNIEVENTS_SHUFFLE_PARTITIONS", "8"))
+    parts = shuffle_partitions or os.environ.get("UNIEVENTS_SHUFFLE_PARTITIONS")
     conf = {
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
-        "spark.sql.shuffle.partitions": str(parts),
+        **({"spark.sql.shuffle.partitions": str(parts)} if parts else {}),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -44,38 +39,14 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when it is unset (local tests) do we create one of our own.
+    Only a local session, where it is unset as in tests, gets one of its own; on a cluster
+    an unset folder is an error, as executors could not see the driver's disk.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="unievents-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after proving it holds at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows (a bounded LIMIT), so it stays cheap
-    even when the side turns out to be large; above the bound the join is left to the
-    planner, which shuffles (or lets AQE switch to broadcast from runtime sizes).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def broadcast_if_bounded(df: DataFrame, row_bound: int,
-                         max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` when a bound proven by construction (e.g. ``k x #categories``
-    for a per-category top-k) is within ``max_rows``; otherwise leave it to the planner."""
-    return F.broadcast(df) if row_bound <= max_rows else df
-
-
-def spread_for_cpu(df: DataFrame) -> DataFrame:
-    """Per-row text work (regex, JSON) needs at least one partition per core. An input
-    that arrives as fewer splits than the default parallelism (a small file) is
-    round-robin repartitioned up to it; any input that already has that many partitions
-    (every real-scale input) passes through untouched, without a shuffle."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

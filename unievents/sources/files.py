@@ -23,20 +23,19 @@ def load_pages(spark: SparkSession, path: str, streaming: bool = False) -> DataF
 
 
 def _read_json(spark: SparkSession, path: str, schema: str, multi_line: bool) -> DataFrame:
-    """JSON Lines by default (splittable: one document per line, as the writers below
-    produce); ``multi_line=True`` for single pretty-printed documents (not splittable,
-    one task per file)."""
+    """Single, possibly indented documents by default (one task per file);
+    ``multi_line=False`` reads JSON Lines, as the writers below produce them, splittable."""
     return (spark.read.schema(schema).option("multiLine", multi_line).option("mode", "FAILFAST")
                  .json(path))
 
 
-def load_subjects_json(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def load_subjects_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """IO3: subjects result documents (url, from_semester, to_semester,
     study_subjects)."""
     return _read_json(spark, path, SUBJECTS_FILE_SCHEMA, multi_line)
 
 
-def load_events_json(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def load_events_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """IO4: events result documents, one row per saved event (``explode(events)``)."""
     schema = ("url string, source string, city string, events array<struct<event_id:bigint, name:string, "
               "date:string, time:string, place:string, price:string, categories:array<string>, "

@@ -85,11 +85,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bridge event_category(event_id, category_name) from an order's first three lines.
+    """Bridge event_category(event_id, category_name) from an order's lines.
     Names come upper-cased or with a leading space so matching must use the D7 key."""
-    li = load_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    li = load_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     part = load_table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    j = li.where(F.col("l_linenumber") <= 3).join(part, li.l_partkey == part.p_partkey)
+    j = li.join(part, li.l_partkey == part.p_partkey)
     name = F.when(F.col("l_orderkey") % 2 == 0, F.upper("p_brand")) \
             .otherwise(F.concat(F.lit(" "), F.col("p_brand")))
     return j.select(F.col("l_orderkey").alias("event_id"), name.alias("category_name")).distinct()

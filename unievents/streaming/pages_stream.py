@@ -1,6 +1,6 @@
 """Structured Streaming form of the page job: new page files arriving in a folder are
 turned into page text (P1) and event links (P3-P5) per micro-batch with
-``foreachBatch``, each batch appended to Parquet outputs. The checkpoint location keeps
+``foreachBatch``, each batch written to a folder of its own in the Parquet outputs. The checkpoint location keeps
 progress, so a restarted query resumes where it stopped."""
 
 from __future__ import annotations
@@ -18,9 +18,10 @@ def start_page_stream(spark: SparkSession, pages_dir: str, out_dir: str, checkpo
     src = spark.readStream.schema(PAGE_SCHEMA).parquet(pages_dir)
 
     def process(batch: DataFrame, epoch_id: int) -> None:
-        page_texts(batch).write.mode("append").parquet(f"{out_dir}/page_text")
+        # a folder per batch, replaced as a whole: a batch that runs again doubles nothing
+        page_texts(batch).write.mode("overwrite").parquet(f"{out_dir}/page_text/epoch={epoch_id}")
         resolve_links(page_links(batch)).select("page_id", "pos", "link") \
-            .write.mode("append").parquet(f"{out_dir}/links")
+            .write.mode("overwrite").parquet(f"{out_dir}/links/epoch={epoch_id}")
 
     writer = src.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint_dir)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
