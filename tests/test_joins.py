@@ -1,5 +1,7 @@
 """J7, J8, J10, J11 on small batches."""
 
+from pyspark.sql import functions as F
+
 from unievents.operators.joins import attach_ratings, check_refs, resolve_names, split_new
 
 
@@ -19,6 +21,7 @@ def test_name_joins(spark):
     sub = spark.createDataFrame([(5, "ALGEBRA"), (3, "algebra"), (7, "Chemija")], "subject_id long, name string")
     ids = {r.pos: r.subject_id for r in resolve_names(names, sub).collect()}
     assert ids == {0: 3, 1: 3, 2: None}  # trimmed, case-insensitive, lowest id
-    ratings = spark.createDataFrame([("Algebra", 2, 1), ("Algebra", 5, 2)], "name string, interest int, pos int")
-    got = {r.pos: r.interest for r in attach_ratings(names, ratings).collect()}
+    ratings = spark.createDataFrame([(7, "Algebra", 2, 1), (7, "Algebra", 5, 2), (8, "Fizika", 4, 1)],
+                                    "student_id int, name string, interest int, pos int")
+    got = {r.pos: r.interest for r in attach_ratings(names.withColumn("student_id", F.lit(7)), ratings).collect()}
     assert got == {0: 5, 1: 0, 2: 0}  # exact name only; the last duplicate rating wins

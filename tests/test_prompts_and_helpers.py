@@ -46,8 +46,9 @@ def test_event_detail_prompt(spark):
     ec = spark.createDataFrame([(1, "IT"), (1, "")], "event_id long, category_name string")
     sub = spark.createDataFrame([(1, "Databases"), (2, "Algebra")], "subject_id long, name string")
     ss = spark.createDataFrame([(7, 1, 5), (7, 2, None)], "student_id long, subject_id long, interest int")
-    r = event_detail(ev, ec, ss, sub, 7).collect()[0]
+    ask = spark.createDataFrame([(1, 7, 1), (2, 8, 1), (3, 7, 99)], "request_id int, student_id long, event_id long")
+    r, none, lost = event_detail(ev, ec, ss, sub, ask).orderBy("request_id").collect()
     assert r.topics == "Coding day, IT" and r.student_subjects == "Algebra, Databases"
     assert r.prompt == EXPLAIN_TEMPLATE.format(name="Hackathon", topics="Coding day, IT", subjects="Algebra, Databases")
-    none = event_detail(ev, ec, ss, sub, 8).collect()[0]
+    assert lost.error == "Event not found" and lost.prompt is None and r.error is None
     assert none.student_subjects == NO_SUBJECTS_TEXT

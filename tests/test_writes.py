@@ -6,7 +6,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from unievents.operators.writes import (assign_to_student, set_event_categories, touch_urls,
+from unievents.operators.writes import (assign_to_students, set_event_categories, touch_urls,
                                         upsert_events, upsert_urls, URL_COLS)
 from unievents.sources.snapshot import read_latest, write_version
 
@@ -57,7 +57,7 @@ def test_category_sets(spark):
 
 def test_assign_and_url_registry(spark):
     ss = spark.createDataFrame([(1, 10, 5)], "student_id long, subject_id long, interest int")
-    nss, log = assign_to_student(ss, spark.createDataFrame([(10,), (11,)], "subject_id long"), 1)
+    nss, log = assign_to_students(ss, spark.createDataFrame([(1, 10), (1, 11)], "student_id long, subject_id long"))
     assert sorted(map(tuple, nss.collect())) == [(1, 10, 5), (1, 11, None)]
     assert {r.subject_id: r.assignment_action for r in log.collect()} == {10: "existing", 11: "created"}
 
@@ -120,7 +120,7 @@ def test_interest_upsert_and_bulk_update(spark):
     bulk = spark.createDataFrame([(0, True, "1", "5"), (1, True, "99", "3"), (2, True, "2", "9"), (3, True, "5", "3"),
                                   (4, False, None, None), (5, True, None, "3")],
                                  "batch_pos long, is_object boolean, subject_id string, interest string")
-    nss2, log2 = update_interest(nss, sub, bulk, 1)
+    nss2, log2 = update_interest(nss, sub, bulk.withColumn("student_id", F.lit(1).cast("bigint")))
     errs = {r.batch_pos: r.error for r in log2.collect()}
     assert errs == {0: None, 1: "Subject not found", 2: "Interest must be between 1 and 5",
                     3: "Student-subject relation not found", 4: "Each subjects item must be an object.",

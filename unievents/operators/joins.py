@@ -91,10 +91,12 @@ def resolve_subjects(sub: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def attach_ratings(names: DataFrame, ratings: DataFrame) -> DataFrame:
-    """Extracted names LEFT JOIN a student's ratings by exact name; a missing rating is
-    0; with duplicate names in ``ratings`` the last one (highest ``pos``) wins."""
-    last = ratings.groupBy("name").agg(F.max_by("interest", "pos").alias("interest"))
-    return names.join(last, "name", "left").withColumn("interest", F.coalesce("interest", F.lit(0)))
+    """Extracted names (student_id, name) LEFT JOIN the students' ratings (student_id,
+    name, interest, pos) by exact name; a missing rating is 0; with duplicate names of a
+    student the last one (highest ``pos``) wins."""
+    key = ["student_id", "name"]
+    last = ratings.groupBy(*key).agg(F.max_by("interest", "pos").alias("interest"))
+    return names.join(last, key, "left").withColumn("interest", F.coalesce("interest", F.lit(0)))
 
 
 def resolve_names(names: DataFrame, sub: DataFrame) -> DataFrame:

@@ -141,10 +141,9 @@ def upsert_interest(ss: DataFrame, sub: DataFrame, batch: DataFrame) -> tuple[Da
     return next_ss, log
 
 
-def update_interest(ss: DataFrame, sub: DataFrame, batch: DataFrame, student_id: int
-                    ) -> tuple[DataFrame, DataFrame]:
+def update_interest(ss: DataFrame, sub: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Bulk update of EXISTING (student, subject) interests. ``batch`` rows are
-    (batch_pos, is_object, subject_id STRING, interest STRING). The first failing rule
+    (batch_pos, student_id, is_object, subject_id STRING, interest STRING). The first failing rule
     is the reason, in this order: not an object, missing field, not a number, out of
     range, unknown subject, no relation. Returns (next_ss, log)."""
     sid = trim_ws(F.col("subject_id")).try_cast("bigint")
@@ -156,22 +155,17 @@ def update_interest(ss: DataFrame, sub: DataFrame, batch: DataFrame, student_id:
             .when(~num.between(1, 5), F.lit("Interest must be between 1 and 5")))
     t = batch.withColumn("error", pre).withColumn("_sid", sid).withColumn("_int", num)
     known = sub.select(F.col("subject_id").alias("_sid"), F.col("name").alias("subject_name"))
-    mine = ss.where(F.col("student_id") == F.lit(student_id)).select(F.col("subject_id").alias("_sid")) \
-             .withColumn("_rel", F.lit(True))
-    t = t.join(known, "_sid", "left").join(mine, "_sid", "left")
+    linked = ss.select("student_id", F.col("subject_id").alias("_sid")).withColumn("_rel", F.lit(True))
+    t = t.join(known, "_sid", "left").join(linked, ["student_id", "_sid"], "left")
     err = F.coalesce(F.col("error"),
                      F.when(F.col("subject_name").isNull(), F.lit("Subject not found")),
                      F.when(F.col("_rel").isNull(), F.lit("Student-subject relation not found")))
     t = t.withColumn("error", err)
     good = t.where(F.col("error").isNull())
-    w = Window.partitionBy("_sid").orderBy(F.col("batch_pos").desc())
-    last = good.withColumn("_r", F.row_number().over(w)).where("_r = 1") \
-               .select(F.col("_sid").alias("subject_id"), F.col("_int").alias("_new"))
-    mine_rows = ss.where(F.col("student_id") == F.lit(student_id)).join(last, "subject_id", "left") \
-                  .withColumn("interest", F.coalesce(F.col("_new"), F.col("interest"))).drop("_new")
-    others = ss.where(F.col("student_id") != F.lit(student_id))
-    next_ss = others.unionByName(mine_rows.select(*ss.columns))
-    log = t.select("batch_pos", F.col("_sid").alias("subject_id"), "subject_name",
+    last = good.groupBy("student_id", F.col("_sid").alias("subject_id")).agg(F.max_by("_int", "batch_pos").alias("_new"))
+    next_ss = ss.join(last, ["student_id", "subject_id"], "left") \
+                .withColumn("interest", F.coalesce(F.col("_new"), F.col("interest"))).select(*ss.columns)
+    log = t.select("batch_pos", "student_id", F.col("_sid").alias("subject_id"), "subject_name",
                    F.col("_int").alias("interest"),
                    F.when(F.col("error").isNull(), F.lit("updated")).otherwise(F.lit("failed")).alias("action"),
                    "error")
@@ -221,16 +215,16 @@ def import_subjects(sub: DataFrame, cat: DataFrame, batch: DataFrame
     return next_sub, next_cat, log
 
 
-def assign_to_student(ss: DataFrame, subject_ids: DataFrame, student_id: int) -> tuple[DataFrame, DataFrame]:
-    """W8 tail: link subjects to a student with NULL interest when not linked yet.
-    Returns (next_ss, log(subject_id, assignment_action created/existing))."""
-    mine = ss.where(F.col("student_id") == F.lit(student_id)).select("subject_id").withColumn("_ex", F.lit(True))
-    ids = subject_ids.select("subject_id").distinct().join(mine, "subject_id", "left")
-    new = ids.where(F.col("_ex").isNull()).select(
-        F.lit(student_id).cast("bigint").alias("student_id"), "subject_id",
-        F.lit(None).cast("int").alias("interest"))
+def assign_to_students(ss: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """W8 tail: link subjects to students (student_id, subject_id) with NULL interest when
+    not linked yet. Returns (next_ss, log(student_id, subject_id, assignment_action
+    created/existing))."""
+    key = ["student_id", "subject_id"]
+    known = ss.select(*key).withColumn("_ex", F.lit(True))
+    ids = links.select(*key).distinct().join(known, key, "left")
+    new = ids.where(F.col("_ex").isNull()).select(*key, F.lit(None).cast("int").alias("interest"))
     next_ss = ss.unionByName(new.select(*ss.columns))
-    log = ids.select("subject_id", F.when(F.col("_ex").isNull(), F.lit("created"))
+    log = ids.select(*key, F.when(F.col("_ex").isNull(), F.lit("created"))
                      .otherwise(F.lit("existing")).alias("assignment_action"))
     return next_ss, log
 

@@ -43,19 +43,27 @@ def student_subjects(sub: DataFrame, cat: DataFrame, ss: DataFrame, student_id:
     return by_name(_with_total(out).withColumnRenamed("total", "total_subjects"))
 
 
-def event_detail(ev: DataFrame, ec: DataFrame, ss: DataFrame, sub: DataFrame, student_id: int) -> DataFrame:
-    """Events with their topics (D10), the student's subject names (J9) and the
-    explanation prompt (P15). The student's names are one scalar subquery, attached to
-    every event row without a join."""
+EVENT_NOT_FOUND = "Event not found"
+
+
+def event_detail(ev: DataFrame, ec: DataFrame, ss: DataFrame, sub: DataFrame, requests: DataFrame) -> DataFrame:
+    """R6 for a batch of requests (request_id, student_id, event_id): the event with its
+    topics (D10), the student's subject names (J9) and the explanation prompt (P15); a
+    request for an unknown event is a row with its error.
+
+    Events and links are semi-joined to the batch first, so lists are built only for what
+    is asked for (a student's own subjects, an event's own categories)."""
     from ..functions.standardize import event_topics
     from ..operators.prompts import EXPLAIN_TEMPLATE, NO_SUBJECTS_TEXT, prompt_column
-    mine = ss.where(F.col("student_id") == F.lit(student_id)).join(sub.select("subject_id", "name"), "subject_id")
-    names = mine.agg(F.array_join(F.array_sort(F.collect_list("name")), ", ")).scalar()
-    subj = F.coalesce(F.when(F.col("student_subjects") != "", F.col("student_subjects")), F.lit(NO_SUBJECTS_TEXT))
-    rows = event_rows(ev, ec, categories_as_text=False)
-    out = rows.withColumn("topics", event_topics(F.col("short_description"), F.col("categories"))) \
-              .withColumn("student_subjects", names)
-    out = out.withColumn("student_subjects", subj)
-    return out.select("event_id", "name", "date", "time", "topics", "student_subjects",
-                      prompt_column(EXPLAIN_TEMPLATE, name=F.col("name"), topics=F.col("topics"),
-                                    subjects=F.col("student_subjects")).alias("prompt"))
+    asked = requests.select("event_id").distinct()
+    rows = event_rows(ev.join(asked, "event_id", "left_semi"), ec.join(asked, "event_id", "left_semi"), categories_as_text=False)
+    topics = rows.select("event_id", "name", "date", "time", event_topics(F.col("short_description"), F.col("categories")).alias("topics"))
+    mine = ss.join(requests.select("student_id").distinct(), "student_id", "left_semi").join(sub.select("subject_id", "name"), "subject_id")
+    names = mine.groupBy("student_id").agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("_names"))
+    out = requests.join(topics, "event_id", "left").join(names, "student_id", "left")
+    subjects = F.when(F.col("name").isNotNull(), F.coalesce(F.when(F.col("_names") != "", F.col("_names")), F.lit(NO_SUBJECTS_TEXT)))
+    out = out.withColumn("student_subjects", subjects)
+    prompt = prompt_column(EXPLAIN_TEMPLATE, name=F.col("name"), topics=F.col("topics"), subjects=F.col("student_subjects"))
+    return out.select("request_id", "student_id", "event_id", "name", "date", "time", "topics", "student_subjects",
+                      F.when(F.col("name").isNotNull(), prompt).alias("prompt"),
+                      F.when(F.col("name").isNull(), F.lit(EVENT_NOT_FOUND)).alias("error"))

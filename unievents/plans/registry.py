@@ -649,31 +649,56 @@ def w3_reject_duplicates_log(spark, sf_dir):
 
 
 @register("w6_update_interest_log", with_ctes(f"""
-SELECT b.batch_pos, TRY_CAST(b.subject_id AS BIGINT) AS subject_id, s.name AS subject_name,
+SELECT b.batch_pos, b.student_id, TRY_CAST(b.subject_id AS BIGINT) AS subject_id, s.name AS subject_name,
        TRY_CAST(b.interest AS INTEGER) AS interest,
        CASE WHEN err IS NULL THEN 'updated' ELSE 'failed' END AS action, err AS error
 FROM (SELECT b.*, CASE
+        WHEN NOT b.is_object THEN 'Each subjects item must be an object.'
         WHEN b.subject_id IS NULL OR b.interest IS NULL THEN 'subject_id and interest are required'
         WHEN TRY_CAST(b.interest AS INTEGER) IS NULL THEN 'Interest must be a number'
         WHEN TRY_CAST(b.interest AS INTEGER) NOT BETWEEN 1 AND 5 THEN 'Interest must be between 1 and 5'
         WHEN s.subject_id IS NULL THEN 'Subject not found'
         WHEN m.subject_id IS NULL THEN 'Student-subject relation not found' END AS err
       FROM batch b LEFT JOIN subject s ON TRY_CAST(b.subject_id AS BIGINT) = s.subject_id
-      LEFT JOIN (SELECT subject_id FROM student_subject WHERE student_id = {DEFAULT_STUDENT}) m
-        ON TRY_CAST(b.subject_id AS BIGINT) = m.subject_id) b
+      LEFT JOIN student_subject m ON TRY_CAST(b.subject_id AS BIGINT) = m.subject_id AND b.student_id = m.student_id) b
 LEFT JOIN subject s ON TRY_CAST(b.subject_id AS BIGINT) = s.subject_id""",
     "subject", "student_subject",
-    extra=[("batch", """SELECT event_id AS batch_pos, CAST(user_id * 13 AS VARCHAR) AS subject_id,
-                               json_extract_string(props, '$.k') AS interest FROM events""")]))
+    extra=[("batch", """SELECT e.event_id AS batch_pos, e.user_id AS student_id, e.event_id % 50 <> 7 AS is_object,
+                               CASE WHEN e.event_id % 3 = 0 THEN CAST(user_id * 13 AS VARCHAR)
+                                    ELSE CAST(l.l_partkey AS VARCHAR) END AS subject_id,
+                               json_extract_string(props, '$.k') AS interest
+                        FROM events e LEFT JOIN (SELECT o_custkey, min(l_partkey) AS l_partkey FROM orders
+                                                 JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1) l ON l.o_custkey = e.user_id""")]))
 def w6_update_interest_log(spark, sf_dir):
+    return _w6(spark, sf_dir)[1]
+
+
+def _w6(spark, sf_dir):
     from ..operators.writes import update_interest
     d = Domain(spark, sf_dir)
     e = T.load_table(spark, sf_dir, "events")
-    batch = e.select(F.col("event_id").alias("batch_pos"), F.lit(True).alias("is_object"),
-                     (F.col("user_id") * 13).cast("string").alias("subject_id"),
-                     F.get_json_object("props", "$.k").alias("interest"))
-    _, log = update_interest(d.ss, d.sub, batch, DEFAULT_STUDENT)
-    return log
+    own = d.ss.groupBy(F.col("student_id").alias("user_id")).agg(F.min("subject_id").alias("own"))
+    batch = e.join(own, "user_id", "left").select(
+        F.col("event_id").alias("batch_pos"), F.col("user_id").alias("student_id"), (F.col("event_id") % 50 != 7).alias("is_object"),
+        F.when(F.col("event_id") % 3 == 0, F.col("user_id") * 13).otherwise(F.col("own")).cast("string").alias("subject_id"),
+        F.get_json_object("props", "$.k").alias("interest"))
+    return update_interest(d.ss, d.sub, batch)
+
+
+@register("w6_update_interest_next", with_ctes("""
+SELECT x.student_id, x.subject_id, coalesce(l.interest, x.interest) AS interest
+FROM student_subject x LEFT JOIN last l ON x.student_id = l.student_id AND x.subject_id = l.subject_id""",
+    "student_subject",
+    extra=[("own", """SELECT o_custkey AS student_id, min(l_partkey) AS own FROM orders
+                      JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1"""),
+           ("last", """SELECT student_id, subject_id, arg_max(interest, event_id) AS interest FROM (
+                         SELECT e.event_id, e.user_id AS student_id,
+                                CASE WHEN e.event_id % 3 = 0 THEN user_id * 13 ELSE own.own END AS subject_id,
+                                TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS interest
+                         FROM events e LEFT JOIN own ON own.student_id = e.user_id WHERE e.event_id % 50 <> 7) q
+                       WHERE interest BETWEEN 1 AND 5 GROUP BY 1, 2""")]))
+def w6_update_interest_next(spark, sf_dir):
+    return _w6(spark, sf_dir)[0]
 
 
 @register("w9_insert_categories_log", with_ctes("""
@@ -713,6 +738,35 @@ def w12_delete_events_log(spark, sf_dir):
     return log.select("event_id", "name", "date", "action")
 
 
+@register("w12_delete_events_next", with_ctes("""
+SELECT e.event_id, c.category_name FROM event e LEFT JOIN event_category c ON e.event_id = c.event_id
+WHERE e.event_id NOT IN (SELECT user_id * 211 FROM events)""", "event", "event_category"))
+def w12_delete_events_next(spark, sf_dir):
+    """What is left of events and bridge, side by side."""
+    from ..operators.writes import delete_events
+    d = Domain(spark, sf_dir)
+    ids = T.load_table(spark, sf_dir, "events").select((F.col("user_id") * 211).alias("event_id"))
+    kept, bridge, _ = delete_events(d.ev, d.ec, ids)
+    return kept.select("event_id").join(bridge, "event_id", "left")
+
+
+@register("w13_purge_ended_next", with_ctes(f"""
+SELECT event_id, CAST(date AS VARCHAR) AS date, time FROM undated
+WHERE coalesce(NOT (date < DATE '{NOW[:10]}' OR (date = DATE '{NOW[:10]}' AND time < '{NOW[11:]}')), true)""",
+    "event", extra=[("undated", """SELECT event_id, CASE WHEN event_id % 10 <> 3 THEN date END AS date,
+                                          CASE WHEN event_id % 10 <> 4 THEN time END AS time FROM event""")]))
+def w13_purge_ended_next(spark, sf_dir):
+    """Events kept, among them those without a date or without a time."""
+    import datetime as dt
+
+    from ..operators.writes import purge_ended
+    d = Domain(spark, sf_dir)
+    undated = d.ev.withColumn("date", F.when(F.col("event_id") % 10 != 3, F.col("date"))) \
+                  .withColumn("time", F.when(F.col("event_id") % 10 != 4, F.col("time")))
+    kept, _, _ = purge_ended(undated, d.ec, dt.datetime.fromisoformat(NOW))
+    return kept.select("event_id", F.col("date").cast("string").alias("date"), "time")
+
+
 @register("w13_purge_ended_summary", with_ctes(f"""
 SELECT (SELECT count(*) FROM ended) AS deleted_count,
        (SELECT count(*) FROM event) - (SELECT count(*) FROM ended) AS kept_count,
@@ -737,23 +791,30 @@ def w13_purge_ended_summary(spark, sf_dir):
 from ..operators import prompts as PR  # noqa: E402
 
 
+_R6_TOPICS = ("array_to_string(list_filter(list_concat([e.short_description], coalesce(c.cats, [])), "
+              "lambda x: x IS NOT NULL AND x <> ''), ', ')")
+
+
 @register("r6_event_detail", with_ctes(f"""
-SELECT e.event_id, e.name, CAST(e.date AS VARCHAR) AS date, substr(e.time, 1, 5) AS time,
-       array_to_string(list_filter(list_concat([e.short_description], coalesce(c.cats, [])),
-                                   lambda x: x IS NOT NULL AND x <> ''), ', ') AS topics,
-       (SELECT s FROM subj) AS student_subjects,
-       {PR.prompt_sql(PR.EXPLAIN_TEMPLATE, name='e.name',
-                      topics="array_to_string(list_filter(list_concat([e.short_description], coalesce(c.cats, [])), lambda x: x IS NOT NULL AND x <> ''), ', ')",
-                      subjects='(SELECT s FROM subj)')} AS prompt
-FROM event e LEFT JOIN cats c ON e.event_id = c.event_id""", "event", "event_category", "student_subject", "subject",
+SELECT r.event_id AS request_id, r.user_id AS student_id, r.asked AS event_id, e.name, CAST(e.date AS VARCHAR) AS date,
+       substr(e.time, 1, 5) AS time, CASE WHEN e.name IS NOT NULL THEN {_R6_TOPICS} END AS topics,
+       CASE WHEN e.name IS NOT NULL THEN coalesce(s.s, {_lit(PR.NO_SUBJECTS_TEXT)}) END AS student_subjects,
+       CASE WHEN e.name IS NOT NULL THEN {PR.prompt_sql(PR.EXPLAIN_TEMPLATE, name='e.name', topics=_R6_TOPICS,
+                                                        subjects=f"coalesce(s.s, {_lit(PR.NO_SUBJECTS_TEXT)})")} END AS prompt,
+       CASE WHEN e.name IS NULL THEN 'Event not found' END AS error
+FROM (SELECT *, user_id * 101 + event_id % 7 AS asked FROM events) r LEFT JOIN event e ON r.asked = e.event_id
+LEFT JOIN cats c ON r.asked = c.event_id LEFT JOIN subj s ON r.user_id = s.student_id""",
+    "event", "event_category", "student_subject", "subject",
     extra=[("cats", "SELECT event_id, list_sort(list(DISTINCT category_name)) AS cats FROM event_category GROUP BY 1"),
-           ("subj", f"""SELECT coalesce(array_to_string(list_sort(list(s.name)), ', '), {_lit(PR.NO_SUBJECTS_TEXT)}) AS s
-                       FROM student_subject ss JOIN subject s ON ss.subject_id = s.subject_id
-                       WHERE ss.student_id = {DEFAULT_STUDENT}""")]))
+           ("subj", """SELECT ss.student_id, array_to_string(list_sort(list(s.name)), ', ') AS s
+                       FROM student_subject ss JOIN subject s ON ss.subject_id = s.subject_id GROUP BY 1""")]))
 def r6_event_detail(spark, sf_dir):
     from .listing import event_detail
     d = Domain(spark, sf_dir)
-    return event_detail(d.ev, d.ec, d.ss, d.sub, DEFAULT_STUDENT)
+    requests = T.load_table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("request_id"), F.col("user_id").alias("student_id"),
+        (F.col("user_id") * 101 + F.col("event_id") % 7).alias("event_id"))
+    return event_detail(d.ev, d.ec, d.ss, d.sub, requests)
 
 
 @register("g5_categories_used", with_ctes(
@@ -876,14 +937,30 @@ LEFT JOIN (SELECT student_id, subject_id, min(batch_pos) AS first_pos FROM batch
     extra=[("batch", """SELECT event_id AS batch_pos, user_id AS student_id, (event_id % 3000) AS subject_id,
                                json_extract_string(props, '$.k') AS interest FROM events""")]))
 def w5_upsert_interest_log(spark, sf_dir):
+    return _w5(spark, sf_dir)[1]
+
+
+def _w5(spark, sf_dir):
     from ..operators.writes import upsert_interest
     d = Domain(spark, sf_dir)
     e = T.load_table(spark, sf_dir, "events")
     batch = e.select(F.col("event_id").alias("batch_pos"), F.col("user_id").alias("student_id"),
                      (F.col("event_id") % 3000).alias("subject_id"),
                      F.get_json_object("props", "$.k").alias("interest"))
-    _, log = upsert_interest(d.ss, d.sub, batch)
-    return log
+    return upsert_interest(d.ss, d.sub, batch)
+
+
+@register("w5_upsert_interest_next", with_ctes("""
+SELECT coalesce(l.student_id, x.student_id) AS student_id, coalesce(l.subject_id, x.subject_id) AS subject_id,
+       coalesce(l.interest, x.interest) AS interest
+FROM student_subject x FULL JOIN last l ON x.student_id = l.student_id AND x.subject_id = l.subject_id""",
+    "subject", "student_subject",
+    extra=[("last", """SELECT user_id AS student_id, event_id % 3000 AS subject_id,
+                              arg_max(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER), event_id) AS interest
+                       FROM events WHERE TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) BETWEEN 1 AND 5
+                         AND event_id % 3000 IN (SELECT subject_id FROM subject) GROUP BY 1, 2""")]))
+def w5_upsert_interest_next(spark, sf_dir):
+    return _w5(spark, sf_dir)[0]
 
 
 @register("w14_delete_cascade_counts", with_ctes("""
@@ -953,20 +1030,23 @@ def m6_page_event_items(spark, sf_dir):
 
 
 @register("j7_attach_ratings", _M2_SQL + f""",
-ratings AS (SELECT concat(p.p_name, ' ', CAST(p.p_partkey AS VARCHAR)) AS name, ss.interest
+ratings AS (SELECT ss.student_id, concat(p.p_name, ' ', CAST(p.p_partkey AS VARCHAR)) AS name, ss.interest
             FROM (SELECT o_custkey AS student_id, l_partkey AS subject_id,
                          CAST(CASE WHEN max(l_linenumber) <= 5 THEN max(l_linenumber) END AS INTEGER) AS interest
                   FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2) ss
-            JOIN part p ON ss.subject_id = p.p_partkey WHERE ss.student_id = {DEFAULT_STUDENT})
+            JOIN part p ON ss.subject_id = p.p_partkey)
 SELECT n.prompt_id, n.pos, n.name, coalesce(r.interest, 0) AS interest
-FROM names n LEFT JOIN ratings r ON n.name = r.name""")
+FROM names n LEFT JOIN orders o ON n.prompt_id = o.o_orderkey LEFT JOIN ratings r ON n.name = r.name AND o.o_custkey = r.student_id""")
 def j7_attach_ratings(spark, sf_dir):
     from ..operators.joins import attach_ratings
     from ..operators.responses import response_subjects
     d = Domain(spark, sf_dir)
-    mine = d.ss.where(F.col("student_id") == DEFAULT_STUDENT).join(d.sub.select("subject_id", "name"), "subject_id") \
-        .select("name", "interest", F.col("subject_id").alias("pos"))
-    return attach_ratings(response_subjects(RS.subject_responses(spark, sf_dir)), mine) \
+    # each reply belongs to the student whose order it was made from
+    ratings = d.ss.join(d.sub.select("subject_id", "name"), "subject_id") \
+        .select("student_id", "name", "interest", F.col("subject_id").alias("pos"))
+    asked = d.table("orders").select(F.col("o_orderkey").alias("prompt_id"), F.col("o_custkey").alias("student_id"))
+    names = response_subjects(RS.subject_responses(spark, sf_dir)).join(asked, "prompt_id", "left")
+    return attach_ratings(names, ratings) \
         .select("prompt_id", "pos", "name", F.col("interest").cast("int").alias("interest"))
 
 
@@ -995,17 +1075,66 @@ SELECT source, city, url, CAST(rn AS INTEGER) AS url_rank FROM (
   SELECT *, row_number() OVER (PARTITION BY source, lower(city) ORDER BY last_seen DESC, url) AS rn
   FROM reg WHERE is_active) z WHERE rn <= 5""")
 def s4_saved_urls_top(spark, sf_dir):
+    from pyspark.sql import Window
+
     from .scrape import saved_urls_top
+    w = saved_urls_top(_registry(spark, sf_dir), 5)
+    r = Window.partitionBy("source", F.lower("city")).orderBy(F.col("last_seen").desc(), F.col("url"))
+    return w.withColumn("url_rank", F.row_number().over(r)).select("source", "city", "url", "url_rank")
+
+
+def _registry(spark, sf_dir):
+    """URL registry derived from the events table."""
     e = T.load_table(spark, sf_dir, "events")
-    reg = e.groupBy(F.concat(F.lit("https://"), "event_type", F.lit(".example.com/e/"),
+    return e.groupBy(F.concat(F.lit("https://"), "event_type", F.lit(".example.com/e/"),
                              F.col("user_id").cast("string"), F.lit("/")).alias("url"),
                     F.col("event_type").alias("source"),
                     F.when(F.col("user_id") % 2 == 0, F.lit("Vilnius")).otherwise(F.lit("Kaunas")).alias("city")) \
         .agg(F.max("ts").alias("last_seen"), F.bool_or(F.col("value") < 90).alias("is_active"))
-    w = saved_urls_top(reg, 5)
-    from pyspark.sql import Window
-    r = Window.partitionBy("source", F.lower("city")).orderBy(F.col("last_seen").desc(), F.col("url"))
-    return w.withColumn("url_rank", F.row_number().over(r)).select("source", "city", "url", "url_rank")
+
+
+@register("w11_touch_urls", f"""
+WITH reg AS ({_REG_SQL}),
+done AS (SELECT DISTINCT concat('https://', event_type, '.example.com/e/', CAST(user_id AS VARCHAR), '/') AS url
+         FROM events WHERE value > 99 UNION SELECT 'https://not.registered/')
+SELECT url, source, city, is_active, CASE WHEN url IN (SELECT url FROM done) THEN '2026-01-01 00:00:00' END AS last_scraped
+FROM reg""")
+def w11_touch_urls(spark, sf_dir):
+    """W11 over the whole registry; parsed links that are not registered change nothing."""
+    import datetime as dt
+
+    from ..operators.writes import touch_urls
+    e = T.load_table(spark, sf_dir, "events")
+    done = e.where("value > 99").select(F.concat(F.lit("https://"), "event_type", F.lit(".example.com/e/"),
+                                                 F.col("user_id").cast("string"), F.lit("/")).alias("url"))
+    done = done.union(done.select(F.lit("https://not.registered/")))
+    urls = _registry(spark, sf_dir).withColumn("last_scraped", F.lit(None).cast("timestamp"))
+    return touch_urls(urls, done, dt.datetime(2026, 1, 1)).select(
+        "url", "source", "city", "is_active", F.date_format("last_scraped", "yyyy-MM-dd HH:mm:ss").alias("last_scraped"))
+
+
+@register("w10_upsert_urls_known", f"""
+WITH reg AS ({_REG_SQL}),
+found AS (SELECT url, arg_max(source, event_id) AS source FROM (
+            SELECT CASE WHEN event_id % 2 = 0 THEN concat('https://', event_type, '.example.com/e/', CAST(user_id AS VARCHAR), '/')
+                        ELSE concat('https://new.example.com/', CAST(user_id AS VARCHAR), '/') END AS url, 'seen ' || event_type AS source, event_id
+            FROM events) q GROUP BY url)
+SELECT coalesce(f.url, r.url) AS url, coalesce(f.source, r.source) AS source, CASE WHEN f.url IS NULL THEN r.city ELSE '' END AS city,
+       f.url IS NOT NULL OR r.is_active AS is_active
+FROM reg r FULL JOIN found f ON r.url = f.url""")
+def w10_upsert_urls_known(spark, sf_dir):
+    """W10 where most links are registered already: updated, added and untouched rows."""
+    import datetime as dt
+
+    from ..operators.writes import upsert_urls
+    e = T.load_table(spark, sf_dir, "events")
+    user = F.col("user_id").cast("string")
+    links = e.select(F.col("event_id").alias("pos"),
+                     F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("https://"), "event_type", F.lit(".example.com/e/"), user, F.lit("/")))
+                      .otherwise(F.concat(F.lit("https://new.example.com/"), user, F.lit("/"))).alias("url"),
+                     F.concat(F.lit("seen "), "event_type").alias("source"), F.lit("").alias("city"))
+    urls = _registry(spark, sf_dir).withColumn("last_scraped", F.lit(None).cast("timestamp"))
+    return upsert_urls(urls, links, dt.datetime(2026, 1, 1)).select("url", "source", "city", "is_active")
 
 
 # ---------------------------------------------------------------------------------------
@@ -1021,21 +1150,22 @@ def _r11_ctes():
             ("new_sub", """SELECT lower(subject) AS sk, coalesce((SELECT max(subject_id) FROM subject), 0)
                                + row_number() OVER (ORDER BY min(prompt_id)) AS subject_id
                            FROM ok WHERE lower(subject) NOT IN (SELECT sk FROM subf) GROUP BY 1"""),
-            ("ids", """SELECT DISTINCT coalesce(sf.subject_id, ns.subject_id) AS subject_id FROM ok o
-                       LEFT JOIN subf sf ON lower(o.subject) = sf.sk LEFT JOIN new_sub ns ON lower(o.subject) = ns.sk""")]
+            ("ids", """SELECT DISTINCT r.o_custkey AS student_id, coalesce(sf.subject_id, ns.subject_id) AS subject_id FROM ok o
+                       JOIN orders r ON r.o_orderkey = o.prompt_id LEFT JOIN subf sf ON lower(o.subject) = sf.sk LEFT JOIN new_sub ns ON lower(o.subject) = ns.sk""")]
 
 
-@register("w8_assign_subjects", with_ctes(f"""
-SELECT i.subject_id, CASE WHEN m.subject_id IS NULL THEN 'created' ELSE 'existing' END AS assignment_action
-FROM ids i LEFT JOIN (SELECT subject_id FROM student_subject WHERE student_id = {DEFAULT_STUDENT}) m
-  ON i.subject_id = m.subject_id""", "subject", "student_subject", extra=_r11_ctes()))
+@register("w8_assign_subjects", with_ctes("""
+SELECT i.student_id, i.subject_id, CASE WHEN m.subject_id IS NULL THEN 'created' ELSE 'existing' END AS assignment_action
+FROM ids i LEFT JOIN student_subject m ON i.subject_id = m.subject_id AND i.student_id = m.student_id""", "subject", "student_subject", extra=_r11_ctes()))
 def w8_assign_subjects(spark, sf_dir):
-    from ..operators.writes import assign_to_student
+    from ..operators.writes import assign_to_students
     from .scrape import assign_subjects
     d = Domain(spark, sf_dir)
     _, _, log, _ = assign_subjects(d.sub, d.cat, RS.category_responses(spark, sf_dir))
-    _, alog = assign_to_student(d.ss, log.select("subject_id"), DEFAULT_STUDENT)
-    return alog.select("subject_id", "assignment_action")
+    # each reply belongs to the student whose order has its number
+    asked = d.table("orders").select(F.col("o_orderkey").alias("batch_pos"), F.col("o_custkey").alias("student_id"))
+    _, alog = assign_to_students(d.ss, log.join(asked, "batch_pos"))
+    return alog
 
 
 @register("w10_upsert_urls", _R8_SQL.split("\n    SELECT page_id, source, link, link_rank, 'found'")[0] + f"""
