@@ -65,9 +65,13 @@ def _shingle_ids(ids: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _exact(text: bytes, size: int) -> set[bytes]:
-    words = text.translate(WORD_BYTES).split()
-    return {b" ".join(words[i:i + size]) for i in range(len(words) - size + 1)}
+def _shingles(text: bytes, size: int, part_bytes: int = 1 << 20) -> Iterator[bytes]:
+    """All word shingles of a text, read in parts that share ``size - 1`` words."""
+    tail: list[bytes] = []
+    for words in _cut_words(text.translate(WORD_BYTES), part_bytes):
+        words = tail + words
+        yield from (b" ".join(words[i:i + size]) for i in range(len(words) - size + 1))
+        tail = words[max(0, len(words) - size + 1):] if size > 1 else []
 
 
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +93,7 @@ class ItemIndex:
                 continue  # no word to be found
             row = len(self.ids)
             self.ids.append(item_id)
-            self.exact.append(_exact(data, size))
+            self.exact.append(set(_shingles(data, size)))
             self.sizes.append(size)
             top = 1 << max(2, (len(self.exact[-1]) - 1).bit_length())
             found.setdefault(size, {}).setdefault(top, []).append(row)
@@ -107,7 +111,7 @@ class ItemIndex:
                 self.classes.setdefault(size, []).append((top, lookups))
 
     def _shingles(self, row: int, memo: _WordIds) -> np.ndarray:
-        return np.concatenate([_shingle_ids(_word_ids(s, memo), self.sizes[row]) for s in self.exact[row]])
+        return np.concatenate([_shingle_ids(_word_ids(s, memo), self.sizes[row]) for s in sorted(self.exact[row])])
 
     def candidates(self, docs: list[np.ndarray]) -> set[tuple[int, int]]:
         """(document, item) pairs that share a minimum in a window; documents by word ids."""
@@ -179,21 +183,28 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     return spark.createDataFrame([], schema) if out is None else out
 
 
+def _held(text: bytes, size: int, wanted: set[bytes]) -> set[bytes]:
+    """The shingles of ``wanted`` that the whole text holds."""
+    return {s for s in _shingles(text, size) if s in wanted}
+
+
 def _search(shared, least: float, item_type: pa.DataType):
     def run(batches):
         index, memo = shared.value, _WordIds()
         for batch in rows_of(batches, 1 << 20):
             texts = utf8(batch.column(1))
             rows, items, counts = [], [], []
-            held: tuple[int, int, set] = (-1, 0, set())
+            by_text: dict[tuple[int, int], list[int]] = {}
             for row, item in sorted(index.candidates([_word_ids(t, memo) for t in texts])):
-                if held[:2] != (row, index.sizes[item]):
-                    held = (row, index.sizes[item], _exact(texts[row], index.sizes[item]))
-                n = len(index.exact[item] & held[2])
-                if n >= least * len(index.exact[item]):
-                    rows.append(row)
-                    items.append(item)
-                    counts.append((len(index.exact[item]), n))
+                by_text.setdefault((row, index.sizes[item]), []).append(item)
+            for (row, size), found in by_text.items():
+                held = _held(texts[row], size, set().union(*(index.exact[i] for i in found)))
+                for item in found:
+                    n = len(index.exact[item] & held)
+                    if n >= least * len(index.exact[item]):
+                        rows.append(row)
+                        items.append(item)
+                        counts.append((len(index.exact[item]), n))
             if rows:
                 yield pa.record_batch([batch.column(0).take(pa.array(rows)), pa.array([index.ids[i] for i in items], item_type),
                                        pa.array([c[0] for c in counts], pa.int64()), pa.array([c[1] for c in counts], pa.int64()),

@@ -12,6 +12,7 @@ reach. Equal anchors are compared with each other, by whole fingerprints.
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,34 +27,43 @@ from unievents.llm.components import connected_components
 SEED = 42
 HALF = 32
 _KEYS = 2 << 16  # anchors of both halves
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def shingle_hashes(text: bytes, size: int) -> np.ndarray:
-    """XXH64 (seed 42) of all word shingles, repeats included; a text of fewer words has
-    its whole word sequence as one shingle, a text of no words has none."""
-    words = text.lower().split()  # on bytes: A-Z only; splits at [\x20\x09-\x0D]+
+def _hashes(words: list[bytes], size: int) -> np.ndarray:
+    """XXH64 (seed 42) of all shingles of ``size`` of these words, joined by a space."""
     n = len(words)
-    if not n:
+    if n < size:
         return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    if n <= size:
-        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    digest = xxhash.xxh64_intdigest
     return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n - size + 1].tolist(), ends[size - 1:].tolist())),
                        np.uint64, n - size + 1)
 
 
-def fingerprint(hashes: np.ndarray) -> int:
-    """64 bits as a signed long; a bit is 1 if it is set in over half the hashes."""
-    if not len(hashes):
-        return 0
-    total = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = hashes[at:at + (1 << 16)].astype("<u8")
-        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(total * 2 > len(hashes), bitorder="little").view("<i8")[0])
+def fingerprint(text: bytes, size: int = 3, part_bytes: int = 1 << 22) -> int:
+    """64 bits as a signed long; a bit is 1 if it is set in over half the hashes of the
+    text's word shingles, repeats included. A text of fewer words has its whole word
+    sequence as one shingle; one of no words has fingerprint zero. Long texts are read in
+    parts that share ``size - 1`` words, so that never all words are objects at once."""
+    text = text.lower()  # on bytes: A-Z only; split() cuts at [\x20\x09-\x0D]+
+    total, n, at, words = np.zeros(64, np.int64), 0, 0, []
+    while at < len(text):
+        found = _SPACE.search(text, at + part_bytes)
+        end = found.start() if found else len(text)
+        words, at = words + text[at:end].split(), end
+        hashes = _hashes(words, size)
+        if len(hashes):
+            n += len(hashes)
+            words = words[len(words) - size + 1:]
+            for lo in range(0, len(hashes), 1 << 16):
+                part = hashes[lo:lo + (1 << 16)].astype("<u8")
+                total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    if not n and words:
+        whole = np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], "<u8")
+        return int(whole.view("<i8")[0])
+    return int(np.packbits(total * 2 > n, bitorder="little").view("<i8")[0])
 
 
 @functools.lru_cache(maxsize=1)
@@ -164,7 +174,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         for batch in rows_of(batches):
-            prints = [fingerprint(shingle_hashes(t, shingle)) for t in utf8(batch.column(1))]
+            prints = [fingerprint(t, shingle) for t in utf8(batch.column(1))]
             yield pa.record_batch([batch.column(0), pa.array(prints, pa.int64())], names=["id", "print"])
 
     return plain.mapInArrow(run, f"id {plain.schema['id'].dataType.simpleString()}, print bigint")
