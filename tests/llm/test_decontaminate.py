@@ -46,6 +46,14 @@ def test_short_items_in_long_documents(spark):
         assert all(abs(r.containment - r.n_found / r.n_shingles) < 1e-12 for r in got)
 
 
+def test_shingles_in_parts():
+    text = b"one two three Four, five six seven " * 9
+    for size in (1, 2, 5):
+        want = list(D._shingles(text, size))
+        assert all(list(D._shingles(text, size, part)) == want for part in (1, 10, 50))
+        assert len(want) == 63 - size + 1
+
+
 def test_empty(spark, no_docs):
     items = spark.createDataFrame([(1, "one two three four five six")], "item_id bigint, text string")
     assert D.find_leaks(no_docs, items).count() == 0

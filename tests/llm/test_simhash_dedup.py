@@ -17,6 +17,15 @@ def test_odd_rows_as_brute_force(odd):
     assert sorted(str(tuple(r)) for r in S.simhash_dedup(odd).collect()) == want
 
 
+def test_long_texts_in_parts():
+    text = "a bB  ccc\td\n\x0be f g, h i j k l m" * 40
+    want = brute.simhash(text)
+    for size in (1, 7, 64, 1 << 22):
+        assert S.fingerprint(text.encode(), 3, size) & (1 << 64) - 1 == want
+    for short in ("", " \n", "one", " one TWO "):
+        assert all(S.fingerprint(short.encode(), 3, size) & (1 << 64) - 1 == brute.simhash(short) for size in (1, 5, 100))
+
+
 def test_every_pair_in_reach_shares_an_anchor():
     rng = random.Random(3)
     for _ in range(300):
