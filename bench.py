@@ -29,6 +29,10 @@ HEADLINE = [
     "r9_load_event_responses", # R9
     "r10_subject_lists",       # R10
     "w1_upsert_events_log",    # W1
+    "r3_events_for_subject",   # R3
+    "r11_import_subjects",     # R11
+    "w4_set_event_categories", # W4
+    "m6_page_event_items",     # M6
 ]
 
 

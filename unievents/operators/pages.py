@@ -30,9 +30,10 @@ def page_texts(pages: DataFrame, cap: int | None = None) -> DataFrame:
                  .withColumn("characters", F.length("text")))
 
 
-def page_links(pages: DataFrame) -> DataFrame:
+def page_links(pages: DataFrame, carry: tuple[str, ...] = (), all_pages: bool = False) -> DataFrame:
     """Every ``a[href]`` in document order: (page_id, url, pos, href) with the href
-    entity-decoded and trimmed. Comments and script/style bodies hold no tags."""
+    entity-decoded and trimmed. Comments and script/style bodies hold no tags. Columns in
+    ``carry`` are kept; with ``all_pages`` a page without links is a row with null href."""
     anchors = F.regexp_extract_all(strip_dropped_elements(F.col("html")), F.lit(_ANCHOR_RE), 1)
 
     def value(attributes: Column) -> Column:
@@ -42,7 +43,8 @@ def page_links(pages: DataFrame) -> DataFrame:
         return F.get(values, F.array_position(names, F.lit("href")).cast("int") - 1)
 
     hrefs = F.filter(F.transform(anchors, value), lambda v: v.isNotNull())
-    return (pages.select("page_id", "url", F.posexplode(hrefs).alias("pos", "href"))
+    explode = F.posexplode_outer if all_pages else F.posexplode
+    return (pages.select("page_id", "url", *carry, explode(hrefs).alias("pos", "href"))
                  .withColumn("href", F.regexp_replace("href", r"""^["']|["']$""", ""))
                  .withColumn("href", trim_ws(decode_entities(F.col("href")))))
 
@@ -135,19 +137,22 @@ def rules_frame(spark, rules) -> DataFrame:
 def filter_links(links: DataFrame, rules: DataFrame) -> DataFrame:
     """Keep links matching their page's source rule, then de-duplicate normalised links keeping the first in document
     order."""
-    j = links.join(rules, "source")
-    path, lpath = F.col("link_path"), F.lower(F.col("link_path"))
-    ok = ((F.col("hosts").isNull() | F.array_contains(F.col("hosts"), F.col("link_host")))
-          & (F.col("host_suffix").isNull() | F.col("link_host").endswith(F.col("host_suffix")))
-          & F.forall("path_has", lambda x: F.contains(path, x))
-          & ~F.exists("path_not_has", lambda x: F.contains(path, x))
-          & F.forall("lower_path_has", lambda x: F.contains(lpath, x))
-          & (F.col("not_suffix").isNull() | ~F.col("link").endswith(F.col("not_suffix"))))
-    kept = j.where(ok).drop("hosts", "host_suffix", "path_has", "path_not_has", "lower_path_has", "not_suffix")
+    kept = links.join(rules, "source").where(rule_holds()).select(*links.columns)
     w = Window.partitionBy("page_id", "link").orderBy("pos")
     return kept.withColumn("_first", F.row_number().over(w)).where("_first = 1").drop("_first")
 
 
+def rule_holds() -> Column:
+    """P6-P8 on a resolved link joined to the rule of its page's source."""
+    path, lpath = F.col("link_path"), F.lower(F.col("link_path"))
+    return ((F.col("hosts").isNull() | F.array_contains(F.col("hosts"), F.col("link_host")))
+            & (F.col("host_suffix").isNull() | F.col("link_host").endswith(F.col("host_suffix")))
+            & F.forall("path_has", lambda x: F.contains(path, x))
+            & ~F.exists("path_not_has", lambda x: F.contains(path, x))
+            & F.forall("lower_path_has", lambda x: F.contains(lpath, x))
+            & (F.col("not_suffix").isNull() | ~F.col("link").endswith(F.col("not_suffix"))))
+
+
 def top_links(links: DataFrame, n: int = MAX_LINKS_DEFAULT) -> DataFrame:
     """P10: first ``n`` links per page by position (after P6-P9); WindowGroupLimit keeps
     at most n rows per page and partition before the shuffle."""

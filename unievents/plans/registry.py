@@ -1137,6 +1137,77 @@ def w10_upsert_urls_known(spark, sf_dir):
     return upsert_urls(urls, links, dt.datetime(2026, 1, 1)).select("url", "source", "city", "is_active")
 
 
+# ---------------------------------------------------------------------------------------
+# R8 over listing pages of the three sites (P6-P8, P11, P12), made from the pages table:
+# every fifth page has no event link and falls back to saved URLs, or is rejected
+# ---------------------------------------------------------------------------------------
+_SITE_PAGES = """
+    SELECT page_id, k, CAST(page_id AS VARCHAR) AS id, page_id % 5 = 0 AS bare,
+           CASE k WHEN 0 THEN 'https://www.litexpo.lt/en/events/?page=' || page_id
+                  WHEN 1 THEN 'https://www.meetup.com/find/?' || CASE WHEN page_id % 8 = 1 THEN 'location=lt--Vilnius&n=' ELSE 'n=' END || page_id
+                  WHEN 2 THEN 'https://www.kaveikti.lt/renginiai/?p=' || page_id ELSE url END AS url
+    FROM (SELECT *, page_id % 4 AS k FROM pages) p"""
+_SITE_SAVED = """
+    SELECT concat('https://saved.example.com/', event_type, '/', CAST(user_id AS VARCHAR), '/') AS url,
+           CASE WHEN user_id % 3 = 0 THEN 'litexpo' WHEN user_id % 3 = 1 THEN 'meetup' ELSE 'none' END AS source,
+           CASE WHEN user_id % 2 = 0 THEN 'Vilnius' ELSE 'Kaunas' END AS city, max(ts) AS last_seen, bool_or(value < 60) AS is_active
+    FROM events GROUP BY ALL"""
+
+
+@register("r8_site_frontier", f"""
+WITH sp AS ({_SITE_PAGES}), saved AS ({_SITE_SAVED}),
+routed AS (SELECT page_id, id, bare, k, CASE k WHEN 0 THEN 'litexpo' WHEN 1 THEN 'meetup' WHEN 2 THEN 'kaveikti' ELSE 'other' END AS source,
+                  CASE WHEN k = 1 AND page_id % 8 = 1 THEN 'Vilnius' ELSE '' END AS city FROM sp),
+found AS (SELECT page_id, source, city, j AS link_rank, 'found' AS origin,
+                 CASE k WHEN 0 THEN 'https://www.litexpo.lt/en/events/e' || id || '-' || j || '/'
+                        WHEN 1 THEN 'https://www.meetup.com/g/events/' || id || j || '/'
+                        ELSE 'https://www.kaveikti.lt/Renginys/' || id || '-' || j || '/' END AS link
+          FROM routed, (SELECT unnest([1, 2, 3]) AS j) WHERE k < 3 AND NOT bare),
+offered AS (SELECT r.page_id, r.source, r.city, s.url AS link,
+                   row_number() OVER (PARTITION BY r.page_id ORDER BY s.last_seen DESC, s.url) AS link_rank
+            FROM routed r JOIN saved s ON r.source = s.source AND s.is_active AND (r.city = '' OR lower(r.city) = lower(s.city))
+            WHERE r.bare AND r.k < 3)
+SELECT page_id, source, city, link, CAST(link_rank AS INTEGER) AS link_rank, origin, CAST(NULL AS VARCHAR) AS error FROM found
+UNION ALL SELECT page_id, source, city, link, CAST(link_rank AS INTEGER), 'saved', NULL FROM offered WHERE link_rank <= {R8_N}
+UNION ALL SELECT page_id, source, city, NULL, NULL, NULL,
+       'No event links found for source ''' || source || ''' and no saved links are available.'
+FROM routed WHERE k < 3 AND bare AND page_id NOT IN (SELECT page_id FROM offered)""")
+def r8_site_frontier(spark, sf_dir):
+    import datetime as dt
+
+    from ..operators.pages import SITE_RULES, rules_frame
+    from .scrape import link_frontier, route_pages
+    p = T.load_table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("own_url"))
+    k, i = F.col("page_id") % 4, F.col("page_id").cast("string")
+    url = (F.when(k == 0, F.concat(F.lit("https://www.litexpo.lt/en/events/?page="), i))
+            .when((k == 1) & (F.col("page_id") % 8 == 1), F.concat(F.lit("https://www.meetup.com/find/?location=lt--Vilnius&n="), i))
+            .when(k == 1, F.concat(F.lit("https://www.meetup.com/find/?n="), i))
+            .when(k == 2, F.concat(F.lit("https://www.kaveikti.lt/renginiai/?p="), i)).otherwise(F.col("own_url")))
+
+    def anchors(template: str) -> list:
+        """Three event links, the second one twice."""
+        return [F.replace(F.lit(template.replace("#", str(j))), F.lit("ID"), i) for j in (1, 2, 2, 3)]
+
+    event = (F.when(k == 0, F.concat(*anchors('<li><a class=x href="/en/events/eID-#/?utm=1">E</a>')))
+              .when(k == 1, F.concat(*anchors("<li><a href='https://www.meetup.com/g/events/ID#/?top=1'>E</a>")))
+              .otherwise(F.concat(*anchors('<li><a data-href="/no" href=../Renginys/ID-#>E</a>'))))
+    html = F.concat(F.lit('<ul><li><a href="https://www.litexpo.lt/en/events/">all</a><li><a href="/find/events/x/">f</a><li><a href="/renginiai/">r</a><li><a href="/about">a</a>'),
+                    F.when(F.col("page_id") % 5 == 0, F.lit("")).otherwise(event), F.lit("</ul>"))
+    listing = p.select("page_id", url.alias("url"), html.alias("html"))
+    e = T.load_table(spark, sf_dir, "events")
+    user = F.col("user_id")
+    saved = e.groupBy(
+        F.concat(F.lit("https://saved.example.com/"), "event_type", F.lit("/"), user.cast("string"), F.lit("/")).alias("url"),
+        F.when(user % 3 == 0, F.lit("litexpo")).when(user % 3 == 1, F.lit("meetup")).otherwise(F.lit("none")).alias("source"),
+        F.when(user % 2 == 0, F.lit("Vilnius")).otherwise(F.lit("Kaunas")).alias("city"),
+    ).agg(F.max("ts").alias("last_seen"), F.bool_or(F.col("value") < 60).alias("is_active")) \
+        .withColumn("last_scraped", F.lit(None).cast("timestamp"))
+    frontier, _, rejected = link_frontier(route_pages(listing), saved, rules_frame(spark, SITE_RULES), dt.datetime(2026, 1, 1), R8_N)
+    columns = ["page_id", "source", "city", "link", "link_rank", "origin", "error"]
+    return frontier.withColumn("error", F.lit(None).cast("string")).select(*columns).unionByName(
+        rejected.select("page_id", "source", "city", "error"), allowMissingColumns=True).select(*columns)
+
+
 # ---------------------------------------------------------------------------------------
 # W8 (import then assign to a student) and W10 (URL registry from the frontier)
 # ---------------------------------------------------------------------------------------

@@ -46,35 +46,50 @@ def link_frontier(pages: DataFrame, urls: DataFrame, rules: DataFrame, now: dt.d
                   n: int = P.MAX_LINKS_DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """For every listing page of a known source: its event links (P3-P10); when it
     has none, the saved active URLs of its source (and city, when given), newest
-    first; when neither exists the page is rejected with the reference's message.
+    first; when neither exists the page is rejected with the reference's message. Each page
+    is read once: its links become one list, and the lists of saved URLs are joined to it.
 
     ``pages`` needs (page_id, url, html, source, city). Returns (frontier(page_id,
     source, city, link, link_rank, origin found/saved), next_urls (W10), rejected)."""
-    known = pages.join(rules.select("source").distinct(), "source", "left_semi")
-    links = P.resolve_links(P.page_links(known.select("page_id", "url", "html")))
-    links = links.join(known.select("page_id", "source", "city"), "page_id")
-    found = P.top_links(P.filter_links(links, rules), n) \
-        .select("page_id", "source", "city", "link", "link_rank").withColumn("origin", F.lit("found"))
+    links = P.resolve_links(P.page_links(pages, carry=("source", "city"), all_pages=True)).join(rules, "source")
+    first = links.groupBy("page_id", "source", "city", F.when(P.rule_holds(), F.col("link")).alias("link")) \
+                 .agg(F.min("pos").alias("pos"))
+    # a page's own links only; null stands for links that are none and drops out of the list
+    listed = first.groupBy("page_id", "source", "city").agg(F.transform(F.slice(F.array_sort(F.collect_list(
+        F.when(F.col("link").isNotNull(), F.struct("pos", "link")))), 1, n), lambda x: x["link"]).alias("found"))
+    of_city, of_source = saved_lists(urls, n)
+    per_page = (listed.withColumn("_city", F.lower("city")).join(of_city, ["source", "_city"], "left").join(of_source, "source", "left")
+                .withColumn("saved", F.when(F.col("city") == "", F.col("of_source")).otherwise(F.col("of_city"))))
+    has = F.size("found") > 0
+    rows = per_page.select(
+        "page_id", "source", "city", F.when(has, "found").when(F.size("saved") > 0, "saved").alias("origin"),
+        F.posexplode_outer(F.when(has, F.col("found")).otherwise(F.col("saved"))).alias("_p", "link"))
+    frontier = rows.where(F.col("link").isNotNull()).select(
+        "page_id", "source", "city", "link", (F.col("_p") + 1).cast("int").alias("link_rank"), "origin")
+    rejected = rows.where(F.col("link").isNull()).select("page_id", "source", "city") \
+        .withColumn("error", F.format_string(P.NO_LINKS_ERROR.replace("{source}", "%s"), F.col("source")))
+    found = frontier.where(F.col("origin") == "found")
     next_urls = upsert_urls(urls, found.select(F.struct("page_id", "link_rank").alias("pos"),
                                                F.col("link").alias("url"), "source", "city"), now)
-
-    no_links = known.join(found.select("page_id").distinct(), "page_id", "left_anti") \
-                    .select("page_id", "source", "city")
-    saved = saved_urls_top(urls, n)
-    # saved URLs: same source, and the same city (case-insensitive) when one is given
-    s = saved.select(F.col("source").alias("_s"), F.lower("city").alias("_c"), "url", "last_seen")
-    cond = (F.col("source") == F.col("_s")) & ((F.col("city") == "") | (F.lower(F.col("city")) == F.col("_c")))
-    fallback = no_links.join(s, cond)
-    w = Window.partitionBy("page_id").orderBy(F.col("last_seen").desc(), F.col("url"))
-    fallback = fallback.withColumn("link_rank", F.row_number().over(w)).where(F.col("link_rank") <= n) \
-        .select("page_id", "source", "city", F.col("url").alias("link"), "link_rank") \
-        .withColumn("origin", F.lit("saved"))
-    frontier = found.unionByName(fallback)
-    rejected = no_links.join(fallback.select("page_id").distinct(), "page_id", "left_anti") \
-        .withColumn("error", F.format_string(P.NO_LINKS_ERROR.replace("{source}", "%s"), F.col("source")))
     return frontier, next_urls, rejected
 
 
+def saved_lists(urls: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """F9 + S4 as lists of at most ``n`` URLs: (source, _city, of_city) with the city in
+    lower case, and (source, of_source) over all cities; a source's list is made from its
+    cities' lists."""
+    newest = [F.col("last_seen").desc(), F.col("url")]
+
+    def lists(rows: DataFrame, keys: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+        ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*newest))).where(F.col("_r") <= n)
+        in_order = F.array_sort(F.collect_list(F.struct("_r", "url")))
+        return ranked.drop("_r"), ranked.groupBy(*keys).agg(F.transform(in_order, lambda x: x["url"]).alias(name))
+
+    active = urls.where(F.col("is_active")).select("source", F.lower("city").alias("_city"), "url", "last_seen")
+    top, of_city = lists(active, ["source", "_city"], "of_city")
+    return of_city, lists(top, ["source"], "of_source")[1]
+
+
 def event_prompts(detail_pages: DataFrame) -> DataFrame:
     """R9 job 1, per-link form: one prompt per fetched detail page (page_id, url, source,
     city, html) using the source's template and the whole page text (P1)."""
