@@ -156,6 +156,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     confirmed = (found.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"),
                                           F.max(F.col("id").isNull()).alias("no_id"))
                  .where("first != last or (no_id and first is not null)").select("key", "first"))
+    # written, so that the join on keys reads both sides as they come, and a hot key is split
+    confirmed = keep(confirmed, "confirmed")
     # every id and text loses one list of places; rows repeated as a whole share it
     drops = (found.join(confirmed, "key").where(~F.col("id").eqNullSafe(F.col("first")))
              .groupBy(F.col("id").alias("drop_id"), F.col("text_hash").alias("drop_hash"))
