@@ -19,13 +19,15 @@ def subjects_with_category(sub: DataFrame, cat: DataFrame) -> DataFrame:
     return sub.join(c, "category_id", "left")
 
 
-def subject_interests(sub: DataFrame, ss: DataFrame, student_id: int) -> DataFrame:
-    """Every subject with one student's interest (NULL if unrated or unlinked).
-
-    The reference answers this per student; the subject table is scanned once and
-    LEFT JOINed with that student's rows, so no student x subject grid is built."""
-    mine = ss.where(F.col("student_id") == F.lit(student_id)).select("subject_id", "interest")
-    return sub.join(mine, "subject_id", "left").withColumn("student_id", F.lit(student_id).cast("bigint"))
+def subject_interests(sub: DataFrame, ss: DataFrame, students: DataFrame) -> DataFrame:
+    """Every subject with the interest of each student of a request batch (student_id;
+    NULL interest if unrated or unlinked).
+
+    The answer is batch x subjects by definition, so the batch is what bounds it: its ids
+    are one array, the subject table is scanned once and LEFT JOINed with their rows."""
+    asked = students.agg(F.sort_array(F.collect_set("student_id"))).scalar()
+    rows = sub.withColumn("student_id", F.explode(asked))
+    return rows.join(ss.select("student_id", "subject_id", "interest"), ["student_id", "subject_id"], "left")
 
 
 def subject_category_keys(sub: DataFrame, cat: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@ emitted as columns (row_number) because downstream comparisons ignore row order.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,5 +70,8 @@ def rank_two_level(df: DataFrame, partition: list[str], coarse: list[tuple[str,
     offsets = grp.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
     w2 = Window.partitionBy(*partition, *ckeys).orderBy(*fine)
     inner = df.withColumn("_rn", F.row_number().over(w2))
-    return inner.join(offsets, [*partition, *ckeys]) \
+    # null-safe: rows without a coarse key are a group, too
+    same = reduce(lambda a, b: a & b, [inner[k].eqNullSafe(offsets[k]) for k in [*partition, *ckeys]])
+    joined = inner.join(offsets, same).drop(*[offsets[k] for k in [*partition, *ckeys]])
+    return joined \
         .withColumn(name, (F.col("_before") + F.col("_rn")).cast("bigint")).drop("_before", "_rn")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.standardize import interest_label
 from ..operators.filters import filter_events
 from ..operators.joins import subject_interests, subjects_with_category
-from ..operators.ordering import by_name, newest_first_keys, soonest_first_keys
+from ..operators.ordering import newest_first_keys, rank_two_level, soonest_first_keys
 from ..operators.shaping import event_rows
 
 
@@ -19,10 +19,11 @@ def _with_total(df: DataFrame) -> DataFrame:
 
 
 def list_events(ev: DataFrame, ec: DataFrame) -> DataFrame:
-    """Every event as an output row (D8), newest first (S1), with the total (G1).
-    The order is a range-partitioned global sort, not a single-task one."""
-    rows = event_rows(ev, ec)
-    return _with_total(rows).orderBy(*newest_first_keys())
+    """Every event as an output row (D8), newest first (S1), with its position and the
+    total (G1). The order is a range-partitioned global sort, and positions are counted per
+    day and within a day, so no task holds all rows."""
+    rows = rank_two_level(event_rows(ev, ec), [], [("date", True)], newest_first_keys()[1:], "position")
+    return _with_total(rows).orderBy("position")
 
 
 def filtered_events(ev: DataFrame, ec: DataFrame, **bounds) -> DataFrame:
@@ -31,16 +32,19 @@ def filtered_events(ev: DataFrame, ec: DataFrame, **bounds) -> DataFrame:
     to the surviving events so only their categories are aggregated."""
     kept = filter_events(ev, **bounds)
     ec_kept = ec.join(kept.select("event_id"), "event_id", "left_semi")
-    return _with_total(event_rows(kept, ec_kept)).orderBy(*soonest_first_keys())
-
-
-def student_subjects(sub: DataFrame, cat: DataFrame, ss: DataFrame, student_id: int) -> DataFrame:
-    """All subjects with one student's interest, its label (D6), category (J1),
-    by name (S3), and the total."""
-    rows = subject_interests(subjects_with_category(sub, cat), ss, student_id)
-    out = rows.select("subject_id", "name", "category_id", "category_name", "interest",
-                      interest_label(F.col("interest")).alias("interest_description"))
-    return by_name(_with_total(out).withColumnRenamed("total", "total_subjects"))
+    rows = rank_two_level(event_rows(kept, ec_kept), [], [("date", False)], soonest_first_keys()[1:], "position")
+    return _with_total(rows).orderBy("position")
+
+
+def student_subjects(sub: DataFrame, cat: DataFrame, ss: DataFrame, students: DataFrame) -> DataFrame:
+    """Per student of a request batch all subjects with the student's interest, its
+    label (D6), category (J1), the position by name (S3), and the total. Positions are
+    counted per first letters of the name and within them."""
+    rows = subject_interests(subjects_with_category(sub, cat), ss, students)
+    out = rows.select("student_id", "subject_id", "name", "category_id", "category_name", "interest",
+                      interest_label(F.col("interest")).alias("interest_description"), F.substring("name", 1, 12).alias("_letters"))
+    ranked = rank_two_level(out, ["student_id"], [("_letters", False)], [F.col("name").asc(), F.col("subject_id").asc()], "position")
+    return ranked.drop("_letters").withColumn("total_subjects", sub.agg(F.count(F.lit(1))).scalar())
 
 
 EVENT_NOT_FOUND = "Event not found"

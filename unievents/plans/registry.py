@@ -85,7 +85,6 @@ EVENT_COLS = ["event_id", "name", "date", "time", "place", "price", "categories"
 R5_ARGS = dict(min_price="50", max_price="250", start_date="1995-01-01", end_date="1996-12-31",
                city="Tion_1", start_time="08:00", end_time="18:30")
 NOW = "1996-06-15 12:00:00"
-DEFAULT_STUDENT = 1
 INTEREST_LABEL_SQL = ("CASE {x} WHEN 1 THEN '1 - Not Interested' WHEN 2 THEN '2 - Slightly Interested' "
                       "WHEN 3 THEN '3 - Moderately Interested' WHEN 4 THEN '4 - Very Interested' "
                       "WHEN 5 THEN '5 - Extremely Interested' END")
@@ -99,7 +98,8 @@ def d8_event_rows(spark, sf_dir):
 
 
 @register("r4_list_events", with_ctes(
-    "SELECT er.*, (SELECT count(*) FROM event) AS total FROM event_row er ORDER BY er.date DESC, er.time DESC, er.event_id",
+    """SELECT er.*, (SELECT count(*) FROM event) AS total,
+              row_number() OVER (ORDER BY er.date DESC, er.time DESC, er.event_id) AS position FROM event_row er""",
     "event_row"))
 def r4_list_events(spark, sf_dir):
     from .listing import list_events
@@ -108,7 +108,8 @@ def r4_list_events(spark, sf_dir):
 
 
 @register("r5_filter_events", with_ctes(
-    f"""SELECT er.*, count(*) OVER () AS total FROM event_row er JOIN event e ON er.event_id = e.event_id
+    f"""SELECT er.*, count(*) OVER () AS total, row_number() OVER (ORDER BY e.date, e.time, e.event_id) AS position
+    FROM event_row er JOIN event e ON er.event_id = e.event_id
     WHERE e.price >= {R5_ARGS['min_price']} AND e.price <= {R5_ARGS['max_price']}
       AND e.date >= DATE '{R5_ARGS['start_date']}' AND e.date <= DATE '{R5_ARGS['end_date']}'
       AND contains(lower(e.place), '{R5_ARGS['city'].lower()}')
@@ -161,16 +162,19 @@ def f13_keyword_search(spark, sf_dir):
 
 
 @register("r7_student_subjects", with_ctes(
-    f"""SELECT s.subject_id, s.name, s.category_id, c.name AS category_name, m.interest,
+    f"""SELECT q.student_id, s.subject_id, s.name, s.category_id, c.name AS category_name, m.interest,
            {INTEREST_LABEL_SQL.format(x='m.interest')} AS interest_description,
-           (SELECT count(*) FROM subject) AS total_subjects
-    FROM subject s LEFT JOIN category c ON s.category_id = c.category_id
-    LEFT JOIN (SELECT subject_id, interest FROM student_subject WHERE student_id = {DEFAULT_STUDENT}) m
-      ON s.subject_id = m.subject_id""", "subject", "category", "student_subject"))
+           (SELECT count(*) FROM subject) AS total_subjects,
+           row_number() OVER (PARTITION BY q.student_id ORDER BY s.name, s.subject_id) AS position
+    FROM subject s CROSS JOIN (SELECT unnest([min(user_id), max(user_id)]) AS student_id FROM events) q
+    LEFT JOIN category c ON s.category_id = c.category_id
+    LEFT JOIN student_subject m ON s.subject_id = m.subject_id AND q.student_id = m.student_id""",
+    "subject", "category", "student_subject"))
 def r7_student_subjects(spark, sf_dir):
     from .listing import student_subjects
     d = Domain(spark, sf_dir)
-    return student_subjects(d.sub, d.cat, d.ss, DEFAULT_STUDENT)
+    asked = d.table("events").agg(F.array(F.min("user_id"), F.max("user_id")).alias("u")).select(F.explode("u").alias("student_id"))
+    return student_subjects(d.sub, d.cat, d.ss, asked)
 
 
 R3_LOOKUPS = [("subject_id", 3), ("subject_name", "  RED WIDGET 1 "), ("subject_name", "small ring 0")]
