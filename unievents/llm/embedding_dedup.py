@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from unievents.llm.common import groups_of, keep, pick
 from unievents.llm.components import connected_components
@@ -120,7 +121,7 @@ def leaf_links(unit: np.ndarray, leaves: np.ndarray, leaf: int, weight: np.ndarr
 
 
 def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least_cosine: float = 0.95,
-                    trees: int = 6, leaf_rows: int = 512, sample_rows: int = 20_000, group_rows: int = 4096) -> DataFrame:
+                    trees: int = 4, leaf_rows: int = 1024, sample_rows: int = 20_000, group_rows: int = 4096) -> DataFrame:
     """(id, n_links, component_id, kept) of every row.
 
     n_links: other rows at a cosine (in double precision) of ``least_cosine`` or more that
@@ -137,14 +138,16 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     are compared in groups of their own. Pairs stay within a group: what leaves it is a
     count and one edge per row.
     """
-    plain = pick(vectors, id=id_col, v=vector_col).withColumn("v", F.col("v").cast("array<double>"))
+    plain = pick(vectors, id=id_col, v=vector_col)
+    single = plain.schema["v"].dataType.elementType == T.FloatType()
+    plain = plain.withColumn("v", F.col("v").cast("array<double>"))
     fine = F.exists("v", lambda x: x != 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = keep(plain.withColumn("v", F.when(F.coalesce(fine, F.lit(False)), F.col("v"))), "vectors")
     grouped = rows.where("v is not null").groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     classes = keep(grouped.withColumn("c", F.monotonically_increasing_id()), "classes")  # numbers hold once written
     found = None
     for size, n in sorted((r["s"], r["count"]) for r in classes.groupBy(F.size("v").alias("s")).count().collect()):  # a row per length
-        part = _links(classes.where(F.size("v") == size), n, least_cosine, trees, leaf_rows, sample_rows, group_rows)
+        part = _links(classes.where(F.size("v") == size), n, single, least_cosine, trees, leaf_rows, sample_rows, group_rows)
         found = part if found is None else found.union(part)
     if found is None:
         return rows.select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
@@ -161,12 +164,15 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
 
-def _links(classes: DataFrame, n_rows: int, least_cosine: float, trees: int, leaf_rows: int, sample_rows: int, group_rows: int) -> DataFrame:
-    """(c, root, links): per class and leaf, weight of links and the smallest class reached."""
+def _links(classes: DataFrame, n_rows: int, single: bool, least_cosine: float, trees: int, leaf_rows: int, sample_rows: int,
+           group_rows: int) -> DataFrame:
+    """(c, root, links): per class and leaf, weight of links and the smallest class reached.
+    ``single``: the components are exact in 4 bytes, and are shuffled so."""
+    kind = np.float32 if single else np.float64
     spark = classes.sparkSession
     sample = classes.select("v").orderBy(F.xxhash64("v"), "v").limit(sample_rows).toPandas()["v"]
-    unit = _unit(np.stack([np.asarray(v, float) for v in sample])).astype(np.float32)
-    shared = spark.sparkContext.broadcast(grow_forest(unit, n_rows, least_cosine, trees, leaf_rows))
+    fitted = _unit(np.stack([np.asarray(v, float) for v in sample])).astype(np.float32)
+    shared = spark.sparkContext.broadcast(grow_forest(fitted, n_rows, least_cosine, trees, leaf_rows))
 
     def route(batches):
         for batch in batches:
@@ -181,7 +187,7 @@ def _links(classes: DataFrame, n_rows: int, least_cosine: float, trees: int, lea
             row, leaf = row[order], leaf[order]
             starts = np.searchsorted(row, np.arange(batch.num_rows + 1))
             lists = [leaf[a:b].tolist() for a, b in zip(starts[:-1], starts[1:])]
-            blobs = [v.tobytes() for v in data]
+            blobs = [v.tobytes() for v in own.astype(kind)]
             for at in range(0, len(row), 4096):
                 r = row[at:at + 4096]
                 yield pa.record_batch({"leaf": pa.array(leaf[at:at + 4096].astype(np.int32)), "c": pa.array(c[r]), "n": pa.array(n[r]),
@@ -199,13 +205,13 @@ def _links(classes: DataFrame, n_rows: int, least_cosine: float, trees: int, lea
 
     def compare(batches):
         for table in groups_of(batches, ["leaf", "low", "high"]):
-            unit_ = np.frombuffer(b"".join(table["v"].to_pylist()), float).reshape(table.num_rows, -1)
+            unit = _unit(np.frombuffer(b"".join(table["v"].to_pylist()), kind).reshape(table.num_rows, -1).astype(float))
             lists = table["leaves"].to_pylist()
             width = max(map(len, lists))
             leaves = np.array([x + [-1] * (width - len(x)) for x in lists], np.int32)
             c, n, block = (table[k].to_numpy() for k in ("c", "n", "block"))
             pair = table["low"][0].as_py(), table["high"][0].as_py()
-            total, root = leaf_links(unit_, leaves, table["leaf"][0].as_py(), n, block, pair, least_cosine)
+            total, root = leaf_links(unit, leaves, table["leaf"][0].as_py(), n, block, pair, least_cosine)
             some = np.flatnonzero((total > 0) | (root != np.arange(len(c))))
             if len(some):
                 yield pa.record_batch({"c": pa.array(c[some]), "root": pa.array(c[root[some]]), "links": pa.array(total[some])})
