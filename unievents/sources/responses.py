@@ -74,7 +74,8 @@ def event_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
              .otherwise(F.lit("Sorry, no event here.")))
     return j.select(k.alias("prompt_id"),
                     F.concat(F.lit("https://events.example.com/e/"), k.cast("string")).alias("url"),
-                    F.lit("other").alias("source"), F.lit("").alias("city"), resp.alias("response"))
+                    F.lit("other").alias("source"), F.lit("").alias("city"), resp.alias("response")) \
+        .repartition("prompt_id")  # a response table comes in many parts, other than a small orders file
 
 
 EVENT_RESPONSES_SQL = """
