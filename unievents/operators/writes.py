@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.standardize import standardize_interest
@@ -229,17 +229,25 @@ def assign_to_students(ss: DataFrame, links: DataFrame) -> tuple[DataFrame, Data
     return next_ss, log
 
 
-def insert_new(table: DataFrame, batch: DataFrame, key: str, id_col: str,
-               dup_reason: str) -> tuple[DataFrame, DataFrame]:
-    """Insert-if-absent on an exact key; the first batch row of a key wins, later
-    ones and keys already present are reported with ``dup_reason``. Blank keys are
-    rejected. Returns (next_table, log(batch_pos, key, id, action, reason))."""
+def insert_new(table: DataFrame, batch: DataFrame, key: str, id_col: str, dup_reason: str,
+               missing_reason: str | None = None, missing: Column | None = None,
+               refused: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Insert-if-absent on an exact key; the first batch row of a key that can be
+    inserted wins, later ones and keys already present are reported with ``dup_reason``.
+    Rows with a blank key, or where ``missing`` holds, are rejected before that; after it
+    those where ``refused`` gives a reason (an unknown reference, say), which leaves the key
+    to later rows. Returns (next_table, log(batch_pos, key, id, action, reason))."""
     k = F.col(key)
+    refused = F.lit(None).cast("string") if refused is None else refused
     blank = k.isNull() | (trim_ws(k.cast("string")) == "")
+    blank = blank if missing is None else blank | F.coalesce(missing, F.lit(True))
+    batch = batch.withColumn("_blank", blank).withColumn("_refused", refused)
+    blank, refused = F.col("_blank"), F.col("_refused")
     present = table.select(k.alias("_k"), F.col(id_col).alias("_old_id"))
-    firsts = batch.where(~blank).groupBy(key).agg(F.min("batch_pos").alias("_first"))
+    firsts = batch.where(~blank & refused.isNull()).groupBy(key).agg(F.min("batch_pos").alias("_first"))
     t = batch.join(firsts, key, "left").join(present, k == F.col("_k"), "left").drop("_k")
-    ok = ~blank & F.col("_old_id").isNull() & (F.col("batch_pos") == F.col("_first"))
+    ok = F.coalesce(~blank & F.col("_old_id").isNull() & (F.col("batch_pos") == F.col("_first")), F.lit(False))
+    known = F.col("_old_id").isNotNull() | F.coalesce(F.col("batch_pos") > F.col("_first"), F.lit(False))
     new = t.where(ok)
     new_ids = assign_ids(new.select(key, "batch_pos"), ["batch_pos"], id_col, _max_id(table, id_col))
     cols = [c for c in table.columns if c != id_col]
@@ -248,10 +256,28 @@ def insert_new(table: DataFrame, batch: DataFrame, key: str, id_col: str,
     log = t.join(new_ids.select(key, F.col(id_col).alias("_nid")), key, "left").select(
         "batch_pos", key, F.coalesce("_nid", "_old_id").alias(id_col),
         F.when(ok, F.lit("created")).otherwise(F.lit("rejected")).alias("action"),
-        F.when(blank, F.lit(f"{key} is required")).when(~ok, F.lit(dup_reason)).alias("reason"))
+        F.when(blank, F.lit(missing_reason or f"{key} is required")).when(known, F.lit(dup_reason))
+         .when(~ok, refused).alias("reason"))
     return next_t, log
 
 
+def insert_subjects(sub: DataFrame, cat: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """W9 for subjects (batch_pos, name, category_id): no category (null or 0) is allowed, an
+    unknown one is not."""
+    known = cat.select("category_id").distinct().withColumn("_known", F.lit(True))
+    given = F.coalesce(F.col("category_id"), F.lit(0)) != 0
+    rows = batch.join(known, "category_id", "left").withColumn(
+        "_why", F.when(given & F.col("_known").isNull(), F.lit("Category not found")))
+    rows = rows.withColumn("category_id", F.when(given, F.col("category_id"))).select("batch_pos", "name", "category_id", "_why")
+    return insert_new(sub, rows, "name", "subject_id", "Subject already exists", "Name is required", refused=F.col("_why"))
+
+
+def insert_students(stu: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """W9 for students (batch_pos, username, password); the password is only required."""
+    return insert_new(stu, batch, "username", "student_id", "Username already exists", "Username and password are required",
+                      missing=F.coalesce(F.col("password"), F.lit("")) == "")
+
+
 # ---- W10, W11: URL registry --------------------------------------------------------------
 
 URL_COLS = ["url", "source", "city", "last_seen", "last_scraped", "is_active"]

@@ -729,6 +729,61 @@ def w9_insert_categories_log(spark, sf_dir):
     return log
 
 
+_W9_LOG = """
+SELECT b.batch_pos, b.{key}, coalesce(t.{id}, n.new_id) AS {id},
+       CASE WHEN n.new_id IS NOT NULL AND b.batch_pos = f.first_pos THEN 'created' ELSE 'rejected' END AS action,
+       CASE WHEN b.missing THEN '{blank}' WHEN t.{id} IS NOT NULL OR b.batch_pos > f.first_pos THEN '{dup}'
+            WHEN b.batch_pos = f.first_pos THEN NULL ELSE b.why END AS reason
+FROM batch b LEFT JOIN firsts f ON b.{key} = f.{key} LEFT JOIN {table} t ON b.{key} = t.{name}
+LEFT JOIN newk n ON b.{key} = n.{key}"""
+
+
+def _w9_ctes(batch: str, key: str, table: str, name: str, id_: str) -> list:
+    return [("batch", batch),
+            ("firsts", f"SELECT {key}, min(batch_pos) AS first_pos FROM batch WHERE NOT missing AND why IS NULL GROUP BY 1"),
+            ("newk", f"""SELECT f.{key}, (SELECT max({id_}) FROM {table}) + row_number() OVER (ORDER BY f.first_pos) AS new_id
+                         FROM firsts f WHERE f.{key} NOT IN (SELECT {name} FROM {table} WHERE {name} IS NOT NULL)""")]
+
+
+@register("w9_insert_subjects_log", with_ctes(
+    _W9_LOG.format(key="name", id="subject_id", table="subject", name="name", blank="Name is required", dup="Subject already exists"),
+    "subject", "category", extra=_w9_ctes("""
+        SELECT e.batch_pos, e.name, e.name IS NULL OR trim(e.name) = '' AS missing,
+               CASE WHEN coalesce(e.cid, 0) <> 0 AND e.cid NOT IN (SELECT category_id FROM category) THEN 'Category not found' END AS why
+        FROM (SELECT event_id AS batch_pos, CASE event_id % 3 WHEN 1 THEN event_id % 70 WHEN 2 THEN 0 END AS cid,
+                     CASE event_id % 4 WHEN 0 THEN ' ' WHEN 1 THEN p.p_name || ' ' || p.p_partkey
+                          ELSE 'New ' || user_id END AS name
+              FROM events LEFT JOIN part p ON events.user_id = p.p_partkey) e""", "name", "subject", "name", "subject_id")))
+def w9_insert_subjects_log(spark, sf_dir):
+    from ..operators.writes import insert_subjects
+    d = Domain(spark, sf_dir)
+    e = d.table("events").join(d.sub.select(F.col("subject_id").alias("user_id"), F.col("name").alias("known")), "user_id", "left")
+    k = F.col("event_id")
+    batch = e.select(k.alias("batch_pos"),
+                     F.when(k % 4 == 0, F.lit(" ")).when(k % 4 == 1, F.col("known"))
+                      .otherwise(F.concat(F.lit("New "), F.col("user_id").cast("string"))).alias("name"),
+                     F.when(k % 3 == 1, k % 70).when(k % 3 == 2, F.lit(0)).cast("bigint").alias("category_id"))
+    return insert_subjects(d.sub, d.cat, batch)[1]
+
+
+@register("w9_insert_students_log", with_ctes(
+    _W9_LOG.format(key="username", id="student_id", table="student", name="username",
+                   blank="Username and password are required", dup="Username already exists"),
+    "student", extra=_w9_ctes("""
+        SELECT event_id AS batch_pos, CASE WHEN event_id % 3 = 0 THEN c_name ELSE 'user' || user_id END AS username,
+               (event_id % 3 = 0 AND c_name IS NULL) OR event_id % 5 = 0 AS missing, NULL AS why
+        FROM events LEFT JOIN customer ON user_id = c_custkey""", "username", "student", "username", "student_id")))
+def w9_insert_students_log(spark, sf_dir):
+    from ..operators.writes import insert_students
+    d = Domain(spark, sf_dir)
+    e = d.table("events").join(d.stu.select(F.col("student_id").alias("user_id"), "username"), "user_id", "left")
+    k = F.col("event_id")
+    batch = e.select(k.alias("batch_pos"),
+                     F.when(k % 3 == 0, F.col("username")).otherwise(F.concat(F.lit("user"), F.col("user_id").cast("string"))).alias("username"),
+                     F.when(k % 5 != 0, F.lit("secret")).alias("password"))
+    return insert_students(d.stu, batch)[1]
+
+
 @register("w12_delete_events_log", with_ctes("""
 SELECT r.event_id, e.name, CAST(e.date AS VARCHAR) AS date,
        CASE WHEN e.event_id IS NULL THEN 'not_found' ELSE 'deleted' END AS action
