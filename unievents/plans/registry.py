@@ -484,19 +484,7 @@ def m5_response_category(spark, sf_dir):
              .unionByName(failed.select("prompt_id", "subject", F.lit(None).cast("string").alias("category"), "error"))
 
 
-@register("r11_import_subjects", with_ctes("""
-SELECT o.prompt_id AS batch_pos, o.subject, cn.name AS category_name,
-       coalesce(sf.subject_id, ns.subject_id) AS subject_id,
-       CASE WHEN sf.subject_id IS NULL THEN 'created'
-            WHEN s.category_id IS NOT DISTINCT FROM ci.category_id THEN 'unchanged' ELSE 'updated' END AS action
-FROM ok o JOIN cids ci ON lower(o.category) = ci.ck
-LEFT JOIN subf sf ON lower(o.subject) = sf.sk
-LEFT JOIN subject s ON sf.subject_id = s.subject_id
-LEFT JOIN new_sub ns ON lower(o.subject) = ns.sk
-JOIN (SELECT category_id, name FROM category UNION ALL SELECT category_id, name FROM newcat_ids) cn
-  ON ci.category_id = cn.category_id""",
-    "category", "subject",
-    extra=[(n, q) for n, q in [
+_R11_CTES = [(n, q) for n, q in [
         ("resp", RS.CATEGORY_RESPONSES_SQL)] ] + [
         ("m5x", "WITH " + _M5_CTE + " SELECT * FROM m5"),
         ("ok", "SELECT prompt_id, subject, category FROM m5x WHERE error IS NULL"),
@@ -509,7 +497,21 @@ JOIN (SELECT category_id, name FROM category UNION ALL SELECT category_id, name
         ("subf", "SELECT lower(name) AS sk, min(subject_id) AS subject_id FROM subject GROUP BY 1"),
         ("new_sub", """SELECT lower(subject) AS sk, coalesce((SELECT max(subject_id) FROM subject), 0)
                            + row_number() OVER (ORDER BY min(prompt_id)) AS subject_id
-                       FROM ok WHERE lower(subject) NOT IN (SELECT sk FROM subf) GROUP BY 1""")]))
+                       FROM ok WHERE lower(subject) NOT IN (SELECT sk FROM subf) GROUP BY 1""")]
+_R11_SQL = """
+SELECT o.prompt_id AS batch_pos, o.subject, cn.name AS category_name,
+       coalesce(sf.subject_id, ns.subject_id) AS subject_id,
+       CASE WHEN sf.subject_id IS NULL THEN 'created'
+            WHEN s.category_id IS NOT DISTINCT FROM ci.category_id THEN 'unchanged' ELSE 'updated' END AS action
+FROM ok o JOIN cids ci ON lower(o.category) = ci.ck
+LEFT JOIN subf sf ON lower(o.subject) = sf.sk
+LEFT JOIN subject s ON sf.subject_id = s.subject_id
+LEFT JOIN new_sub ns ON lower(o.subject) = ns.sk
+JOIN (SELECT category_id, name FROM category UNION ALL SELECT category_id, name FROM newcat_ids) cn
+  ON ci.category_id = cn.category_id"""
+
+
+@register("r11_import_subjects", with_ctes(_R11_SQL, "category", "subject", extra=_R11_CTES))
 def r11_import_subjects(spark, sf_dir):
     from .scrape import assign_subjects
     d = Domain(spark, sf_dir)
@@ -517,6 +519,18 @@ def r11_import_subjects(spark, sf_dir):
     return log.select("batch_pos", "subject", "category_name", "subject_id", "action")
 
 
+@register("g6_import_counters", with_ctes("""
+SELECT (SELECT count(*) FROM m5x) AS input_count, (SELECT count(*) FROM newcat) AS created_categories,
+       count(*) FILTER (WHERE action = 'created') AS created_subjects, count(*) FILTER (WHERE action = 'updated') AS updated_subjects,
+       (SELECT count(*) FROM m5x WHERE error IS NOT NULL) AS failed_count
+FROM log""", "category", "subject", extra=_R11_CTES + [("log", _R11_SQL)]))
+def g6_import_counters(spark, sf_dir):
+    from .scrape import assign_subjects, import_counters
+    d = Domain(spark, sf_dir)
+    _, next_cat, log, failed = assign_subjects(d.sub, d.cat, RS.category_responses(spark, sf_dir))
+    return import_counters(d.cat, next_cat, log, failed)
+
+
 _R9_CTES = [
     ("resp", RS.EVENT_RESPONSES_SQL),
     ("f", f"SELECT prompt_id, url, {O.fence_sql('response')} AS s FROM resp"),

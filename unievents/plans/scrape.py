@@ -18,7 +18,8 @@ from ..operators.aggregates import run_counters
 from ..operators.events import split_events, standardize_event_items
 from ..operators.prompts import (EVENT_LIST_TEMPLATE, SUBJECTS_TEMPLATE, event_prompt,
                                  prompt_column)
-from ..operators.responses import response_category, response_events, response_subjects
+from ..operators.responses import (normalize_subjects, response_category, response_events,
+                                   response_subjects)
 from ..session import ensure_checkpoint_dir
 from ..operators.writes import (import_subjects, set_event_categories, touch_urls, upsert_events,
                                 upsert_urls)
@@ -185,10 +186,22 @@ def load_subject_responses(responses: DataFrame) -> DataFrame:
 
 
 def assign_subjects(sub: DataFrame, cat: DataFrame, category_responses: DataFrame):
-    """Category replies (prompt_id, subject, response) -> M5 -> W7 import.
-    Returns (next_sub, next_cat, log, failed)."""
-    ensure_checkpoint_dir(category_responses.sparkSession)
-    ok, failed = response_category(category_responses.checkpoint())
+    """Category replies (prompt_id, subject, response) -> M3 and M4 on the names, in the
+    order of the prompts -> M5 -> W7 import. Returns (next_sub, next_cat, log, failed)."""
+    names = normalize_subjects(category_responses.select(
+        F.lit(0).alias("list"), F.col("prompt_id").alias("pos"), F.col("subject").alias("raw_name")), "list")
+    kept = category_responses.drop("subject").join(
+        names.select(F.col("pos").alias("prompt_id"), F.col("name").alias("subject")), "prompt_id")
+    ok, failed = response_category(kept)
     batch = ok.select(F.col("prompt_id").alias("batch_pos"), "subject", "category")
     next_sub, next_cat, log = import_subjects(sub, cat, batch)
     return next_sub, next_cat, log, failed.select("prompt_id", "subject", "error")
+
+
+def import_counters(cat: DataFrame, next_cat: DataFrame, log: DataFrame, failed: DataFrame) -> DataFrame:
+    """G6 of an R11 import: names classified, rows created and updated, names that failed."""
+    n = lambda df: df.agg(F.count(F.lit(1))).scalar()
+    return log.agg(F.count(F.lit(1)).alias("_ok"), F.count_if(F.col("action") == "created").alias("created_subjects"),
+                   F.count_if(F.col("action") == "updated").alias("updated_subjects")) \
+        .select((F.col("_ok") + n(failed)).alias("input_count"), (n(next_cat) - n(cat)).alias("created_categories"),
+                "created_subjects", "updated_subjects", n(failed).alias("failed_count"))
