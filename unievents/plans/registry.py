@@ -463,6 +463,29 @@ def r10_subject_lists(spark, sf_dir):
                       "subjects_count")
 
 
+def _document_folder(spark, name: str) -> str:
+    """A new folder in the shared folder, for documents that are written and read back."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/documents/{name}-{uuid.uuid4().hex}"
+
+
+@register("io6_subject_documents", _M2_SQL + """
+SELECT r.url, CAST(r.prompt_id % 8 + 1 AS INTEGER) AS from_semester, 8 AS to_semester,
+       coalesce(array_to_string(list(n.name ORDER BY n.pos), ' | '), '') AS study_subjects
+FROM resp r LEFT JOIN names n ON r.prompt_id = n.prompt_id GROUP BY r.prompt_id, r.url""")
+def io6_subject_documents(spark, sf_dir):
+    """IO6 then IO3: the subject documents of all replies, written and read back."""
+    from ..sources.files import load_subjects_json, write_subjects_json
+    from .scrape import load_subject_responses
+    lists = load_subject_responses(RS.subject_responses(spark, sf_dir)).withColumn(
+        "from_semester", (F.col("prompt_id") % 8 + 1).cast("int")).withColumn("to_semester", F.lit(8))
+    path = _document_folder(spark, "subjects")
+    write_subjects_json(lists, path)
+    return load_subjects_json(spark, path, multi_line=False).withColumn("study_subjects", F.array_join("study_subjects", " | "))
+
+
 _M5_CTE = f"""
 resp AS ({RS.CATEGORY_RESPONSES_SQL}),
 f AS (SELECT prompt_id, subject, {O.fence_sql('response')} AS s FROM resp),
@@ -589,6 +612,27 @@ def r9_load_event_responses(spark, sf_dir):
     return out["log"].drop("category_list", "raw_item")
 
 
+@register("io7_event_documents", with_ctes("""
+SELECT url, 'other' AS source, '' AS city, event_id, name, date, time, place, price, categories, short_description, source_url
+FROM log WHERE action <> 'failed'""", "event", extra=_R9_CTES + [("log", _R9_LOG)]))
+def io7_event_documents(spark, sf_dir):
+    """IO7 then IO4: the event documents of all listings, written and read back."""
+    from ..sources.files import load_events_json, write_events_json
+    from .scrape import load_event_responses
+    d = Domain(spark, sf_dir)
+    responses = RS.event_responses(spark, sf_dir)
+    log = load_event_responses(responses, d.ev, d.ec, d.cat, AS_OF_YEAR)["log"] \
+        .withColumn("source", F.lit("other")).withColumn("city", F.lit(""))
+    keys = ("url", "source", "city")
+    path = _document_folder(spark, "events")
+    write_events_json(
+        log.where("action <> 'failed'").select(*keys, "event_id", "name", "date", "time", "place", "price",
+                                              F.col("category_list").alias("categories"), "short_description", "source_url"),
+        log.where("action = 'failed'").select(*keys, F.col("url").alias("source_url"), "name", "error", F.col("raw_item").alias("raw")),
+        path, keys)
+    return load_events_json(spark, path, multi_line=False).withColumn("categories", F.array_join("categories", ", "))
+
+
 @register("g6_event_load_counters", with_ctes("""
 SELECT CAST(count(*) AS BIGINT) AS input_count,
        CAST(count(*) FILTER (WHERE action = 'created') AS BIGINT) AS created_count,
