@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from unievents.llm.common import load
 from unievents.llm.decontaminate import find_leaks
 from unievents.llm.embedding_dedup import embedding_dedup
-from unievents.llm.licenses import scan_licenses
+from unievents.llm.licenses import BASE, PASSAGES, scan_licenses
 from unievents.llm.line_dedup import dedup_lines
 from unievents.llm.packing import pack_documents
 from unievents.llm.simhash_dedup import simhash_dedup
@@ -99,7 +99,43 @@ QUERIES: dict[str, Query] = {
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+_TEMPLATES = ", ".join(f"({k}, '{text}', '{label}', {base})" for k, (text, label, base) in enumerate(
+    [(t, l, "true") for t, l in BASE.items()] + [(t, l, "false") for t, l in PASSAGES.items()]))
+
 ORACLE: dict[str, str] = {
+    "op1_license_scans": f"""
+        WITH templates AS (
+            SELECT template, label, is_base, string_split(phrase, ' ') AS w FROM (VALUES {_TEMPLATES}) t(template, phrase, label, is_base)),
+        places AS (
+            SELECT template, label, is_base, len(w) AS size, u.k, w[u.k + 1] || ' ' || w[u.k + 2] AS pair
+            FROM templates, LATERAL (SELECT unnest(range(len(w) - 1)) AS k) u),
+        texts AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+                                              '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+        pairs AS (
+            SELECT doc_id, u.pos, w[u.pos + 1] || ' ' || w[u.pos + 2] AS pair
+            FROM texts, LATERAL (SELECT unnest(range(len(w) - 1)) AS pos) u),
+        diagonals AS (
+            SELECT doc_id, template, label, is_base, size, pos - k AS diagonal, count(*) AS votes, min(pos) AS lo, max(pos) + 2 AS hi
+            FROM pairs JOIN places ON pairs.pair = places.pair GROUP BY ALL),
+        marked AS (
+            SELECT *, is_base OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > 2, true) AS apart
+            FROM diagonals),
+        numbered AS (
+            SELECT *, sum(apart::INT) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM marked),
+        spans AS (
+            SELECT doc_id, label, is_base, size, sum(votes) AS votes, max(votes) AS most, min(lo) AS lo, max(hi) AS hi,
+                   CASE WHEN size - 1 < 10 THEN size - 1 ELSE 0.8 * (size - 1) END AS needed
+            FROM numbered GROUP BY doc_id, template, label, is_base, size, span),
+        good AS (
+            SELECT *, least(1.0, votes / (size - 1)) AS coverage FROM spans
+            WHERE CASE WHEN is_base THEN votes = size - 1 ELSE most >= needed OR (votes >= needed AND hi - lo <= size + 4) END)
+        SELECT t.doc_id, len(t.w) AS n_words, count(*) FILTER (WHERE g.is_base) AS n_base,
+               min(g.lo) FILTER (WHERE g.is_base) AS first_word, max(g.lo) FILTER (WHERE g.is_base) AS last_word,
+               coalesce(array_to_string(list_sort(list(DISTINCT g.label) FILTER (WHERE g.is_base)), ','), '') AS base_labels,
+               coalesce(array_to_string(list_sort(list(DISTINCT g.label) FILTER (WHERE g.label IS NOT NULL)), ','), '') AS labels,
+               coalesce(max(g.coverage), 0.0) AS score
+        FROM texts t LEFT JOIN good g ON t.doc_id = g.doc_id GROUP BY t.doc_id, t.w""",
     "op2_line_dedup": f"""
         WITH lines AS (
             SELECT doc_id, u.n AS n, u.line AS line,
