@@ -82,3 +82,41 @@ def test_whole_text_counts():
     vectors = np.vstack((model.table[pieces].sum(axis=1), np.zeros((1, T.DIM), np.float32)))
     end, start, without = model.scores(model.logits(vectors, ids), np.array([T._language(i, marks) for i in ids]))
     assert end >= 0.5 and start >= 0.5 and without < 0.5
+
+
+def test_thresholds_come_from_all_labelled_rows(spark):
+    """With a sample of 40 rows a label, the threshold of each language is still the best one
+    for the labelled rows beyond the sample."""
+    rng = random.Random(5)
+    common = {"en": "the of and to in is that with", "de": "der die und das mit sich nicht ein"}
+    rows = []
+    for i in range(2500):  # a word that is toxic in the common language is not in the rare one
+        lang, bad = "de" if i % 12 == 0 else "en", int(rng.random() < 0.3)
+        w = [rng.choice(common[lang].split()) for _ in range(rng.randint(5, 60))]
+        sign = rng.choice(BAD) if lang == "en" else "vilest rotten hateful"
+        w.insert(rng.randint(0, len(w)), sign if bad else f"word{i}" if lang == "en" else rng.choice(BAD))
+        rows.append((i, " ".join(w), bad))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string").repartition(3)
+    marks = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    got = {r.doc_id: r for r in T.score_toxicity(docs, marks, per_label=40).collect()}
+
+    def f1(found, own):
+        hits = sum(y for _, y in found)
+        return 2 * hits / (len(found) + sum(y for _, y in own))
+
+    for words in common.values():
+        own = sorted(((got[i].score, y) for i, t, y in rows if set(t.split()) & set(words.split()) and not got[i].held_out), reverse=True)
+        best = max(f1(own[:k], own) for k in range(1, len(own)))
+        assert f1([r for r in own if r[0] >= 0.5], own) > best - 0.02
+
+
+def test_long_and_unsampled_rows_calibrate(spark):
+    """Every labelled document that is neither held out nor fitted is counted once, at any length."""
+    long = "the of and to " * 20_000
+    rows = [(k, long if k % 10 == 0 else f"the word number {k}", k % 2) for k in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(None, "x")], "id bigint, text string")
+    marks = spark.createDataFrame([(i, y) for i, _, y in rows] + [(0, 1), (None, 1)], "id bigint, label int")
+    model = T.train([t.encode() for _, t, _ in rows[1:40]], [y for *_, y in rows[1:40]])
+    counts = T.labelled_counts(docs, marks, [1, 2, 3], spark.sparkContext.broadcast(model))
+    want = [sum(zlib.crc32(str(i).encode()) % 5 != 0 and i not in (1, 2, 3) and max(y, i == 0) == k for i, _, y in rows) for k in (0, 1)]
+    assert list(counts.sum(axis=(0, 2))) == want

@@ -5,8 +5,8 @@ and of its last 4. Filters one, two and three words wide run over the whole text
 keeps its greatest value, and a logistic layer weighs them. The first coordinate starts as
 the log-odds of the hashed piece between the classes; all weights are then trained by
 Adagrad on the mean log loss. A threshold per language, guessed from a text's function
-words, is calibrated on rows that training has not seen, and scores are shifted so that it
-becomes 0.5. Only the text is an input of a score.
+words, is calibrated on all labelled rows that training has not seen, and scores are
+shifted so that it becomes 0.5. Only the text is an input of a score.
 """
 
 from __future__ import annotations
@@ -23,6 +23,9 @@ from unievents.llm.common import WORD_BYTES, pick, rows_of, utf8
 
 BITS, DIM, WIDTHS, FILTERS = 17, 8, (1, 2, 3), 8
 _PARTS = 5
+# Bins of logits that rows are counted by; what is beyond the reach is in the end bins.
+_STEP, _REACH = 1 / 64, 256
+_BINS = int(2 * _REACH / _STEP)
 
 # Frequent function words by language.
 LANGUAGES = {
@@ -101,6 +104,7 @@ class Classifier:
             self.filters[k][:, 0, 0] = 1
             self.weights[k * FILTERS] = 0.5
         self.thresholds = np.zeros(len(_NAMES))
+        self.fitted = np.zeros((len(_NAMES), 2), np.int64)  # fitted rows by language and label
 
     def pooled(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray, where: bool = False):
         """Greatest value of every filter over each text, and its places. ``words``: vectors
@@ -151,6 +155,13 @@ def _log_odds(table: np.ndarray, pieces: np.ndarray, texts: list[np.ndarray], la
     table[0] = 0
 
 
+def _fit_and_rest(rows: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows are fitted, and which of the sample calibrate: a fifth, or all of few."""
+    order = rng.permutation(rows)
+    n_fit = max(2, rows * 4 // 5) if rows >= 50 else rows
+    return order[:n_fit], order[n_fit:] if n_fit < rows else order
+
+
 def train(texts: list[bytes], labels: list[int], epochs: int = 6, batch: int = 32, rate: float = 0.05,
           weight_of_zero: float = 1.0, seed: int = 8) -> Classifier:
     """Fit on four fifths of the rows and calibrate thresholds on the rest. With rows of one
@@ -163,9 +174,8 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 6, batch: int = 3
     ids = [vocabulary.ids(t) for t in texts]
     pieces, marks = vocabulary.tables()
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(ids))
-    n_fit = max(2, len(ids) * 4 // 5) if len(ids) >= 50 else len(ids)
-    fit, rest = order[:n_fit], order[n_fit:] if n_fit < len(ids) else order
+    fit, rest = _fit_and_rest(len(ids), rng)
+    np.add.at(model.fitted, ([_language(ids[i], marks) for i in fit], y[fit]), 1)
     _log_odds(model.table, pieces, [ids[i] for i in fit], y[fit])
     pieces = np.vstack((pieces, np.zeros((1, _PARTS), np.int32)))  # the zero word
     zero = len(pieces) - 1
@@ -230,13 +240,88 @@ def _threshold(logits: np.ndarray, y: np.ndarray, weight_of_zero: float) -> floa
     return float((logits[order[best]] + low) / 2)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int, max_bytes: int = 1 << 17) -> tuple[list, list, float]:
-    """Texts and labels of at most ``per_label`` rows a label whose crc32(id as text) mod 5
+def _bins(logits: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor((logits.astype(np.float64) + _REACH) / _STEP), 0, _BINS - 1).astype(np.int32)
+
+
+def _binned_threshold(counts: np.ndarray, weight_of_zero: float) -> float:
+    """``_threshold`` of rows counted by (label, bin)."""
+    used = np.flatnonzero(counts.any(axis=0))[::-1]
+    hits = np.cumsum(counts[1, used])
+    f1 = 2 * hits / (hits + np.cumsum(counts[0, used]) * weight_of_zero + max(1, counts[1].sum()))
+    best = int(f1.argmax())
+    low = used[best + 1] + 1 if best + 1 < len(used) else used[best] - 2 / _STEP
+    return float((used[best] + low) / 2 * _STEP - _REACH)
+
+
+def calibrate(model: Classifier, counts: np.ndarray) -> None:
+    """Thresholds from rows counted by (language, label, bin), none of them fitted. A row of
+    label 0 weighs what makes up for the fitted rows, which are more of the rarer label.
+    Languages with fewer than 10 rows of either label get the threshold of all rows; without
+    rows of both labels the thresholds stay."""
+    seen = counts.sum(axis=2)
+    if seen.sum(axis=0).min() == 0:
+        return
+
+    def best(own: np.ndarray, fitted: np.ndarray) -> float:
+        zero, one = (fitted + own.sum(axis=1)) / own.sum(axis=1)
+        return _binned_threshold(own, zero / one)
+
+    model.thresholds[:] = best(counts.sum(axis=0), model.fitted.sum(axis=0))
+    for k in np.flatnonzero(seen.min(axis=1) >= 10):
+        model.thresholds[k] = best(counts[k], model.fitted[k])
+
+
+def _known(labels: DataFrame) -> DataFrame:
+    """The label of each id that may teach; 1 if one of several labels is 1."""
+    return (labels.where("id is not null and label in (0, 1) and crc32(cast(id as string)) % 5 != 0")
+            .groupBy("id").agg(F.max("label").cast("int").alias("label")))
+
+
+def _judged(batches: Iterator[pa.RecordBatch], model: Classifier, text_at: int):
+    """Batches with the logits and guessed languages of their texts."""
+    vocabulary = Vocabulary()
+    vectors, languages = np.zeros((1, DIM), np.float32), np.zeros(0, np.uint8)
+    for batch in rows_of(batches, 1 << 20):
+        if vocabulary.full():
+            vocabulary.clear()
+            vectors, languages = np.zeros((1, DIM), np.float32), np.zeros(0, np.uint8)
+        ids = [vocabulary.ids(t) for t in utf8(batch.column(text_at))]
+        pieces, new = vocabulary.tables(len(languages))
+        if len(new):
+            vectors = np.concatenate((vectors[:-1], model.table[pieces].sum(axis=1), vectors[-1:]))
+            languages = np.concatenate((languages, new))
+        yield batch, model.logits(vectors, ids), np.array([_language(t, languages) for t in ids], int)
+
+
+def labelled_counts(docs: DataFrame, labels: DataFrame, fitted: list, shared) -> np.ndarray:
+    """Rows by (language, label, bin of the logit) of all documents, of any length, that have
+    a label, are not held out and whose id is not in ``fitted``. Only ids, languages and bins
+    are shuffled; at most languages x 2 x _BINS counts reach the driver."""
+    kind = docs.schema["id"].dataType
+    others = _known(labels).join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in fitted], f"id {kind.simpleString()}")),
+                                 "id", "left_anti")
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch, logits, languages in _judged(batches, shared.value, 1):
+            yield pa.record_batch([batch.column(0), pa.array(languages.astype(np.int32)), pa.array(_bins(logits))],
+                                  names=["id", "language", "bin"])
+
+    judged = (docs.where("id is not null and crc32(cast(id as string)) % 5 != 0").select("id", "text")
+              .mapInArrow(run, f"id {kind.simpleString()}, language int, bin int"))
+    counts = np.zeros((len(_NAMES), 2, _BINS), np.int64)
+    for r in judged.join(others, "id").groupBy("language", "label", "bin").count().collect():
+        counts[r["language"], r["label"], r["bin"]] = r["count"]
+    return counts
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int,
+                    max_bytes: int = 1 << 17) -> tuple[list, list, list, float]:
+    """Ids, texts and labels of at most ``per_label`` rows a label whose crc32(id as text) mod 5
     is not 0, those with the smallest hash of the id, and the weight of a row of label 0.
-    Texts over ``max_bytes`` are left out (of the sample, not of scoring), which bounds
+    Texts over ``max_bytes`` are left out (of the sample, not of calibration or scoring), which bounds
     what the driver holds. An id with several labels counts as 1 if one of them is 1."""
-    known = (labels.where("id is not null and label in (0, 1) and crc32(cast(id as string)) % 5 != 0")
-             .groupBy("id").agg(F.max("label").cast("int").alias("label")))
+    known = _known(labels)
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     chosen = [known.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(per_label) for k in (0, 1)]
     rows = (docs.where(F.octet_length("text") <= max_bytes)
@@ -245,7 +330,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int, max_byte
             .orderBy("id").collect())
     used = [min(counts.get(k, 0), per_label) or 1 for k in (0, 1)]
     weight = (counts.get(0, 0) / used[0]) / max(1e-9, counts.get(1, 0) / used[1])
-    return [r["text"].encode() for r in rows], [r["label"] for r in rows], weight or 1.0
+    return [r["id"] for r in rows], [r["text"].encode() for r in rows], [r["label"] for r in rows], weight or 1.0
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -256,28 +341,25 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     held_out: crc32 of the id as text mod 5 is 0 (false for a null id); such rows teach
     nothing. Null and empty texts have no words and get the score of a text without any.
     Repeated rows get equal scores. Without rows of both labels every row is predicted 0.
-    No rows give no rows. The model is trained on the driver on ``2 * per_label`` rows at
-    most, and is broadcast (4 MB); texts are scored whole.
+    No rows give no rows. The weights are fitted on the driver on ``2 * per_label`` rows at
+    most, and are broadcast (4 MB); the thresholds come from all other labelled rows that are
+    not held out, or from the fitted ones where there are no others. Texts are scored whole.
     """
     names = docs.columns
     plain = pick(docs, id=id_col, text=text_col)
     marks = pick(labels, id=label_id_col, label=label_col)
-    texts, y, weight = labelled_sample(plain, marks, per_label)
-    shared = docs.sparkSession.sparkContext.broadcast(train(texts, y, weight_of_zero=weight))
+    ids, texts, y, weight = labelled_sample(plain, marks, per_label)
+    model, context = train(texts, y, weight_of_zero=weight), docs.sparkSession.sparkContext
+    if len(set(y)) == 2:
+        fit, _ = _fit_and_rest(len(ids), np.random.default_rng(8))
+        weights = context.broadcast(model)
+        calibrate(model, labelled_counts(plain, marks, [ids[i] for i in fit], weights))
+        weights.unpersist()
+    shared = context.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        model, vocabulary = shared.value, Vocabulary()
-        vectors, languages = np.zeros((1, DIM), np.float32), np.zeros(0, np.uint8)
-        for batch in rows_of(batches, 1 << 20):
-            if vocabulary.full():
-                vocabulary.clear()
-                vectors, languages = np.zeros((1, DIM), np.float32), np.zeros(0, np.uint8)
-            ids = [vocabulary.ids(t) for t in utf8(batch.column(text_at))]
-            pieces, new = vocabulary.tables(len(languages))
-            if len(new):
-                vectors = np.concatenate((vectors[:-1], model.table[pieces].sum(axis=1), vectors[-1:]))
-                languages = np.concatenate((languages, new))
-            scores = model.scores(model.logits(vectors, ids), np.array([_language(t, languages) for t in ids], int))
+        for batch, logits, languages in _judged(batches, shared.value, text_at):
+            scores = shared.value.scores(logits, languages)
             yield pa.record_batch([*batch.columns, pa.array(scores.astype(np.float64)),
                                    pa.array((scores >= 0.5).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 
