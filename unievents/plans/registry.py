@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..sources import tables as T
 from .oracle import key as key_sql
+from .oracle import trim_ws as trim_sql
 from .oracle import with_ctes
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -207,6 +208,35 @@ def r3_events_for_subject(spark, sf_dir):
     return events_for_subject(d.ev, d.ec, d.sub, d.cat, keys).select("lookup", "event_id", "rank")
 
 
+@register("r3_events_for_lookups", with_ctes(
+    """SELECT h.lookup, h.event_id, CAST(row_number() OVER (PARTITION BY h.lookup
+               ORDER BY e.date DESC, e.time DESC, e.event_id) AS BIGINT) AS rank
+       FROM hits h JOIN event e ON h.event_id = e.event_id""",
+    "subject", "category", "ec_key", "event",
+    extra=[("asked", """SELECT DISTINCT CASE WHEN e.user_id % 2 = 0 THEN e.user_id * 17 END AS subject_id,
+                            CASE WHEN e.user_id % 2 = 1 THEN concat('  ', upper(coalesce(s.name, concat('no subject ',
+                                 CAST(e.user_id AS VARCHAR)))), ' ') END AS subject_name
+                        FROM events e LEFT JOIN subject s ON s.subject_id = e.user_id * 17"""),
+           ("lookups", f"""SELECT CAST(a.subject_id AS VARCHAR) AS lookup, a.subject_id
+                           FROM asked a JOIN subject s ON s.subject_id = a.subject_id
+                           UNION ALL SELECT a.subject_name, min(s.subject_id)
+                           FROM asked a JOIN subject s ON lower(s.name) = lower({trim_sql('a.subject_name')}) GROUP BY 1"""),
+           ("hits", f"""SELECT DISTINCT l.lookup, k.event_id FROM lookups l
+                       JOIN subject s ON l.subject_id = s.subject_id
+                       JOIN category c ON s.category_id = c.category_id
+                       JOIN ec_key k ON {key_sql('c.name')} = k.category_key""")]))
+def r3_events_for_lookups(spark, sf_dir):
+    from .recommend import events_for_subject
+    d = Domain(spark, sf_dir)
+    e = d.table("events").select("user_id", (F.col("user_id") * 17).alias("subject_id"))
+    by_id = F.col("user_id") % 2 == 0
+    name = F.coalesce("name", F.concat(F.lit("no subject "), F.col("user_id").cast("string")))
+    asked = e.join(d.sub.select("subject_id", "name"), "subject_id", "left").select(
+        F.when(by_id, F.col("subject_id")).alias("subject_id"),
+        F.when(~by_id, F.concat(F.lit("  "), F.upper(name), F.lit(" "))).alias("subject_name")).distinct()
+    return events_for_subject(d.ev, d.ec, d.sub, d.cat, asked).select("lookup", "event_id", "rank")
+
+
 @register("r2_recommend_summary", with_ctes(
     """SELECT st.student_id,
               CASE WHEN f.has_rated THEN 'matched-only' ELSE 'default' END AS mode,
