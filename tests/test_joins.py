@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from unievents.operators.joins import attach_ratings, check_refs, resolve_names, split_new
+from unievents.operators.joins import attach_ratings, check_refs, resolve_names, split_new, subject_interests
+from unievents.plans.listing import requested_student_subjects, student_subjects
 
 
 def test_refs_and_new_keys(spark):
@@ -25,3 +26,19 @@ def test_name_joins(spark):
                                     "student_id int, name string, interest int, pos int")
     got = {r.pos: r.interest for r in attach_ratings(names.withColumn("student_id", F.lit(7)), ratings).collect()}
     assert got == {0: 5, 1: 0, 2: 0}  # exact name only; the last duplicate rating wins
+
+
+def test_student_subject_requests(spark):
+    """Each request has its row of the student's whole list; no list of ids is collected."""
+    sub = spark.createDataFrame([(1, "b", 7), (2, "a", None), (3, "c", 7), (4, "a", 8)], "subject_id long, name string, category_id long")
+    cat = spark.createDataFrame([(7, "IT")], "category_id long, name string")
+    ss = spark.createDataFrame([(k, k % 4 + 1, k % 5 + 1) for k in range(40)], "student_id long, subject_id long, interest int")
+    students = spark.createDataFrame([(k % 45,) for k in range(90)] + [(None,)], "student_id long")
+    whole = {(r.student_id, r.subject_id): r for r in student_subjects(sub, cat, ss, students).collect()}
+    assert len(whole) == 45 * 4 and [whole[44, k].position for k in (2, 4, 1, 3)] == [1, 2, 3, 4]
+    asked = [(k, k % 6) for k in range(45)] * 2 + [(None, 1), (3, None)]
+    got = requested_student_subjects(sub, cat, ss, spark.createDataFrame(asked, "student_id long, subject_id long")).collect()
+    assert sorted((r.student_id, r.subject_id) for r in got) == sorted({(k, s) for k, s in asked if k is not None and s in (1, 2, 3, 4)})
+    assert all(r == whole[r.student_id, r.subject_id] for r in got)
+    assert whole[8, 1].interest == 4 and whole[8, 1].category_name == "IT" and whole[8, 2].interest is None
+    assert "collect_set" not in subject_interests(sub, ss, students)._jdf.queryExecution().toString()

@@ -23,10 +23,16 @@ def subject_interests(sub: DataFrame, ss: DataFrame, students: DataFrame) -> Dat
     """Every subject with the interest of each student of a request batch (student_id;
     NULL interest if unrated or unlinked).
 
-    The answer is batch x subjects by definition, so the batch is what bounds it: its ids
-    are one array, the subject table is scanned once and LEFT JOINed with their rows."""
-    asked = students.agg(F.sort_array(F.collect_set("student_id"))).scalar()
-    rows = sub.withColumn("student_id", F.explode(asked))
+    The answer is batch x subjects by definition, so the batch is what bounds it. Where
+    single subjects are asked for, ``requested_interests`` grows with the requests only."""
+    rows = sub.crossJoin(students.select("student_id").where("student_id is not null").distinct())
+    return rows.join(ss.select("student_id", "subject_id", "interest"), ["student_id", "subject_id"], "left")
+
+
+def requested_interests(sub: DataFrame, ss: DataFrame, requests: DataFrame) -> DataFrame:
+    """J2 for requests (student_id, subject_id): the asked subjects with the student's
+    interest; repeated requests are one row, those with a null or an unknown subject none."""
+    rows = requests.select("student_id", "subject_id").where("student_id is not null").distinct().join(sub, "subject_id")
     return rows.join(ss.select("student_id", "subject_id", "interest"), ["student_id", "subject_id"], "left")
 
 

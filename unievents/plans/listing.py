@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.standardize import interest_label
 from ..operators.filters import filter_events
-from ..operators.joins import subject_interests, subjects_with_category
+from ..operators.joins import requested_interests, subject_interests, subjects_with_category
 from ..operators.ordering import newest_first_keys, rank_two_level, soonest_first_keys
 from ..operators.shaping import event_rows
+from ..operators.writes import assign_ids
 
 
 def _with_total(df: DataFrame) -> DataFrame:
@@ -38,13 +39,26 @@ def filtered_events(ev: DataFrame, ec: DataFrame, **bounds) -> DataFrame:
 
 def student_subjects(sub: DataFrame, cat: DataFrame, ss: DataFrame, students: DataFrame) -> DataFrame:
     """Per student of a request batch all subjects with the student's interest, its
-    label (D6), category (J1), the position by name (S3), and the total. Positions are
-    counted per first letters of the name and within them."""
-    rows = subject_interests(subjects_with_category(sub, cat), ss, students)
-    out = rows.select("student_id", "subject_id", "name", "category_id", "category_name", "interest",
-                      interest_label(F.col("interest")).alias("interest_description"), F.substring("name", 1, 12).alias("_letters"))
-    ranked = rank_two_level(out, ["student_id"], [("_letters", False)], [F.col("name").asc(), F.col("subject_id").asc()], "position")
-    return ranked.drop("_letters").withColumn("total_subjects", sub.agg(F.count(F.lit(1))).scalar())
+    label (D6), category (J1), the position by name (S3), and the total."""
+    return _subject_rows(subject_interests(_placed_subjects(sub, cat), ss, students), sub)
+
+
+def requested_student_subjects(sub: DataFrame, cat: DataFrame, ss: DataFrame, requests: DataFrame) -> DataFrame:
+    """R7 for requests (student_id, subject_id): the rows of ``student_subjects`` that are
+    asked for, with their positions in the student's whole list. Work and answer grow with
+    the requests and the tables, not with students x subjects."""
+    return _subject_rows(requested_interests(_placed_subjects(sub, cat), ss, requests), sub)
+
+
+def _placed_subjects(sub: DataFrame, cat: DataFrame) -> DataFrame:
+    """Subjects with category and position by name, which is the same for every student."""
+    return assign_ids(subjects_with_category(sub, cat), ["name", "subject_id"], "position", 0)
+
+
+def _subject_rows(rows: DataFrame, sub: DataFrame) -> DataFrame:
+    return rows.select("student_id", "subject_id", "name", "category_id", "category_name", "interest",
+                       interest_label(F.col("interest")).alias("interest_description"), "position") \
+        .withColumn("total_subjects", sub.agg(F.count(F.lit(1))).scalar())
 
 
 EVENT_NOT_FOUND = "Event not found"

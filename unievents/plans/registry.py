@@ -178,6 +178,30 @@ def r7_student_subjects(spark, sf_dir):
     return student_subjects(d.sub, d.cat, d.ss, asked)
 
 
+@register("r7_student_subject_requests", with_ctes(
+    f"""SELECT q.student_id, s.subject_id, s.name, s.category_id, s.category_name, m.interest,
+           {INTEREST_LABEL_SQL.format(x='m.interest')} AS interest_description,
+           (SELECT count(*) FROM subject) AS total_subjects, s.position
+    FROM asked q JOIN listed s ON q.subject_id = s.subject_id
+    LEFT JOIN student_subject m ON s.subject_id = m.subject_id AND q.student_id = m.student_id""",
+    "subject", "category", "student_subject",
+    extra=[("asked", """SELECT o_custkey AS student_id, l_partkey AS subject_id FROM events
+                        JOIN orders ON event_id = o_orderkey JOIN lineitem ON o_orderkey = l_orderkey
+                        UNION SELECT user_id, event_id FROM events"""),
+           ("listed", """SELECT s.subject_id, s.name, s.category_id, c.name AS category_name,
+                                row_number() OVER (ORDER BY s.name, s.subject_id) AS position
+                         FROM subject s LEFT JOIN category c ON s.category_id = c.category_id""")]))
+def r7_student_subject_requests(spark, sf_dir):
+    from .listing import requested_student_subjects
+    d = Domain(spark, sf_dir)
+    e = d.table("events").select("user_id", "event_id")
+    orders = d.table("orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_custkey").alias("student_id"))
+    lines = d.table("lineitem").select(F.col("l_orderkey").alias("event_id"), F.col("l_partkey").alias("subject_id"))
+    own = e.select("event_id").join(orders, "event_id").join(lines, "event_id").select("student_id", "subject_id")
+    asked = own.unionAll(e.select("user_id", "event_id"))  # the second: mostly unrated or unknown
+    return requested_student_subjects(d.sub, d.cat, d.ss, asked)
+
+
 R3_LOOKUPS = [("subject_id", 3), ("subject_name", "  RED WIDGET 1 "), ("subject_name", "small ring 0")]
 _R3_LOOKUP_SQL = """
     SELECT CAST(3 AS VARCHAR) AS lookup, subject_id FROM subject WHERE subject_id = 3
