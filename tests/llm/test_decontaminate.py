@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from unievents.llm import decontaminate as D
 
 from . import brute
@@ -60,3 +62,15 @@ def test_empty(spark, no_docs):
     docs = spark.createDataFrame([(1, "one two three four five six")], "doc_id bigint, text string")
     assert D.find_leaks(docs, items.limit(0)).count() == 0
     assert D.find_leaks(docs, items).count() == 1
+
+
+def test_items_of_one_or_two_shingles_are_never_missed(monkeypatch):
+    """Even with a single permutation, where a window names few of the items that it holds."""
+    monkeypatch.setattr(D, "PERMUTATIONS", 1)
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    items = [(k, " ".join(word() for _ in range(k % 6 + 1))) for k in range(300)] + [(300, "aa " * 9), (301, ""), (302, "w" + " w" * 4)]
+    text = " ".join(t + " " + " ".join(word() for _ in range(20)) for _, t in items)
+    index, memo = D.ItemIndex(items, 5), D._WordIds()
+    found = index.candidates([D._word_ids(b"nothing of them", memo), D._word_ids(text.encode(), memo), np.zeros(0, np.uint64)])
+    assert {(d, index.ids[i]) for d, i in found} == {(1, k) for k, t in items if t}

@@ -4,8 +4,9 @@ Test items are partitioned by their number of shingles into classes (h/2, h]. Fo
 class a document is a row of windows of 2h shingles, h apart, so that a passage of an item
 lies within one of them whatever the document's length. A window that holds four fifths
 of an item's shingles has a Jaccard similarity of at least 0.19 to it; of ``PERMUTATIONS``
-minima at least one agrees but for 0.81 ** 48 = 4e-5. Windows that share a minimum with an
-item only name candidates: the share of the item's different shingles that the whole
+minima at least one agrees but for 0.81 ** 48 = 4e-5. Items of one or two shingles are too
+small a part of a window for that; their shingles are looked up one by one, so none is
+missed. Windows that share a minimum with an item only name candidates: the share of the item's different shingles that the whole
 document holds is then counted exactly.
 """
 
@@ -22,6 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from unievents.llm.common import WORD_BYTES, pick, rows_of, utf8
 
 PERMUTATIONS = 48
+SHORT = 2  # items of so many shingles at most are looked up by each shingle
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -79,13 +81,35 @@ def _permutations() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, PERMUTATIONS, np.uint64)
 
 
+def _lookup(values: np.ndarray, rows: np.ndarray) -> tuple:
+    """Values in order, the row of each, and which first 16 bits occur."""
+    order = np.argsort(values, kind="stable")
+    mask = np.zeros(1 << 16, bool)
+    mask[(values >> np.uint64(48)).astype(np.int64)] = True
+    return values[order], rows[order], mask
+
+
+def _maybe(lookup: tuple, wanted: np.ndarray) -> np.ndarray:
+    return lookup[2][(wanted >> np.uint64(48)).astype(np.int64)]
+
+
+def _rows_at(lookup: tuple, wanted: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(place in ``wanted``, row) of all rows with a wanted value."""
+    values, rows, _ = lookup
+    lo, hi = np.searchsorted(values, wanted, "left"), np.searchsorted(values, wanted, "right")
+    for at in np.flatnonzero(hi > lo):
+        yield from ((at, int(row)) for row in rows[lo[at]:hi[at]])
+
+
 class ItemIndex:
-    """The test items of one block: exact shingles, and minima by shingle length and class."""
+    """The test items of one block: exact shingles, and by shingle length the minima of each
+    class and the shingles of short items."""
 
     def __init__(self, items: list[tuple], shingle: int):
         memo = _WordIds()
         self.ids, self.exact, self.sizes = [], [], []
         found: dict[int, dict[int, list[int]]] = {}
+        short: dict[int, list[int]] = {}
         for item_id, text in items:
             data = (text or "").encode()
             size = min(shingle, len(data.translate(WORD_BYTES).split()))
@@ -95,34 +119,45 @@ class ItemIndex:
             self.ids.append(item_id)
             self.exact.append(set(_shingles(data, size)))
             self.sizes.append(size)
+            if len(self.exact[-1]) <= SHORT:
+                short.setdefault(size, []).append(row)
+                continue
             top = 1 << max(2, (len(self.exact[-1]) - 1).bit_length())
             found.setdefault(size, {}).setdefault(top, []).append(row)
         scale, shift = _permutations()
+        self.short: dict[int, tuple] = {}
+        for size, rows in short.items():
+            parts = [self._shingles(r, memo) for r in rows]
+            self.short[size] = _lookup(np.concatenate(parts), np.repeat(rows, [len(p) for p in parts]))
         self.classes: dict[int, list] = {}
         for size, tops in sorted(found.items()):
             for top, rows in sorted(tops.items()):
                 lookups = []
                 for a, b in zip(scale, shift):
                     least = np.array([min(int(x) for x in self._shingles(r, memo) * a + b) for r in rows], np.uint64)
-                    order = np.argsort(least, kind="stable")
-                    mask = np.zeros(1 << 16, bool)
-                    mask[(least >> np.uint64(48)).astype(np.int64)] = True
-                    lookups.append((least[order], np.array(rows)[order], mask))
+                    lookups.append(_lookup(least, np.array(rows)))
                 self.classes.setdefault(size, []).append((top, lookups))
 
     def _shingles(self, row: int, memo: _WordIds) -> np.ndarray:
         return np.concatenate([_shingle_ids(_word_ids(s, memo), self.sizes[row]) for s in sorted(self.exact[row])])
 
     def candidates(self, docs: list[np.ndarray]) -> set[tuple[int, int]]:
-        """(document, item) pairs that share a minimum in a window; documents by word ids."""
+        """(document, item) pairs that share a minimum in a window, or any shingle with a
+        short item; documents by word ids."""
         scale, shift = _permutations()
         out: set[tuple[int, int]] = set()
-        for size, classes in self.classes.items():
+        for size in sorted({*self.classes, *self.short}):
+            classes = self.classes.get(size, [])
             parts = [_shingle_ids(ids, size) for ids in docs]
             lengths = np.array([len(p) for p in parts])
             if not lengths.sum():
                 continue
             flat = np.concatenate(parts)
+            if size in self.short:
+                owner = np.repeat(np.arange(len(docs)), lengths)
+                some = np.flatnonzero(_maybe(self.short[size], flat))
+                seen = np.unique(np.column_stack((owner[some].astype(np.uint64), flat[some])), axis=0)
+                out.update((int(seen[at, 0]), row) for at, row in _rows_at(self.short[size], seen[:, 1]))
             blocks = []  # per class: starts among the blocks of the class before, block owners
             starts = None
             for top, _ in classes:
@@ -138,11 +173,8 @@ class ItemIndex:
                     window = least.copy()  # and with the next block of the same document
                     same = owner[:-1] == owner[1:]
                     window[:-1][same] = np.minimum(least[:-1][same], least[1:][same])
-                    values, rows, mask = lookups[k]
-                    some = np.flatnonzero(mask[(window >> np.uint64(48)).astype(np.int64)])
-                    lo, hi = np.searchsorted(values, window[some], "left"), np.searchsorted(values, window[some], "right")
-                    for w, i, j in zip(some[hi > lo], lo[hi > lo], hi[hi > lo]):
-                        out.update((int(owner[w]), int(r)) for r in rows[i:j])
+                    some = np.flatnonzero(_maybe(lookups[k], window))
+                    out.update((int(owner[some[at]]), row) for at, row in _rows_at(lookups[k], window[some]))
         return out
 
 
