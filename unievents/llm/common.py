@@ -72,3 +72,13 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa
                 last = tuple(columns[lo])
     if held:
         yield pa.Table.from_batches(held)
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """(key, slice) for each run of equal ``keys`` (integers) within a batch."""
+    for batch in batches:
+        columns = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in keys])
+        cuts = np.flatnonzero((columns[1:] != columns[:-1]).any(axis=1)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(columns)]):
+            if hi > lo:
+                yield tuple(columns[lo].tolist()), batch.slice(lo, hi - lo)

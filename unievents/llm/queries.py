@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from unievents.llm.common import load
 from unievents.llm.decontaminate import find_leaks
 from unievents.llm.embedding_dedup import embedding_dedup
+from unievents.llm.hard_negatives import mine_hard_negatives
 from unievents.llm.licenses import BASE, PASSAGES, scan_licenses
 from unievents.llm.line_dedup import dedup_lines
 from unievents.llm.packing import pack_documents
@@ -18,6 +19,7 @@ from unievents.llm.token_counts import count_tokens
 from unievents.llm.toxicity import score_toxicity
 from unievents.llm.url_filter import judge_urls
 from unievents.llm.warc_audit import archive, audit
+from unievents.llm.whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -84,6 +86,17 @@ def op10_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("record_id").alias("page_id"), "status", "length", "digest", "copy_length", "copy_digest")
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on the 16 leading components, with unit variance."""
+    return whiten(load(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth embedding; every seventh has its label moved on."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(load(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
 QUERIES: dict[str, Query] = {
     "op1_license_scans": op1_license_scans,
     "op2_line_dedup": op2_line_dedup,
@@ -95,6 +108,8 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_warc_audit": op10_warc_audit,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -205,4 +220,23 @@ ORACLE: dict[str, str] = {
         SELECT page_id, CASE WHEN damaged IS NULL THEN 'missing' ELSE 'changed' END AS status,
                strlen(record) AS length, sha256(record) AS digest, strlen(damaged) AS copy_length, sha256(damaged) AS copy_digest
         FROM whole WHERE damaged IS NULL OR damaged <> record""",
+    "op13_hard_negatives": """
+        WITH rows_ AS (
+            SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+        scored AS (
+            SELECT a.r, a.vec_id AS anchor_id, b.r AS other, b.vec_id AS other_id, a.label = b.label AS same,
+                   list_inner_product(a.x, b.x)::BIGINT AS score
+            FROM rows_ a JOIN rows_ b ON a.vec_id % 100 = 0 AND a.r <> b.r AND len(a.x) = len(b.x)),
+        positives AS (
+            SELECT r, anchor_id, other AS p, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, other_id, other) <= 5),
+        windows AS (
+            SELECT p.anchor_id, p.positive_id, n.other_id AS negative_id, p.positive_score, n.score AS negative_score,
+                   row_number() OVER (PARTITION BY p.r, p.p ORDER BY n.score DESC, n.other_id, n.other) AS rank
+            FROM positives p JOIN scored n ON p.r = n.r AND NOT n.same
+             AND 80 * p.positive_score <= 100 * n.score AND 100 * n.score <= 100 * p.positive_score)
+        SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM windows WHERE rank <= 5""",
 }
