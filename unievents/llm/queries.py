@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unievents.llm.common import load
+from unievents.llm.context_tree import score_texts
 from unievents.llm.decontaminate import find_leaks
 from unievents.llm.embedding_dedup import embedding_dedup
 from unievents.llm.hard_negatives import mine_hard_negatives
@@ -86,6 +87,11 @@ def op10_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("record_id").alias("page_id"), "status", "length", "digest", "copy_length", "copy_digest")
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context-tree scores of all documents, learned from those not held out."""
+    return score_texts(load(spark, sf_dir, "documents"), held_out="crc32(cast(cast(id as string) as binary)) % 5 = 1").withColumnRenamed("id", "doc_id")
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings on the 16 leading components, with unit variance."""
     return whiten(load(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
@@ -108,6 +114,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_warc_audit": op10_warc_audit,
+    "op11_lm_scoring": op11_lm_scoring,
     "op12_embedding_whitening": op12_embedding_whitening,
     "op13_hard_negatives": op13_hard_negatives,
 }
