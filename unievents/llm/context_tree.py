@@ -6,15 +6,15 @@ context (the last 0 to ``depth`` bytes) a Krichevsky-Trofimov estimate speaks fo
 and a context's weighted probability is half its own estimate and half the product of its
 children's. What the trained tree gives for the next bit mixes the estimates of all depths.
 
-Counts, weights and mixtures are Spark tables that grow with the corpus. Texts are held in
-chunks with the set of byte strings (context and byte) that occur in them, so that only
-these sets, and each text once, are shuffled.
+Counts and scores are Spark tables of grams (context and byte) that grow with the corpus.
+The deepest levels of a tree are worked out per ``top`` byte context, of which a task holds
+a few at a time, the others by joins and sums over nodes. Texts are kept in chunks with the
+set of grams that occur in them, so that only these sets, and each text once, are shuffled.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,92 +29,237 @@ PAD = b"\xff"  # occurs in no UTF-8 text: stands before its first byte and for i
 SPACE = b" \t\n\v\f\r"
 
 
-# Trees ------------------------------------------------------------------------------------
+# Estimates, for columns and for arrays alike ----------------------------------------------
 
-def log_gamma(x: Column) -> Column:
+def log_gamma(x, log=F.log):
     """Logarithm of the gamma function for x >= 0.5, to 1e-12: Stirling's series at x + 8."""
-    y = x + F.lit(8.0)
-    inverse = F.lit(1.0) / y
+    y = x + 8.0
+    inverse = 1.0 / y
     square = inverse * inverse
-    series = inverse * (F.lit(1 / 12) - square * (F.lit(1 / 360) - square * (F.lit(1 / 1260) - square * (F.lit(1 / 1680) - square * F.lit(1 / 1188)))))
+    series = inverse * (1 / 12 - square * (1 / 360 - square * (1 / 1260 - square * (1 / 1680 - square * (1 / 1188)))))
     product = x
     for k in range(1, 8):
-        product = product * (x + F.lit(float(k)))
-    return (y - F.lit(0.5)) * F.log(y) - y + F.lit(0.5 * math.log(2 * math.pi)) + series - F.log(product)
+        product = product * (x + float(k))
+    return (y - 0.5) * log(y) - y + 0.5 * math.log(2 * math.pi) + series - log(product)
 
 
-def log_estimate(zeros: Column, ones: Column) -> Column:
+def log_estimate(zeros, ones, log=F.log):
     """Logarithm of the Krichevsky-Trofimov probability of a sequence of so many bits."""
-    a, b = zeros.cast("double"), ones.cast("double")
-    half = F.lit(0.5)
-    return log_gamma(a + half) + log_gamma(b + half) - log_gamma(a + b + F.lit(1.0)) - F.lit(math.log(math.pi))
-
-
-def bit_nodes(grams: DataFrame, *more: str) -> DataFrame:
-    """Eight rows for each gram (context bytes, then the byte): key (context, then the node
-    as a byte: a one, then the bits so far) and bit."""
-    k = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")
-    node = "shiftleft(1L, k) | shiftright(gram & 255L, 8 - k)"
-    return grams.select("gram", *more, k).select(
-        "gram", *more, F.expr(f"(gram & ~255L) | {node}").alias("key"), F.expr("shiftright(gram, 7 - k) & 1L").alias("bit"))
-
-
-def _parent(depth: int) -> Column:
-    """The key of the same node in the context without its first byte, ``depth`` bytes long."""
-    return F.col("key").bitwiseAND(F.lit((1 << 8 * (depth + 1)) - 1))
-
-
-def grow(grams: DataFrame, depth: int) -> list[DataFrame]:
-    """For each depth the nodes that training has seen (key, acc, rest, p): ``p`` is the
-    probability of a one where no longer context is known. Of the mixture, ``acc`` is what
-    depths up to this one have given and ``rest`` the weight left to longer contexts.
+    return log_gamma(zeros + 0.5, log) + log_gamma(ones + 0.5, log) - log_gamma(zeros + ones + 1.0, log) - math.log(math.pi)
+
+
+def _mask(depth: int) -> int:
+    """Of a gram or node key: the last ``depth`` bytes of its context, and the byte or node."""
+    return (1 << 8 * (depth + 1)) - 1
+
+
+# The deepest levels, in a task ------------------------------------------------------------
+
+def _runs(sorted_keys: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]]) if len(sorted_keys) else np.zeros(0, np.int64)
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = _runs(keys)
+    return keys[first], np.add.reduceat(n[order], first) if len(first) else n[:0]
+
+
+def node_keys(grams: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each of the eight bits: key (context, then the node as a byte: a one, then the
+    bits so far) and bit of each gram. Keys rise with the grams."""
+    context, byte = grams & ~255, grams & 255
+    for k in range(8):
+        yield context | 1 << k | byte >> 8 - k, byte >> 7 - k & 1
+
+
+def _nodes(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, zeros, ones) of all nodes of the rising grams, by key."""
+    parts = []
+    for key, bit in node_keys(grams):
+        first = _runs(key)
+        parts.append((key[first], *(np.add.reduceat(x, first) if len(first) else x for x in (n * (1 - bit), n * bit))))
+    key, zeros, ones = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(key)
+    return key[order], zeros[order], ones[order]
+
+
+def subtree(grams: np.ndarray, n: np.ndarray, depth: int, top: int) -> tuple[list[dict], dict]:
+    """The nodes of ``grams`` (rising, with all that share their last ``top`` context bytes)
+    at each depth below ``top``, deepest first, with ``stop``, the weight of a node's own
+    estimate; and the nodes at ``top`` with ``below``, what longer contexts give."""
+    levels, above = [], None
+    for d in range(depth, top - 1, -1):
+        if d < depth:
+            grams, n = _summed(grams & _mask(d), n)
+        key, zeros, ones = _nodes(grams, n)
+        below = None
+        if above is not None:
+            place = np.searchsorted(key, above["key"] & _mask(d))
+            below = np.bincount(place, above["weighted"], len(key)) if len(key) else np.zeros(0)
+        if d == top:
+            return levels, {"key": key, "zeros": zeros, "ones": ones, "below": below}
+        own = log_estimate(zeros.astype(float), ones.astype(float), np.log)
+        one = (ones + 0.5) / (zeros + ones + 1.0)
+        if below is None:
+            above = {"key": key, "one": one, "weighted": own, "stop": np.ones(len(key))}
+        else:
+            with np.errstate(over="ignore"):  # infinity gives the right 0
+                stop = 1 / (1 + np.exp(below - own))
+            above = {"key": key, "one": one, "weighted": np.logaddexp(own, below) - math.log(2), "stop": stop}
+        levels.append(above)
+    return levels, {}
+
+
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``wanted`` among the rising ``keys``, and which of them are there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    place = np.searchsorted(keys, wanted).clip(max=len(keys) - 1)
+    return place, keys[place] == wanted
+
+
+def subtree_scores(grams: np.ndarray, n: np.ndarray, nodes: dict[str, np.ndarray], depth: int, top: int) -> np.ndarray:
+    """log10 probability of each gram's last byte. ``nodes``: key, acc, rest and p at ``top``
+    for all nodes that the grams ask for, by key."""
+    trained = n > 0
+    levels, _ = subtree(grams[trained], n[trained], depth, top)
+    mixed = [(nodes["key"], nodes["p"])]
+    above = nodes
+    for d, level in zip(range(top + 1, depth + 1), reversed(levels)):
+        place, _ = _found(above["key"], level["key"] & _mask(d - 1))
+        left = above["rest"][place]
+        acc, rest = above["acc"][place] + left * level["stop"] * level["one"], left * (1 - level["stop"])
+        above = {"key": level["key"], "acc": acc, "rest": rest}
+        mixed.append((level["key"], acc + rest * level["one"]))
+    score = np.zeros(len(grams))
+    for key, bit in node_keys(grams):
+        p = np.full(len(grams), 0.5)
+        for d, (keys, values) in zip(range(top, depth + 1), mixed):
+            place, hit = _found(keys, key & _mask(d))
+            p[hit] = values[place[hit]]
+        score += np.log10(np.where(bit == 1, p, 1 - p))
+    return score
+
+
+def _groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 1 << 17) -> Iterator[pa.Table]:
+    """Tables of whole groups of ``key``, by which the batches are sorted, of about ``rows``
+    rows or one group."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+    for batch in batches:
+        keys = batch.column(key).to_numpy()
+        if count >= rows and len(keys):
+            cuts = np.flatnonzero(np.r_[keys[0] != held[-1].column(key)[-1].as_py(), keys[1:] != keys[:-1]])
+            if len(cuts):
+                held.append(batch.slice(0, cuts[0]))
+                yield pa.Table.from_batches(held)
+                held, count, batch = [], 0, batch.slice(cuts[0])
+        if batch.num_rows:
+            held.append(batch)
+            count += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+# All levels -------------------------------------------------------------------------------
+
+def gram_scores(grams: DataFrame, depth: int) -> DataFrame:
+    """(gram, score): log10 probability of the last byte of each of ``grams`` (gram, n: its
+    count in training) after the others. A node that training has not seen in a context is
+    read in the longest context where it was seen; one seen in none is a half.
+
+    All grams that share their last ``top`` context bytes meet in a task: at most 256 **
+    (depth - top) contexts, and 256 bytes after each, whatever the corpus.
+    """
+    top = depth if depth <= 3 else max(3, depth - 2)
+    root = F.col("gram").bitwiseAND(F.lit(_mask(top) & ~255)).alias("root")
+
+    def up(batches):
+        for table in _groups(batches, "root"):
+            gram, n = (table[k].to_numpy() for k in ("gram", "n"))
+            order = np.argsort(gram)
+            _, nodes = subtree(gram[order], n[order], depth, top)
+            for at in range(0, len(nodes["key"]), 1 << 16):
+                some = {k: v[at:at + (1 << 16)] if v is not None else None for k, v in nodes.items()}
+                below = pa.nulls(len(some["key"]), pa.float64()) if some["below"] is None else pa.array(some["below"])
+                yield pa.record_batch({"key": pa.array(some["key"]), "zeros": pa.array(some["zeros"]), "ones": pa.array(some["ones"]), "below": below})
+
+    dealt = grams.where("n > 0").select(root, "gram", "n").repartition("root").sortWithinPartitions("root")
+    found = dealt.mapInArrow(up, "key bigint, zeros bigint, ones bigint, below double")
+    tree = _upper_levels(found, depth, top)
+    asked = grams.select(F.col("gram").bitwiseAND(F.lit(_mask(top))).alias("gram")).distinct()
+    nodes = _known(asked.select(F.explode(F.array(*[
+        F.expr(f"(gram & ~255L) | {1 << k}L | shiftright(gram & 255L, {8 - k})") for k in range(8)])).alias("key")).distinct(), tree)
+    columns = ["root", "kind", "key", "n", "acc", "rest", "p"]
+    no = lambda c: F.lit(None).cast("double").alias(c)
+    both = (nodes.select(F.col("key").bitwiseAND(F.lit(~255)).alias("root"), F.lit(0).alias("kind"), "key", F.lit(0).cast("bigint").alias("n"), "acc", "rest", "p")
+            .union(grams.select(root, F.lit(1).alias("kind"), F.col("gram").alias("key"), "n", no("acc"), no("rest"), no("p"))).select(*columns))
+
+    def down(batches):
+        for table in _groups(batches, "root"):
+            kind, key = (table[k].to_numpy() for k in ("kind", "key"))
+            some = np.flatnonzero(kind == 0)
+            some = some[np.argsort(key[some])]
+            own = {k: table[k].to_numpy()[some] for k in ("key", "acc", "rest", "p")}
+            some = np.flatnonzero(kind == 1)
+            some = some[np.argsort(key[some])]
+            score = subtree_scores(key[some], table["n"].to_numpy()[some], own, depth, top)
+            for at in range(0, len(some), 1 << 16):
+                yield pa.record_batch({"gram": pa.array(key[some[at:at + (1 << 16)]]), "score": pa.array(score[at:at + (1 << 16)])})
+
+    return both.repartition("root").sortWithinPartitions("root").mapInArrow(down, "gram bigint, score double")
+
+
+def _shorter(depth: int) -> Column:
+    """The key of the same node in the last ``depth`` bytes of the context."""
+    return F.col("key").bitwiseAND(F.lit(_mask(depth)))
+
+
+def _upper_levels(found: DataFrame, depth: int, top: int) -> list[DataFrame]:
+    """For depths 0 to ``top`` the nodes that training has seen (key, acc, rest, p): ``p`` is
+    the probability of a one where no longer context is known; of the mixture, ``acc`` is
+    what depths up to this one give and ``rest`` the weight left to longer contexts.
 
     Weighted probabilities go up one byte at a time, a sum per (context, node) over at most
     256 longer contexts; mixtures come down the same way, a join per depth.
     """
-    found = bit_nodes(grams.where("n > 0"), "n").groupBy("key").agg(
-        F.sum(F.expr("n * (1 - bit)")).alias("zeros"), F.sum(F.expr("n * bit")).alias("ones"))
     levels: list[DataFrame] = []
-    for d in range(depth, -1, -1):
-        own = found.withColumn("own", log_estimate(F.col("zeros"), F.col("ones")))
+    for d in range(top, -1, -1):
+        own = found.withColumn("own", log_estimate(F.col("zeros").cast("double"), F.col("ones").cast("double")))
         if d == depth:
             level = own.withColumn("weighted", F.col("own")).withColumn("stop", F.lit(1.0))
         else:  # half and half; exp may overflow to infinity, which gives the right 0
             gap = F.col("below") - F.col("own")
-            level = (own.withColumn("weighted", F.greatest("own", "below") + F.log1p(F.exp(-F.abs(gap))) - F.lit(math.log(2)))
-                     .withColumn("stop", F.lit(1.0) / (F.lit(1.0) + F.exp(gap))))
+            level = (own.withColumn("weighted", F.greatest("own", "below") + F.log1p(F.exp(-F.abs(gap))) - math.log(2))
+                     .withColumn("stop", 1.0 / (F.exp(gap) + 1.0)))
         level = keep(level.select("key", "zeros", "ones", "weighted", "stop"), f"tree-{d}")
         levels.append(level)
-        found = level.groupBy(_parent(d - 1).alias("key")).agg(
+        found = level.groupBy(_shorter(d - 1).alias("key")).agg(
             F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("below")) if d else None
-    one = ((F.col("ones") + F.lit(0.5)) / (F.col("zeros") + F.col("ones") + F.lit(1.0))).alias("one")
+    one = ((F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1.0)).alias("one")
     out: list[DataFrame] = []
     for d, level in enumerate(reversed(levels)):
         if d:
             above = out[-1].select(F.col("key").alias("parent"), F.col("acc").alias("before"), F.col("rest").alias("left"))
-            here = level.select("key", "stop", one, _parent(d - 1).alias("parent")).join(above, "parent")
+            here = level.select("key", "stop", one, _shorter(d - 1).alias("parent")).join(above, "parent")
         else:
             here = level.select("key", "stop", one, F.lit(0.0).alias("before"), F.lit(1.0).alias("left"))
-        acc, rest = F.col("before") + F.col("left") * F.col("stop") * F.col("one"), F.col("left") * (F.lit(1.0) - F.col("stop"))
+        acc, rest = F.col("before") + F.col("left") * F.col("stop") * F.col("one"), F.col("left") * (1.0 - F.col("stop"))
         out.append(keep(here.select("key", acc.alias("acc"), rest.alias("rest"), (acc + rest * F.col("one")).alias("p")), f"mix-{d}"))
     return out
 
 
-def gram_scores(grams: DataFrame, tree: list[DataFrame]) -> DataFrame:
-    """(gram, score): log10 probability of the gram's last byte after the others. A node that
-    training has not seen in a context is read in the longest context where it was seen; one
-    seen in none is a half."""
-    def total(nodes: DataFrame, p: Column) -> DataFrame:
-        bit = F.when(F.col("bit") == 1, p).otherwise(F.lit(1.0) - p)
-        return nodes.groupBy("gram").agg(F.sum(F.log10(bit)).alias("score"))
-
-    seen = bit_nodes(grams.where("n > 0")).join(tree[-1].select("key", "p"), "key")
-    new = bit_nodes(grams.where("n = 0"))
-    for d in range(len(tree) - 1, -1, -1):
-        level = tree[d].select(F.col("key").alias(f"key{d}"), F.col("p").alias(f"p{d}"))
-        new = new.withColumn("short", _parent(d)).join(level, F.col("short") == F.col(f"key{d}"), "left").drop("short", f"key{d}")
-    longest = F.coalesce(*[F.col(f"p{d}") for d in range(len(tree) - 1, -1, -1)], F.lit(0.5))
-    return total(seen, F.col("p")).union(total(new, longest))
+def _known(asked: DataFrame, tree: list[DataFrame]) -> DataFrame:
+    """(key, acc, rest, p) for each asked key of the deepest of the levels; where training
+    has not seen it, p is that of the longest context where it has."""
+    top = len(tree) - 1
+    for d in range(top, -1, -1):
+        level = tree[d].select(F.col("key").alias("known"), F.col("p").alias(f"p{d}"), *(["acc", "rest"] if d == top else []))
+        asked = asked.withColumn("short", _shorter(d)).join(level, F.col("short") == F.col("known"), "left").drop("short", "known")
+    p = F.coalesce(*[F.col(f"p{d}") for d in range(top, -1, -1)], F.lit(0.5))
+    return asked.select("key", F.coalesce("acc", F.lit(0.0)).alias("acc"), F.coalesce("rest", F.lit(0.0)).alias("rest"), p.alias("p"))
 
 
 # Texts ------------------------------------------------------------------------------------
@@ -140,194 +285,193 @@ def windows(rows: list[tuple[bytes, bytes, bool]], depth: int) -> tuple[np.ndarr
     parts = [before + piece + (PAD if last else b"") for before, piece, last in rows]
     data = np.frombuffer(b"".join(parts) + PAD * depth, np.uint8)
     n = len(data) - depth
-    grams = data[:n].astype(np.int64)
+    grams = data[:n].astype(np.uint64)
     for k in range(1, depth + 1):
-        grams <<= 8
+        grams <<= np.uint64(8)
         grams |= data[k:n + k]
     ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
     starts = ends - [len(p) for p in parts]
     return grams, starts, ends - depth
 
 
-def _encoded(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct grams and, for each place, the index of its own."""
-    found = pa.array(grams).dictionary_encode()
-    return found.dictionary.to_numpy(), found.indices.to_numpy()
-
-
-def _merged(found: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
-    if len(found) < 2:
-        return found
-    grams, n = (np.concatenate(x) for x in zip(*found))
-    order = np.argsort(grams)
-    grams, n = grams[order], n[order]
-    first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
-    return [(grams[first], np.add.reduceat(n, first))]
+def _places(starts: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The row of each of ``n`` places, and whether it is one of the row's own."""
+    bounds = np.column_stack((starts, ends)).ravel()
+    lengths = np.diff(np.r_[bounds, n])
+    return (np.repeat(np.arange(len(starts)), lengths[::2] + lengths[1::2]),
+            np.repeat(np.tile([True, False], len(starts)), lengths))
 
 
 class Chunk:
     """The different grams and words of some texts and how often training texts hold them."""
 
     def __init__(self, depth: int):
-        self.depth, self.rows, self.held, self.waiting, self.bytes = depth, [], [], 0, 0
+        self.depth, self.rows, self.waiting, self.bytes = depth, {False: [], True: []}, 0, 0
         self.grams: list[tuple[np.ndarray, np.ndarray]] = []
-        self.words: Counter = Counter()
-        self.new: set[bytes] = set()
+        self.words: list[pa.Table] = []
 
     def add(self, row: tuple[bytes, bytes, bool], held: bool) -> None:
-        self.rows.append(row)
-        self.held.append(held)
-        self.waiting += len(row[1])
+        self.rows[held].append(row)
+        self.waiting += len(row[1]) + 64
         self.bytes += len(row[1]) + 64
-        if held:
-            self.new.update(row[1].split())
-        else:
-            self.words.update(row[1].split())
-        if self.waiting > 4 << 20:
+        if self.waiting > 1 << 20:
             self.count()
 
     def count(self) -> None:
-        if not self.rows:
-            return
-        grams, starts, ends = windows(self.rows, self.depth)
-        weight = np.full(len(grams), -1, np.int8)
-        for a, b, held in zip(starts.tolist(), ends.tolist(), self.held):
-            weight[a:b] = not held
-        own = weight >= 0
-        found, index = _encoded(grams[own])
-        if len(found):
-            self.grams.append((found, np.bincount(index, weight[own], len(found)).astype(np.int64)))
-        if sum(len(g) for g, _ in self.grams) > 4 << 20:
-            self.grams = _merged(self.grams)
-        self.rows, self.held, self.waiting = [], [], 0
-
-    def full(self, limit: int) -> bool:
-        return self.bytes >= limit or sum(len(g) for g, _ in self.grams) >= limit // 8
-
-    def tables(self) -> Iterator[dict]:
-        """Columns of the vocabulary, in parts."""
+        for held, rows in self.rows.items():
+            if rows:
+                grams, starts, ends = windows(rows, self.depth)
+                grams = np.sort(grams[_places(starts, ends, len(grams))[1]])
+                first = _runs(grams)
+                n = np.diff(np.r_[first, len(grams)])
+                self.grams.append((grams[first].astype(np.int64), n * 0 if held else n))
+                found = pa.array(b" ".join(piece for _, piece, _ in rows).split(), pa.binary()).value_counts()
+                n = found.field(1).to_numpy()
+                self.words.append(pa.table({"data": found.field(0), "n": pa.array(n * 0 if held else n)}))
+        if sum(len(g) for g, _ in self.grams[1:]) > 1 << 20:
+            self.merge()
+        self.rows, self.waiting = {False: [], True: []}, 0
+
+    def merge(self) -> None:
+        if len(self.grams) > 1:
+            self.grams = [_summed(*(np.concatenate(x) for x in zip(*self.grams)))]
+            words = pa.concat_tables(self.words).group_by("data", use_threads=False).aggregate([("n", "sum")])
+            self.words = [words.rename_columns({"n_sum": "n"}).combine_chunks()]
+
+    def full(self, bytes_: int, grams: int) -> bool:
+        if sum(len(g) for g, _ in self.grams) >= grams and self.bytes < bytes_:
+            self.merge()
+        return self.bytes >= bytes_ or sum(len(g) for g, _ in self.grams) >= grams
+
+    def vocabulary(self) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[pa.Table]]:
+        """(grams, counts) and words with counts, each in one part at most."""
         self.count()
-        for grams, n in _merged(self.grams):
-            for at in range(0, len(grams), 1 << 16):
-                yield {"gram": pa.array(grams[at:at + (1 << 16)]), "n": pa.array(n[at:at + (1 << 16)])}
-        words = [*self.words, *(self.new - self.words.keys())]
-        for at in range(0, len(words), 1 << 14):
-            some = words[at:at + (1 << 14)]
-            yield {"word": pa.array(some, pa.binary()), "n": pa.array([self.words.get(w, 0) for w in some], pa.int64())}
+        self.merge()
+        return self.grams, self.words
+
 
+def packed(block: list[tuple], id_type: pa.DataType) -> bytes:
+    """(row, id as an array, held, piece) of some pieces, compressed."""
+    rows, ids, held, parts = zip(*block)
+    columns = {"row": pa.array(rows, pa.int64()), "id": pa.concat_arrays(ids), "held": pa.array(held, pa.bool_()),
+               **{k: pa.array([p[i] for p in parts], t) for i, (k, t) in enumerate([("before", pa.binary()), ("text", pa.binary()), ("last", pa.bool_())])}}
+    batch, sink = pa.record_batch(columns), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
-def _chunked(texts: DataFrame, depth: int, chunk_bytes: int, piece_bytes: int) -> DataFrame:
-    """(chunk, row, id, held, before, text, last) for each piece of a text, and (chunk, gram,
-    n) and (chunk, word, n) for all that occurs in a chunk."""
-    id_kind = texts.schema["id"].dataType.simpleString()
-    schema = f"chunk bigint, row bigint, id {id_kind}, held boolean, before binary, text binary, last boolean, gram bigint, word binary, n bigint"
+
+def _chunked(texts: DataFrame, depth: int, chunk_bytes: int, chunk_grams: int, piece_bytes: int) -> DataFrame:
+    """(chunk, kind, gram, data, n): kind 0, a gram of the chunk; 1, a word (data) of it, each
+    with its count in training; 2, a block of its pieces (data) and the number of training
+    texts that end in it."""
+    most = min(1 << 64 - 8 * (depth + 1), 4096)  # rows of a block: a gram and a row's number share 64 bits
 
     def cut(batches):
         part = TaskContext.get().partitionId()
-        chunk_no, row_no, chunk, kinds = 0, 0, Chunk(depth), None
-
-        def batch(**columns):
-            n = len(next(iter(columns.values())))
-            columns["chunk"] = pa.array(np.full(n, part << 32 | chunk_no, np.int64))
-            return pa.RecordBatch.from_arrays([columns[k] if k in columns else pa.nulls(n, t) for k, t in kinds.items()], names=list(kinds))
+        chunk_no, row_no, size, chunk, block, id_type = 0, 0, 0, Chunk(depth), [], None
+
+        def batch(kind, gram=None, data=None, n=None):
+            return pa.record_batch({"chunk": pa.array(np.full(len(n), part << 32 | chunk_no, np.int64)), "kind": pa.array(np.full(len(n), kind, np.int32)),
+                                    "gram": pa.nulls(len(n), pa.int64()) if gram is None else pa.array(gram),
+                                    "data": pa.nulls(len(n), pa.binary()) if data is None else pa.array(data, pa.binary()), "n": pa.array(n, pa.int64())})
+
+        def vocabulary():
+            grams, words = chunk.vocabulary()
+            for keys, n in grams:
+                for at in range(0, len(n), 1 << 15):
+                    yield batch(0, gram=keys[at:at + (1 << 15)], n=n[at:at + (1 << 15)])
+            for table in words:
+                for part_ in table.to_batches(max_chunksize=1 << 14):
+                    yield batch(1, data=part_.column("data"), n=part_.column("n"))
+
+        def blocks():
+            yield batch(2, data=[packed(block, id_type)], n=[sum(piece[2] and not held for _, _, held, piece in block)])
+            block.clear()
 
         for own in batches:
-            kinds = kinds or {"chunk": pa.int64(), "row": pa.int64(), "id": own.column("id").type, "held": pa.bool_(), "before": pa.binary(),
-                              "text": pa.binary(), "last": pa.bool_(), "gram": pa.int64(), "word": pa.binary(), "n": pa.int64()}
+            id_type = own.column("id").type
             for k in range(own.num_rows):
                 key, held, text = own.column("id").slice(k, 1), own.column("held")[k].as_py(), own.column("text")[k].as_py()
-                for row in pieces((text or b"").lower(), depth, piece_bytes):
-                    chunk.add(row, held)
-                    yield batch(row=pa.array([part << 40 | row_no], pa.int64()), id=key, held=pa.array([held]), before=pa.array([row[0]], pa.binary()),
-                                text=pa.array([row[1]], pa.binary()), last=pa.array([row[2]]))
-                    if chunk.full(chunk_bytes):
-                        for columns in chunk.tables():
-                            yield batch(**columns)
+                for piece in pieces((text or b"").lower(), depth, piece_bytes):
+                    chunk.add(piece, held)
+                    block.append((part << 40 | row_no, key, held, piece))
+                    size += len(piece[1]) + 64
+                    full = chunk.full(chunk_bytes, chunk_grams)
+                    if full or size >= 1 << 20 or len(block) >= most:
+                        yield from blocks()
+                        size = 0
+                    if full:
+                        yield from vocabulary()
                         chunk_no, chunk = chunk_no + 1, Chunk(depth)
                 row_no += 1
-        if kinds:
-            for columns in chunk.tables():
-                yield batch(**columns)
+        if block:
+            yield from blocks()
+        yield from vocabulary()
 
-    return keep(texts.mapInArrow(cut, schema), "chunks")
+    return keep(texts.mapInArrow(cut, "chunk bigint, kind int, gram bigint, data binary, n bigint"), "chunks")
 
 
-def _scored(chunks: DataFrame, grams: DataFrame, words: DataFrame, facts: tuple[int, int, int], depth: int) -> DataFrame:
+def _scored(chunks: DataFrame, grams: DataFrame, words: DataFrame, facts: tuple[int, int, int], depth: int, id_kind: str) -> DataFrame:
     """(row, id, held, n_bytes, n_tokens, n_known, base_score, score) of each piece. A task
-    gets a chunk's grams, then its words, then its texts, which it lets pass by."""
+    gets a chunk's grams, then its words, then its blocks, which it lets pass by."""
     n_train, n_words, n_texts = facts
     share = n_train + 0.5 * (n_words + 1)
-    id_kind = chunks.schema["id"].dataType.simpleString()
-    none = lambda c: F.lit(None).cast(chunks.schema[c].dataType).alias(c)
-    columns = ["chunk", "kind", "gram", "score", "word", "n", "row", "id", "held", "before", "text", "last"]
-    text_columns = ["row", "id", "held", "before", "text", "last"]
-    known = chunks.where("gram IS NOT NULL").select("chunk", "gram").join(grams, "gram").select(
-        "chunk", F.lit(0).alias("kind"), "gram", "score", none("word"), none("n"), *map(none, text_columns))
-    counted = chunks.where("word IS NOT NULL").select("chunk", "word").join(words, "word").select(
-        "chunk", F.lit(1).alias("kind"), none("gram"), F.lit(None).cast("double").alias("score"), "word", "n", *map(none, text_columns))
-    texts = chunks.where("row IS NOT NULL").select(
-        "chunk", F.lit(2).alias("kind"), none("gram"), F.lit(None).cast("double").alias("score"), none("word"), none("n"), *text_columns)
-    dealt = known.select(*columns).union(counted.select(*columns)).union(texts.select(*columns)).repartition("chunk").sortWithinPartitions("chunk", "kind")
+    no_gram, no_data = F.lit(None).cast("bigint").alias("gram"), F.lit(None).cast("binary").alias("data")
+    known = chunks.where("kind = 0").select("chunk", "kind", "gram").join(grams, "gram").select("chunk", "kind", "gram", no_data, F.col("score").alias("value"))
+    counted = chunks.where("kind = 1").select("chunk", "kind", "data").join(words.where("n > 0"), "data").select(
+        "chunk", "kind", no_gram, "data", F.col("n").cast("double").alias("value"))
+    blocks = chunks.where("kind = 2").select("chunk", "kind", no_gram, "data", F.lit(None).cast("double").alias("value"))
+    dealt = known.union(counted).union(blocks).repartition("chunk").sortWithinPartitions("chunk", "kind")
+    row_bits = np.uint64(64 - 8 * (depth + 1))
 
     def score(batches):
-        at, found, scores, counts, waiting = None, [], [], {}, []
-
-        def flush():
-            rows = [(r["before"], r["text"], r["last"]) for r in waiting]
-            grams, starts, ends = windows(rows, depth)
-            different, index = _encoded(grams)
-            place = np.searchsorted(found, different).clip(max=max(len(found) - 1, 0))
-            each = (scores[place] if len(found) else np.zeros(len(different)))[index]
-            own = np.zeros(len(rows))
-            some = np.flatnonzero(ends > starts)
-            if len(some):
-                bounds = np.column_stack((starts[some], ends[some])).ravel()
-                own[some] = np.add.reduceat(np.append(each, 0.0), bounds)[::2]
-            out = {k: [r[k] for r in waiting] for k in ("row", "id", "held")}
-            out |= {"n_bytes": [], "n_tokens": [], "n_known": [], "base_score": [], "score": own}
-            for r in waiting:
-                words = r["text"].split()
-                c = np.fromiter(map(counts.__getitem__, words), float, len(words))
-                if r["last"]:
-                    c = np.append(c, n_texts)
-                out["n_bytes"].append(len(r["text"]) + r["last"])
-                out["n_tokens"].append(len(c))
-                out["n_known"].append(int(np.count_nonzero(c)))
-                out["base_score"].append(float(np.log10((c + 0.5) / share).sum()))
-            waiting.clear()
-            return pa.record_batch([pa.array(out[k], t) for k, t in kinds.items()], names=list(kinds))
-
-        kinds = None
+        at, found, scores, counts = None, [], [], {}
         for (chunk, kind), part in runs_of(batches, ["chunk", "kind"]):
-            kinds = kinds or {"row": pa.int64(), "id": part.column("id").type, "held": pa.bool_(), "n_bytes": pa.int64(), "n_tokens": pa.int64(),
-                              "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
             if chunk != at:
-                if waiting:
-                    yield flush()
                 at, found, scores, counts = chunk, [], [], {}
             if kind == 0:
                 found.append(part.column("gram").to_numpy())
-                scores.append(part.column("score").to_numpy())
+                scores.append(part.column("value").to_numpy())
                 continue
             if kind == 1:
-                counts.update(zip(part.column("word").to_pylist(), part.column("n").to_pylist()))
+                counts.update(zip(part.column("data").to_pylist(), part.column("value").to_pylist()))
                 continue
             if isinstance(found, list):
-                found, scores = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((found, np.int64), (scores, float)))
+                found, scores = (np.concatenate(x) for x in (found, scores))
                 order = np.argsort(found)
                 found, scores = found[order], scores[order]
-            for lo in range(0, part.num_rows, 256):
-                waiting += part.slice(lo, 256).select(text_columns).to_pylist()
-                if sum(len(r["text"]) for r in waiting) > 2 << 20:
-                    yield flush()
-        if waiting:
-            yield flush()
+            for data in part.column("data"):
+                block = pa.ipc.open_stream(data.as_buffer()).read_next_batch()
+                rows = [*zip(*(block.column(c).to_pylist() for c in ("before", "text", "last")))]
+                key, starts, ends = windows(rows, depth)
+                row, own = _places(starts, ends, len(key))
+                key <<= row_bits
+                key |= row.astype(np.uint64)
+                key = np.sort(key[own])  # by gram, then row
+                gram = (key >> row_bits).astype(np.int64)
+                first = _runs(gram)
+                each = np.repeat(scores[np.searchsorted(found, gram[first])], np.diff(np.r_[first, len(gram)]))
+                total = np.bincount((key & np.uint64((1 << int(row_bits)) - 1)).astype(np.int64), each, len(rows))
+                out = {"n_bytes": [], "n_tokens": [], "n_known": [], "base_score": []}
+                for _, text, last in rows:
+                    words = text.split()
+                    c = np.fromiter((counts.get(w, 0.0) for w in words), float, len(words))
+                    if last:
+                        c = np.append(c, n_texts)
+                    out["n_bytes"].append(len(text) + last)
+                    out["n_tokens"].append(len(c))
+                    out["n_known"].append(int(np.count_nonzero(c)))
+                    out["base_score"].append(float(np.log10((c + 0.5) / share).sum()))
+                yield pa.record_batch({**{k: block.column(k) for k in ("row", "id", "held")},
+                                       **{c: pa.array(v, pa.float64() if c == "base_score" else pa.int64()) for c, v in out.items()}, "score": pa.array(total)})
 
     return dealt.mapInArrow(score, f"row bigint, id {id_kind}, held boolean, n_bytes bigint, n_tokens bigint, n_known bigint, base_score double, score double")
 
 
 def score_texts(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str = "text", depth: int = 5,
-                chunk_bytes: int = 48 << 20, piece_bytes: int = 8 << 20) -> DataFrame:
+                chunk_bytes: int = 48 << 20, chunk_grams: int = 2 << 20,
+                piece_bytes: int = 8 << 20) -> DataFrame:
     """(id, held_out, n_bytes, n_tokens, n_known, train_tokens, base_score, score,
     bits_per_byte) of every row, learned from all rows for which ``held_out`` (an SQL condition
     on the column ``id``) is not true.
@@ -345,23 +489,24 @@ def score_texts(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col
     them, so that a piece gives what the whole text would. Other columns of any name are
     ignored. No rows give no rows.
 
-    A chunk ends after ``chunk_bytes`` of text or an eighth as many different grams, whatever
+    A chunk ends after ``chunk_bytes`` of text or ``chunk_grams`` different grams, whatever
     comes first: a task holds one chunk's vocabulary. The driver gets three counts.
     """
     if not 0 <= depth <= 6:
         raise ValueError("depth must be from 0 to 6")
     plain = pick(docs, id=id_col, text=text_col)
     total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    tasks = max(plain.sparkSession.sparkContext.defaultParallelism, -(-total // chunk_bytes))
+    parallel = plain.sparkSession.sparkContext.defaultParallelism
+    tasks = parallel * max(1, -(-total // (chunk_bytes * parallel)))
     ready = plain.select("id", F.coalesce(F.expr(held_out), F.lit(False)).alias("held"), F.col("text").cast("binary").alias("text"))
-    chunks = _chunked(ready.coalesce(tasks), depth, chunk_bytes, piece_bytes)
-    grams = keep(chunks.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    words = keep(chunks.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    n_texts = chunks.where("last AND NOT held").count()
+    chunks = _chunked(ready.coalesce(tasks), depth, chunk_bytes, chunk_grams, piece_bytes)
+    grams = keep(chunks.where("kind = 0").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    words = keep(chunks.where("kind = 1").groupBy("data").agg(F.sum("n").alias("n")), "words")
+    n_texts = chunks.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     counted = words.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     facts = counted["n"] + n_texts, counted["v"] + (n_texts > 0), n_texts
-    scores = gram_scores(grams, grow(grams, depth))
     sums = [F.sum(c).alias(c) for c in ("n_bytes", "n_tokens", "n_known", "base_score", "score")]
-    rows = _scored(chunks, scores, words, facts, depth).groupBy("row").agg(F.first("id").alias("id"), F.first("held").alias("held_out"), *sums)
+    rows = _scored(chunks, gram_scores(grams, depth), words, facts, depth, ready.schema["id"].dataType.simpleString())
+    rows = rows.groupBy("row").agg(F.first("id").alias("id"), F.first("held").alias("held_out"), *sums)
     return rows.select("id", "held_out", "n_bytes", "n_tokens", "n_known", F.lit(facts[0]).cast("bigint").alias("train_tokens"), "base_score", "score",
                        (-F.col("score") * F.lit(math.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"))
