@@ -1,23 +1,18 @@
-"""Text column expressions (all JVM-side, codegen-friendly; no Python UDFs).
-
-Regexes are written to run unchanged in Java and RE2, so the DuckDB oracle can use
-the very same patterns: no look-around, no back-references.
+"""Text column expressions. All run in the JVM but the two that read markup (``page_text``,
+``page_hrefs``), which call the parser of ``functions.soup``.
 """
 
 from __future__ import annotations
 
-import json
-from html.entities import html5
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .soup import parsed
+
 # ---- fixed values -------------------------------------------------------------------
 # Characters Python's str.strip() treats as whitespace (the reference trims with it).
 WS_CLASS = (r"[\t\n\x{000B}\f\r\x{001C}-\x{001F} \x{0085}\x{00A0}\x{1680}"
             r"\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
-# Elements whose content is not page text.
-DROPPED_ELEMENTS = ("script", "style", "noscript")
 # -------------------------------------------------------------------------------------
 
 _TRIM_RE = f"^{WS_CLASS}+|{WS_CLASS}+$"
@@ -35,53 +30,21 @@ def category_key(c: Column) -> Column:
     return F.when(k != "", k)
 
 
-# Names come from the standard library's table.
-_ENTITY_RE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
-
-
-def _entity_names() -> Column:
-    names = {f"&{k}": v for k, v in html5.items() if k.endswith(";")}
-    return F.from_json(F.lit(json.dumps(names)), "map<string,string>")
-
-
-def decode_entities(c: Column) -> Column:
-    """Named and numeric character references, each decoded once: those that give '&' come
-    last, so that what they leave behind is not read as another reference."""
-    def decoded(m: Column) -> Column:
-        number = F.when(F.regexp_like(m, F.lit("^&#[xX]")), F.conv(F.regexp_extract(m, "([0-9a-fA-F]+);$", 1), 16, 10)) \
-                  .otherwise(F.regexp_extract(m, "^&#([0-9]+);$", 1)).try_cast("int")
-        code = F.when((number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF), number)
-        # code points by their UTF-32 bytes
-        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        return F.when(m.startswith("&#"), F.coalesce(char, m)) \
-                .otherwise(F.coalesce(F.try_element_at(_entity_names(), m), m))
-
-    found = F.array_distinct(F.regexp_extract_all(c, F.lit(_ENTITY_RE), 0))
-    pairs = F.transform(found, lambda m: F.struct((decoded(m) == "&").alias("last"), m.alias("ref"), decoded(m).alias("char")))
-    each = F.aggregate(F.array_sort(pairs), c, lambda text, p: F.replace(text, p["ref"], p["char"]))
-    return F.when(F.contains(c, F.lit("&")), each).otherwise(c)
-
-
-def strip_dropped_elements(html: Column) -> Column:
-    """Remove comments and ``script``/``style``/``noscript`` elements with their content."""
-    # an empty tag takes their place, so that the text nodes around stay apart
-    out = F.regexp_replace(html, r"(?s)<!--.*?-->", "<>")
-    for tag in DROPPED_ELEMENTS:
-        out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "<>")
-    return out
-
-
 def page_text(html: Column, cap: int | None = None) -> Column:
-    """Visible text of a page. Text nodes are the pieces between tags; each is
-    entity-decoded and trimmed, blanks dropped, the rest joined by one space. The text is
-    whole unless the caller gives a ``cap`` in characters. Inner whitespace of a node is kept."""
-    nodes = F.split(strip_dropped_elements(html), r"<[^>]*>")
-    cleaned = F.transform(nodes, lambda x: trim_ws(decode_entities(x)))
-    kept = F.filter(cleaned, lambda x: x != "")
-    text = F.array_join(kept, " ")
+    """Visible text of a page. Each text node is entity-decoded and trimmed, blank ones
+    dropped, the rest joined by one space. The text is whole unless the caller gives a ``cap``
+    in characters. Inner whitespace of a node is kept."""
+    text = parsed(html)["text"]
     return text if cap is None else F.left(text, F.lit(cap))
 
 
+def page_hrefs(html: Column) -> Column:
+    """The href of every ``a`` that has one, in document order, decoded and trimmed; the
+    last of repeated ones, and empty where it has no value. Comments and script and style
+    bodies hold no tags."""
+    return parsed(html)["links"]
+
+
 def normalize_url(url: Column) -> Column:
     """P5: ``scheme://netloc/path`` with query and fragment dropped, trailing slashes
     stripped and exactly one ``/`` appended."""
@@ -102,6 +65,24 @@ def url_query(url: Column) -> Column:
     return F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
 
 
+def _folds() -> tuple[str, str, list[tuple[str, str]]]:
+    """Full case folding by the standard library's rule: characters that fold to one, what
+    they fold to, and those that fold to several."""
+    all_ = [(c, c.casefold()) for c in map(chr, range(0x80, 0x110000)) if not 0xD800 <= ord(c) < 0xE000]
+    changed = [(c, f) for c, f in all_ if f != c]
+    one = [(c, f) for c, f in changed if len(f) == 1]
+    return "".join(c for c, _ in one), "".join(f for _, f in one), [(c, f) for c, f in changed if len(f) > 1]
+
+
+_FOLD_FROM, _FOLD_TO, _FOLD_LONG = _folds()
+_ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def casefold_key(c: Column) -> Column:
-    """M4: case-insensitive key close to Python's ``casefold`` (adds the sharp-s rule)."""
-    return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+    """M4: case-insensitive key, equal to Python's ``casefold``."""
+    ascii_ = F.translate(c, _ASCII_UPPER, _ASCII_UPPER.lower())
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _FOLD_LONG])
+    longer = F.aggregate(pairs, ascii_, lambda text, p: F.replace(text, p["a"], p["b"]))
+    some = F.lit("[" + "".join(a for a, _ in _FOLD_LONG) + "]")
+    folded = F.translate(F.when(F.regexp_like(ascii_, some), longer).otherwise(ascii_), _FOLD_FROM, _FOLD_TO)
+    return F.when(F.regexp_like(c, F.lit(r"[^\x00-\x7F]")), folded).otherwise(ascii_)

@@ -1,5 +1,5 @@
 """Page jobs over a page table (page_id, url, html). All text and URL work is
-built-in Spark expressions (regex, split, higher-order functions); no Python UDF."""
+built-in Spark expressions; only pages of odd markup pass an Arrow function (P1, P3)."""
 
 from __future__ import annotations
 
@@ -8,8 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import (decode_entities, normalize_url, page_text, strip_dropped_elements,
-                              trim_ws, url_host, url_path, url_query)
+from ..functions.text import normalize_url, page_hrefs, page_text, trim_ws, url_host, url_path, url_query
 
 # ---- fixed values -------------------------------------------------------------------
 SOURCES = ("litexpo", "meetup", "kaveikti", "other")
@@ -18,35 +17,19 @@ MAX_LINKS_DEFAULT = 20
 NO_LINKS_ERROR = "No event links found for source '{source}' and no saved links are available."
 # -------------------------------------------------------------------------------------
 
-# An anchor's attributes up to its end, and each of them: name, then the value in double,
-# single or no quotes.
-_ANCHOR_RE = r"""(?i)<a\s((?:[^>"']|"[^"]*"|'[^']*')*)>"""
-_ATTRIBUTE_RE = r"""([^\s=/>"']+)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
 
-
-def page_texts(pages: DataFrame, cap: int | None = None) -> DataFrame:
-    """P1 + P2: (page_id, url, text, characters)."""
-    return (pages.select("page_id", "url", page_text(F.col("html"), cap).alias("text"))
+def page_texts(pages: DataFrame, cap: int | None = None, carry: tuple = ()) -> DataFrame:
+    """P1 + P2: (page_id, url, text, characters) and what ``carry`` adds."""
+    return (pages.select("page_id", "url", page_text(F.col("html"), cap).alias("text"), *carry)
                  .withColumn("characters", F.length("text")))
 
 
 def page_links(pages: DataFrame, carry: tuple[str, ...] = (), all_pages: bool = False) -> DataFrame:
     """Every ``a[href]`` in document order: (page_id, url, pos, href) with the href
-    entity-decoded and trimmed. Comments and script/style bodies hold no tags. Columns in
-    ``carry`` are kept; with ``all_pages`` a page without links is a row with null href."""
-    anchors = F.regexp_extract_all(strip_dropped_elements(F.col("html")), F.lit(_ANCHOR_RE), 1)
-
-    def value(attributes: Column) -> Column:
-        """The first attribute named href, by whole name; null without one."""
-        names = F.transform(F.regexp_extract_all(attributes, F.lit(_ATTRIBUTE_RE), 1), lambda n: F.lower(n))
-        values = F.regexp_extract_all(attributes, F.lit(_ATTRIBUTE_RE), 2)
-        return F.get(values, F.array_position(names, F.lit("href")).cast("int") - 1)
-
-    hrefs = F.filter(F.transform(anchors, value), lambda v: v.isNotNull())
+    entity-decoded and trimmed. Columns in ``carry`` are kept; with ``all_pages`` a page
+    without links is a row with null href."""
     explode = F.posexplode_outer if all_pages else F.posexplode
-    return (pages.select("page_id", "url", *carry, explode(hrefs).alias("pos", "href"))
-                 .withColumn("href", F.regexp_replace("href", r"""^["']|["']$""", ""))
-                 .withColumn("href", trim_ws(decode_entities(F.col("href")))))
+    return pages.select("page_id", "url", *carry, explode(page_hrefs(F.col("html"))).alias("pos", "href"))
 
 
 def remove_dot_segments(path: Column, drop_empty: Column | bool = False) -> Column:

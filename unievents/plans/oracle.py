@@ -95,20 +95,22 @@ def with_ctes(body: str, *names: str, extra: list[tuple[str, str]] | None = None
     return ("WITH " + ",\n".join(parts) + "\n" + body) if parts else body
 
 
-# ---- page-text helpers in SQL (same patterns as functions/text.py) ----------------------
+# ---- page-text helpers in SQL (for markup that is plain but for references) ----------------------
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
             ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
 
 
 def decode_sql(expr: str) -> str:
+    """All of these but the apostrophe are also read without their semicolon."""
     for ent, ch in ENTITIES:
-        expr = f"replace({expr}, '{ent}', '{ch.replace(chr(39), chr(39) * 2)}')"
+        optional = ent if ent == "&apos;" else f"{ent}?"
+        expr = f"regexp_replace({expr}, '{optional}', '{ch.replace(chr(39), chr(39) * 2)}', 'g')"
     return expr
 
 
-def strip_html_sql(expr: str) -> str:
+def strip_html_sql(expr: str, elements: tuple[str, ...] = ("script", "style", "noscript")) -> str:
     out = f"regexp_replace({expr}, '(?s)<!--.*?-->', '<>', 'g')"
-    for tag in ("script", "style", "noscript"):
+    for tag in elements:
         out = f"regexp_replace({out}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', '<>', 'g')"
     return out
 

@@ -332,7 +332,7 @@ _HREF_SQL = """(?i)<a\\s[^>]*?href\\s*=\\s*"([^"]*)\""""
 _LINKS_SQL = f"""
     SELECT page_id, url, CAST(s.pos AS INTEGER) AS pos, {O.trim_ws(O.decode_sql('s.href'))} AS href
     FROM (SELECT page_id, url, unnest(list_transform(
-              regexp_extract_all({O.strip_html_sql('html')}, '{_HREF_SQL}', 1),
+              regexp_extract_all({O.strip_html_sql('html', ('script', 'style'))}, '{_HREF_SQL}', 1),
               lambda x, i: struct_pack(pos := i - 1, href := x))) AS s
           FROM pages) t"""
 _RESOLVED_SQL = f"""
@@ -351,6 +351,38 @@ def p1_page_text(spark, sf_dir):
     return page_texts(T.load_table(spark, sf_dir, "pages"))
 
 
+# What a reader sees of the odd markup that ``_odd_pages`` puts around a page, by hand.
+@register("p1_odd_pages", f"""
+    SELECT page_id, text, CAST(length(text) AS INTEGER) AS characters, n_links
+    FROM (SELECT page_id, n_links,
+                 CASE page_id % 6 WHEN 0 THEN concat_ws(' ', '5 < ' || page_id || ' and 9 > 8', t)
+                                  WHEN 1 THEN concat_ws(' ', 'title ' || page_id, t)
+                                  WHEN 2 THEN concat_ws(' ', '© 2024 & ' || page_id, t)
+                                  WHEN 3 THEN concat_ws(' ', t, 'end ' || page_id)
+                                  WHEN 4 THEN concat_ws(' ', 'link ' || page_id, t)
+                                  ELSE concat_ws(' ', 'AT&T ' || page_id, t) END AS text
+          FROM (SELECT page_id, NULLIF({O.page_text_sql('html')}, '') AS t,
+                       CAST(len(regexp_extract_all({O.strip_html_sql('html', ('script', 'style'))}, '{_HREF_SQL}', 1)) + (page_id % 6 = 4)::INT AS INTEGER) AS n_links
+                FROM pages) p) q""")
+def p1_odd_pages(spark, sf_dir):
+    from ..functions.text import page_hrefs
+    from ..operators.pages import page_texts
+    odd = _odd_pages(T.load_table(spark, sf_dir, "pages"))
+    return page_texts(odd, carry=(F.size(page_hrefs(F.col("html"))).alias("n_links"),)).select("page_id", "text", "characters", "n_links")
+
+
+def _odd_pages(pages):
+    """Every page with a piece of odd markup before or behind it: ``<`` in text, ``>`` in an
+    attribute, references without a semicolon, a script that is never closed."""
+    piece = F.expr("""CASE page_id % 6 WHEN 0 THEN concat('<p>5 < ', page_id, ' and 9 > 8</p>')
+                                       WHEN 1 THEN concat('<p title="a > b">title ', page_id, '</p>')
+                                       WHEN 2 THEN concat('<p>&copy 2024 &amp ', page_id, '</p>')
+                                       WHEN 3 THEN concat('<p>end ', page_id, '<script>var a = "<p>code</p>";')
+                                       WHEN 4 THEN concat('<a href="/', page_id, '" title="1 > 0">link ', page_id, '</a>')
+                                       ELSE concat('<p>AT&T ', page_id, '</p>') END""")
+    return pages.withColumn("html", F.when(F.col("page_id") % 6 == 3, F.concat("html", piece)).otherwise(F.concat(piece, F.col("html"))))
+
+
 @register("p3_page_links", _LINKS_SQL)
 def p3_page_links(spark, sf_dir):
     from ..operators.pages import page_links
