@@ -1,9 +1,11 @@
 """J7, J8, J10, J11 on small batches."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from unievents.operators.joins import attach_ratings, check_refs, resolve_names, split_new, subject_interests
-from unievents.plans.listing import requested_student_subjects, student_subjects
+from unievents.operators.joins import attach_ratings, check_refs, resolve_names, split_new
+from unievents.operators.ordering import newest_first_keys, number_in_groups, number_rows
+from unievents.plans.listing import overlay_counts, requested_student_subjects, student_subjects, subject_base, subject_overlay
 
 
 def test_refs_and_new_keys(spark):
@@ -41,4 +43,29 @@ def test_student_subject_requests(spark):
     assert sorted((r.student_id, r.subject_id) for r in got) == sorted({(k, s) for k, s in asked if k is not None and s in (1, 2, 3, 4)})
     assert all(r == whole[r.student_id, r.subject_id] for r in got)
     assert whole[8, 1].interest == 4 and whole[8, 1].category_name == "IT" and whole[8, 2].interest is None
-    assert "collect_set" not in subject_interests(sub, ss, students)._jdf.queryExecution().toString()
+    # base and overlay give the whole list back, for students with and without links
+    base = subject_base(sub, cat)
+    overlay = subject_overlay(base, ss)
+    own = {(r.student_id, r.subject_id): r for r in overlay.collect()}
+    assert len(own) == 40 and all(own[k] == whole[k] for k in own)
+    plain = {r.subject_id: r for r in base.collect()}
+    rest = [r for k, r in whole.items() if k not in own]
+    assert all(r.interest is None and r.interest_description == rest[0].interest_description and r.position == plain[r.subject_id].position for r in rest)
+    counts = {r.student_id: (r.n_linked, r.n_rated, r.n_base) for r in overlay_counts(students.where("student_id is not null").distinct(), base, overlay).collect()}
+    assert len(counts) == 45 and counts[3] == (1, 1, 3) and counts[44] == (0, 0, 4)
+
+
+@pytest.mark.parametrize("days", [1, 3])
+def test_positions_of_one_day(spark, days):
+    """All rows on one day, with ties and null times, dealt over several partitions: positions
+    are dense and in order, in one list and in groups; a group is not one task."""
+    rows = [(k, f"2024-01-{k % days + 1:02d}", None if k % 11 == 0 else f"{k % 24:02d}:00:00", k % 7 and 1) for k in range(5000)]
+    ev = spark.createDataFrame(rows, "event_id long, date string, time string, g int").repartition(6)
+    order = lambda r: ([-ord(c) for c in r[1]], r[2] is None, [-ord(c) for c in r[2] or ""], r[0])
+    got = {r.event_id: r.position for r in number_rows(ev, newest_first_keys(), "position").collect()}
+    assert [got[r[0]] for r in sorted(rows, key=order)] == list(range(1, 5001))
+    ranked = number_in_groups(ev, ["g"], newest_first_keys())
+    got = {r.event_id: r["rank"] for r in ranked.collect()}
+    for g in (0, 1):
+        assert [got[r[0]] for r in sorted((r for r in rows if r[3] == g), key=order)] == list(range(1, 1 + sum(r[3] == g for r in rows)))
+    assert number_rows(ev.where("false"), newest_first_keys(), "position").count() == 0

@@ -19,16 +19,6 @@ def subjects_with_category(sub: DataFrame, cat: DataFrame) -> DataFrame:
     return sub.join(c, "category_id", "left")
 
 
-def subject_interests(sub: DataFrame, ss: DataFrame, students: DataFrame) -> DataFrame:
-    """Every subject with the interest of each student of a request batch (student_id;
-    NULL interest if unrated or unlinked).
-
-    The answer is batch x subjects by definition, so the batch is what bounds it. Where
-    single subjects are asked for, ``requested_interests`` grows with the requests only."""
-    rows = sub.crossJoin(students.select("student_id").where("student_id is not null").distinct())
-    return rows.join(ss.select("student_id", "subject_id", "interest"), ["student_id", "subject_id"], "left")
-
-
 def requested_interests(sub: DataFrame, ss: DataFrame, requests: DataFrame) -> DataFrame:
     """J2 for requests (student_id, subject_id): the asked subjects with the student's
     interest; repeated requests are one row, those with a null or an unknown subject none."""
@@ -58,25 +48,6 @@ def event_category_keys(ec: DataFrame) -> DataFrame:
               .where(F.col("category_key").isNotNull()).distinct())
 
 
-def match_interests(ec_keys: DataFrame, interests: DataFrame) -> DataFrame:
-    """Event categories joined to per-student category interests on the D7 key."""
-    return ec_keys.join(interests, "category_key")
-
-
-def events_like_subject(ev: DataFrame, ec: DataFrame, sub: DataFrame, cat: DataFrame,
-                        subject_keys: DataFrame) -> DataFrame:
-    """Events having a category equal (D7 key) to the subject's category.
-
-    ``subject_keys`` holds the lookup batch: column ``subject_id`` or ``subject_name``
-    (trimmed, case-insensitive, lowest id wins, as F10). Output keeps the lookup key so
-    one job answers many lookups: (lookup, event columns...)."""
-    resolved = resolve_subjects(sub, subject_keys)
-    sk = resolved.join(subject_category_keys(sub, cat), "subject_id").select("lookup", "category_key")
-    hits = event_category_keys(ec).join(sk, "category_key") \
-        .select("lookup", "event_id").distinct()
-    return hits.join(ev, "event_id")
-
-
 def resolve_subjects(sub: DataFrame, keys: DataFrame) -> DataFrame:
     """F10 lookups: by id, or by case-insensitive trimmed name with the lowest id winning.
     Returns (lookup STRING, subject_id)."""

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 
 def newest_first_keys() -> list[Column]:
     """Date desc, time desc, then id."""
@@ -19,23 +21,9 @@ def soonest_first_keys() -> list[Column]:
     return [F.col("date").asc(), F.col("time").asc(), F.col("event_id").asc()]
 
 
-def newest_first(ev: DataFrame) -> DataFrame:
-    return ev.orderBy(*newest_first_keys())
-
-
-def soonest_first(ev: DataFrame) -> DataFrame:
-    return ev.orderBy(*soonest_first_keys())
-
-
-def by_name(sub: DataFrame) -> DataFrame:
+def by_name_keys() -> list[Column]:
     """S3: name asc (binary collation), then id."""
-    return sub.orderBy(F.col("name").asc(), F.col("subject_id").asc())
-
-
-def latest_urls(urls: DataFrame, n: int) -> DataFrame:
-    """last_seen desc, LIMIT n (planned as TakeOrderedAndProject: a per-partition
-    top-n, then a merge of n x partitions rows)."""
-    return urls.orderBy(F.col("last_seen").desc(), F.col("url").asc()).limit(n)
+    return [F.col("name").asc(), F.col("subject_id").asc()]
 
 
 def rank_keys() -> list[Column]:
@@ -55,23 +43,33 @@ def with_rank(df: DataFrame, partition: str, keys: list[Column], name: str = "ra
     return out
 
 
-def rank_two_level(df: DataFrame, partition: list[str], coarse: list[tuple[str, bool]],
-                   fine: list[Column], name: str = "rank") -> DataFrame:
-    """Dense rank per ``partition`` in the order ``coarse`` then ``fine`` without a
-    window over a whole partition group: rows are counted per (partition, coarse key),
-    those counts are prefix-summed per partition (a window over distinct coarse keys
-    only, e.g. calendar days), and a row_number inside each (partition, coarse key)
-    group is added. ``coarse`` is [(column, descending)]; ``fine`` must end in a unique
-    key. A hot partition (one student, one category) is spread over its coarse groups."""
-    ckeys = [c for c, _ in coarse]
-    grp = df.groupBy(*partition, *ckeys).agg(F.count(F.lit(1)).alias("_n"))
-    order = [F.col(c).desc() if desc else F.col(c).asc() for c, desc in coarse]
-    w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = grp.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    w2 = Window.partitionBy(*partition, *ckeys).orderBy(*fine)
-    inner = df.withColumn("_rn", F.row_number().over(w2))
-    # null-safe: rows without a coarse key are a group, too
-    same = reduce(lambda a, b: a & b, [inner[k].eqNullSafe(offsets[k]) for k in [*partition, *ckeys]])
-    joined = inner.join(offsets, same).drop(*[offsets[k] for k in [*partition, *ckeys]])
-    return joined \
-        .withColumn(name, (F.col("_before") + F.col("_rn")).cast("bigint")).drop("_before", "_rn")
+def number_rows(df: DataFrame, order: list, name: str, start_after=0) -> DataFrame:
+    """Dense numbers ``start_after + 1 ..`` in ``order`` (columns or names, ending in a unique
+    key): one range-partitioned sort and the row counts of the partitions before, so that no
+    task holds more than its range, however many rows share a day or a key's first columns.
+    ``start_after`` is a Column (scalar subquery) or int.
+
+    A sampled sort may cut its partitions elsewhere when it runs again: the sorted rows are
+    written once (reliable checkpoint), with partition and place in one number, and what is
+    below ``df`` runs once."""
+    ensure_checkpoint_dir(df.sparkSession)
+    placed = df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    placed = placed.withColumn("_part", F.shiftright("_at", 33)).withColumn("_nth", F.col("_at").bitwiseAND((1 << 33) - 1))
+    # one row per sort partition
+    before = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    base = start_after if not isinstance(start_after, int) else F.lit(start_after)
+    return (placed.join(before.select("_part", "_before"), "_part")
+            .withColumn(name, (F.coalesce(base, F.lit(0)) + F.col("_before") + F.col("_nth") + 1).cast("bigint"))
+            .drop("_at", "_part", "_nth", "_before"))
+
+
+def number_in_groups(df: DataFrame, group: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+    """Dense numbers from 1 within each ``group`` in ``order``: rows are numbered over all
+    groups at once (``number_rows``) and a group's smallest number is taken off, so that a
+    group that holds most rows is spread over tasks like any other."""
+    numbered = number_rows(df, [*group, *order], "_number")
+    first = numbered.groupBy(*group).agg(F.min("_number").alias("_first"))
+    same = reduce(lambda a, b: a & b, [numbered[k].eqNullSafe(first[k]) for k in group])
+    return (numbered.join(first, same).drop(*[first[k] for k in group])
+            .withColumn(name, F.col("_number") - F.col("_first") + 1).drop("_number", "_first"))

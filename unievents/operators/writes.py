@@ -17,25 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions.standardize import standardize_interest
 from ..functions.text import casefold_key, trim_ws
-from ..session import ensure_checkpoint_dir
 from .filters import ended_predicate
-
-
-def assign_ids(new_keys: DataFrame, order_cols: list[str], id_col: str, start_after) -> DataFrame:
-    """Dense ids ``start_after + 1 ..`` for ``new_keys`` in ``order_cols`` order.
-    ``start_after`` is a Column (scalar subquery) or int."""
-    # a sampled sort may cut its partitions elsewhere when it runs again: the sorted keys are
-    # written once (reliable checkpoint), with partition and place in one number
-    ensure_checkpoint_dir(new_keys.sparkSession)
-    placed = new_keys.orderBy(*order_cols).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
-    placed = placed.withColumn("_part", F.shiftright("_at", 33)).withColumn("_nth", F.col("_at").bitwiseAND((1 << 33) - 1))
-    # one row per sort partition
-    before = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn(
-        "_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    base = start_after if not isinstance(start_after, int) else F.lit(start_after)
-    return (placed.join(before.select("_part", "_before"), "_part")
-            .withColumn(id_col, (F.coalesce(base, F.lit(0)) + F.col("_before") + F.col("_nth") + 1).cast("bigint"))
-            .drop("_at", "_part", "_nth", "_before"))
+from .ordering import number_rows
 
 
 def _max_id(table: DataFrame, col: str):
@@ -70,7 +53,7 @@ def upsert_events(ev: DataFrame, batch: DataFrame, on_duplicate: str = "update"
     last = per_key.where(F.col("event_id").isNull()) if on_duplicate == "reject" else per_key
     last = last.select(*key, "_first", "event_id", "_row.*")
     new_keys = last.where(F.col("event_id").isNull()).select(*key, "_first")
-    new_ids = assign_ids(new_keys, ["_first"], "new_id", _max_id(ev, "event_id")).drop("_first")
+    new_ids = number_rows(new_keys, ["_first"], "new_id", _max_id(ev, "event_id")).drop("_first")
     final = last.join(new_ids, key, "left").withColumn("event_id", F.coalesce("event_id", "new_id")).drop("new_id")
 
     upd = final.select("event_id", *key, *EVENT_FIELDS)
@@ -105,7 +88,7 @@ def set_event_categories(ec: DataFrame, cat: DataFrame, assignments: DataFrame
     # that event's set (rows apply one by one)
     names = nonempty.select(F.explode("categories").alias("name")).distinct()
     missing = names.join(cat.select("name"), "name", "left_anti")
-    created = assign_ids(missing, ["name"], "category_id", _max_id(cat, "category_id"))
+    created = number_rows(missing, ["name"], "category_id", _max_id(cat, "category_id"))
     next_cat = cat.select("category_id", "name").unionByName(created.select("category_id", "name"))
     return next_ec, next_cat
 
@@ -187,7 +170,7 @@ def import_subjects(sub: DataFrame, cat: DataFrame, batch: DataFrame
     cat_first = cat.groupBy(F.lower("name").alias("_ck")).agg(F.min("category_id").alias("category_id"))
     new_cat = b.join(cat_first, "_ck", "left_anti").groupBy("_ck").agg(
         F.min_by("category", "batch_pos").alias("name"), F.min("batch_pos").alias("_p"))
-    new_cat = assign_ids(new_cat, ["_p"], "category_id", _max_id(cat, "category_id"))
+    new_cat = number_rows(new_cat, ["_p"], "category_id", _max_id(cat, "category_id"))
     next_cat = cat.select("category_id", "name").unionByName(new_cat.select("category_id", "name"))
     cat_ids = cat_first.unionByName(new_cat.select("_ck", "category_id"))
     cat_names = next_cat.select("category_id", F.col("name").alias("category_name"))
@@ -196,7 +179,7 @@ def import_subjects(sub: DataFrame, cat: DataFrame, batch: DataFrame
     bb = b.join(cat_ids, "_ck").join(sub_first, "_sk", "left")
     new_sub = bb.where(F.col("subject_id").isNull()).select("_sk", "category_id", F.col("subject").alias("_name"),
                                                            F.col("batch_pos").alias("_p"))
-    new_sub = assign_ids(new_sub, ["_p"], "subject_id", _max_id(sub, "subject_id"))
+    new_sub = number_rows(new_sub, ["_p"], "subject_id", _max_id(sub, "subject_id"))
     repoint = bb.where(F.col("subject_id").isNotNull()).select("subject_id", F.col("category_id").alias("_nc"))
     cur = sub.join(repoint, "subject_id", "left").withColumn(
         "category_id", F.coalesce(F.col("_nc"), F.col("category_id"))).drop("_nc")
@@ -249,7 +232,7 @@ def insert_new(table: DataFrame, batch: DataFrame, key: str, id_col: str, dup_re
     ok = F.coalesce(~blank & F.col("_old_id").isNull() & (F.col("batch_pos") == F.col("_first")), F.lit(False))
     known = F.col("_old_id").isNotNull() | F.coalesce(F.col("batch_pos") > F.col("_first"), F.lit(False))
     new = t.where(ok)
-    new_ids = assign_ids(new.select(key, "batch_pos"), ["batch_pos"], id_col, _max_id(table, id_col))
+    new_ids = number_rows(new.select(key, "batch_pos"), ["batch_pos"], id_col, _max_id(table, id_col))
     cols = [c for c in table.columns if c != id_col]
     ins = new.join(new_ids.select(key, id_col), key).select(id_col, *[c for c in cols if c in new.columns])
     next_t = table.unionByName(ins, allowMissingColumns=True)

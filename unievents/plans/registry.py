@@ -178,6 +178,42 @@ def r7_student_subjects(spark, sf_dir):
     return student_subjects(d.sub, d.cat, d.ss, asked)
 
 
+_LISTED_SQL = """SELECT s.subject_id, s.name, s.category_id, c.name AS category_name,
+                        row_number() OVER (ORDER BY s.name, s.subject_id) AS position, count(*) OVER () AS total_subjects
+                 FROM subject s LEFT JOIN category c ON s.category_id = c.category_id"""
+
+
+@register("r7_subject_base", with_ctes("SELECT * FROM listed", "subject", "category", extra=[("listed", _LISTED_SQL)]))
+def r7_subject_base(spark, sf_dir):
+    from .listing import subject_base
+    d = Domain(spark, sf_dir)
+    return subject_base(d.sub, d.cat).select("subject_id", "name", "category_id", "category_name", "position", "total_subjects")
+
+
+@register("r7_subject_overlay", with_ctes(
+    f"""SELECT m.student_id, l.subject_id, l.name, l.category_id, l.category_name, m.interest,
+               {INTEREST_LABEL_SQL.format(x='m.interest')} AS interest_description, l.position, l.total_subjects
+        FROM student_subject m JOIN listed l ON m.subject_id = l.subject_id WHERE m.student_id IS NOT NULL""",
+    "subject", "category", "student_subject", extra=[("listed", _LISTED_SQL)]))
+def r7_subject_overlay(spark, sf_dir):
+    from .listing import subject_base, subject_overlay
+    d = Domain(spark, sf_dir)
+    return subject_overlay(subject_base(d.sub, d.cat), d.ss)
+
+
+@register("r7_overlay_counts", with_ctes(
+    """SELECT st.student_id, count(s.subject_id) AS n_linked, count(m.interest) FILTER (WHERE s.subject_id IS NOT NULL) AS n_rated,
+              (SELECT count(*) FROM subject) - count(s.subject_id) AS n_base
+       FROM student st LEFT JOIN student_subject m ON st.student_id = m.student_id
+       LEFT JOIN subject s ON m.subject_id = s.subject_id GROUP BY st.student_id""",
+    "student", "subject", "student_subject"))
+def r7_overlay_counts(spark, sf_dir):
+    from .listing import overlay_counts, subject_base, subject_overlay
+    d = Domain(spark, sf_dir)
+    base = subject_base(d.sub, d.cat)
+    return overlay_counts(d.stu, base, subject_overlay(base, d.ss))
+
+
 @register("r7_student_subject_requests", with_ctes(
     f"""SELECT q.student_id, s.subject_id, s.name, s.category_id, s.category_name, m.interest,
            {INTEREST_LABEL_SQL.format(x='m.interest')} AS interest_description,
@@ -232,19 +268,24 @@ def r3_events_for_subject(spark, sf_dir):
     return events_for_subject(d.ev, d.ec, d.sub, d.cat, keys).select("lookup", "event_id", "rank")
 
 
+# The subjects, by id or by name, that rows of ``events`` ask for.
+_LOOKUPS_SQL = [
+    ("asked", """SELECT DISTINCT CASE WHEN e.user_id % 2 = 0 THEN e.user_id * 17 END AS subject_id,
+                     CASE WHEN e.user_id % 2 = 1 THEN concat('  ', upper(coalesce(s.name, concat('no subject ',
+                          CAST(e.user_id AS VARCHAR)))), ' ') END AS subject_name
+                 FROM events e LEFT JOIN subject s ON s.subject_id = e.user_id * 17"""),
+    ("lookups", f"""SELECT CAST(a.subject_id AS VARCHAR) AS lookup, a.subject_id
+                    FROM asked a JOIN subject s ON s.subject_id = a.subject_id
+                    UNION ALL SELECT a.subject_name, min(s.subject_id)
+                    FROM asked a JOIN subject s ON lower(s.name) = lower({trim_sql('a.subject_name')}) GROUP BY 1""")]
+
+
 @register("r3_events_for_lookups", with_ctes(
     """SELECT h.lookup, h.event_id, CAST(row_number() OVER (PARTITION BY h.lookup
                ORDER BY e.date DESC, e.time DESC, e.event_id) AS BIGINT) AS rank
        FROM hits h JOIN event e ON h.event_id = e.event_id""",
     "subject", "category", "ec_key", "event",
-    extra=[("asked", """SELECT DISTINCT CASE WHEN e.user_id % 2 = 0 THEN e.user_id * 17 END AS subject_id,
-                            CASE WHEN e.user_id % 2 = 1 THEN concat('  ', upper(coalesce(s.name, concat('no subject ',
-                                 CAST(e.user_id AS VARCHAR)))), ' ') END AS subject_name
-                        FROM events e LEFT JOIN subject s ON s.subject_id = e.user_id * 17"""),
-           ("lookups", f"""SELECT CAST(a.subject_id AS VARCHAR) AS lookup, a.subject_id
-                           FROM asked a JOIN subject s ON s.subject_id = a.subject_id
-                           UNION ALL SELECT a.subject_name, min(s.subject_id)
-                           FROM asked a JOIN subject s ON lower(s.name) = lower({trim_sql('a.subject_name')}) GROUP BY 1"""),
+    extra=[*_LOOKUPS_SQL,
            ("hits", f"""SELECT DISTINCT l.lookup, k.event_id FROM lookups l
                        JOIN subject s ON l.subject_id = s.subject_id
                        JOIN category c ON s.category_id = c.category_id
@@ -252,13 +293,45 @@ def r3_events_for_subject(spark, sf_dir):
 def r3_events_for_lookups(spark, sf_dir):
     from .recommend import events_for_subject
     d = Domain(spark, sf_dir)
+    return events_for_subject(d.ev, d.ec, d.sub, d.cat, _lookups(d)).select("lookup", "event_id", "rank")
+
+
+def _lookups(d):
+    """The subjects, by id or by name, that rows of ``events`` ask for."""
     e = d.table("events").select("user_id", (F.col("user_id") * 17).alias("subject_id"))
     by_id = F.col("user_id") % 2 == 0
     name = F.coalesce("name", F.concat(F.lit("no subject "), F.col("user_id").cast("string")))
     asked = e.join(d.sub.select("subject_id", "name"), "subject_id", "left").select(
         F.when(by_id, F.col("subject_id")).alias("subject_id"),
         F.when(~by_id, F.concat(F.lit("  "), F.upper(name), F.lit(" "))).alias("subject_name")).distinct()
-    return events_for_subject(d.ev, d.ec, d.sub, d.cat, asked).select("lookup", "event_id", "rank")
+    return asked
+
+
+_R3_LISTS_SQL = [
+    *_LOOKUPS_SQL,
+    ("members", f"""SELECT lookup, array_to_string(list_sort(list(DISTINCT {key_sql('c.name')})), ', ') AS list_keys FROM lookups l
+                    JOIN subject s ON l.subject_id = s.subject_id JOIN category c ON s.category_id = c.category_id
+                    WHERE {key_sql('c.name')} IS NOT NULL GROUP BY lookup""")]
+
+
+@register("r3_list_members", with_ctes("SELECT lookup, list_keys FROM members", "subject", "category", extra=_R3_LISTS_SQL))
+def r3_list_members(spark, sf_dir):
+    from .recommend import subject_lists
+    d = Domain(spark, sf_dir)
+    return subject_lists(d.ev, d.ec, d.sub, d.cat, _lookups(d))[0].select("lookup", F.array_join("list_keys", ", ").alias("list_keys"))
+
+
+@register("r3_subject_lists", with_ctes(
+    """SELECT h.list_keys, h.event_id, row_number() OVER (PARTITION BY h.list_keys ORDER BY e.date DESC, e.time DESC, e.event_id) AS rank
+       FROM (SELECT DISTINCT m.list_keys, k.event_id FROM (SELECT DISTINCT list_keys FROM members) m
+             JOIN ec_key k ON list_contains(string_split(m.list_keys, ', '), k.category_key)) h
+       JOIN event e ON h.event_id = e.event_id""",
+    "subject", "category", "ec_key", "event", extra=_R3_LISTS_SQL))
+def r3_subject_lists(spark, sf_dir):
+    from .recommend import subject_lists
+    d = Domain(spark, sf_dir)
+    lists = subject_lists(d.ev, d.ec, d.sub, d.cat, _lookups(d))[1]
+    return lists.select(F.array_join("list_keys", ", ").alias("list_keys"), "event_id", "rank")
 
 
 @register("r2_recommend_summary", with_ctes(
