@@ -40,3 +40,23 @@ def test_passages_with_small_changes(spark):
 
 def test_empty(no_docs):
     assert [f.count() for f in L.scan_licenses(no_docs)] == [0, 0]
+
+
+def test_long_texts(spark):
+    """A million words: every phrase is found where it stands, also across slices, and work
+    grows with the length (plain time, with room for other load)."""
+    import time
+
+    def run(n):
+        words = ["w"] * n
+        at = [k for k in range(5, n - 3, 997)]
+        for k in at:
+            words[k:k + 3] = "General", "PUBLIC", "license"
+        began = time.time()
+        row = L.scan_licenses(spark.createDataFrame([(1, " ".join(words))], "doc_id bigint, text string"))[1].first()
+        assert (row["n_words"], row["n_base"], row["first_word"], row["last_word"], row["base_labels"]) == (n, len(at), at[0], at[-1], "gpl")
+        return time.time() - began
+
+    run(1000)
+    quarter, whole = run(250_000), run(1_000_000)
+    assert whole < 8 * quarter + 5

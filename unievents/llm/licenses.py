@@ -37,6 +37,8 @@ PASSAGES = {
     "this source code form is subject to the terms of the mozilla public license": "mpl",
 }
 
+SLICE_WORDS = 64  # word pairs that are exploded from one row
+
 
 def words_of(text: Column) -> Column:
     """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z in lower case."""
@@ -72,16 +74,23 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows.
 
     All word pairs meet the templates in a broadcast join (a few hundred rows); only
-    matches are shuffled. Texts are known by id and hash.
+    matches are shuffled. Texts are known by id and hash. A text of any length is first cut
+    into slices of words that overlap by one, so that work grows with its length; other
+    columns of any name are ignored.
     """
     base, passages = BASE if base is None else base, PASSAGES if passages is None else passages
     plain = pick(docs, id=id_col, text=text_col)
     keyed = plain.select("id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("w"))
-    paired = keyed.select("id", "text_hash", "w", F.posexplode(
-        F.transform(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(F.col("w"), i + 1)))).alias("pos", "hash"))
+    # a pair's row carries the few words of its slice, not those of the text
+    starts = F.when(F.size("w") > 1, F.sequence(F.lit(0), F.size("w") - 2, F.lit(SLICE_WORDS))).otherwise(F.array().cast("array<int>"))
+    slices = F.transform(starts, lambda s: F.struct(s.alias("begin"), F.slice("w", s + 1, F.lit(SLICE_WORDS + 1)).alias("w")))
+    sliced = keyed.select("id", "text_hash", F.explode(slices).alias("part")).select("id", "text_hash", "part.begin", "part.w")
+    paired = sliced.select("id", "text_hash", "begin", "w", F.posexplode(
+        F.transform(F.slice("w", 1, F.size("w") - 1), lambda x, i: F.xxhash64(x, F.get(F.col("w"), i + 1)))).alias("here", "hash"))
     pairs = F.broadcast(_template_pairs(docs, base, passages))
     votes = (paired.join(pairs, "hash")
-             .where((F.get("w", F.col("pos")) == F.col("first")) & (F.get("w", F.col("pos") + 1) == F.col("second")))
+             .where((F.get("w", F.col("here")) == F.col("first")) & (F.get("w", F.col("here") + 1) == F.col("second")))
+             .withColumn("pos", F.col("begin") + F.col("here"))
              .select("id", "text_hash", "template", "label", "is_base", "size", "pos", "at", (F.col("pos") - F.col("at")).alias("diagonal")))
     place = ["id", "text_hash", "template", "label", "is_base", "size"]
     diagonals = (votes.distinct()  # rows repeated as a whole vote once
