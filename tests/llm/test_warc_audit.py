@@ -53,5 +53,40 @@ def test_files_are_read_and_damage_is_bounded(spark, tmp_path):
     assert [(r["offset"], r["status"]) for r in found] == [(at - 3, "changed")]
 
 
+def _audited(spark, tmp_path, name, left, right):
+    for side, data in (("a", left), ("b", right)):
+        (tmp_path / side).mkdir(exist_ok=True)
+        (tmp_path / side / name).write_bytes(data)
+    both = [W.read_warc(spark, str(tmp_path / d)).selectExpr(f"{k} as replica", "*") for k, d in enumerate("ab")]
+    return sorted((r["offset"], r["status"], r["length"], r["copy_length"]) for r in W.audit(both[0].union(both[1])).collect())
+
+
+def test_moved_records_are_no_difference(spark, tmp_path):
+    """One record grows by a byte, one goes, one comes in; copies among them: a row for each
+    of these and none for the many that moved."""
+    records = [W.record_bytes(f"http://h/{k % 60}", b"x" * (k % 60)) for k in range(100)]
+    at = [sum(map(len, records[:k])) for k in range(101)]
+    grown = [*records[:20], W.record_bytes("http://h/20", b"x" * 21), *records[21:]]
+    assert _audited(spark, tmp_path, "one.warc", b"".join(records), b"".join(grown)) == [(at[20], "changed", len(records[20]), len(records[20]) + 1)]
+    new = W.record_bytes("http://new", b"y" * 500)
+    mixed = [*grown[:40], *grown[41:70], new, *grown[70:]]
+    shift = 1 - len(records[40])
+    assert _audited(spark, tmp_path, "one.warc", b"".join(records), b"".join(mixed)) == sorted([
+        (at[20], "changed", len(records[20]), len(records[20]) + 1), (at[70] + shift, "extra", None, len(new)), (at[40], "missing", len(records[40]), None)])
+
+
+def test_compressed_files(spark, tmp_path):
+    """A record a member; a damaged member and a cut file."""
+    import gzip
+
+    records = [W.record_bytes(f"http://h/{k}", b"x" * k) for k in range(30)]
+    members = [gzip.compress(r, mtime=0) for r in records]
+    at = [sum(map(len, members[:k])) for k in range(31)]
+    assert list(W.split_members(b"".join(members))) == list(zip(at, records))
+    broken = [*members[:10], members[10][:12] + b"\0\0" + members[10][14:], *members[11:]]
+    found = _audited(spark, tmp_path, "one.warc.gz", b"".join(members), b"".join(broken)[:-5])
+    assert [(o, s) for o, s, *_ in found] == [(at[10], "changed"), (at[29], "changed")]
+
+
 def test_no_pages(spark):
     assert W.audit(W.archive(_pages(spark).limit(0), _same)).count() == 0

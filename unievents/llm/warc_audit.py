@@ -5,12 +5,14 @@ record's place and digest. A range node is the hash of the leaves that start in
 in the order of their offsets; wider ranges hash the nodes below them, a file its widest
 ranges, buckets of files their files, and the root the buckets. Two replicas are compared
 at the root; where hashes differ, and only there, their children are compared, down to
-the records.
+the records. The records of differing ranges are then aligned by their digests, so that
+one that only moved, as another grew or went before it, is no difference.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unievents.llm.common import keep, pick, rows_of
+from unievents.operators.ordering import number_in_groups
 
 # Width of the ranges in bytes, widest first. A record is over 100 bytes of header, so that
 # a range of the narrowest holds under 700 leaves, any other 64 nodes.
@@ -51,13 +54,36 @@ def split_records(data: bytes) -> Iterator[tuple[int, bytes]]:
         at = end
 
 
+def split_members(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """(offset, record) of a compressed WARC file, of which each record is a gzip member of
+    its own; a member that cannot be read, also the rest of a cut file, stays as it is up to
+    the next member's start or the end."""
+    at = 0
+    while at < len(data):
+        reader = zlib.decompressobj(wbits=31)
+        try:
+            record = reader.decompress(data[at:])
+            end = len(data) - len(reader.unused_data) if reader.eof else -1
+        except zlib.error:
+            end = -1
+        if end < 0:
+            found = data.find(b"\x1f\x8b\x08", at + 1)
+            end = len(data) if found < 0 else found
+            record = data[at:end]
+        yield at, record
+        at = end
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of uncompressed WARC files: one replica, each file by its name."""
+    """The records of WARC files: one replica, each file by its name. Names that end in .gz
+    are read member by member; offsets are those in the file, lengths and digests those of
+    the record itself. A file is read as a whole (2 GB at most)."""
 
     def run(batches):
         for batch in batches:
             for path_, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = [(at, len(r), hashlib.sha256(r).hexdigest()) for at, r in split_records(data)]
+                split = split_members if path_.endswith(".gz") else split_records
+                rows = [(at, len(r), hashlib.sha256(r).hexdigest()) for at, r in split(data)]
                 yield pa.record_batch([pa.array([path_.rsplit("/", 1)[-1]] * len(rows), pa.string()),
                                        pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
                                        pa.array([None] * len(rows), pa.int64()), pa.array([r[2] for r in rows], pa.string())],
@@ -126,44 +152,94 @@ def merkle_levels(leaves: DataFrame) -> list[tuple[list[str], DataFrame]]:
     nodes = keep(_parents(nodes.select("replica", *keys, "offset", "hash"), keys, ["offset"]), "ranges")
     levels.append((keys, nodes))
     for depth in range(len(keys) - 1, -1, -1):
-        nodes = _parents(nodes.select("replica", *keys[:depth + 1], "hash"), keys[:depth], [keys[depth]])
+        nodes = keep(_parents(nodes.select("replica", *keys[:depth + 1], "hash"), keys[:depth], [keys[depth]]), f"level-{depth}")
         levels.append((keys[:depth], nodes))
     return levels[::-1]
 
 
 def audit(records: DataFrame) -> DataFrame:
-    """(record_id, file, offset, status, length, digest, copy_length, copy_digest) for every
-    record on which replicas 0 and 1 of ``records`` differ.
-
-    status: ``changed`` (other bytes in the same place), ``missing`` (replica 1 has no
-    record there), ``extra`` (only replica 1 has one). A record repeated as a whole within a
-    replica counts as one; different records at one offset are compared by their digests,
-    each missing or extra by itself where both sides hold several. Equal replicas, also
-    empty ones, give no rows. A replica without any record misses all of the other's.
+    """(record_id, file, offset, status, length, digest, copy_offset, copy_length,
+    copy_digest) for every record on which replicas 0 and 1 of ``records`` differ.
+
+    status: ``changed`` (replica 1 holds other bytes in its place), ``missing`` (replica 1
+    has no record there), ``extra`` (only replica 1 has one; its offset is copy_offset). A
+    place is the offset or, where records before it grew or went, the gap between records
+    that both hold; a record that only moved is no difference. A record repeated as a whole
+    within a replica counts as one. Equal replicas, also empty ones, give no rows. A replica
+    without any record misses all of the other's. Null ids are ids like others; other
+    columns of any name are ignored.
     """
     leaves = keep(records.select("replica", "file", "offset", "length", "record_id", "digest").distinct(), "leaves")
     levels = merkle_levels(leaves)
     root = levels[0][1].groupBy("replica").agg(F.min("hash").alias("hash")).collect()  # two rows
     if len({r["hash"] for r in root}) == len(root) - 1 or not root:  # both equal, or no record at all
-        return _differences(leaves.where(F.lit(False)).withColumn("hash", F.lit("")), ["file", "offset"])
+        return _aligned(leaves.where(F.lit(False)))
     suspects = None  # keys of the nodes of a level that differ; below the root all are compared
     for keys, nodes in levels[1:-1]:
         below = nodes if suspects is None else nodes.join(suspects, suspects.columns, "left_semi")
         sides = below.groupBy(*keys).agg(F.min("hash").alias("a"), F.max("hash").alias("b"), F.count("*").alias("n"))
         suspects = keep(sides.where("a != b or n != 2").select(*keys), "suspects")
-    keys, nodes = levels[-1]
-    return _differences(nodes.join(suspects, suspects.columns, "left_semi"), keys)
-
-
-def _differences(leaves: DataFrame, keys: list[str]) -> DataFrame:
-    side = [leaves.where(F.col("replica") == r).drop("replica") for r in (0, 1)]
-    first = side[0].join(side[1].select(*keys, "hash"), [*keys, "hash"], "left_anti")
-    other = (side[1].join(side[0].select(*keys, "hash"), [*keys, "hash"], "left_anti")
-             .select(F.col("file").alias("f"), F.col("offset").alias("o"), F.col("record_id").alias("copy_id"),
-                     F.col("length").alias("copy_length"), F.col("digest").alias("copy_digest")))
-    both = first.join(other, (F.col("file") == F.col("f")) & (F.col("offset") == F.col("o")), "full")
+    return _aligned(levels[-1][1].join(suspects, suspects.columns, "left_semi"))
+
+
+PLACE = ["file", "offset", "length", "digest"]
+_ORDER = ["offset", "length", "digest"]
+
+
+def _counts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count(F.when(F.col("replica") == 0, 1)).alias("n0"), F.count(F.when(F.col("replica") == 1, 1)).alias("n1"))
+
+
+def _matches(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows (replica and place) whose first, second, ... of equal ``keys`` both replicas
+    hold."""
+    numbered = keep(number_in_groups(rows, ["replica", *keys], _ORDER, "nth"), "numbered")
+    return numbered.join(_counts(numbered, keys), keys).where(F.col("nth") <= F.least("n0", "n1")).select("replica", *PLACE)
+
+
+def _gaps(rows: DataFrame, some: DataFrame) -> DataFrame:
+    """``some`` of the ``rows`` with q, the number among them, and gap, the number of other
+    rows before, in their replica's file."""
+    all_ = number_in_groups(rows.select("replica", *PLACE), ["replica", "file"], _ORDER, "p")
+    own = number_in_groups(some, ["replica", "file"], _ORDER, "q")
+    return own.join(all_, ["replica", *PLACE]).withColumn("gap", F.col("p") - F.col("q")).drop("p")
+
+
+def _aligned(leaves: DataFrame) -> DataFrame:
+    """The differences among the leaves of differing ranges. Records of equal bytes at one
+    offset are the same, and so are those whose bytes occur once in the file on both sides:
+    these are anchors. Then the first, second, ... record of equal bytes between the same
+    anchors are the same, and lastly those in the file, wherever they moved. What remains is
+    paired by offset, and else by gap: the number of same records before it, and its place
+    among those that remain there. Numbers come from range sorts, not from a window over a
+    file, so that a file of any size is spread over tasks."""
+    sides = leaves.groupBy(*PLACE, "replica").agg(F.max("record_id").alias("record_id"))
+    exact = sides.groupBy(*PLACE).agg(F.count("*").alias("n")).where("n = 2").select(*PLACE).withColumn("exact", F.lit(True))
+    sides = keep(sides.join(exact, PLACE, "left"), "sides")
+    left = sides.where("exact is null").drop("exact")
+    once = _counts(left, ["file", "digest"]).where("n0 = 1 and n1 = 1")
+    left = keep(left.join(once, ["file", "digest"], "left_anti"), "left")
+    if not left.isEmpty():
+        between = keep(_gaps(sides, left), "between")
+        left = left.join(_matches(between, ["file", "gap", "digest"]), ["replica", *PLACE], "left_anti")
+        left = keep(left.join(_matches(left, ["file", "digest"]), ["replica", *PLACE], "left_anti"), "left")
+    if left.isEmpty():
+        remaining = left.withColumn("gap", F.lit(0).cast("bigint")).withColumn("in_gap", F.lit(0).cast("bigint"))
+    else:
+        gaps = keep(_gaps(sides, left), "gaps")
+        start = gaps.groupBy("replica", "file", "gap").agg(F.min("q").alias("start"))
+        remaining = gaps.join(start, ["replica", "file", "gap"]).withColumn("in_gap", F.col("q") - F.col("start"))
+    columns = [F.col("record_id"), F.col("file"), F.col("offset"), F.col("length"), F.col("digest"), F.col("gap"), F.col("in_gap")]
+    first = remaining.where("replica = 0").select(*columns)
+    other = remaining.where("replica = 1").select(*[c.alias(f"copy_{n}") for c, n in zip(columns, ["id", "file", "offset", "length", "digest", "gap", "in_gap"])])
+    same_place = (F.col("file") == F.col("copy_file")) & (F.col("offset") == F.col("copy_offset"))
+    by_offset = first.join(other, same_place)  # a damaged index may hold several records at one offset: each pair is a difference
+    rest0 = first.join(other.select("copy_file", "copy_offset"), same_place, "left_anti")
+    rest1 = other.join(first.select("file", "offset"), same_place, "left_anti")
+    same_gap = (F.col("file") == F.col("copy_file")) & (F.col("gap") == F.col("copy_gap")) & (F.col("in_gap") == F.col("copy_in_gap"))
+    both = by_offset.unionByName(rest0.join(rest1, same_gap, "full"))
     return both.select(
-        F.coalesce("record_id", "copy_id").alias("record_id"), F.coalesce("file", "f").alias("file"),
-        F.coalesce("offset", "o").alias("offset"),
-        F.when(F.col("o").isNull(), "missing").when(F.col("offset").isNull(), "extra").otherwise("changed").alias("status"),
-        "length", "digest", "copy_length", "copy_digest")
+        F.coalesce("record_id", "copy_id").alias("record_id"), F.coalesce("file", "copy_file").alias("file"),
+        F.coalesce("offset", "copy_offset").alias("offset"),
+        F.when(F.col("copy_file").isNull(), "missing").when(F.col("file").isNull(), "extra").otherwise("changed").alias("status"),
+        "length", "digest", "copy_offset", "copy_length", "copy_digest")
