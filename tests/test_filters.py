@@ -76,3 +76,28 @@ def test_keyword_search(spark):
     assert sorted(r.event_id for r in keyword_search(ev, "JAZZ kaunas", f).collect()) == [2, 3]
     assert [r.event_id for r in keyword_search(ev, "jazz", f, {"place": "Vilnius"}).collect()] == [1]
     assert keyword_search(ev, "", f).count() == 3
+
+
+def test_index_finds_what_the_scan_finds(spark):
+    """Random words of all lengths over fields with nulls, other scripts and repeats."""
+    import random
+
+    from unievents.operators.filters import keyword_search
+    from unievents.operators.search import build_keyword_index, search_index
+    rng = random.Random(5)
+    words = ["Jazz", "ja", "z", "Ąžuolas", "open-air", "AIR", "12", "123", "3", "night jazz", "ΟΔΟΣ"]
+    text = lambda: None if rng.random() < 0.1 else " ".join(rng.choice(words) for _ in range(rng.randint(0, 3)))
+    ev = spark.createDataFrame([(k, text(), text(), "x") for k in range(300)], "event_id long, name string, place string, gram string").repartition(4)
+    asked = [(k, " ".join(rng.choice([*words, "azz", "zz", "nothing", "-a", "ž"]) for _ in range(rng.randint(0, 3)))) for k in range(40)]
+    asked += [(100, None), (101, " \t "), (0, asked[0][1]), (102, "jazz\u00a0AIR")]
+    fields = ["name", "place"]
+    index = build_keyword_index(ev, fields)
+    got = search_index(index, ev, spark.createDataFrame(asked, "search_id int, text string")).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r.search_id, []).append(r.event_id)
+    for k, t in asked:
+        want = [] if t is None else sorted(r.event_id for r in keyword_search(ev, t, fields).collect())
+        assert sorted(found.get(k, [])) == want, t
+    n, rows = index.postings.where("gram = 'žuo'").count(), index.postings.count()
+    assert 0 < n < rows / 20

@@ -178,6 +178,23 @@ def r7_student_subjects(spark, sf_dir):
     return student_subjects(d.sub, d.cat, d.ss, asked)
 
 
+_SEARCHES_SQL = """SELECT DISTINCT user_id AS search_id,
+        CASE user_id % 4 WHEN 0 THEN concat('EVENT ', user_id, '  urgent') WHEN 1 THEN concat('nation_', user_id % 25, ' ', user_id)
+                         WHEN 2 THEN concat('high x', user_id) ELSE concat(user_id, ' 5 n') END AS text FROM {events}"""
+
+
+@register("f13_index_search", with_ctes(
+    """SELECT s.search_id, e.event_id FROM searches s, event e
+       WHERE len(list_filter(string_split(lower(s.text), ' '), lambda w: NOT (
+           contains(lower(e.name), w) OR contains(lower(e.place), w) OR contains(lower(e.short_description), w)))) = 0""",
+    "event", extra=[("searches", _SEARCHES_SQL.format(events="events"))]))
+def f13_index_search(spark, sf_dir):
+    from ..operators.search import build_keyword_index, search_index
+    d = Domain(spark, sf_dir)
+    asked = spark.sql(_SEARCHES_SQL.format(events="{rows}"), rows=d.table("events"))
+    return search_index(build_keyword_index(d.ev, ["name", "place", "short_description"]), d.ev, asked)
+
+
 _LISTED_SQL = """SELECT s.subject_id, s.name, s.category_id, c.name AS category_name,
                         row_number() OVER (ORDER BY s.name, s.subject_id) AS position, count(*) OVER () AS total_subjects
                  FROM subject s LEFT JOIN category c ON s.category_id = c.category_id"""
