@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import trim_ws
 
+# ---- fixed values -------------------------------------------------------------------
+INVERTED_RANGE = "{low} cannot be greater than {high}."
+# -------------------------------------------------------------------------------------
+
 
 def _pad_time(t: str | None) -> str | None:
     """A bound as 'HH:mm:ss' text, by the D2 rule (one or two digits each, seconds
@@ -30,11 +34,22 @@ def validate_filter_args(min_price=None, max_price=None, start_date=None, end_da
                          start_time=None, end_time=None) -> None:
     """reject inverted ranges at plan time, with the reference's messages."""
     if min_price is not None and max_price is not None and Decimal(str(min_price)) > Decimal(str(max_price)):
-        raise ValueError("min_price cannot be greater than max_price.")
+        raise ValueError(INVERTED_RANGE.format(low="min_price", high="max_price"))
     if start_date and end_date and str(start_date) > str(end_date):
-        raise ValueError("start_date cannot be greater than end_date.")
+        raise ValueError(INVERTED_RANGE.format(low="start_date", high="end_date"))
     if start_time and end_time and _pad_time(start_time) > _pad_time(end_time):
-        raise ValueError("start_time cannot be greater than end_time.")
+        raise ValueError(INVERTED_RANGE.format(low="start_time", high="end_time"))
+
+
+def filter_request_reasons(requests: DataFrame) -> DataFrame:
+    """F6 for a batch: requests (min_price, max_price, start_date, end_date, start_time,
+    end_time) with the ``reason`` why one is refused, the first that holds, or null. Times
+    are 'HH:mm:ss'; a missing bound refuses nothing."""
+    def inverted(low: str, high: str) -> Column:
+        return F.when(F.col(low) > F.col(high), F.lit(INVERTED_RANGE.format(low=low, high=high)))
+
+    return requests.withColumn("reason", F.coalesce(
+        inverted("min_price", "max_price"), inverted("start_date", "end_date"), inverted("start_time", "end_time")))
 
 
 def event_filter_predicate(min_price=None, max_price=None, start_date=None, end_date=None,

@@ -534,6 +534,45 @@ def p15_event_page_prompts(spark, sf_dir):
     return event_prompts(routed)
 
 
+@register("io5_page_text_files", f"""
+    SELECT page_id, url, t AS text, CAST(length(t) AS INTEGER) AS characters
+    FROM (SELECT page_id, url, {O.page_text_sql('html')} AS t FROM pages) x""")
+def io5_page_text_files(spark, sf_dir):
+    """IO2, P1 and IO5: all pages read from a folder of pages, their text written and read back."""
+    from ..operators.pages import page_texts
+    from ..sources.files import load_pages, write_text
+    path = _document_folder(spark, "text")
+    write_text(page_texts(load_pages(spark, f"{sf_dir.rstrip('/')}/pages.parquet")), path)
+    return spark.read.schema("page_id bigint, url string, text string, characters int").parquet(path)
+
+
+@register("f6_filter_requests", """
+    SELECT event_id, CASE WHEN lo > hi THEN 'min_price cannot be greater than max_price.'
+                          WHEN d0 > d1 THEN 'start_date cannot be greater than end_date.'
+                          WHEN t0 > t1 THEN 'start_time cannot be greater than end_time.' END AS reason
+    FROM (SELECT event_id, value AS lo, CASE WHEN event_id % 3 > 0 THEN value + event_id % 7 - 2 END AS hi,
+                 CAST(ts AS DATE) AS d0, CASE WHEN event_id % 4 > 0 THEN CAST(ts AS DATE) + CAST(event_id % 5 - 1 AS INTEGER) END AS d1,
+                 strftime(ts, '%H:%M:%S') AS t0, CASE WHEN event_id % 2 = 0 THEN '12:00:00' END AS t1 FROM events) r""")
+def f6_filter_requests(spark, sf_dir):
+    """F6 for a filter request of each ``events`` row: why it is refused, if it is."""
+    from ..operators.filters import filter_request_reasons
+    i, v, d = F.col("event_id"), F.col("value"), F.to_date("ts")
+    asked = T.load_table(spark, sf_dir, "events").select(
+        "event_id", v.alias("min_price"), F.when(i % 3 > 0, v + i % 7 - 2).alias("max_price"),
+        d.alias("start_date"), F.when(i % 4 > 0, F.date_add(d, (i % 5 - 1).cast("int"))).alias("end_date"),
+        F.date_format("ts", "HH:mm:ss").alias("start_time"), F.when(i % 2 == 0, F.lit("12:00:00")).alias("end_time"))
+    return filter_request_reasons(asked).select("event_id", "reason")
+
+
+@register("j11_new_students", with_ctes(
+    "SELECT e.event_id, e.user_id, s.student_id IS NULL AS is_new FROM events e LEFT JOIN student s ON e.user_id * 13 = s.student_id", "student"))
+def j11_new_students(spark, sf_dir):
+    from ..operators.joins import split_new
+    d = Domain(spark, sf_dir)
+    batch = d.table("events").select("event_id", "user_id", (F.col("user_id") * 13).alias("student_id"))
+    return split_new(batch, d.stu, ["student_id"]).select("event_id", "user_id", "is_new")
+
+
 # Local link rules for the registered frontier: the three site rules never match the
 # driver's hosts, so listing pages are routed by top-level domain to rules of the same
 # shape (host suffix, path must / must-not contain, lower-case path must contain).
@@ -1591,6 +1630,38 @@ def _requests(spark, sf_dir):
                      ((k * 7) % 10).cast("string").alias("to_semester"))
 
 
+@register("p15_category_prompts", with_ctes(
+    f"SELECT subject_id, name, {PR.prompt_sql(PR.CATEGORY_TEMPLATE, subject='name')} AS prompt FROM subject", "subject"))
+def p15_category_prompts(spark, sf_dir):
+    from .scrape import category_prompts
+    return category_prompts(Domain(spark, sf_dir).sub)
+
+
+_SITE_PROMPT_ARGS = dict(detail_url="url", detail_text="text", city_hint="CASE WHEN city = '' THEN 'Vilnius' ELSE city END")
+
+
+@register("p15_site_prompts", f"""
+    SELECT page_id, url, source, city, CASE source {' '.join(
+        f"WHEN '{site}' THEN {PR.prompt_sql(template, **_SITE_PROMPT_ARGS)}" for site, template in PR.EVENT_TEMPLATES.items())} END AS prompt
+    FROM (SELECT page_id, {O.page_text_sql('html')} AS text,
+                 CASE page_id % 4 WHEN 0 THEN 'litexpo' WHEN 1 THEN 'meetup' WHEN 2 THEN 'kaveikti' ELSE 'other' END AS source,
+                 CASE page_id % 8 WHEN 1 THEN 'Vilnius' WHEN 5 THEN 'Kaunas' ELSE '' END AS city,
+                 CASE page_id % 4 WHEN 0 THEN 'https://www.litexpo.lt/en/events/?page=' || page_id
+                                  WHEN 1 THEN 'https://www.meetup.com/find/?location=lt--' || CASE page_id % 8 WHEN 1 THEN 'Vilnius' ELSE 'Kaunas' END || '&n=' || page_id
+                                  WHEN 2 THEN 'https://www.kaveikti.lt/renginiai/?p=' || page_id ELSE url END AS url
+          FROM pages) p""")
+def p15_site_prompts(spark, sf_dir):
+    """P15's four site templates: every page's text under an address of each site, routed by
+    P11 and P12."""
+    from .scrape import event_prompts, route_pages
+    k, i = F.col("page_id") % 4, F.col("page_id").cast("string")
+    city = F.when(F.col("page_id") % 8 == 1, F.lit("Vilnius")).otherwise(F.lit("Kaunas"))
+    url = (F.when(k == 0, F.concat(F.lit("https://www.litexpo.lt/en/events/?page="), i))
+            .when(k == 1, F.concat(F.lit("https://www.meetup.com/find/?location=lt--"), city, F.lit("&n="), i))
+            .when(k == 2, F.concat(F.lit("https://www.kaveikti.lt/renginiai/?p="), i)).otherwise(F.col("url")))
+    return event_prompts(route_pages(T.load_table(spark, sf_dir, "pages").withColumn("url", url)))
+
+
 @register("r10_subject_prompts", f"""
 WITH req AS ({_REQ_SQL}),
 ok AS (SELECT request_id, url, CAST(fs AS INTEGER) AS from_semester, CAST(ts AS INTEGER) AS to_semester FROM req

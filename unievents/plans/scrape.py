@@ -16,7 +16,7 @@ from ..functions.standardize import price_text, time_hhmm
 from ..operators import pages as P
 from ..operators.aggregates import run_counters
 from ..operators.events import split_events, standardize_event_items
-from ..operators.prompts import (EVENT_LIST_TEMPLATE, SUBJECTS_TEMPLATE, event_prompt,
+from ..operators.prompts import (CATEGORY_TEMPLATE, EVENT_LIST_TEMPLATE, SUBJECTS_TEMPLATE, event_prompt,
                                  prompt_column)
 from ..operators.responses import (normalize_subjects, response_category, response_events,
                                    response_subjects)
@@ -105,6 +105,11 @@ def event_list_prompts(pages: DataFrame) -> DataFrame:
                         prompt_column(EVENT_LIST_TEMPLATE, text=P.page_text(F.col("html"))).alias("prompt"))
 
 
+def category_prompts(sub: DataFrame) -> DataFrame:
+    """R11 job 1: one category prompt per subject (subject_id, name)."""
+    return sub.select("subject_id", "name", prompt_column(CATEGORY_TEMPLATE, subject=F.col("name")).alias("prompt"))
+
+
 def load_event_responses(responses: DataFrame, ev: DataFrame, ec: DataFrame, cat: DataFrame,
                          as_of_year: int, per_link: bool = True):
     """R9 job 2: responses -> M1/M6 items -> D1-D4 -> F12 -> W1 upsert -> W4 categories.
