@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from unievents.functions.text import casefold_key, page_hrefs, page_text
+from unievents.functions.text import casefold_key, page_hrefs, page_text, trim_ws
 
 # html, its text, its links (hand-made)
 ODD = [
@@ -55,3 +55,11 @@ def test_casefold(spark):
     texts = words + ["".join(chars[k:k + 50]) for k in range(0, len(chars), 50)]
     frame = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in frame.select(casefold_key(F.col("t"))).collect()] == [t.casefold() for t in texts]
+
+
+def test_trim(spark):
+    """Every white-space character at both ends, none within, and nothing else."""
+    spaces = [chr(c) for c in range(0x10000) if chr(c).isspace()]
+    texts = [f"{a}{b}x {a}y{b}{a}" for a in spaces for b in spaces[:3]] + ["", "  ", "​x​", None, "ž " * 3, "﻿q", " é　"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(trim_ws(F.col("t"))).collect()]
+    assert got == [t and t.strip() for t in texts]
