@@ -34,7 +34,7 @@ def main() -> None:
     names = [a for a in args if not os.path.isdir(a)] or HEADLINE
     spark = get_spark("local[8]")
     print(f"# Physical plans ({os.path.basename(sf_dir)}, before adaptive re-planning)\n\n"
-          "Made by `tools/explain.py`; `df.explain(\"formatted\")` shows a plan in full.\n")
+          "Made by `tools/explain.py`; `df.explain(\"formatted\")` shows a plan in full. What a checkpoint has run before (R1's candidates, the sorted rows of listings) is not in them.\n")
     for name in names:
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         print(f"## {name}\n\n" + "\n".join(summary(plan)) + "\n")
