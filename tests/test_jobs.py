@@ -1,8 +1,11 @@
 """Snapshot-based event load: seed tables, load responses twice, check versions."""
 
+import datetime as dt
 import os
 import tempfile
 
+from pyspark.sql import functions as F
+
 from unievents.plans.jobs import run_event_load, seed_tables
 from unievents.sources import responses as RS
 from unievents.sources import tables as T
@@ -18,7 +21,15 @@ def test_event_load_job(spark):
                  "category": T.categories(spark, SF)}, root)
     n0 = read_latest(spark, root, "event").count()
     resp = RS.event_responses(spark, SF)
-    w1 = run_event_load(spark, resp, 2026, root, os.path.join(root, "result"))
+    seen, now = dt.datetime(2026, 1, 1), dt.datetime(2026, 6, 1, 12)
+    urls = resp.select("url").distinct().select("url", F.lit("meetup").alias("source"), F.lit("").alias("city"), F.lit(True).alias("is_active"),
+                                                F.lit(seen).alias("last_seen"), F.lit(None).cast("timestamp").alias("last_scraped"))
+    seed_tables({"url": urls}, root)
+    w1 = run_event_load(spark, resp, 2026, root, os.path.join(root, "result"), now)
+    parsed = spark.read.parquet(w1["event_load_log"]).where("item_pos is not null").select("url").distinct()
+    touched = read_latest(spark, root, "url").where(F.col("last_scraped") == now).select("url")
+    assert 0 < parsed.count() == touched.count() and touched.exceptAll(parsed).count() == 0
+    assert read_latest(spark, root, "url").count() == urls.count()
     assert w1["event"].endswith("v=2")
     log = spark.read.parquet(w1["event_load_log"])
     created = log.where("action = 'created'").count()

@@ -6,24 +6,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import category_key
-
-
-def total(df: DataFrame) -> DataFrame:
-    """G1: row count of a listing as a one-row DataFrame."""
-    return df.agg(F.count(F.lit(1)).alias("total"))
-
 
 def interest_by_category(rated_cats: DataFrame) -> DataFrame:
     """Strongest interest per (student, category key)."""
     return rated_cats.groupBy("student_id", "category_key").agg(F.max("interest").alias("interest"))
 
 
-def event_scores(matches: DataFrame) -> DataFrame:
-    """Strongest matched interest per (student, event)."""
-    return matches.groupBy("student_id", "event_id").agg(F.max("interest").alias("score"))
-
-
 def categories_per_event(ec: DataFrame) -> DataFrame:
     """Sorted distinct category names per event (bounded by an event's own tags)."""
     return ec.groupBy("event_id").agg(F.array_sort(F.collect_set("category_name")).alias("categories"))
@@ -50,7 +38,3 @@ def student_flags(stu: DataFrame, ss: DataFrame) -> DataFrame:
                .select("student_id",
                        F.coalesce("has_subjects", F.lit(False)).alias("has_subjects"),
                        F.coalesce("has_rated", F.lit(False)).alias("has_rated")))
-
-
-def category_key_col(name_col: str = "category_name"):
-    return category_key(F.col(name_col))

@@ -4,12 +4,14 @@ overwrites what it reads, and each written version cuts the lineage for the next
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import write_events_json
 from ..sources.snapshot import default_root, read_latest, write_version
-from .scrape import load_event_responses
+from .scrape import load_event_responses, mark_scraped
 
 
 def seed_tables(tables: dict[str, DataFrame], root: str) -> dict[str, str]:
@@ -18,11 +20,13 @@ def seed_tables(tables: dict[str, DataFrame], root: str) -> dict[str, str]:
 
 
 def run_event_load(spark: SparkSession, responses: DataFrame, as_of_year: int,
-                   root: str | None = None, result_path: str | None = None) -> dict[str, str]:
+                   root: str | None = None, result_path: str | None = None,
+                   now: dt.datetime | None = None) -> dict[str, str]:
     """R9 job 2 against the newest snapshots under ``root`` (default: the shared
     checkpoint folder): writes the next ``event``, ``event_category`` and ``category``
-    versions and the action log, and optionally the IO7 result documents. Returns the
-    written paths."""
+    versions and the action log, and optionally the IO7 result documents. Where there is a
+    ``url`` table and ``now`` is given, the next one has the scraped links touched (W11).
+    Returns the written paths."""
     root = root or default_root(spark)
     ev = read_latest(spark, root, "event")
     ec = read_latest(spark, root, "event_category")
@@ -36,8 +40,11 @@ def run_event_load(spark: SparkSession, responses: DataFrame, as_of_year: int,
         "category": write_version(out["next_categories"], root, "category"),
         "event_load_log": write_version(out["log"], root, "event_load_log"),
     }
+    log = spark.read.parquet(written["event_load_log"])
+    urls = read_latest(spark, root, "url") if now else None
+    if urls is not None:
+        written["url"] = write_version(mark_scraped(urls, log, now), root, "url")
     if result_path:
-        log = spark.read.parquet(written["event_load_log"])
         listing = tuple(c for c in ("url", "source", "city") if c in responses.columns)
         if len(listing) > 1:  # one row per response, so the listing's columns come back by its id
             log = log.drop(*listing[1:]).join(responses.select("prompt_id", *listing[1:]), "prompt_id", "left")

@@ -155,10 +155,10 @@ def load_event_responses(responses: DataFrame, ev: DataFrame, ec: DataFrame, cat
             "log": full_log, "counters": run_counters(full_log, actions=("created", "updated", "failed"))}
 
 
-def mark_scraped(urls: DataFrame, responses: DataFrame, now: dt.datetime) -> DataFrame:
-    """W11 after R9: links whose response parsed get last_scraped = now."""
-    items, _ = response_events(responses, per_link=True)
-    return touch_urls(urls, items.select("url"), now)
+def mark_scraped(urls: DataFrame, log: DataFrame, now: dt.datetime) -> DataFrame:
+    """W11 after R9: links whose response parsed (rows of the log that come from an item) get
+    last_scraped = now."""
+    return touch_urls(urls, log.where(F.col("item_pos").isNotNull()).select("url"), now)
 
 
 def subject_prompts(requests: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
