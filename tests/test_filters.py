@@ -101,3 +101,18 @@ def test_index_finds_what_the_scan_finds(spark):
         assert sorted(found.get(k, [])) == want, t
     n, rows = index.postings.where("gram = 'žuo'").count(), index.postings.count()
     assert 0 < n < rows / 20
+
+
+def test_f13_a_search_reads_the_postings_of_its_rarest_word_only(spark):
+    from unievents.operators.search import build_keyword_index, search_index
+    ev = spark.createDataFrame([(i, f"Event {i}", "hall" if i % 2 else None) for i in range(1000, 1400)] + [(None, "Event 1234", "hall")],
+                               "event_id long, name string, place string")
+    index = build_keyword_index(ev, ["name", "place"])
+    held = {r.gram: r.n for r in index.postings.where("id is not null").groupBy("gram").count().withColumnRenamed("count", "n").collect()}
+    assert held["1234"] == 1 and held["23"] == 14  # a word is a gram itself
+    assert not held.keys() & {"event", "t 1", "e"}  # held by many: a count, no postings
+    asked = spark.createDataFrame([(1, "EVENT 1234"), (2, "hall event 123"), (3, "event 9"), (4, "nothing event"), (5, " "), (6, None)],
+                                  "search_id int, text string")
+    got = {(r.search_id, r.event_id) for r in search_index(index, ev, asked).collect()}
+    ids = range(1000, 1400)
+    assert got == {(1, 1234)} | {(2, i) for i in ids if "123" in str(i) and i % 2} | {(3, i) for i in ids if "9" in str(i)} | {(5, i) for i in ids}
