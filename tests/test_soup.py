@@ -63,3 +63,23 @@ def test_trim(spark):
     texts = [f"{a}{b}x {a}y{b}{a}" for a in spaces for b in spaces[:3]] + ["", "  ", "​x​", None, "ž " * 3, "﻿q", " é　"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(trim_ws(F.col("t"))).collect()]
     assert got == [t and t.strip() for t in texts]
+
+
+def test_a_batch_holds_one_parsed_page_at_a_time(monkeypatch):
+    import weakref
+
+    import pandas as pd
+
+    from unievents.functions import soup
+    made, most, parse = [], [], soup.parse_page
+
+    def counted(html):
+        page = parse(html)
+        made.append(weakref.ref(page))
+        most.append(sum(r() is not None for r in made))
+        return page
+
+    monkeypatch.setattr(soup, "parse_page", counted)
+    got = soup.parsed.func(pd.Series(["<a href='/1'>x</a>"] * 50 + [None]))
+    assert list(got["text"]) == ["x"] * 50 + [None] and got["links"][49] == ["/1"]
+    assert max(most) <= 2
