@@ -110,3 +110,38 @@ def test_requests_without_a_page_are_rejected(spark):
     prompts, rejected = subject_prompts(requests, fetched)
     assert [(r.request_id, r.text) for r in prompts.collect()] == [(1, "new")]
     assert [r.request_id for r in rejected.collect()] == [2]
+
+
+def _operators(df):
+    """The names of the plan's operators and expressions, as they are optimised."""
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_reply_values_are_told_apart_without_their_schema(spark):
+    from unievents.operators.responses import is_object
+    cases = {"{}": True, '{"any": 1}': True, '{"events": [{"a": [1]}]}': True, "[]": False, '["any"]': False, "null": False, "1": False, '"any"': False, None: False, "{": False}
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(cases)], "i int, text string").select("i", F.try_parse_json("text").alias("v"))
+    got = rows.select("i", is_object(F.col("v")).alias("ok"))
+    assert [r.ok for r in got.orderBy("i").collect()] == list(cases.values())
+    assert "schema_of_variant" not in _operators(got)
+
+
+def test_plain_dates_need_no_tokens_and_read_the_same(spark):
+    from unievents.functions.standardize import standardize_date, with_standard_date
+    cases = ["2026-03-15", "2026-3-5", "0000-1-1", "2026-02-30", "2026-13-01", "2026-00-10", " 2026-03-15 ", "2026-03-15\n", "2026–03–15", "15/03/2026", "May 5", "20 Smarch 2026", "26-03-15", "", None]
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(cases)], "i int, raw string")
+    got = with_standard_date(rows, "raw", "date", 2026)
+    both = got.select("i", F.col("date").cast("string").alias("a"), standardize_date(F.col("raw"), 2026).cast("string").alias("b")).orderBy("i").collect()
+    assert [r.a for r in both] == [r.b for r in both]
+    assert [r.a for r in both] == ["2026-03-15", "2026-03-05", "0000-01-01", None, None, None, *["2026-03-15"] * 4, "2026-05-05", None, None, None, None]
+    assert "_d_plain" in _operators(got)
+
+
+def test_times_are_read_without_failing_casts(spark):
+    from unievents.functions.standardize import standardize_time
+    cases = {"9:5": "09:05:00", "09:05": "09:05:00", "23:59:59": "23:59:59", " 0:0:7 ": "00:00:07", "24:00": None, "12:60": None, "12:00:60": None,
+             "12": None, "12:": None, "12:00:": None, "1:2:3:4": None, "123:00": None, "": None, None: None, "١:00": None}
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(cases)], "i int, raw string")
+    got = rows.select("i", standardize_time(F.col("raw")).alias("t"))
+    assert [r.t for r in got.orderBy("i").collect()] == list(cases.values())
+    assert "cast(" not in _operators(got)

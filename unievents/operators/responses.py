@@ -66,7 +66,8 @@ def recover_json(raw: Column) -> Column:
 
 
 def is_object(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    """By a field that need not be there: the schema of a value would read all of it."""
+    return F.try_variant_get(v, "$", "struct<any:variant>").isNotNull()
 
 
 def response_subjects(df: DataFrame, text_col: str = "response", id_col: str = "prompt_id") -> DataFrame:
@@ -147,7 +148,7 @@ def response_events(df: DataFrame, per_link: bool = True, text_col: str = "respo
         arr = F.when(is_object(F.col("_v")), F.try_variant_get(F.col("_v"), "$.events", "array<variant>"))
         with_arr = base.withColumn("_arr", arr)
         good = with_arr.where(F.col("_arr").isNotNull()) \
-                       .select(*df.columns, F.posexplode("_arr").alias("item_pos", "_item")) \
+                       .select(*df.columns, F.posexplode_outer("_arr").alias("item_pos", "_item")) \
                        .where(is_object(F.col("_item")))
         bad = with_arr.where(F.col("_arr").isNull()).drop("_arr")
         failed_reason = "Could not parse events JSON from model output."
