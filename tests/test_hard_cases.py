@@ -126,6 +126,17 @@ def test_reply_values_are_told_apart_without_their_schema(spark):
     assert "schema_of_variant" not in _operators(got)
 
 
+def test_subject_names_are_trimmed_once_and_empty_lists_give_none(spark):
+    from unievents.operators.responses import response_subjects
+    rows = spark.createDataFrame([
+        (1, '{"study_subjects": []}'), (2, '{"study_subjects": [" A ", "a", null, 7, "  ", "study _subjects:[ x"]}'), (3, "- B\n • c -\n\n{\n\tB"), (4, ""), (5, None)],
+        "prompt_id long, response string")
+    got = response_subjects(rows)
+    assert sorted(map(tuple, got.collect())) == [(2, 0, "A"), (3, 0, "B"), (3, 1, "c")]
+    filters = [line for line in _operators(got).splitlines() if "Filter" in line]
+    assert filters and not any("trim(" in line or "size(" in line for line in filters)
+
+
 def test_plain_dates_need_no_tokens_and_read_the_same(spark):
     from unievents.functions.standardize import standardize_date, with_standard_date
     cases = ["2026-03-15", "2026-3-5", "0000-1-1", "2026-02-30", "2026-13-01", "2026-00-10", " 2026-03-15 ", "2026-03-15\n", "2026–03–15", "15/03/2026", "May 5", "20 Smarch 2026", "26-03-15", "", None]

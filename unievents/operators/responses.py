@@ -81,20 +81,25 @@ def response_subjects(df: DataFrame, text_col: str = "response", id_col: str = "
     from_json = F.transform(arr, lambda x: F.when(F.schema_of_variant(x) == "STRING",
                                                   F.variant_get(x, "$", "string")))
     lines = F.transform(F.split(s, LINE_BREAKS),
-                        lambda x: F.regexp_replace(x, r"^[-• \t]+|[-• \t]+$", ""))
+                        lambda x: F.btrim(x, F.lit(LINE_STRIP)))
     from_lines = F.filter(lines, lambda x: x != "")
     items = F.when(arr.isNotNull(), from_json).otherwise(from_lines)
-    exploded = rec.select(F.col(id_col), F.posexplode(items).alias("pos", "raw_name"))
+    # outer: an inner one is planned with filters that work the list out again; the rows of
+    # empty lists have no name and drop out below
+    exploded = rec.select(F.col(id_col), F.posexplode_outer(items).alias("pos", "raw_name"))
     return normalize_subjects(exploded, id_col)
 
 
 def normalize_subjects(items: DataFrame, id_col: str = "prompt_id") -> DataFrame:
     """M3 + M4 over (id, pos, raw_name) rows (raw_name NULL = not a string)."""
-    name = trim_ws(F.col("raw_name"))
+    name = F.col("name")
     compact = F.replace(name, F.lit(" "), F.lit(""))
-    keep = (name.isNotNull() & (name != "") & ~name.isin(SUBJECT_SKIP_TOKENS)
-            & ~F.exists(F.array(*[F.lit(p) for p in SUBJECT_SKIP_PREFIXES]), lambda p: compact.startswith(p)))
-    kept = items.withColumn("name", name).where(keep).withColumn("_key", casefold_key(F.col("name")))
+    keep = name.isNotNull() & (name != "") & ~name.isin(SUBJECT_SKIP_TOKENS)
+    for prefix in SUBJECT_SKIP_PREFIXES:
+        keep = keep & ~compact.startswith(prefix)
+    # trimmed once a row: filters are not moved below a generator, so none trims again
+    trimmed = items.select(*[c for c in items.columns if c != "name"], F.explode(F.array(trim_ws(F.col("raw_name")))).alias("name"))
+    kept = trimmed.where(keep).withColumn("_key", casefold_key(name))
     w = Window.partitionBy(id_col, "_key").orderBy("pos")
     return (kept.withColumn("_first", F.row_number().over(w)).where("_first = 1")
                 .select(id_col, "pos", "name"))
