@@ -137,3 +137,9 @@ def test_no_training_rows_and_empty(spark):
     found = C.score_texts(spark.createDataFrame([(k, "a b") for k in held], "doc_id bigint, text string"), HELD, depth=2).collect()
     assert {(r["n_known"], r["train_tokens"], r["base_score"], round(r["bits_per_byte"], 9)) for r in found} == {(0, 0, 0.0, 8.0)}
     assert C.score_texts(spark.createDataFrame([], "doc_id bigint, text string"), HELD).count() == 0
+
+
+def test_merged_parts_are_summed_and_let_go():
+    parts = [(C.np.array([1, 5, 9]), C.np.array([2, 0, 1])), (C.np.array([0, 5]), C.np.array([4, 3]))]
+    keys, n = C._merged(parts)
+    assert keys.tolist() == [0, 1, 5, 9] and n.tolist() == [4, 2, 3, 1] and parts == []

@@ -66,6 +66,19 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(n[order], first) if len(first) else n[:0]
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """``_summed`` of all ``parts``. The list is emptied on the way, so that parts, their
+    order and the result are not held at once."""
+    keys, n = (np.concatenate(x) for x in zip(*parts))
+    parts.clear()
+    order = np.argsort(keys, kind="stable")
+    n = n[order]
+    del order
+    keys.sort()
+    first = _runs(keys)
+    return keys[first], np.add.reduceat(n, first) if len(first) else n[:0]
+
+
 def node_keys(grams: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each of the eight bits: key (context, then the node as a byte: a one, then the
     bits so far) and bit of each gram. Keys rise with the grams."""
@@ -334,7 +347,7 @@ class Chunk:
 
     def merge(self) -> None:
         if len(self.grams) > 1:
-            self.grams = [_summed(*(np.concatenate(x) for x in zip(*self.grams)))]
+            self.grams.append(_merged(self.grams))
             words = pa.concat_tables(self.words).group_by("data", use_threads=False).aggregate([("n", "sum")])
             self.words = [words.rename_columns({"n_sum": "n"}).combine_chunks()]
 
