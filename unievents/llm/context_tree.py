@@ -435,49 +435,54 @@ def _scored(chunks: DataFrame, grams: DataFrame, words: DataFrame, facts: tuple[
     counted = chunks.where("kind = 1").select("chunk", "kind", "data").join(words.where("n > 0"), "data").select(
         "chunk", "kind", no_gram, "data", F.col("n").cast("double").alias("value"))
     blocks = chunks.where("kind = 2").select("chunk", "kind", no_gram, "data", F.lit(None).cast("double").alias("value"))
-    dealt = known.union(counted).union(blocks).repartition("chunk").sortWithinPartitions("chunk", "kind")
+    dealt = known.union(counted).union(blocks).repartition("chunk").sortWithinPartitions("chunk", "kind", "gram")
     row_bits = np.uint64(64 - 8 * (depth + 1))
 
+    def scored(data, found, scores, counts):
+        block = pa.ipc.open_stream(data.as_buffer()).read_next_batch()
+        rows = [*zip(*(block.column(c).to_pylist() for c in ("before", "text", "last")))]
+        key, starts, ends = windows(rows, depth)
+        row, own = _places(starts, ends, len(key))
+        key <<= row_bits
+        key |= row.astype(np.uint64)
+        key = key[own]
+        del row, own
+        key.sort()  # by gram, then row
+        gram = (key >> row_bits).astype(np.int64)
+        first = _runs(gram)
+        each = np.repeat(scores[np.searchsorted(found, gram[first])], np.diff(np.r_[first, len(gram)]))
+        del gram, first
+        total = np.bincount((key & np.uint64((1 << int(row_bits)) - 1)).astype(np.int64), each, len(rows))
+        out = {"n_bytes": [], "n_tokens": [], "n_known": [], "base_score": []}
+        for _, text, last in rows:
+            words = text.split()
+            c = np.fromiter((counts.get(w, 0.0) for w in words), float, len(words))
+            if last:
+                c = np.append(c, n_texts)
+            out["n_bytes"].append(len(text) + last)
+            out["n_tokens"].append(len(c))
+            out["n_known"].append(int(np.count_nonzero(c)))
+            out["base_score"].append(float(np.log10((c + 0.5) / share).sum()))
+        return pa.record_batch({**{k: block.column(k) for k in ("row", "id", "held")},
+                                **{c: pa.array(v, pa.float64() if c == "base_score" else pa.int64()) for c, v in out.items()}, "score": pa.array(total)})
+
     def score(batches):
         at, found, scores, counts = None, [], [], {}
         for (chunk, kind), part in runs_of(batches, ["chunk", "kind"]):
             if chunk != at:
                 at, found, scores, counts = chunk, [], [], {}
-            if kind == 0:
-                found.append(part.column("gram").to_numpy())
-                scores.append(part.column("value").to_numpy())
+            if kind == 0:  # rising by gram; copies, so that the batch with its other columns is let go
+                found.append(part.column("gram").to_numpy().copy())
+                scores.append(part.column("value").to_numpy().copy())
                 continue
             if kind == 1:
                 counts.update(zip(part.column("data").to_pylist(), part.column("value").to_pylist()))
                 continue
             if isinstance(found, list):
-                found, scores = (np.concatenate(x) for x in (found, scores))
-                order = np.argsort(found)
-                found, scores = found[order], scores[order]
+                found = np.concatenate(found)
+                scores = np.concatenate(scores)
             for data in part.column("data"):
-                block = pa.ipc.open_stream(data.as_buffer()).read_next_batch()
-                rows = [*zip(*(block.column(c).to_pylist() for c in ("before", "text", "last")))]
-                key, starts, ends = windows(rows, depth)
-                row, own = _places(starts, ends, len(key))
-                key <<= row_bits
-                key |= row.astype(np.uint64)
-                key = np.sort(key[own])  # by gram, then row
-                gram = (key >> row_bits).astype(np.int64)
-                first = _runs(gram)
-                each = np.repeat(scores[np.searchsorted(found, gram[first])], np.diff(np.r_[first, len(gram)]))
-                total = np.bincount((key & np.uint64((1 << int(row_bits)) - 1)).astype(np.int64), each, len(rows))
-                out = {"n_bytes": [], "n_tokens": [], "n_known": [], "base_score": []}
-                for _, text, last in rows:
-                    words = text.split()
-                    c = np.fromiter((counts.get(w, 0.0) for w in words), float, len(words))
-                    if last:
-                        c = np.append(c, n_texts)
-                    out["n_bytes"].append(len(text) + last)
-                    out["n_tokens"].append(len(c))
-                    out["n_known"].append(int(np.count_nonzero(c)))
-                    out["base_score"].append(float(np.log10((c + 0.5) / share).sum()))
-                yield pa.record_batch({**{k: block.column(k) for k in ("row", "id", "held")},
-                                       **{c: pa.array(v, pa.float64() if c == "base_score" else pa.int64()) for c, v in out.items()}, "score": pa.array(total)})
+                yield scored(data, found, scores, counts)
 
     return dealt.mapInArrow(score, f"row bigint, id {id_kind}, held boolean, n_bytes bigint, n_tokens bigint, n_known bigint, base_score double, score double")
 
