@@ -143,3 +143,14 @@ def test_merged_parts_are_summed_and_let_go():
     parts = [(C.np.array([1, 5, 9]), C.np.array([2, 0, 1])), (C.np.array([0, 5]), C.np.array([4, 3]))]
     keys, n = C._merged(parts)
     assert keys.tolist() == [0, 1, 5, 9] and n.tolist() == [4, 2, 3, 1] and parts == []
+
+
+def test_a_task_works_on_few_groups_at_once():
+    import numpy as np
+    import pyarrow as pa
+    from unievents.llm.context_tree import _groups
+    root = np.arange(200_000) // 7
+    batches = [pa.record_batch({"root": pa.array(root[at:at + 10_000])}) for at in range(0, len(root), 10_000)]
+    tables = [t["root"].to_numpy() for t in _groups(iter(batches), "root")]
+    assert max(len(t) for t in tables) < 1 << 16
+    assert (np.concatenate(tables) == root).all() and all(a[-1] != b[0] for a, b in zip(tables, tables[1:]))

@@ -156,7 +156,7 @@ def subtree_scores(grams: np.ndarray, n: np.ndarray, nodes: dict[str, np.ndarray
     return score
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 1 << 17) -> Iterator[pa.Table]:
+def _groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 1 << 15) -> Iterator[pa.Table]:
     """Tables of whole groups of ``key``, by which the batches are sorted, of about ``rows``
     rows or one group."""
     held: list[pa.RecordBatch] = []
@@ -421,6 +421,8 @@ def _chunked(texts: DataFrame, depth: int, chunk_bytes: int, chunk_grams: int, p
         if block:
             yield from blocks()
         yield from vocabulary()
+        del chunk
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     return keep(texts.mapInArrow(cut, "chunk bigint, kind int, gram bigint, data binary, n bigint"), "chunks")
 
