@@ -154,3 +154,50 @@ def test_a_task_works_on_few_groups_at_once():
     tables = [t["root"].to_numpy() for t in _groups(iter(batches), "root")]
     assert max(len(t) for t in tables) < 1 << 16
     assert (np.concatenate(tables) == root).all() and all(a[-1] != b[0] for a, b in zip(tables, tables[1:]))
+
+
+def test_a_chunks_grams_and_words_go_back_in_bundles(spark):
+    """Not in a row for each gram and word: all of them, few to a row, by chunk."""
+    rows = [(k % 3, 0, 5 * k, float(-k)) for k in range(3000)]
+    found = spark.createDataFrame(rows, "chunk bigint, kind int, gram bigint, value double").coalesce(1).mapInArrow(
+        C.bundles, "chunk bigint, kind int, gram array<bigint>, data binary, value array<double>").collect()
+    assert sorted((r["chunk"], 0, g, v) for r in found for g, v in zip(r["gram"], r["value"], strict=True)) == sorted(rows)
+    assert len(found) == 3 * -(-1000 // C.BUNDLE) and {(r["kind"], r["data"]) for r in found} == {(0, None)}
+    rows = [(k % 2, 1, b"w%d\xc3\xa9" % k, float(k)) for k in range(300)]
+    found = spark.createDataFrame(rows, "chunk bigint, kind int, data binary, value double").coalesce(1).mapInArrow(
+        C.bundles, "chunk bigint, kind int, gram array<bigint>, data binary, value array<double>").collect()
+    assert sorted((r["chunk"], 1, w, v) for r in found for w, v in zip(r["data"].split(), r["value"], strict=True)) == sorted(rows)
+    assert len(found) == 2 * -(-150 // C.BUNDLE) and {(r["kind"], r["gram"]) for r in found} == {(1, None)}
+
+
+def test_a_chunk_holds_little_beside_its_grams():
+    """Its grams are merged without their order or a second copy of all."""
+    import tracemalloc
+    rng = C.np.random.default_rng(3)
+    texts = [rng.integers(97, 123, 1 << 17, C.np.uint8).tobytes() for _ in range(32)]
+    chunk = C.Chunk(5)
+    tracemalloc.start()
+    for text in texts:
+        chunk.add((b"\xff" * 5, text, True), False)
+    (grams, n), = chunk.vocabulary()[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n.sum() == 32 * ((1 << 17) + 1) and (grams[1:] > grams[:-1]).all()
+    assert peak < 2.3 * 16 * len(grams)
+
+
+def test_a_task_gets_few_texts_at_once(spark):
+    """Batches of texts and blocks are bounded by bytes; the session's own bound stays as it was."""
+    name, sizes = "spark.sql.execution.arrow.maxBytesPerBatch", {}
+    before = spark.conf.get(name, None)
+    plain = C.keep
+
+    def kept(df, label):
+        sizes[label] = spark.conf.get(name, None)
+        return plain(df, label)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(C, "keep", kept)
+        C.score_texts(spark.createDataFrame([(1, "a b")], "doc_id bigint, text string"), HELD, depth=0)
+    assert {k for k, v in sizes.items() if v == str(C.BATCH_BYTES)} == {"chunks", "scores"}
+    assert sizes["grams"] == before == spark.conf.get(name, None)

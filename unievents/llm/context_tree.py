@@ -9,7 +9,8 @@ children's. What the trained tree gives for the next bit mixes the estimates of
 Counts and scores are Spark tables of grams (context and byte) that grow with the corpus.
 The deepest levels of a tree are worked out per ``top`` byte context, of which a task holds
 a few at a time, the others by joins and sums over nodes. Texts are kept in chunks with the
-set of grams that occur in them, so that only these sets, and each text once, are shuffled.
+set of grams that occur in them, so that only these sets, and each text once, are shuffled;
+scores go back to a chunk in bundles of grams, not in a row for each.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +29,8 @@ from unievents.llm.common import keep, pick, runs_of
 
 PAD = b"\xff"  # occurs in no UTF-8 text: stands before its first byte and for its end
 SPACE = b" \t\n\v\f\r"
+BATCH_BYTES = 4 << 20  # of rows that go to a task at once, but for single longer ones
+BUNDLE = 64  # grams or words of a chunk in a row that goes back to it
 
 
 # Estimates, for columns and for arrays alike ----------------------------------------------
@@ -67,16 +71,19 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """``_summed`` of all ``parts``. The list is emptied on the way, so that parts, their
-    order and the result are not held at once."""
-    keys, n = (np.concatenate(x) for x in zip(*parts))
-    parts.clear()
-    order = np.argsort(keys, kind="stable")
-    n = n[order]
-    del order
-    keys.sort()
-    first = _runs(keys)
-    return keys[first], np.add.reduceat(n, first) if len(first) else n[:0]
+    """``_summed`` of all ``parts``, each of different rising keys; the first one's counts may
+    change in place. The list is emptied on the way, so that no more is held than a part, what
+    comes before it and both in one."""
+    keys, n = parts.pop(0)
+    while parts:
+        more, more_n = parts.pop(0)
+        place, hit = _found(keys, more)
+        n[place[hit]] += more_n[hit]
+        more, more_n = more[~hit], more_n[~hit]
+        place = np.searchsorted(keys, more)
+        keys = np.insert(keys, place, more)
+        n = np.insert(n, place, more_n)
+    return keys, n
 
 
 def node_keys(grams: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -307,12 +314,9 @@ def windows(rows: list[tuple[bytes, bytes, bool]], depth: int) -> tuple[np.ndarr
     return grams, starts, ends - depth
 
 
-def _places(starts: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The row of each of ``n`` places, and whether it is one of the row's own."""
-    bounds = np.column_stack((starts, ends)).ravel()
-    lengths = np.diff(np.r_[bounds, n])
-    return (np.repeat(np.arange(len(starts)), lengths[::2] + lengths[1::2]),
-            np.repeat(np.tile([True, False], len(starts)), lengths))
+def _own(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """Whether each of ``n`` places is one of a row's own."""
+    return np.repeat(np.tile([True, False], len(starts)), np.diff(np.r_[np.column_stack((starts, ends)).ravel(), n]))
 
 
 class Chunk:
@@ -320,49 +324,77 @@ class Chunk:
 
     def __init__(self, depth: int):
         self.depth, self.rows, self.waiting, self.bytes = depth, {False: [], True: []}, 0, 0
-        self.grams: list[tuple[np.ndarray, np.ndarray]] = []
+        self.grams: list[tuple[np.ndarray, np.ndarray]] = []  # what was merged, then small parts
         self.words: list[pa.Table] = []
 
     def add(self, row: tuple[bytes, bytes, bool], held: bool) -> None:
         self.rows[held].append(row)
         self.waiting += len(row[1]) + 64
         self.bytes += len(row[1]) + 64
-        if self.waiting > 1 << 20:
+        if self.waiting > 1 << 18:
             self.count()
 
     def count(self) -> None:
         for held, rows in self.rows.items():
             if rows:
                 grams, starts, ends = windows(rows, self.depth)
-                grams = np.sort(grams[_places(starts, ends, len(grams))[1]])
+                grams = grams[_own(starts, ends, len(grams))]
+                grams.sort()
                 first = _runs(grams)
                 n = np.diff(np.r_[first, len(grams)])
-                self.grams.append((grams[first].astype(np.int64), n * 0 if held else n))
+                self.grams.append((grams[first].view(np.int64), n * 0 if held else n))
+                del grams, starts, ends, first
                 found = pa.array(b" ".join(piece for _, piece, _ in rows).split(), pa.binary()).value_counts()
                 n = found.field(1).to_numpy()
                 self.words.append(pa.table({"data": found.field(0), "n": pa.array(n * 0 if held else n)}))
-        if sum(len(g) for g, _ in self.grams[1:]) > 1 << 20:
-            self.merge()
+        if sum(len(g) for g, _ in self.grams[1:]) > 1 << 18:
+            self.merge_grams()
+        if sum(len(t) for t in self.words[1:]) > 1 << 18:
+            self.merge_words()
         self.rows, self.waiting = {False: [], True: []}, 0
 
-    def merge(self) -> None:
+    def merge_grams(self) -> None:
         if len(self.grams) > 1:
+            first, rest = self.grams[0], self.grams[1:]
+            self.grams = [first, _merged(rest)]
+            del first
             self.grams.append(_merged(self.grams))
-            words = pa.concat_tables(self.words).group_by("data", use_threads=False).aggregate([("n", "sum")])
+
+    def merge_words(self) -> None:
+        if len(self.words) > 1:
+            words = pa.concat_tables(self.words)
+            self.words.clear()
+            words = words.group_by("data", use_threads=False).aggregate([("n", "sum")])
             self.words = [words.rename_columns({"n_sum": "n"}).combine_chunks()]
 
     def full(self, bytes_: int, grams: int) -> bool:
         if sum(len(g) for g, _ in self.grams) >= grams and self.bytes < bytes_:
-            self.merge()
+            self.merge_grams()
         return self.bytes >= bytes_ or sum(len(g) for g, _ in self.grams) >= grams
 
     def vocabulary(self) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[pa.Table]]:
         """(grams, counts) and words with counts, each in one part at most."""
         self.count()
-        self.merge()
+        self.merge_grams()
+        self.merge_words()
         return self.grams, self.words
 
 
+def _kept(df: DataFrame, label: str) -> DataFrame:
+    """``keep``, with batches to its Python tasks of about ``BATCH_BYTES``: texts and blocks
+    are long rows. The session's own bound is set again."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(name, None)
+    conf.set(name, str(BATCH_BYTES))
+    try:
+        return keep(df, label)
+    finally:
+        if before is None:
+            conf.unset(name)
+        else:
+            conf.set(name, before)
+
+
 def packed(block: list[tuple], id_type: pa.DataType) -> bytes:
     """(row, id as an array, held, piece) of some pieces, compressed."""
     rows, ids, held, parts = zip(*block)
@@ -411,7 +443,7 @@ def _chunked(texts: DataFrame, depth: int, chunk_bytes: int, chunk_grams: int, p
                     block.append((part << 40 | row_no, key, held, piece))
                     size += len(piece[1]) + 64
                     full = chunk.full(chunk_bytes, chunk_grams)
-                    if full or size >= 1 << 20 or len(block) >= most:
+                    if full or size >= 1 << 18 or len(block) >= most:
                         yield from blocks()
                         size = 0
                     if full:
@@ -424,7 +456,43 @@ def _chunked(texts: DataFrame, depth: int, chunk_bytes: int, chunk_grams: int, p
         del chunk
         pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
-    return keep(texts.mapInArrow(cut, "chunk bigint, kind int, gram bigint, data binary, n bigint"), "chunks")
+    return _kept(texts.mapInArrow(cut, "chunk bigint, kind int, gram bigint, data binary, n bigint"), "chunks")
+
+
+def bundles(batches: Iterator[pa.RecordBatch], rows: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Rows of a chunk's grams or words (chunk, kind, and gram or data, and value) with up to
+    ``BUNDLE`` of one chunk and kind in each: grams and values as arrays, words joined by a
+    space, which none holds. About ``rows`` of the batches' rows are held at a time."""
+    held: list[pa.RecordBatch] = []
+
+    def bundled():
+        chunk = np.concatenate([b.column("chunk").to_numpy() for b in held])
+        order = np.argsort(chunk, kind="stable")
+        first = _runs(chunk[order])
+        within = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
+        starts = np.flatnonzero(within % BUNDLE == 0)
+        bounds, take = pa.array(np.r_[starts, len(order)], pa.int32()), pa.array(order)
+
+        def lists(column):
+            return pa.ListArray.from_arrays(bounds, pa.concat_arrays([b.column(column) for b in held]).take(take))
+
+        kind, words = held[0].column("kind")[0].as_py(), "data" in held[0].schema.names
+        if words:
+            data = lists("data")
+            data = pc.binary_join(data, pa.scalar(b" ", data.type.value_type)).cast(pa.binary())
+        out = pa.record_batch({"chunk": pa.array(chunk[order][starts]), "kind": pa.array(np.full(len(starts), kind, np.int32)),
+                               "gram": pa.nulls(len(starts), pa.list_(pa.int64())) if words else lists("gram"),
+                               "data": data if words else pa.nulls(len(starts), pa.binary()), "value": lists("value")})
+        held.clear()
+        return out
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield bundled()
+    if held:
+        yield bundled()
 
 
 def _scored(chunks: DataFrame, grams: DataFrame, words: DataFrame, facts: tuple[int, int, int], depth: int, id_kind: str) -> DataFrame:
@@ -432,28 +500,27 @@ def _scored(chunks: DataFrame, grams: DataFrame, words: DataFrame, facts: tuple[
     gets a chunk's grams, then its words, then its blocks, which it lets pass by."""
     n_train, n_words, n_texts = facts
     share = n_train + 0.5 * (n_words + 1)
-    no_gram, no_data = F.lit(None).cast("bigint").alias("gram"), F.lit(None).cast("binary").alias("data")
-    known = chunks.where("kind = 0").select("chunk", "kind", "gram").join(grams, "gram").select("chunk", "kind", "gram", no_data, F.col("score").alias("value"))
+    bundle = "chunk bigint, kind int, gram array<bigint>, data binary, value array<double>"
+    known = chunks.where("kind = 0").select("chunk", "kind", "gram").join(grams, "gram").select("chunk", "kind", "gram", F.col("score").alias("value"))
     counted = chunks.where("kind = 1").select("chunk", "kind", "data").join(words.where("n > 0"), "data").select(
-        "chunk", "kind", no_gram, "data", F.col("n").cast("double").alias("value"))
-    blocks = chunks.where("kind = 2").select("chunk", "kind", no_gram, "data", F.lit(None).cast("double").alias("value"))
-    dealt = known.union(counted).union(blocks).repartition("chunk").sortWithinPartitions("chunk", "kind", "gram")
+        "chunk", "kind", "data", F.col("n").cast("double").alias("value"))
+    blocks = chunks.where("kind = 2").select("chunk", "kind", F.lit(None).cast("array<bigint>").alias("gram"), "data", F.lit(None).cast("array<double>").alias("value"))
+    dealt = (known.mapInArrow(bundles, bundle).union(counted.mapInArrow(bundles, bundle)).union(blocks)
+             .repartition("chunk").sortWithinPartitions("chunk", "kind"))
     row_bits = np.uint64(64 - 8 * (depth + 1))
 
     def scored(data, found, scores, counts):
         block = pa.ipc.open_stream(data.as_buffer()).read_next_batch()
         rows = [*zip(*(block.column(c).to_pylist() for c in ("before", "text", "last")))]
         key, starts, ends = windows(rows, depth)
-        row, own = _places(starts, ends, len(key))
         key <<= row_bits
-        key |= row.astype(np.uint64)
-        key = key[own]
-        del row, own
+        key |= np.repeat(np.arange(len(starts), dtype=np.uint64), np.diff(np.r_[starts, len(key)]))
+        key = key[_own(starts, ends, len(key))]
         key.sort()  # by gram, then row
         gram = (key >> row_bits).astype(np.int64)
         first = _runs(gram)
         each = np.repeat(scores[np.searchsorted(found, gram[first])], np.diff(np.r_[first, len(gram)]))
-        del gram, first
+        del gram, first, starts, ends
         total = np.bincount((key & np.uint64((1 << int(row_bits)) - 1)).astype(np.int64), each, len(rows))
         out = {"n_bytes": [], "n_tokens": [], "n_known": [], "base_score": []}
         for _, text, last in rows:
@@ -473,16 +540,19 @@ def _scored(chunks: DataFrame, grams: DataFrame, words: DataFrame, facts: tuple[
         for (chunk, kind), part in runs_of(batches, ["chunk", "kind"]):
             if chunk != at:
                 at, found, scores, counts = chunk, [], [], {}
-            if kind == 0:  # rising by gram; copies, so that the batch with its other columns is let go
-                found.append(part.column("gram").to_numpy().copy())
-                scores.append(part.column("value").to_numpy().copy())
+            if kind == 0:  # copies, so that the batch with its other columns is let go
+                found.append(part.column("gram").flatten().to_numpy().copy())
+                scores.append(part.column("value").flatten().to_numpy().copy())
                 continue
             if kind == 1:
-                counts.update(zip(part.column("data").to_pylist(), part.column("value").to_pylist()))
+                for some in (part.slice(k, 256) for k in range(0, part.num_rows, 256)):
+                    counts.update(zip(b" ".join(some.column("data").to_pylist()).split(), some.column("value").flatten().to_numpy().astype(np.int64).tolist()))
                 continue
             if isinstance(found, list):
-                found = np.concatenate(found)
-                scores = np.concatenate(scores)
+                found, scores = np.concatenate(found), np.concatenate(scores)
+                order = np.argsort(found)
+                found, scores = found[order], scores[order]
+                del order
             for data in part.column("data"):
                 yield scored(data, found, scores, counts)
 
@@ -527,6 +597,6 @@ def score_texts(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col
     facts = counted["n"] + n_texts, counted["v"] + (n_texts > 0), n_texts
     sums = [F.sum(c).alias(c) for c in ("n_bytes", "n_tokens", "n_known", "base_score", "score")]
     rows = _scored(chunks, gram_scores(grams, depth), words, facts, depth, ready.schema["id"].dataType.simpleString())
-    rows = rows.groupBy("row").agg(F.first("id").alias("id"), F.first("held").alias("held_out"), *sums)
+    rows = _kept(rows.groupBy("row").agg(F.first("id").alias("id"), F.first("held").alias("held_out"), *sums), "scores")
     return rows.select("id", "held_out", "n_bytes", "n_tokens", "n_known", F.lit(facts[0]).cast("bigint").alias("train_tokens"), "base_score", "score",
                        (-F.col("score") * F.lit(math.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"))
