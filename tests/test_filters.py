@@ -116,3 +116,35 @@ def test_f13_a_search_reads_the_postings_of_its_rarest_word_only(spark):
     got = {(r.search_id, r.event_id) for r in search_index(index, ev, asked).collect()}
     ids = range(1000, 1400)
     assert got == {(1, 1234)} | {(2, i) for i in ids if "123" in str(i) and i % 2} | {(3, i) for i in ids if "9" in str(i)} | {(5, i) for i in ids}
+
+
+def test_f13_the_index_holds_one_row_for_a_place_of_the_texts(spark, tmp_path):
+    """Not one for every gram that starts there, and no shuffle files stay behind."""
+    from unievents.operators.search import build_keyword_index, search_index
+    n = 3000
+    ev = spark.range(n).selectExpr("id AS event_id", "concat('Event ', id + 10000) AS name", "concat('hall ', id % 7) AS place")
+    kept = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(kept)
+    index = build_keyword_index(ev, ["name", "place"], root=str(tmp_path / "index"))
+    assert spark.conf.get(kept) == before
+    held = [spark.read.parquet(str(d)) for d in (tmp_path / "index").iterdir() if d.name != "counts"]
+    assert sum(x.count() for x in held) <= n * len("Event 10000hall 0")
+    asked = spark.createDataFrame([(1, "12999"), (2, "1299 3")], "search_id int, text string")
+    got = {(r.search_id, r.event_id) for r in search_index(index, ev, asked).collect()}
+    assert got == {(1, 2999)} | {(2, i) for i in range(2990, 3000) if "3" in str(i + 10000) or i % 7 == 3}
+
+
+def test_f13_searches_beyond_those_sent_find_the_same(spark, monkeypatch):
+    """Searches of equal counts, of one gram, and marks that many grams share."""
+    from unievents.operators import search
+    from unievents.operators.filters import keyword_search
+    rows = [(i, f"Event {i}", "hall" if i % 2 else None) for i in range(1000, 1300)] + [(None, "Event 1234", "hall"), (1007, "Event 1007", "x")]
+    ev = spark.createDataFrame(rows, "event_id long, name string, place string")
+    texts = ["23", "event 23", "9 hall", "1234", "event 1007", "100", "77 hall", "no", "", "vent 12", "12345678", "1299"]
+    asked = spark.createDataFrame(list(enumerate(texts)), "search_id int, text string")
+    want = sorted((k, r.event_id) for k, t in enumerate(texts) for r in keyword_search(ev, t, ["name", "place"]).collect() if r.event_id is not None)
+    index = search.build_keyword_index(ev, ["name", "place"])
+    for sent, bits in ((3, 7), (0, 24), (1 << 16, 24)):
+        monkeypatch.setattr(search, "SENT", sent)
+        monkeypatch.setattr(search, "MARK_BITS", bits)
+        assert sorted((r.search_id, r.event_id) for r in search.search_index(index, ev, asked).collect()) == want, sent
