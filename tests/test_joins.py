@@ -69,3 +69,17 @@ def test_positions_of_one_day(spark, days):
     for g in (0, 1):
         assert [got[r[0]] for r in sorted((r for r in rows if r[3] == g), key=order)] == list(range(1, 1 + sum(r[3] == g for r in rows)))
     assert number_rows(ev.where("false"), newest_first_keys(), "position").count() == 0
+
+
+def test_numbered_rows_are_not_dealt_again(spark):
+    """The counts of the sort's partitions go to the rows, and the sort leaves no shuffle files."""
+    import glob
+    rows = spark.range(200).selectExpr("id", "id % 7 AS k").repartition(4, "k")
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in local for f in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
+    before = files()
+    numbered = number_rows(rows, ["k", "id"], "n")
+    assert not files() - before
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert [r.id for r in numbered.orderBy("n").collect()] == sorted(range(200), key=lambda i: (i % 7, i))
